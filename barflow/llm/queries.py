@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import order_minhash
+from . import order_minhash, piece_codec, token_counts
 from .common import read
 
 
@@ -12,9 +12,29 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def piece_model() -> bytes:
+    """The public tokenizer's model file; its bytes go to the workers, not its path."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, piece_model()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_codec.encode_decode(docs, piece_model(), digest=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def queries() -> dict:
     return {
         "op1_document_fingerprints": op1_document_fingerprints,
+        "op3_token_counts": op3_token_counts,
+        "op9_sentencepiece_codec": op9_sentencepiece_codec,
     }
 
 
