@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import order_minhash, piece_codec, token_counts
+from . import language, order_minhash, piece_codec, private_data, token_counts
 from .common import read
 
 
@@ -20,11 +20,21 @@ def piece_model() -> bytes:
         return f.read()
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs.select("doc_id", "text"), docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, piece_model()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return private_data.find(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_codec.encode_decode(docs, piece_model(), digest=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -33,7 +43,9 @@ def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_document_fingerprints": op1_document_fingerprints,
+        "op2_language_id": op2_language_id,
         "op3_token_counts": op3_token_counts,
+        "op5_personal_data": op5_personal_data,
         "op9_sentencepiece_codec": op9_sentencepiece_codec,
     }
 
