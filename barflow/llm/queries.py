@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, order_minhash, piece_codec, private_data, token_counts
+from . import language, mixing, near_duplicates, order_minhash, piece_codec, private_data, quality_rules, token_counts
 from .common import read
 
 
@@ -30,25 +30,46 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, piece_model()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return private_data.find(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.clean(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_bad_lines")
+
+
 def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_codec.encode_decode(docs, piece_model(), digest=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return mixing.mix(docs)
+
+
 def queries() -> dict:
     return {
         "op1_document_fingerprints": op1_document_fingerprints,
         "op2_language_id": op2_language_id,
         "op3_token_counts": op3_token_counts,
+        "op4_near_duplicates": op4_near_duplicates,
         "op5_personal_data": op5_personal_data,
+        "op6_quality_rules": op6_quality_rules,
         "op9_sentencepiece_codec": op9_sentencepiece_codec,
+        "op10_source_mixing": op10_source_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_quality_rules": quality_rules.SQL,
+        "op10_source_mixing": mixing.SQL,
+    }
