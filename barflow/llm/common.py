@@ -37,6 +37,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, n: int, key: str) -> DataFrame:
+    """About ``n`` rows (all if there are fewer, never more than twice as many), chosen by a hash of ``key``.
+
+    One count and one filter: nothing is sorted, and no task sends more than its share.
+    """
+    step = -(-df.count() // n)
+    return df.filter(F.pmod(F.xxhash64(key), F.lit(step)) == 0).limit(2 * n) if step > 1 else df
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once (a one-element transform)."""
     return F.transform(F.array(value), body)[0]

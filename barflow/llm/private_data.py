@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import hash_sample, ship
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training sample (texts, characters of a text, stretches) and of a span in tokens; epochs.
@@ -252,10 +252,10 @@ class Field:
 
 def trained(docs: DataFrame, text: str = "text") -> Field:
     """A field fitted on a bounded sample of texts with digits or at signs, chosen by hash."""
-    rows = docs.filter(F.col(text).rlike("[0-9@]")).select(F.substring(text, 1, TRAIN_CHARS).alias("t"))
-    sample = rows.withColumn("h", F.xxhash64("t")).orderBy("h", "t").limit(TRAIN_TEXTS).collect()
+    rows = hash_sample(docs.filter(F.col(text).rlike("[0-9@]")).select("doc_id", text), TRAIN_TEXTS, "doc_id")
+    sample = rows.select("doc_id", F.substring(text, 1, TRAIN_CHARS).alias("t")).collect()
     field = Field()
-    field.train([r.t for r in sample])
+    field.train([r.t for r in sorted(sample, key=lambda r: (r.doc_id or 0, r.t))])
     return field
 
 
