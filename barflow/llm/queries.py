@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, near_duplicates, order_minhash, piece_codec, private_data, quality_rules, token_counts, url_filter
+from . import co_training, language, mixing, near_duplicates, order_minhash, piece_codec, private_data, quality_rules, token_counts, url_filter
 from .common import read
 
 
@@ -45,6 +45,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_bad_lines")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co_training.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -67,6 +71,7 @@ def queries() -> dict:
         "op4_near_duplicates": op4_near_duplicates,
         "op5_personal_data": op5_personal_data,
         "op6_quality_rules": op6_quality_rules,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_url_filters": op8_url_filters,
         "op9_sentencepiece_codec": op9_sentencepiece_codec,
         "op10_source_mixing": op10_source_mixing,
