@@ -116,7 +116,7 @@ def _bucket(doc_id: Column, bounds: list[int]) -> Column:
     below = lambda xs: F.size(F.filter(xs, lambda b: b < doc_id))
     block = F.least(below(longs([b[-1] for b in blocks])), F.lit(len(blocks) - 1))
     place = let(block, lambda i: i * F.lit(wide) + below(F.get(F.array(*[longs(b) for b in blocks]), i)))
-    return F.coalesce(place, F.lit(-1))
+    return F.when(doc_id.isNull(), F.lit(-1)).otherwise(place)
 
 
 def edited_fingerprints(docs: DataFrame, k: int = K, sketches: int = SKETCHES, size: int = SIZE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
