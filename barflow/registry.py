@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import indicator_queries
+from .plans import clean_queries, indicator_queries
 
-MODULES = [indicator_queries]
+MODULES = [clean_queries, indicator_queries]
 
 
 def queries() -> dict:
