@@ -162,12 +162,15 @@ def running_position(fills: DataFrame) -> DataFrame:
 
 
 def equity_curve(fills: DataFrame, closes: DataFrame, capital: float = 10_000.0) -> DataFrame:
-    """At every close (symbol, ts, close): cash, position value, equity, peak and drawdown in %."""
+    """At every close (symbol, ts, close): cash, position value, equity, peak and drawdown in %.
+
+    Cash adds up as decimals, so it does not depend on the order of additions.
+    """
     way = F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0)
-    moves = fills.groupBy("symbol", "ts").agg(F.sum(way * F.col("qty")).alias("q"), F.sum(-way * F.col("qty") * F.col("price") - F.col("commission")).alias("m"))
+    moves = fills.groupBy("symbol", "ts").agg(F.sum(way * F.col("qty")).alias("q"), F.sum((-way * F.col("qty") * F.col("price") - F.col("commission")).cast("decimal(28,7)")).alias("m"))
     w = running("symbol")
     both = closes.select("symbol", "ts", "close").join(moves, ["symbol", "ts"], "full_outer")
-    made = both.withColumns({"qty": F.coalesce(F.sum("q").over(w), F.lit(0.0)), "cash": capital + F.coalesce(F.sum("m").over(w), F.lit(0.0)), "last": F.last("close", ignorenulls=True).over(w)})
+    made = both.withColumns({"qty": F.coalesce(F.sum("q").over(w), F.lit(0.0)), "cash": capital + F.coalesce(F.sum("m").over(w).cast("double"), F.lit(0.0)), "last": F.last("close", ignorenulls=True).over(w)})
     made = made.withColumn("equity", F.col("cash") + F.col("qty") * F.coalesce("last", F.lit(0.0))).withColumn("peak", F.max("equity").over(w))
     return made.filter("close is not null").select("symbol", "ts", "cash", "qty", "equity", "peak", (100 * ratio(F.col("equity") - F.col("peak"), F.col("peak"))).alias("drawdown_pct"))
 

@@ -214,10 +214,11 @@ def curve(s, d) -> DataFrame:
     return T.equity_curve(f, f.groupBy("symbol", "ts").agg(F.max_by("price", "seq").alias("close")), 1_000_000.0)
 
 
-EQ_SQL = f"""{X.FILLS_SQL}, m as (select symbol, ts, sum(case when side = 'BUY' then qty else -qty end) as q, sum(case when side = 'BUY' then -qty * price else qty * price end - commission) as m, arg_max(price, seq) as close from fills group by all),
-e0 as (select *, sum(q) over w as qty, 1000000.0 + sum(m) over w as cash from m window w as (partition by symbol order by ts rows between unbounded preceding and current row)),
+EQ_SQL = f"""{X.FILLS_SQL}, m as (select symbol, ts, sum(case when side = 'BUY' then qty else -qty end) as q, sum((case when side = 'BUY' then -qty * price else qty * price end - commission)::decimal(28,7)) as m, arg_max(price, seq) as close from fills group by all),
+e0 as (select *, sum(q) over w as qty, 1000000.0::double + (sum(m) over w)::double as cash from m window w as (partition by symbol order by ts rows between unbounded preceding and current row)),
 e1 as (select *, cash + qty * close as equity from e0), e2 as (select *, max(equity) over (partition by symbol order by ts rows between unbounded preceding and current row) as peak from e1), eq as (select *, 100 * (equity - peak) / nullif(peak, 0) as drawdown_pct from e2)"""
-_query("t08_equity_curve", curve, f"with {EQ_SQL} select symbol, ts, round(cash, 6) + 0.0 as cash, qty, round(equity, 6) + 0.0 as equity, round(peak, 6) + 0.0 as peak, round(drawdown_pct, 6) + 0.0 as drawdown_pct from eq")
+QUERIES["t08_equity_curve"] = curve  # exact cash, so nothing is rounded
+SQL["t08_equity_curve"] = f"with {EQ_SQL} select symbol, ts, cash, qty, equity, peak, drawdown_pct from eq"
 _query("t09_return_metrics", lambda s, d: T.return_metrics(curve(s, d)), f"with {EQ_SQL}, r as (select *, (equity - lag(equity) over w) / nullif(lag(equity) over w, 0) as r from eq window w as (partition by symbol order by ts)), g as (select symbol, arg_min(equity, ts) as f, arg_max(equity, ts) as l, min(drawdown_pct) as max_drawdown_pct, arg_min(ts, (drawdown_pct, ts)) as drawdown_ts, avg(r) / nullif(stddev_samp(r), 0) * sqrt(252) as sharpe from r group by 1) select symbol, {r6('100 * (l - f) / nullif(f, 0) as total_return_pct', 'max_drawdown_pct')}, drawdown_ts, {r6('sharpe')} from g")
 _query("t10_round_trips", lambda s, d: T.round_trips(X.fills(s, d)), f"with {X.FILLS_SQL}, {POS_SQL}, e as (select *, (abs(position) < 1e-9)::int as flat from pos), k as (select *, coalesce(sum(flat) over (partition by symbol order by ts, seq rows between unbounded preceding and 1 preceding), 0)::bigint as episode from e) select symbol, episode, arg_min(side, (ts, seq)) as first_side, sum(qty) filter (side = 'BUY') as bought, sum(qty) filter (side = 'SELL') as sold, round(sum(case when side = 'BUY' then -qty * price else qty * price end - commission), 3) + 0.0 as pnl, count(*) as fills from k group by symbol, episode having max(flat) = 1", 3)
 TR = f"with {X.TRADES_SQL}"
