@@ -23,8 +23,8 @@ SQL: dict[str, str] = {}
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the session's checkpoints (a temporary one where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barflow-")
+    """A new folder beside the cluster's checkpoints (a temporary one where none is set)."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="barflow-")
     return f"{base.rstrip('/')}/barflow/{name}-{uuid.uuid4().hex}"
 
 
