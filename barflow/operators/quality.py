@@ -216,3 +216,26 @@ def source_overview(bars: DataFrame, source: str = "source") -> DataFrame:
     return bars.groupBy("symbol", source).agg(F.count("*").alias("n"), F.count_if(F.col("volume") == 0).alias("zero_volume"), F.avg("volume").alias("avg_volume"))
 
 
+
+
+def quality_score(bars: DataFrame, minutes: float = 60.0) -> DataFrame:
+    """0.4 of completeness, and ladders of gaps (less for long ones), price and volume anomalies; and whether it suits backtests."""
+    gaps = detect_gaps(bars, 1.5 * minutes).groupBy(*SERIES).agg(F.count("*").alias("gaps"), (F.max("minutes") / 60).alias("longest"))
+    made = completeness(bars, minutes / 60).join(gaps, SERIES, "left").join(price_anomalies(bars), SERIES).join(volume_anomalies(bars), SERIES).fillna({"gaps": 0, "longest": 0.0})
+    g, n = F.col("gaps"), F.col("n")
+    price, volume = F.col("order_violations") + F.col("jumps"), F.col("negative") + F.col("spikes") + F.col("zeros")
+    ladder = F.when(g == 0, 25.0).when(g <= 5, 20.0).when(g <= 15, 15.0).when(g <= 30, 10.0).otherwise(5.0) * F.when(F.col("longest") > 72, 0.5).when(F.col("longest") > 24, 0.8).otherwise(1.0)
+    part = lambda x, top: F.when(x == 0, top).when(x < 0.01 * n, top * 0.8).when(x < 0.05 * n, top * 0.5).otherwise(0.0)
+    made = made.withColumn("score", 0.4 * F.col("completeness_pct") + ladder + part(price, 20.0) + part(volume, 15.0))
+    return made.select(*SERIES, "score", ((F.col("completeness_pct") >= 90) & (F.col("longest") <= 72) & (price < 0.05 * n)).alias("suitable"))
+
+
+def backtest_readiness(bars: DataFrame, indicators: DataFrame, cols: list[str], minutes: float = 60.0) -> DataFrame:
+    """Weighted score of gaps .25, order .30, indicators .25, volume .10 and consistency .10."""
+    gaps = detect_gaps(bars, 1.5 * minutes).groupBy(*SERIES).agg(F.count("*").alias("gaps"))
+    present = indicators.groupBy(*SERIES).agg((sum((F.count(c) for c in cols), F.lit(0)) / (len(cols) * F.count("*"))).alias("present"))
+    made = completeness(bars, minutes / 60).join(gaps, SERIES, "left").join(price_anomalies(bars), SERIES).join(volume_outliers(bars), SERIES).join(present, SERIES, "left").fillna({"gaps": 0, "present": 0.0})
+    n = F.col("n")
+    share = lambda x: 100 * F.greatest(F.lit(0.0), 1 - x / n)
+    score = 0.25 * share(F.col("gaps")) + 0.30 * share(F.col("order_violations")) + 0.25 * 100 * F.col("present") + 0.10 * share(F.col("outliers") + F.col("zero_volume")) + 0.10 * F.col("completeness_pct")
+    return made.select(*SERIES, score.alias("score"), (score >= 70).alias("ready"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEY, ratio, series
@@ -183,3 +183,70 @@ def pivots(bars: DataFrame, lookback: int = 50) -> DataFrame:
     # At most 2 x lookback pivots a series, so the join grows with the bars.
     touch = last.join(b, ["symbol", "timeframe"]).filter(F.abs(price - F.col("level")) <= 0.002 * F.col("level"))
     return touch.groupBy(*KEY, "kind", "level").agg(F.count("*").alias("touches"))
+
+
+def layered_plan(signals: DataFrame) -> DataFrame:
+    """Strategy by strength, entry levels (2, 3 or 4) with shares by volatility, and a stop below the last level."""
+    s, high = F.col("strength"), F.col("volatility").isin("HIGH", "VERY_HIGH")
+    made = signals.withColumn("strategy", F.when(s >= 85, "AGGRESSIVE").when(s >= 70, "BALANCED").otherwise("CAUTIOUS"))
+    n = F.when(F.col("strategy") == "AGGRESSIVE", 2).when(F.col("strategy") == "BALANCED", 3).otherwise(4)
+    step = F.when(high, 0.01).otherwise(0.005)
+    way = F.when(F.col("side") == "LONG", -1.0).otherwise(1.0)
+    made = made.withColumns({"n_levels": n, "level": F.explode(F.sequence(F.lit(1), n))})
+    made = made.withColumns({
+        "level_price": F.col("close") * (1 + way * step * (F.col("level") - 1)),
+        "share_pct": 100.0 * F.when(high, F.col("level")).otherwise(F.col("n_levels") + 1 - F.col("level")) / (F.col("n_levels") * (F.col("n_levels") + 1) / 2)})
+    return made.withColumn("stop_price", F.col("close") * (1 + way * step * (F.col("n_levels") + 1)))
+
+
+def candidate_targets(signals: DataFrame, bars: DataFrame, lookback: int = 50) -> DataFrame:
+    """Possible targets of each signal (side, close, atr): Fibonacci extensions of the last swing, VWAP, round numbers, ATR multiples."""
+    w = series(lookback)
+    swing = bars.select(*KEY, F.max("high").over(w).alias("top"), F.min("low").over(w).alias("bottom"))
+    s = signals.join(swing, KEY)
+    way = F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0)
+    size = F.col("top") - F.col("bottom")
+    start = F.when(F.col("side") == "LONG", F.col("bottom")).otherwise(F.col("top"))
+    one = lambda kind, price: F.struct(F.lit(kind).alias("kind"), price.alias("target"))
+    fib = [one(f"FIB_{r}", start + way * size * r) for r in (1.272, 1.618, 2.0)]
+    atr = [one(f"ATR_{k}", F.col("close") + way * F.col("atr") * k) for k in (2, 3, 4)]
+    unit = F.when(F.col("close") >= 100, 10.0).otherwise(1.0)
+    near = F.when(F.col("side") == "LONG", F.ceil(F.col("close") / unit) * unit).otherwise(F.floor(F.col("close") / unit) * unit)
+    rounds = [one(f"ROUND_{k}", near + way * unit * k) for k in (0, 1)]
+    made = s.withColumn("t", F.explode(F.array(*fib, *atr, *rounds, one("VWAP", F.col("vwap")))))
+    return made.select(*KEY, "side", "close", "atr", "strength", "t.kind", "t.target").filter("target is not null")
+
+
+def rank_targets(candidates: DataFrame, stop_atr: float = 2.0, nearest: int = 6, best: int = 4) -> DataFrame:
+    """Targets on the right side, at most 20 % away, reward to risk 1.2 to 6: of the nearest six the best four, with exit shares."""
+    way = F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0)
+    gain = way * (F.col("target") - F.col("close"))
+    made = candidates.withColumns({"gain": gain, "rr": ratio(gain, stop_atr * F.col("atr"))}).filter((F.col("gain") > 0) & (F.col("gain") <= 0.2 * F.col("close")) & F.col("rr").between(1.2, 6))
+    near = Window.partitionBy(*KEY, "side").orderBy("gain", "kind")
+    made = made.withColumn("_n", F.row_number().over(near)).filter(F.col("_n") <= nearest)
+    weight = F.when(F.col("kind").startswith("FIB"), 30).when(F.col("kind") == "VWAP", 25).when(F.col("kind").startswith("ROUND"), 20).otherwise(15)
+    made = made.withColumn("score", weight + F.least(F.col("rr") * 10, F.lit(40.0)))
+    made = made.withColumn("place", F.row_number().over(Window.partitionBy(*KEY, "side").orderBy(F.desc("score"), "gain", "kind"))).filter(F.col("place") <= best)
+    strong = F.col("strength") >= 80
+    share = F.when(F.col("place") == 1, F.when(strong, 25).otherwise(40)).when(F.col("place") == 2, 30).when(F.col("place") == 3, F.when(strong, 25).otherwise(20)).otherwise(F.when(strong, 20).otherwise(10))
+    return made.withColumn("exit_pct", share).drop("_n", "gain")
+
+
+def exit_scores(positions: DataFrame, latest: DataFrame) -> DataFrame:
+    """How far the indicators (rsi, macd_hist, vwap_dev, roc, bb_pct) have turned against open positions (symbol, side), with reasons."""
+    way = F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0)
+    j = positions.join(latest.select("symbol", "rsi", "macd_hist", "vwap_dev", "roc", "bb_pct"), "symbol")
+    signed = lambda c: way * F.coalesce(F.col(c), F.lit(0.0))
+    stretched = F.when(F.col("side") == "LONG", F.col("rsi") > 70).otherwise(F.col("rsi") < 30)
+    edge = F.when(F.col("side") == "LONG", F.col("bb_pct") > 0.9).otherwise(F.col("bb_pct") < 0.1)
+    rules = [("MACD_AGAINST", signed("macd_hist") < 0, 25), ("MOMENTUM_LOST", signed("roc") < -1.5, 25), ("BELOW_VWAP", signed("vwap_dev") < -1.0, 20), ("RSI_STRETCHED", F.coalesce(stretched, F.lit(False)), 15), ("BAND_EDGE", F.coalesce(edge, F.lit(False)), 15)]
+    total = sum((F.when(c, p).otherwise(0) for _, c, p in rules), F.lit(0))
+    return j.withColumns({"exit_score": total, "reasons": F.array_join(F.array_compact(F.array(*[F.when(c, n) for n, c, _ in rules])), ",")})
+
+
+def exit_urgency(scores: DataFrame) -> DataFrame:
+    """Urgency, share to exit and whether the trend has turned."""
+    s = F.col("exit_score")
+    return scores.withColumns({
+        "urgency": F.when(s >= 70, "IMMEDIATE").when(s >= 50, "HIGH").when(s >= 30, "MEDIUM").otherwise("LOW"), "exit_pct": F.when(s >= 70, 100).when(s >= 50, 75).when(s >= 30, 50).otherwise(0),
+        "trend_reversal": F.contains("reasons", F.lit("MACD_AGAINST")) & F.contains("reasons", F.lit("MOMENTUM_LOST"))})

@@ -299,3 +299,13 @@ def level_touches(levels: DataFrame, bars: DataFrame, tol: float = 0.001) -> Dat
     price = F.when(F.col("side") == "BUY", F.least("level", "high")).otherwise(F.greatest("level", "low"))
     return levels.join(bars.select("symbol", "high", "low"), "symbol").withColumns({"touched": hit, "executed_price": F.when(hit, price)}).withColumn("slippage_pct", 100 * ratio(F.col("executed_price") - F.col("level"), F.col("level")))
 
+
+
+def join_indicators(bars: DataFrame, indicators: DataFrame) -> DataFrame:
+    return bars.join(indicators, KEY)
+
+
+def alerts_with_performance(alerts: DataFrame, performance: DataFrame) -> DataFrame:
+    """Alerts (alert_id, ..., price) with their outcome if any; a closed alert takes its entry price from the alert."""
+    p = performance.select("alert_id", "outcome", "pnl_r", F.col("entry_price").alias("_entry"))
+    return alerts.join(p, "alert_id", "left").withColumn("entry_price", F.when(F.col("outcome").isNotNull(), F.col("price")).otherwise(F.col("_entry"))).drop("_entry")
