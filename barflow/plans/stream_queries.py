@@ -16,7 +16,7 @@ from ..sources import fixtures as X
 from ..sources.fixtures import bars, bars_sql
 from ..streaming import jobs as R
 from .clean_queries import TWO_SQL, two
-from .trade_queries import PARAMS, hourly, ind_sql
+from .trade_queries import PARAMS, PLAN_SQL, hourly, ind_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -52,13 +52,11 @@ def events(spark, sf_dir) -> DataFrame:
     return X.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
 
 
-def plain(df: DataFrame, *cols: str) -> DataFrame:
+def plain(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     """Zone-less times again."""
-    return rounded(df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.select(*cols).dtypes]))
+    return rounded(df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.select(*cols).dtypes]), digits)
 
 
-LAST = "(select max(ts) from events)"
-
 
 def ingest(spark, sf_dir) -> DataFrame:
     e = events(spark, sf_dir)
@@ -71,7 +69,7 @@ def closed_bars(spark, sf_dir) -> DataFrame:
 
 
 def activity(spark, sf_dir) -> DataFrame:
-    return plain(drained(R.activity_stream(streamed(events(spark, sf_dir)))), "symbol", "until", "n", "avg_value")
+    return plain(drained(R.activity_stream(streamed(events(spark, sf_dir)))), "symbol", "until", "n", "avg_value", digits=9)
 
 
 def sessions(spark, sf_dir) -> DataFrame:
@@ -113,14 +111,25 @@ def _add(name: str, make, sql: str | None = None) -> None:
 
 
 _add("r01_ingest_stream", ingest, "select event_id, ts, round(value, 6) + 0.0 as value from events")
-_add("r02_bars_stream", closed_bars)
-_add("r03_activity_stream", activity)
-_add("r03b_session_stream", sessions)
+# Append mode gives the windows that ended a day (the watermark) before the last event.
+DONE = "(select max(ts) - interval 24 hour from events)"
+_add("r02_bars_stream", closed_bars, f"with {bars_sql('b')} select symbol, ts, round(open, 6) + 0.0 as open, round(high, 6) + 0.0 as high, round(low, 6) + 0.0 as low, round(close, 6) + 0.0 as close, round(volume, 6) + 0.0 as volume from b where ts + interval 1 hour <= {DONE}")
+_add("r03_activity_stream", activity, f"""with s as (select event_type as symbol, value, unnest(generate_series(date_trunc('hour', ts) + interval 1 hour, date_trunc('hour', ts) + interval 24 hour, interval 1 hour)) as until from events)
+select symbol, until, count(*) as n, round(avg(value), 9) + 0.0 as avg_value from s where until <= {DONE} group by all""")
+_add("r03b_session_stream", sessions, f"""with o as (select user_id, ts, coalesce(ts >= lag(ts) over w + interval 30 minute, true) as st from events window w as (partition by user_id order by ts, event_id)),
+r as (select *, sum(st::int) over (partition by user_id order by ts rows between unbounded preceding and current row) as run from o)
+select user_id, min(ts) as start, max(ts) + interval 30 minute as "end", count(*) as n from r group by user_id, run having max(ts) + interval 30 minute <= {DONE}""")
 _add("r04_gap_stream", gaps, f"with {bars_sql('b', 1, True)}, g as (select symbol, lag(ts) over (partition by symbol order by ts) as gap_start, ts as gap_end from b) select symbol, gap_start, gap_end, date_diff('second', gap_start, gap_end) / 60.0 as minutes from g where date_diff('second', gap_start, gap_end) / 60.0 > 90")
 _add("r05_signal_stream", live_signals, f"with {ind_sql()} select symbol, ts, side, round(close, 6) + 0.0 as close from sig where side is not null")
-_add("r06_alert_stream", alerts)
-_add("r07_throttle_stream", throttled)
-_add("r08_confirm_stream", confirmed)
+_add("r06_alert_stream", alerts, f"""with {ind_sql()}, {PLAN_SQL}, h as (select p.symbol, p.ts as alert_ts, b.ts, case when (side = 'LONG' and low <= sl) or (side = 'SHORT' and high >= sl) then 'SL' when (side = 'LONG' and high >= tp) or (side = 'SHORT' and low <= tp) then 'TP' when b.ts >= p.ts + interval 8 hour then 'TIME_STOP' end as reason
+  from plan p join b on b.symbol = p.symbol and b.ts > p.ts and b.ts <= p.ts + interval 8 hour) select * from h where reason is not null qualify row_number() over (partition by symbol, alert_ts order by ts) = 1""")
+_add("r07_throttle_stream", throttled, f"""with recursive {X.SIGNALS_SQL}, o as (select symbol, ts, strength, signal_type as direction, row_number() over (partition by symbol order by ts, strength) as n from signals),
+st as (select symbol, n, ts, strength, direction, true as sent, ts as at_, strength as s_, direction as d_ from o where n = 1
+  union all select symbol, n, ts, strength, direction, go, case when go then ts else at_ end, case when go then strength else s_ end, case when go then direction else d_ end
+  from (select o.*, at_, s_, d_, o.direction <> d_ or (o.ts >= at_ + interval 30 minute and o.strength >= s_ + 10) as go from st join o on o.symbol = st.symbol and o.n = st.n + 1))
+select symbol, ts, round(strength, 6) + 0.0 as strength, direction from st where sent""")
+_add("r08_confirm_stream", confirmed, f"""with {ind_sql()}, lo as (select symbol, ts, case when low <= vwap and close > vwap and least(open, close) - low > 0.5 * abs(close - open) then 'LONG' when high >= vwap and close < vwap and high - greatest(open, close) > 0.5 * abs(close - open) then 'SHORT' end as side from ind where coalesce(vwap, 0) <> 0 and coalesce(volume_sma_20, 0) <> 0 and volume > volume_sma_20)
+select symbol, ts, lo.side as forming_side, sig.side as closed_side, lo.side = sig.side as confirmed from lo join sig using (symbol, ts) where lo.side is not null and sig.side is not null""")
 
 
 # Stores.
