@@ -11,9 +11,10 @@ Equality at a coordinate has the probability of the weighted Jaccard likeness.
 Texts that agree in a band of ROWS coordinates are candidates; a candidate pair is a link
 if its exact likeness is SIMILARITY or more; classes are the connected components of
 links and of equal texts.  Candidates never form all pairs of a bucket: each bucket's
-first member is compared with the others; only buckets that still hold several
-classes go on to further first members, more each round, until none is left
-undecided.  So no candidate link between two classes is lost.
+most central member is compared with the others; only buckets that still hold several
+classes go on to further members, more each round, until none is left undecided, and
+only for pairs of different classes whose sizes, own shingles and bit maps leave room
+for a link (exact bounds).  So no candidate link between two classes is lost.
 
 Defined cases: texts without a word are alike only if equal; null texts are alone, as are
 rows without doc_id unless equal to others (their class is the least known doc_id, else null);
@@ -27,14 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, ship
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 BASE = 2.0**-6  # width of the first interval of ranks
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES, CHUNK_TEXTS = 1_000_000, 1000  # texts handled at once
+MAP_WORDS = 32  # 64-bit words of a text's bit map
 U = np.uint64
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -159,7 +161,7 @@ def chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     i = 0
     while i < len(column):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, side="right")) - 1)
-        j = min(j, len(column))
+        j = min(j, len(column), i + CHUNK_TEXTS)
         yield data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 
@@ -182,17 +184,23 @@ def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int, size: int)
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(rep, units): the sorted units of a text."""
+    """(rep, units, bits, set_bits): the units of a text, and a map of the bits that their hashes set."""
     shingler = Shingler(size)
     for batch in batches:
-        out = []
+        out, maps, counts = [], [], []
         for data, offsets in chunks(batch.column("text")):
             n = len(offsets) - 1
             doc, unit = shingler.units(data, offsets)
             ends = np.r_[0, np.cumsum(np.bincount(doc, minlength=n))].astype(np.int32)
             out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(unit.view(np.int64))))
-        lists = pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), lists], names=["rep", "units"])
+            bits = np.zeros((n, 64 * MAP_WORDS), np.uint8)
+            bits[doc, (unit % U(64 * MAP_WORDS)).astype(np.int64)] = 1
+            counts.append(pa.array(bits.sum(1, dtype=np.int64)))
+            words = np.packbits(bits, axis=1).view(np.int64)
+            maps.append(pa.ListArray.from_arrays(pa.array(np.arange(0, n * MAP_WORDS + 1, MAP_WORDS, dtype=np.int32)), pa.array(words.ravel())))
+        longs = pa.list_(pa.int64())
+        columns = [pa.concat_arrays(x) if x else pa.array([], t) for x, t in ((out, longs), (maps, longs), (counts, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), *columns], names=["rep", "units", "bits", "set_bits"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,6 +229,7 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id and class_id (the least doc_id of the class) of each row of ``docs`` (doc_id, text)."""
     # Equal texts by two 64-bit hashes.
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("h1"), F.when(F.col("text").isNotNull(), F.xxhash64(F.lit(1), F.col("text"))).alias("h2"))
     signed = saved(keyed.mapInArrow(lambda b: _signed(b, bands, rows, shingle), "doc_id bigint, h1 bigint, h2 bigint, bands array<bigint>"), "signed")
     equal = saved(signed.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "equal")
@@ -230,11 +239,27 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
     reps = signed.filter("bands is not null and doc_id is not null").join(equal.filter("rep is not null"), (signed.h1 == equal.h1) & (signed.h2 == equal.h2) & (signed.doc_id == equal.rep), "left_semi")
     entries = reps.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("key"))
     several = entries.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("key")
-    buckets = saved(entries.join(several, "key").distinct(), "buckets")
+    found = saved(entries.join(several, "key").distinct(), "found")
 
     texts = docs.filter("text is not null").select(F.col("doc_id").alias("rep"), "text")
-    involved = buckets.select("rep").distinct()
-    units = saved(texts.join(involved, "rep", "left_semi").mapInArrow(lambda b: _shingled(b, shingle), "rep bigint, units array<bigint>"), "units")
+    involved = found.select("rep").distinct()
+    units = saved(texts.join(involved, "rep", "left_semi").mapInArrow(lambda b: _shingled(b, shingle), "rep bigint, units array<bigint>, bits array<bigint>, set_bits bigint"), "units")
+    # Shingles that a text has to itself cannot be in any overlap: an exact bound on its likeness to every other text.
+    alone = units.select("rep", F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    sizes = units.groupBy("rep").agg(F.max(F.size("units")).cast("bigint").alias("n")).join(alone, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    buckets = saved(found.join(sizes.filter(F.col("n") - F.col("own") >= F.lit(similarity) * F.col("n")), "rep"), "buckets")
+    member_of = F.struct("own", "rep", "n").alias("m")  # the least: fewest shingles of its own, so the most central text
+
+    def may_link(a: str, b: str) -> Column:
+        """Whether two texts' sizes and own shingles leave room for a link."""
+        room = F.least(F.col(f"{a}.n") - F.col(f"{a}.own"), F.col(f"{b}.n") - F.col(f"{b}.own"))
+        return room >= F.lit(similarity / (1 + similarity) - 1e-12) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+    def maps_allow() -> Column:
+        """Whether the bit maps of m and f leave room for a link: shared units set shared bits, but for those that share a bit with others of their own text."""
+        shared = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseAND(F.get("f_bits", F.lit(i)))) for i in range(MAP_WORDS)), F.lit(0))
+        room = shared + F.least(F.col("m.n") - F.col("set_bits"), F.col("f.n") - F.col("f_set"))
+        return room >= F.lit(similarity / (1 + similarity) - 1e-12) * (F.col("m.n") + F.col("f.n"))
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose exact likeness is high enough."""
@@ -243,29 +268,30 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
         return pairs.join(right, "b").join(left, "a").filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b")
 
     # The first member of each bucket against the others.
-    first = buckets.groupBy("key").agg(F.min("rep").alias("a"))
-    pairs = buckets.join(first, "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    members = buckets.select("key", member_of)
+    first = members.groupBy("key").agg(F.min("m").alias("f"))
+    pairs = members.join(first, (members.key == first.key) & (F.col("m.rep") != F.col("f.rep")) & may_link("m", "f")).select(F.col("f.rep").alias("a"), F.col("m.rep").alias("b")).distinct()
     edges = saved(links(pairs), "links")
     roots = saved(components(edges), "roots")
 
-    # Buckets that still hold several classes: further members against the others, more each round.
-    done, most = 1, 8
+    # Buckets that still hold several classes: further members against those after them, more each round.
+    done, most = 1, 32
     while True:
-        now = buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        torn = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter((F.col("low") != F.col("high")) & (F.col("n") > done + 1)).select("key")
-        left = now.join(torn, "key")
-        order = Window.partitionBy("key").orderBy("rep")
-        leads = left.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).filter(F.col("n") > done).select("key", F.col("rep").alias("a"), F.col("root").alias("root_a"))
-        pairs = saved(left.join(leads, "key").filter("rep > a and root <> root_a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
-        if not pairs.take(1):
-            if not torn.join(left.groupBy("key").count().filter(F.col("count") > most), "key").take(1):
-                break
-        else:
+        now = buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", member_of, F.coalesce("root", "rep").alias("root"))
+        torn = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter((F.col("low") != F.col("high")) & (F.col("size") > done + 1)).select("key", "size")
+        left = saved(now.join(torn, "key").withColumn("rep", F.col("m.rep")).join(units.select("rep", "bits", "set_bits"), "rep").drop("rep"), "torn")
+        leads = left.select(F.col("key").alias("k"), F.col("m").alias("f"), F.col("root").alias("lead_root"), F.col("bits").alias("f_bits"), F.col("set_bits").alias("f_set"))
+        leads = leads.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("f"))).filter(F.col("place") <= most).filter(F.col("place") > done)
+        near = (F.col("key") == F.col("k")) & (F.col("m") > F.col("f")) & (F.col("root") != F.col("lead_root")) & may_link("m", "f") & maps_allow()
+        pairs = saved(left.join(leads, near).select(F.col("f.rep").alias("a"), F.col("m.rep").alias("b")).distinct(), "pairs")
+        if pairs.take(1):
             more = saved(links(pairs), "links")
             if more.take(1):
                 edges = edges.unionByName(more)
                 roots = saved(components(edges), "roots")
-        done, most = most, most * 4
+        if not left.filter(F.col("size") > most + 1).take(1):
+            break
+        done, most = most, most * 32
 
     return member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
 
