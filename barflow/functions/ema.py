@@ -3,7 +3,7 @@
 y[0] = x[0], y[t] = y[t-1] + a (x[t] - y[t-1]).  Within a chunk of rows the result is
 an affine map of the value carried in, so a series is cut into chunks of bounded size,
 each chunk is solved from zero with its decay, and only one row a chunk takes part
-in the ordered pass that carries values on.  No task holds more than a chunk of a series.
+in the ordered pass that carries values on.  Python never holds more than a chunk of a series.
 """
 
 from __future__ import annotations
