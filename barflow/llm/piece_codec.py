@@ -17,15 +17,17 @@ import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ship
 from .spm import MARK, Vocabulary, Words
 from .token_counts import blocks
 
-CACHE_WORDS, CACHE_PAIRS = 700_000, 500_000
+#: Bounds of what a worker keeps, and rows of one output batch.
+CACHE_WORDS, CACHE_PAIRS, BATCH = 300_000, 300_000, 100
 
 
 class Codec:
@@ -184,28 +186,42 @@ def _codec(shared) -> Codec:
     return vocabulary.worker["codec"]
 
 
+def _rows(batches: Iterator[pa.RecordBatch], shared, text: str, digest: bool) -> Iterator[pa.RecordBatch]:
+    """Batches with the made columns added, a bounded number of rows at a time."""
+    codec = _codec(shared)
+    sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+    for batch in batches:
+        at = 0
+        for block in blocks(batch.column(text).to_pylist(), BATCH, 500_000):
+            counts, ids, ends, decoded = [], [], [0], []
+            for n, joined, back in codec.texts(block):
+                counts.append(n)
+                if digest:
+                    ids.append(sha(joined))
+                    decoded.append(sha(back))
+                else:
+                    ids.append(np.array(joined.split(",") if joined else [], np.int32))
+                    ends.append(ends[-1] + n)
+                    decoded.append(back)
+            made = [pa.array(counts, pa.int64()), pa.array(ids, pa.string()) if digest else pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids))), pa.array(decoded, pa.string())]
+            part = batch.slice(at, len(block))
+            at += len(block)
+            names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", "decoded"]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
+
+
 def encode_decode(docs: DataFrame, model: bytes, text: str = "text", digest: bool = False) -> DataFrame:
-    """``docs`` with n_tokens and, of each text, its ids (array of int) and decoded text.
+    """``docs`` with n_tokens and, of each text, its ids (array of int) and decoded text (replacing columns of these names).
 
     ``digest``: instead of ids and text their SHA-256, ids_sha256 (of the decimal ids
     joined by commas) and decoded_sha256 (of UTF-8), so that only digests leave the workers.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))  # bounded by the vocabulary
-    kind = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "n_tokens bigint, ids array<int>, decoded string"
-
-    @F.pandas_udf(kind)
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = _codec(shared)
-        sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for texts in batches:
-            rows = []
-            for block in blocks(texts.tolist(), 200):
-                for n, ids, decoded in codec.texts(block):
-                    rows.append((n, sha(ids), sha(decoded)) if digest else (n, [int(x) for x in ids.split(",")] if ids else [], decoded))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", "decoded"])
-
-    got = docs.withColumn("_encoded", encode(F.coalesce(F.col(text), F.lit(""))))
-    return got.withColumns({c: F.col(f"_encoded.{c}") for c in (["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", "decoded"])}).drop("_encoded")
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", "decoded"]
+    kinds = ["bigint", "string", "string"] if digest else ["bigint", "array<int>", "string"]
+    docs = docs.drop(*[n for n in names if n != text])
+    schema = T.StructType([*docs.schema.fields, *[f for n, k in zip(names, kinds, strict=True) for f in T.StructType.fromDDL(f"{n} {k}").fields]])
+    return docs.mapInArrow(lambda b: _rows(b, shared, text, digest), schema)
 
 
 ship(__name__)
