@@ -32,6 +32,19 @@ def bars_after(signals: DataFrame, bars: DataFrame, hours: int) -> DataFrame:
     return s.join(b, [*SERIES, "_b"]).filter(inside).drop("_b")
 
 
+def first_bar_from(signals: DataFrame, bars: DataFrame, hours: int) -> DataFrame:
+    """Each signal with the first bar at or after ts + hours, however late; signals without one are left out.
+
+    Both sides share one window by series, ordered from the far end, as in ``asof_daily``.
+    """
+    cols = [F.col("ts").alias("bar_ts"), *[F.col(c).alias(f"bar_{c}") for c in bars.columns if c not in KEY]]
+    b = bars.select(*SERIES, F.struct(*cols).alias("_v"), F.col("ts").alias("_at"), F.lit(0).alias("_own"))
+    s = signals.withColumns({"_at": F.col("ts") + F.make_dt_interval(hours=F.lit(hours)), "_own": F.lit(1)})
+    ahead = Window.partitionBy(*SERIES).orderBy(F.col("_at").desc(), "_own").rowsBetween(Window.unboundedPreceding, 0)
+    both = s.unionByName(b, allowMissingColumns=True).withColumn("_v", F.last("_v", ignorenulls=True).over(ahead))
+    return both.filter("_own = 1 and _v is not null").select(*signals.columns, "_v.*")
+
+
 def compare_sources(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Keys only on one side, or on both with values that differ."""
     left, right = a.select(*keys, F.struct(*cols).alias("l")), b.select(*keys, F.struct(*cols).alias("r"))
@@ -87,11 +100,15 @@ def order_fills(orders: DataFrame, bars: DataFrame, hours: int = 48) -> DataFram
 def bracket_outcomes(signals: DataFrame, bars: DataFrame, hours: int = 8, touch: str = "range", keys: tuple[str, ...] = ()) -> DataFrame:
     """How each signal (side, entry, sl, tp) ended: first of stop, target, close across the VWAP, time stop, session close.
 
-    The stop wins a bar that reaches both.  ``touch='close'`` tests closes only.  Signals
-    that nothing ended within ``hours`` are not in the result.  Risk is at least 0.1 % of the entry.
+    The stop wins a bar that reaches both.  ``touch='close'`` tests closes only.  The time stop
+    ends at the first bar at or after ts + ``hours``, however late, unless another rule does there
+    or earlier; only signals that the series ends before stay open and are not in the result.
+    Risk is at least 0.1 % of the entry.
     """
     ids = [*KEY, "side", "entry", "sl", "tp", *keys]
-    b = bars_after(signals.select(*ids), bars, hours)
+    s = signals.select(*ids)
+    early_bars = bars_after(s, bars, hours).filter(F.col("bar_ts") < F.col("ts") + F.make_dt_interval(hours=F.lit(hours)))
+    b = early_bars.unionByName(first_bar_from(s, bars, hours))
     lo, hi = (F.col("bar_low"), F.col("bar_high")) if touch == "range" else (F.col("bar_close"), F.col("bar_close"))
     long = F.col("side") == "LONG"
     sl, tp = F.when(long, lo <= F.col("sl")).otherwise(hi >= F.col("sl")), F.when(long, hi >= F.col("tp")).otherwise(lo <= F.col("tp"))

@@ -123,16 +123,22 @@ def signal_stream(bars: DataFrame, wick_ratio: float = 1.0, vol_mult: float = 1.
 
 
 def alert_stream(bars: DataFrame, alerts: DataFrame, hours: int = 8) -> DataFrame:
-    """First exit of each open alert (a static table): bars joined by symbol within the horizon, one row an alert by state."""
+    """First exit of each open alert (a static table): later bars joined by symbol, one row an alert by state.
+
+    The time stop ends at the first bar at or after alert_ts + ``hours``, however late.
+    """
     a = alerts.select("symbol", F.col("ts").cast("timestamp").alias("alert_ts"), "side", "entry", "sl", "tp")
-    j = bars.join(a, "symbol").filter((F.col("ts") > F.col("alert_ts")) & (F.col("ts") <= F.col("alert_ts") + F.make_dt_interval(hours=F.lit(hours))))
+    j = bars.join(a, "symbol").filter(F.col("ts") > F.col("alert_ts"))
     long = F.col("side") == "LONG"
     sl, tp = F.when(long, F.col("low") <= F.col("sl")).otherwise(F.col("high") >= F.col("sl")), F.when(long, F.col("high") >= F.col("tp")).otherwise(F.col("low") <= F.col("tp"))
     reason = F.when(sl, "SL").when(tp, "TP").when(F.col("ts") >= F.col("alert_ts") + F.make_dt_interval(hours=F.lit(hours)), "TIME_STOP")
     hits = j.withColumn("reason", reason).filter("reason is not null")
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first = pd.concat(list(batches)).sort_values("ts").iloc[:1]
+        first = None
+        for b in batches:
+            least = b.nsmallest(1, "ts")
+            first = least if first is None or least["ts"].iloc[0] < first["ts"].iloc[0] else first
         if state.exists:
             first = first.iloc[:0]
         else:

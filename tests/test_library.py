@@ -197,3 +197,64 @@ def test_sql_twins(spark, name):
 
 def test_every_query_has_a_name_once():
     assert len(registry.queries()) > 100 and set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def signal(spark, step=0, side="LONG", entry=100.0, sl=50.0, tp=200.0):
+    return flat(spark, [entry] * (step + 1)).orderBy(F.desc("ts")).limit(1).select("symbol", "timeframe", "ts").withColumns({"side": F.lit(side), "entry": F.lit(entry), "sl": F.lit(sl), "tp": F.lit(tp)})
+
+
+@pytest.mark.parametrize("late, want", [((60, 101, 101, 101, 101, 1), ("TIME_STOP", 101.0)), ((60, 101, 101, 40, 101, 1), ("SL", 50.0)), ((60, 101, 250, 101, 101, 1), ("TP", 200.0)), ((60, 99, 99, 99, 99, 1), ("EARLY_EXIT", 99.0))])
+def test_time_stop_at_a_bar_after_a_gap(spark, late, want):
+    b = make(spark, [(0, 100, 100, 100, 100, 1), (2, 100, 100, 100, 100, 1), late, (61, 1, 300, 1, 1, 1)]).withColumn("vwap", F.lit(100.0))
+    got = T.bracket_outcomes(signal(spark), b).collect()
+    assert [(r.reason, r.exit_price, r.minutes) for r in got] == [(*want, 3600.0)]
+
+
+def test_signals_stay_open_only_at_the_end_of_the_series(spark):
+    b = make(spark, [(i, 100, 100, 100, 100, 1) for i in (0, 2, 8)]).withColumn("vwap", F.lit(100.0))
+    assert [(r.reason, r.minutes) for r in T.bracket_outcomes(signal(spark), b).collect()] == [("TIME_STOP", 480.0)]
+    assert T.bracket_outcomes(signal(spark), b.limit(2)).count() == 0
+
+
+def test_every_signal_with_a_later_bar_ends(spark):
+    """Against a scan of each signal's later bars on the given events."""
+    from barflow.plans import trade_queries as P
+
+    b = P.hourly(spark, DATA).cache()
+    plans = S.trade_plan(S.vwap_bounce(b, P.PARAMS)).collect()
+    later = {}
+    for r in b.orderBy("ts").collect():
+        later.setdefault((r.symbol, r.timeframe), []).append(r)
+    from zoneinfo import ZoneInfo
+
+    def end(p):
+        up = p.side == "LONG"
+        for r in later[p.symbol, p.timeframe]:
+            if r.ts <= p.ts:
+                continue
+            ny = r.ts.replace(tzinfo=dt.UTC).astimezone(ZoneInfo("America/New_York"))
+            if r.low <= p.sl if up else r.high >= p.sl:
+                return r.ts, "SL"
+            if r.high >= p.tp if up else r.low <= p.tp:
+                return r.ts, "TP"
+            if r.vwap is not None and (r.close < r.vwap if up else r.close > r.vwap):
+                return r.ts, "EARLY_EXIT"
+            if r.ts - p.ts >= dt.timedelta(hours=8):
+                return r.ts, "TIME_STOP"
+            if ny.weekday() < 5 and ny.hour * 60 + ny.minute >= 950 and ny.hour < 16:
+                return r.ts, "SESSION_CLOSE"
+        return None
+
+    want = {(p.symbol, p.ts, *e) for p in plans if (e := end(p))}
+    got = [(r.symbol, r.ts, r.exit_ts, r.reason) for r in P.outcomes(spark, DATA).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_alert_stream_time_stop_after_a_gap(spark):
+    from barflow.plans.stream_queries import drained, streamed
+    from barflow.streaming import jobs
+
+    b = make(spark, [(0, 100, 100, 100, 100, 1), (2, 100, 100, 100, 100, 1), (60, 101, 101, 101, 101, 1), (61, 1, 300, 1, 1, 1)])
+    stream = streamed(b.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "open", "high", "low", "close", "volume"))
+    got = drained(jobs.alert_stream(stream, signal(spark))).select(F.col("ts").cast("timestamp_ntz"), "reason").collect()
+    assert [(r.ts, r.reason) for r in got] == [(T0 + dt.timedelta(hours=60), "TIME_STOP")]
