@@ -88,13 +88,47 @@ def next_bar_fills(signals: DataFrame, bars: DataFrame, slippage: float = 0.0005
     return signals.join(nxt, KEY).filter("fill_ts is not null").withColumn("fill_price", F.col("next_open") * way).withColumn("fee", F.col("fill_price") * commission)
 
 
-def order_fills(orders: DataFrame, bars: DataFrame, hours: int = 48) -> DataFrame:
-    """First later bar that reaches a limit or stop order (order_id, side BUY/SELL, kind, level); a gap fills at the open."""
-    b = bars_after(orders, bars, hours)
+#: Bars are summed up by days, and SPAN of a level by one of the next; TOP is the last level, LAST_DAY that of the year 9999.
+SPAN, TOP, LAST_DAY = 32, 4, 3_652_058
+
+
+def order_fills(orders: DataFrame, bars: DataFrame) -> DataFrame:
+    """First later bar, however late, that reaches a limit or stop order (order_id, side BUY/SELL, kind, level); a gap fills at the open.
+
+    Lows and highs of days, of SPAN days and so on are a tree.  Going up it from the order's
+    day, the later siblings of each level cover the rest of the series; the first that
+    reaches the level is followed down to its day.  An order meets at most SPAN nodes
+    a level on either way, however long it waits.
+    """
+    ids = [*KEY, "order_id", "side", "kind", "level"]
     below = ((F.col("side") == "BUY") & (F.col("kind") == "LIMIT")) | ((F.col("side") == "SELL") & (F.col("kind") == "STOP"))
-    hit = F.when(below, F.col("bar_low") <= F.col("level")).otherwise(F.col("bar_high") >= F.col("level"))
+    reached = lambda low, high: F.when(below, F.col(low) <= F.col("level")).otherwise(F.col(high) >= F.col("level"))
+    day = lambda at: F.datediff(at, F.lit("0001-01-01").cast("date")).cast("bigint")
+    up = lambda d, k: F.floor(d / F.lit(SPAN**k))
+
+    days = bars.groupBy(*SERIES, day(F.col("ts")).alias("_d")).agg(F.min("low").alias("_lo"), F.max("high").alias("_hi"))
+    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), up(F.col("_d"), k).alias("_b")) for k in range(TOP + 1)]))
+    tree = days.select(*SERIES, levels.alias("_n"), "_lo", "_hi").groupBy(*SERIES, "_n._k", "_n._b").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+
+    def later(k: int) -> Column:
+        own = up(F.col("_d"), k)
+        last = (up(F.col("_d"), k + 1) + 1) * SPAN - 1 if k < TOP else F.lit(LAST_DAY // SPAN**TOP).cast("bigint")
+        made = F.transform(F.sequence(own + 1, last), lambda b: F.struct(F.lit(k).alias("_k"), b.alias("_b")))
+        return F.when(own < last, made).otherwise(F.array().cast("array<struct<_k:int,_b:bigint>>"))
+
+    o = orders.select(*ids).withColumn("_d", day(F.col("ts")))
+    nodes = o.withColumn("_n", F.explode(F.concat(*[later(k) for k in range(TOP + 1)]))).select(*ids, "_n.*")
+    found = nodes.join(tree, [*SERIES, "_k", "_b"]).filter(reached("_lo", "_hi")).groupBy(*ids).agg(F.min(F.struct("_k", "_b")).alias("_n")).select(*ids, "_n.*")  # lower levels come first
+    for k in range(TOP, 0, -1):
+        child = tree.select(*SERIES, (F.col("_k") + 1).alias("_k"), up(F.col("_b"), 1).alias("_b"), F.col("_b").alias("_child"), "_lo", "_hi")
+        down = found.filter(F.col("_k") == k).join(child, [*SERIES, "_k", "_b"]).filter(reached("_lo", "_hi"))
+        found = found.filter(F.col("_k") < k).unionByName(down.groupBy(*ids).agg(F.min("_child").alias("_b")).withColumn("_k", F.lit(k - 1)))
+
+    b = bars.select(*SERIES, day(F.col("ts")).alias("_b"), F.col("ts").alias("bar_ts"), *[F.col(c).alias(f"bar_{c}") for c in ("open", "low", "high")])
+    own = o.select(*ids, F.col("_d").alias("_b"))
+    hits = own.unionByName(found.select(*ids, "_b")).join(b, [*SERIES, "_b"]).filter((F.col("bar_ts") > F.col("ts")) & reached("bar_low", "bar_high"))
     price = F.when(below, F.least("bar_open", "level")).otherwise(F.greatest("bar_open", "level"))
-    return b.filter(hit).groupBy("order_id", "symbol", "side", "kind", "level").agg(F.min("bar_ts").alias("fill_ts"), F.min_by(price, "bar_ts").alias("fill_price"))
+    return hits.groupBy("order_id", "symbol", "side", "kind", "level").agg(F.min("bar_ts").alias("fill_ts"), F.min_by(price, "bar_ts").alias("fill_price"))
 
 
 def bracket_outcomes(signals: DataFrame, bars: DataFrame, hours: int = 8, touch: str = "range", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -126,9 +160,12 @@ def bracket_outcomes(signals: DataFrame, bars: DataFrame, hours: int = 8, touch:
 
 
 def excursions(trades: DataFrame, bars: DataFrame, hours: int = 8) -> DataFrame:
-    """Largest favourable and adverse moves in % between entry and exit (ts, exit_ts, side, entry)."""
+    """Largest favourable and adverse moves in % between entry and exit (ts, exit_ts, side, entry), over time buckets of ``hours``."""
     ids = [*KEY, "side", "entry", "exit_ts"]
-    b = bars_after(trades.select(*ids), bars, hours).filter(F.col("bar_ts") <= F.col("exit_ts"))
+    step = lambda at: F.floor(hours_between(F.lit("1970-01-01").cast("timestamp_ntz"), F.col(at)) / hours)
+    t = trades.select(*ids).filter("exit_ts > ts").withColumn("_b", F.explode(F.sequence(step("ts"), step("exit_ts"))))
+    made = bars.select(*SERIES, F.col("ts").alias("bar_ts"), F.col("high").alias("bar_high"), F.col("low").alias("bar_low"), step("ts").alias("_b"))
+    b = t.join(made, [*SERIES, "_b"]).filter((F.col("bar_ts") > F.col("ts")) & (F.col("bar_ts") <= F.col("exit_ts")))
     up, down = 100 * ratio(F.max("bar_high") - F.first("entry"), F.first("entry")), 100 * ratio(F.min("bar_low") - F.first("entry"), F.first("entry"))
     g = b.groupBy(*ids).agg(up.alias("u"), down.alias("d"))
     long = F.col("side") == "LONG"

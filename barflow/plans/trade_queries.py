@@ -180,7 +180,7 @@ def orders(s, d) -> DataFrame:
     return p.select(*KEY, "order_id", F.when(F.col("side") == "LONG", "BUY").otherwise("SELL").alias("side"), F.when(F.hour("ts") % 2 == 0, "LIMIT").otherwise("STOP").alias("kind"), (F.col("close") * F.when((F.col("side") == "LONG") == (F.hour("ts") % 2 == 0), 0.9).otherwise(1.1)).alias("level"))
 
 
-_query("t02_order_fills", lambda s, d: T.order_fills(orders(s, d), bars(s, d), 24),
+_query("t02_order_fills", lambda s, d: T.order_fills(orders(s, d), bars(s, d)),
        f"""with {ind_sql()}, o as (select symbol, timeframe, ts, symbol || '|' || strftime(ts, '%Y%m%d%H') as order_id, case when side = 'LONG' then 'BUY' else 'SELL' end as side, case when hour(ts) % 2 = 0 then 'LIMIT' else 'STOP' end as kind, close * case when (side = 'LONG') = (hour(ts) % 2 = 0) then 0.9 else 1.1 end as level from sig where side is not null),
 h as (select o.*, b.ts as fill_ts, (o.side = 'BUY') = (o.kind = 'LIMIT') as below, b.open as bo, b.low as bl, b.high as bh from o join b on b.symbol = o.symbol and b.ts > o.ts and b.ts <= o.ts + interval 24 hour)
 select order_id, symbol, side, kind, {r6('level')}, fill_ts, {r6('case when below then least(bo, level) else greatest(bo, level) end as fill_price')} from h where case when below then bl <= level else bh >= level end qualify row_number() over (partition by order_id order by fill_ts) = 1""")

@@ -258,3 +258,34 @@ def test_alert_stream_time_stop_after_a_gap(spark):
     stream = streamed(b.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "open", "high", "low", "close", "volume"))
     got = drained(jobs.alert_stream(stream, signal(spark))).select(F.col("ts").cast("timestamp_ntz"), "reason").collect()
     assert [(r.ts, r.reason) for r in got] == [(T0 + dt.timedelta(hours=60), "TIME_STOP")]
+
+
+def test_order_fills_however_late(spark):
+    """Against a scan, with bars from hours to decades after the orders."""
+    rnd = random.Random(9)
+    steps = sorted({*range(0, 60), *(rnd.randint(60, 24 * 400) for _ in range(150)), *(rnd.randint(0, 24 * 365 * 60) for _ in range(150))})
+    rows = []
+    for k, i in enumerate(steps):
+        c = 100 + k / 20 * rnd.uniform(-1, 1)
+        rows.append((i, c, c + rnd.random(), c - rnd.random(), c, 1))
+    b = make(spark, rows)
+    orders = [("X", "1h", T0 + dt.timedelta(hours=rnd.choice(steps)), str(n), rnd.choice(["BUY", "SELL"]), rnd.choice(["LIMIT", "STOP"]), rnd.uniform(80, 120)) for n in range(300)]
+    want = set()
+    for o in orders:
+        for i, op, hi, lo, *_ in rows:
+            below = (o[4] == "BUY") == (o[5] == "LIMIT")
+            at = T0 + dt.timedelta(hours=i)
+            if at > o[2] and (lo <= o[6] if below else hi >= o[6]):
+                want.add((o[3], at, min(op, o[6]) if below else max(op, o[6])))
+                break
+    df = spark.createDataFrame(orders, "symbol string, timeframe string, ts timestamp_ntz, order_id string, side string, kind string, level double")
+    got = [(r.order_id, r.fill_ts, r.fill_price) for r in T.order_fills(df, b).collect()]
+    assert len(got) == len(want) and set(got) == want
+    start = {o[3]: o[2] for o in orders}
+    assert len({(t - start[n]).days.bit_length() for n, t, _ in want}) > 6
+
+
+def test_excursions_cover_the_whole_trade(spark):
+    b = make(spark, [(0, 100, 100, 100, 100, 1), (5, 100, 101, 99, 100, 1), (30, 100, 120, 90, 100, 1), (50, 100, 100, 70, 100, 1), (51, 100, 999, 1, 100, 1)])
+    t = signal(spark).withColumn("exit_ts", F.lit(T0 + dt.timedelta(hours=50)).cast("timestamp_ntz"))
+    assert [(round(r.mfe_pct, 6), round(r.mae_pct, 6)) for r in T.excursions(t, b).collect()] == [(20.0, -30.0)]
