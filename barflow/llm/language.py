@@ -7,7 +7,8 @@ that needs the fewest bits a character wins.
 
 Text is lower-cased, letters stay, and each run of other characters is one separator.
 Whole texts are parsed, in blocks of BLOCK characters that all advance together (a
-phrase ends at a block's end).
+phrase ends at a block's end).  Each language has an alphabet of its own, all letters of
+its labelled text; a letter that it does not hold ends a phrase there.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is
 every text if there is no labelled text.  Ties go to the language that sorts first.
@@ -15,7 +16,6 @@ every text if there is no labelled text.  Ties go to the language that sorts fir
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +27,9 @@ from .common import ship
 from .token_counts import blocks
 
 #: Bounds of the labelled sample: documents and characters for each language, characters of one document.
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_DOC_CHARS, MAX_LETTERS, BLOCK = 64, 40_000, 4_000, 60, 1024
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_DOC_CHARS, BLOCK = 64, 40_000, 4_000, 1024
+#: Transitions of an alphabet of up to so many symbols are a full table, those of a larger one a sorted list.
+DENSE = 64
 UNKNOWN = "und"
 
 
@@ -35,33 +37,52 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``codes``: state x symbol, -1 where there is none."""
-    to, link, length = [[-1] * width], [-1], [0]
-    last = 0
-    for c in codes:
-        now, p = len(to), last
-        to.append([-1] * width)
-        length.append(length[last] + 1)
-        link.append(0)
-        while p >= 0 and to[p][c] < 0:
-            to[p][c] = now
-            p = link[p]
-        if p >= 0:
-            q = to[p][c]
-            if length[q] == length[p] + 1:
-                link[now] = q
-            else:
-                copy = len(to)
-                to.append(to[q][:])
-                length.append(length[p] + 1)
-                link.append(link[q])
-                while p >= 0 and to[p][c] == q:
-                    to[p][c] = copy
-                    p = link[p]
-                link[q] = link[now] = copy
-        last = now
-    return np.array(to, np.int32)
+class Automaton:
+    """Suffix automaton of ``codes`` (below ``width``)."""
+
+    def __init__(self, codes: list[int], width: int):
+        to, link, length = [{}], [-1], [0]
+        last = 0
+        for c in codes:
+            now, p = len(to), last
+            to.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            while p >= 0 and c not in to[p]:
+                to[p][c] = now
+                p = link[p]
+            if p >= 0:
+                q = to[p][c]
+                if length[q] == length[p] + 1:
+                    link[now] = q
+                else:
+                    copy = len(to)
+                    to.append(dict(to[q]))
+                    length.append(length[p] + 1)
+                    link.append(link[q])
+                    while p >= 0 and to[p].get(c) == q:
+                        to[p][c] = copy
+                        p = link[p]
+                    link[q] = link[now] = copy
+            last = now
+        self.width, self.dense = width, width <= DENSE
+        keys = np.array([s * width + c for s, t in enumerate(to) for c in sorted(t)], np.int64)
+        ends = np.array([t[c] for t in to for c in sorted(t)], np.int32)
+        if self.dense:
+            self.flat = np.full(len(to) * width, -1, np.int32)
+            self.flat[keys] = ends
+        else:  # a last key that nothing asks for
+            self.keys, self.ends = np.r_[keys, np.iinfo(np.int64).max], np.r_[ends, np.int32(-1)]
+        self.root = np.zeros(width, np.int32)
+        self.root[list(to[0])] = list(to[0].values())
+
+    def after(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The state after each symbol, -1 where there is none."""
+        if self.dense:
+            return self.flat[state * self.width + c]
+        key = state.astype(np.int64) * self.width + c
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ends[at], np.int32(-1))
 
 
 class Parser:
@@ -73,16 +94,20 @@ class Parser:
     def prepare(self) -> None:
         if hasattr(self, "tables"):
             return
-        every = Counter("".join(self.texts.values()).lower())
-        letters = [c for c, _ in sorted(every.items(), key=lambda x: (-x[1], x[0])) if c.isalpha()][:MAX_LETTERS]
-        # 0: separator, 1: a letter that is rare or not in the labelled texts.
-        self.symbol = np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.uint8, 0x110000)
+        letters = sorted(c for c in set("".join(self.texts.values()).lower()) if c.isalpha())
+        # 0: separator, 1: a letter that is in no labelled text.
+        self.symbol = np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.uint8 if len(letters) < 254 else np.uint32, 0x110000)
         self.symbol[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
-        self.width = len(letters) + 2
         codes = {k: self.codes(t)[:TRAIN_CHARS] for k, t in self.texts.items()}
         self.langs = [k for k in self.texts if len(codes[k])]
         self.bits = np.array([np.log2(len(codes[k]) + 1) for k in self.langs])
-        self.tables = [automaton(codes[k].tolist(), self.width) for k in self.langs]
+        self.owns, self.tables = [], []
+        for k in self.langs:
+            held = np.unique(codes[k])
+            own = np.zeros(len(letters) + 2, np.int32)  # 0: not held by this language
+            own[held] = np.arange(1, len(held) + 1)
+            self.owns.append(own)
+            self.tables.append(Automaton(own[codes[k]].tolist(), len(held) + 1))
 
     def codes(self, text: str) -> np.ndarray:
         """Symbols of a text, runs of separators as one."""
@@ -97,21 +122,20 @@ class Parser:
             return total
         pieces.sort(key=lambda x: -len(x[1]))
         lengths = np.array([len(p) for _, p in pieces])
-        grid = np.zeros((lengths[0], len(pieces)), np.uint8)
+        grid = np.zeros((lengths[0], len(pieces)), self.symbol.dtype)
         for k, (_, p) in enumerate(pieces):
             grid[: len(p), k] = p
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
         owner = np.array([i for i, _ in pieces])
-        for lang, table in enumerate(self.tables):
-            flat, root = table.ravel(), np.maximum(table[0], 0)
+        for lang, (own, table) in enumerate(zip(self.owns, self.tables, strict=True)):
             state, count = np.zeros(len(pieces), np.int32), np.ones(len(pieces), np.int64)
             for step in range(lengths[0]):
                 n = active[step]
-                c = grid[step, :n]
-                after = flat[state[:n] * self.width + c]
+                c = own[grid[step, :n]]
+                after = table.after(state[:n], c)
                 ends = after < 0
                 count[:n] += ends
-                state[:n] = np.where(ends, root[c], after)
+                state[:n] = np.where(ends, table.root[c], after)
             np.add.at(total[:, lang], owner, count)
         return total
 

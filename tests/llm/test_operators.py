@@ -118,6 +118,34 @@ def test_cross_parsing_matches_brute_force():
             assert abs(got - n) <= 1 + t.count("z")
 
 
+def test_every_letter_of_a_language_counts():
+    """Languages whose letters are rarer than 60 others, in alphabets of thousands and of 40 letters."""
+    from barflow.llm import language as m
+
+    rnd = random.Random(10)
+    scripts = {"han1": range(0x4E00, 0x5200), "han2": range(0x5200, 0x5600), "el": range(0x3B1, 0x3CA), "ru": range(0x430, 0x450), "am": range(0x1200, 0x1240)}
+    letters = {k: [c for c in map(chr, v) if c.isalpha() and c == c.lower()] for k, v in scripts.items()}
+    letters |= {"la": list("abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõö")}
+    words = {k: ["".join(rnd.choice(v) for _ in range(4)) for _ in range(300)] for k, v in letters.items()}
+    text = lambda k, n: " ".join(rnd.choice(words[k]) for _ in range(n))
+    p = m.Parser({k: text(k, 4000 if k == "la" else 500) for k in letters})
+    p.prepare()
+    asked = [(k, text(k, 30)) for k in letters for _ in range(5)]
+    assert [x for x, _ in p.judge([t for _, t in asked])] == [k for k, _ in asked]
+    clean = {k: v.lower() for k, v in p.texts.items()}
+    for _, t in asked:  # both forms of transitions against brute force
+        for i, k in enumerate(p.langs):
+            n, at = 0, 0
+            while at < len(t) and k != "la":
+                size = 0
+                while at + size < len(t) and t[at : at + size + 1] in clean[k]:
+                    size += 1
+                at += max(size, 1)
+                n += 1
+            if k != "la" and set(t) <= set(clean[k]):
+                assert p.phrases([p.codes(t)])[0][i] == n
+
+
 def test_tokens_and_codec(docs, empty, model):
     import sentencepiece
 
