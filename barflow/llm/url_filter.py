@@ -2,6 +2,7 @@
 
 DataFrame functions and ``pyspark.ml`` only.  URLs that a rule decides are the labelled
 ones; a bounded sample of them (chosen by hash) trains the trees, which judge the rest.
+Statistics of suffixes cover all pages.
 
 Defined cases: a null URL and one without ``://`` has an empty host and path, fits no rule
 and has zero features; repeated rows each get a row; if the sample is empty or of one kind,
@@ -26,8 +27,10 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Bound of the labelled sample, of its suffixes with statistics; trees and their depth.
-TRAIN_ROWS, SUFFIXES, TREES, DEPTH, SEED = 20_000, 500, 10, 4, 7
+#: Bound of the labelled sample; trees and their depth.
+TRAIN_ROWS, TREES, DEPTH, SEED = 20_000, 10, 4, 7
+#: Statistics are broadcast up to so many suffixes; beyond that the join is salted.
+BROADCAST_SUFFIXES, SALTS = 50_000, 64
 FEATURES = ["url_len", "host_len", "path_len", "depth", "labels", "digit_ratio", "hyphens", "entropy", "params", "fragment", "suffix_rate", "suffix_share"]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -74,6 +77,15 @@ def lexical(pages: DataFrame) -> DataFrame:
     })
 
 
+def suffix_stats(made: DataFrame) -> tuple[DataFrame, float]:
+    """suffix_rate, the smoothed share of blocked URLs among those that a rule decides, and suffix_share, the share of all pages; the prior."""
+    ruled_by = lambda v: F.count_if(F.col("by_rule") == v) if v else F.count("by_rule")
+    counts = saved(made.groupBy("suffix").agg(F.count("*").alias("n"), ruled_by(None).alias("known"), ruled_by("block").alias("bad")), "suffixes")
+    all_ = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "known", "bad")]).first()
+    prior = (all_.bad + 1) / (all_.known + 2)
+    return counts.select("suffix", ((F.col("bad") + 20 * prior) / (F.col("known") + 20)).alias("suffix_rate"), (F.col("n") / F.lit(max(all_.n, 1))).alias("suffix_share")), prior
+
+
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and block_score (null where a rule decides)."""
     spark = pages.sparkSession
@@ -82,21 +94,22 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     made = made.withColumns({"rule": rule, "by_rule": verdict})
     chosen = hash_sample(made.filter("by_rule is not null"), TRAIN_ROWS, "page_id")
     sample = saved(chosen.withColumn("label", (F.col("by_rule") == "block").cast("double")).repartition(4, "page_id"), "urls")
-    # Suffix statistics of the sample: smoothed share of blocked URLs, and share of all.
-    known = sample.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()
-    total, bad = sum(r.n for r in known), sum(r.bad for r in known)
-    prior = (bad + 1) / (total + 2)
-    by_suffix = spark.createDataFrame([(r.suffix, (r.bad + 20 * prior) / (r.n + 20), r.n / total) for r in known], "suffix string, suffix_rate double, suffix_share double")
+    has = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("bad")).first()
+    by_suffix, prior = suffix_stats(made)
+    small = by_suffix.limit(BROADCAST_SUFFIXES + 1).count() <= BROADCAST_SUFFIXES
 
     def full(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(by_suffix), "suffix", "left").fillna({"suffix_rate": prior, "suffix_share": 0.0})  # at most SUFFIXES rows
+        if small:
+            return df.join(F.broadcast(by_suffix), "suffix", "left").fillna({"suffix_rate": prior, "suffix_share": 0.0})
+        salted = by_suffix.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a suffix may hold a third of all pages
+        return df.withColumn("_salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int")).join(salted, ["suffix", "_salt"], "left").drop("_salt").fillna({"suffix_rate": prior, "suffix_share": 0.0})
 
     rest = full(made)
-    if 0 < bad < total:
+    if 0 < has.bad < has.n:
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
         model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label").fit(vectors.transform(full(sample)).select("features", "label"))
         scored = model.transform(vectors.transform(rest)).withColumn("block_score", vector_to_array("probability")[1])
     else:
-        scored = rest.withColumn("block_score", F.lit(1.0 if total and bad == total else 0.0))
+        scored = rest.withColumn("block_score", F.lit(1.0 if has.n and has.bad == has.n else 0.0))
     method = F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), F.when(F.col("by_rule").isNull(), F.col("block_score")).alias("block_score"))

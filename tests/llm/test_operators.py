@@ -301,6 +301,25 @@ def test_url_filter(spark):
     assert m.judge(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
 
 
+def test_suffix_statistics_cover_all_pages(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from barflow.llm import url_filter as m
+
+    hosts = ["a.com"] * 20 + ["b.net"] * 20 + ["c.org"] * 40 + [f"x.s{k}" for k in range(600)]
+    pages = spark.createDataFrame([(i, f"http://{h}/es/") for i, h in enumerate(hosts)], "page_id bigint, url string")
+    made = m.lexical(pages)
+    made = made.withColumn("by_rule", m.ruled(F.col("host"), F.col("path"))[1])
+    stats, prior = m.suffix_stats(made)
+    got = {r.suffix: (round(r.suffix_share, 9), round(r.suffix_rate, 9)) for r in stats.collect()}
+    rate = lambda bad, known: round((bad + 20 * prior) / (known + 20), 9)
+    assert prior == 21 / 42 and len(got) == 603
+    assert [got[k] for k in ("com", "net", "org", "s599")] == [(round(20 / 680, 9), rate(0, 20)), (round(20 / 680, 9), rate(20, 20)), (round(40 / 680, 9), rate(0, 0)), (round(1 / 680, 9), rate(0, 0))]
+    plain = sorted(tuple(r) for r in m.judge(pages).collect())
+    monkeypatch.setattr(m, "BROADCAST_SUFFIXES", 5)
+    assert sorted(tuple(r) for r in m.judge(pages).collect()) == plain and len(plain) == 680
+
+
 def test_mixing(spark, docs, empty):
     from barflow.llm import mixing as m
 
