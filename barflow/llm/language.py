@@ -19,15 +19,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
-from .token_counts import blocks
+from .common import built, saved, shared, ship, slices
 
-#: Bounds of the labelled sample: documents and characters for each language, characters of one document.
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_DOC_CHARS, BLOCK = 64, 40_000, 4_000, 1024
+#: Bounds of the labelled sample: documents and characters for each language, and languages; longer texts than TRAIN_DOC_CHARS come last.
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_DOC_CHARS, LANGUAGES, BLOCK = 64, 40_000, 4_000, 1000, 1024
 #: Transitions of an alphabet of up to so many symbols are a full table, those of a larger one a sorted list.
 DENSE = 64
 UNKNOWN = "und"
@@ -37,44 +36,48 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def automaton(codes: list[int], width: int) -> dict:
+    """Suffix automaton of ``codes`` (below ``width``) as plain arrays: transitions by state * width + code, and those of the root."""
+    to, link, length = [{}], [-1], [0]
+    last = 0
+    for c in codes:
+        now, p = len(to), last
+        to.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        while p >= 0 and c not in to[p]:
+            to[p][c] = now
+            p = link[p]
+        if p >= 0:
+            q = to[p][c]
+            if length[q] == length[p] + 1:
+                link[now] = q
+            else:
+                copy = len(to)
+                to.append(dict(to[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and to[p].get(c) == q:
+                    to[p][c] = copy
+                    p = link[p]
+                link[q] = link[now] = copy
+        last = now
+    root = np.zeros(width, np.int32)
+    root[list(to[0])] = list(to[0].values())
+    keys = np.fromiter((s * width + c for s, t in enumerate(to) for c in sorted(t)), np.int64)
+    return {"states": len(to), "width": width, "root": root, "keys": keys, "ends": np.fromiter((t[c] for t in to for c in sorted(t)), np.int32)}
+
+
 class Automaton:
-    """Suffix automaton of ``codes`` (below ``width``)."""
-
-    def __init__(self, codes: list[int], width: int):
-        to, link, length = [{}], [-1], [0]
-        last = 0
-        for c in codes:
-            now, p = len(to), last
-            to.append({})
-            length.append(length[last] + 1)
-            link.append(0)
-            while p >= 0 and c not in to[p]:
-                to[p][c] = now
-                p = link[p]
-            if p >= 0:
-                q = to[p][c]
-                if length[q] == length[p] + 1:
-                    link[now] = q
-                else:
-                    copy = len(to)
-                    to.append(dict(to[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    while p >= 0 and to[p].get(c) == q:
-                        to[p][c] = copy
-                        p = link[p]
-                    link[q] = link[now] = copy
-            last = now
-        self.width, self.dense = width, width <= DENSE
-        keys = np.array([s * width + c for s, t in enumerate(to) for c in sorted(t)], np.int64)
-        ends = np.array([t[c] for t in to for c in sorted(t)], np.int32)
+    """Transitions of a suffix automaton: a full table of a small alphabet, else the sorted list."""
+
+    def __init__(self, states: int, width: int, root: np.ndarray, keys: np.ndarray, ends: np.ndarray):
+        self.width, self.root, self.dense = width, root, width <= DENSE
         if self.dense:
-            self.flat = np.full(len(to) * width, -1, np.int32)
+            self.flat = np.full(states * width, -1, np.int32)
             self.flat[keys] = ends
         else:  # a last key that nothing asks for
             self.keys, self.ends = np.r_[keys, np.iinfo(np.int64).max], np.r_[ends, np.int32(-1)]
-        self.root = np.zeros(width, np.int32)
-        self.root[list(to[0])] = list(to[0].values())
 
     def after(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
         """The state after each symbol, -1 where there is none."""
@@ -86,28 +89,43 @@ class Automaton:
 
 
 class Parser:
-    """Labelled texts of each language (bounded), and in a worker their automata."""
-
-    def __init__(self, texts: dict[str, str]):
-        self.texts = {k: texts[k] for k in sorted(texts)}
-
-    def prepare(self) -> None:
-        if hasattr(self, "tables"):
-            return
-        letters = sorted(c for c in set("".join(self.texts.values()).lower()) if c.isalpha())
-        # 0: separator, 1: a letter that is in no labelled text.
-        self.symbol = np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.uint8 if len(letters) < 254 else np.uint32, 0x110000)
-        self.symbol[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
-        codes = {k: self.codes(t)[:TRAIN_CHARS] for k, t in self.texts.items()}
-        self.langs = [k for k in self.texts if len(codes[k])]
-        self.bits = np.array([np.log2(len(codes[k]) + 1) for k in self.langs])
+    """Parses texts into phrases of each language; made of labelled texts, or of the ``data`` of such a parser."""
+
+    def __init__(self, texts: dict[str, str] | None = None, data: dict | None = None):
+        self.texts = {k: texts[k] for k in sorted(texts or {})}
+        self.data = data or self.learn()
+
+    def learn(self) -> dict:
+        """Letters and, by language, the automaton of its labelled text: plain arrays of bounded size."""
+        self.letters("".join(sorted(c for c in set("".join(self.texts.values()).lower()) if c.isalpha())))
+        tables = {}
+        for k, t in self.texts.items():
+            codes = self.codes(t)[:TRAIN_CHARS]
+            if len(codes):
+                held = np.unique(codes)
+                own = np.zeros(self.known + 2, np.int32)
+                own[held] = np.arange(1, len(held) + 1)
+                tables[k] = {"size": len(codes), "held": held, "table": automaton(own[codes].tolist(), len(held) + 1)}
+        return {"letters": self.alphabet, "tables": tables}
+
+    def letters(self, alphabet: str) -> None:
+        """Symbols of characters: 0 separator, 1 a letter that is in no labelled text, then the letters."""
+        self.alphabet, self.known = alphabet, len(alphabet)
+        self.symbol = np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.uint8 if self.known < 254 else np.uint32, 0x110000)
+        self.symbol[[ord(c) for c in alphabet]] = np.arange(2, self.known + 2)
+
+    def prepare(self) -> "Parser":
+        self.letters(self.data["letters"])
+        tables = self.data["tables"]
+        self.langs = list(tables)
+        self.bits = np.array([np.log2(x["size"] + 1) for x in tables.values()])
         self.owns, self.tables = [], []
-        for k in self.langs:
-            held = np.unique(codes[k])
-            own = np.zeros(len(letters) + 2, np.int32)  # 0: not held by this language
-            own[held] = np.arange(1, len(held) + 1)
+        for x in tables.values():
+            own = np.zeros(self.known + 2, np.int32)  # 0: not held by this language
+            own[x["held"]] = np.arange(1, len(x["held"]) + 1)
             self.owns.append(own)
-            self.tables.append(Automaton(own[codes[k]].tolist(), len(held) + 1))
+            self.tables.append(Automaton(**x["table"]))
+        return self
 
     def codes(self, text: str) -> np.ndarray:
         """Symbols of a text, runs of separators as one."""
@@ -156,17 +174,24 @@ class Parser:
 
 
 def labelled_sample(docs: DataFrame) -> dict[str, str]:
-    """For each language, labelled text in bounded amount, from documents that are not held out."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= TRAIN_DOCS).select("doc_id", F.col("lang").alias("of_lang"))
-    ids = [r.doc_id for r in chosen.collect()]  # at most TRAIN_DOCS for each language
-    if not ids:
-        return {}
-    texts = docs.filter(F.col("doc_id").isin(ids)).filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "doc_id", F.substring("text", 1, TRAIN_DOC_CHARS).alias("t")).collect()
+    """For each language, whole labelled texts in bounded amount, from documents that are not held out.
+
+    Texts come in the order of a hash of their id, those longer than TRAIN_DOC_CHARS after
+    all others, until TRAIN_DOCS or TRAIN_CHARS are reached.  More than LANGUAGES languages are an error.
+    """
+    size = F.length("text")
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", F.xxhash64("text").alias("of_text"), size.alias("size"))
+    order = [(F.col("size") > TRAIN_DOC_CHARS), F.xxhash64("doc_id"), F.col("doc_id"), F.col("of_text")]
+    chosen = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("n") <= TRAIN_DOCS)
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    chosen = saved(chosen.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < TRAIN_CHARS).select("doc_id", "lang", "of_text", "n"), "labelled")
+    if chosen.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    named = docs.select("doc_id", "lang", "text").withColumn("of_text", F.xxhash64("text"))
+    texts = named.join(F.broadcast(chosen), ["doc_id", "lang", "of_text"]).select("lang", "n", "text").dropDuplicates(["lang", "n"]).collect()  # TRAIN_DOCS for each language at most
     by: dict[str, list[str]] = {}
-    for r in sorted(texts, key=lambda r: (r.lang, r.doc_id, r.t)):
-        by.setdefault(r.lang, []).append(r.t)
+    for r in sorted(texts, key=lambda r: (r.lang, r.n)):
+        by.setdefault(r.lang, []).append(r.text)
     return {k: "\n".join(v) for k, v in by.items()}
 
 
@@ -175,15 +200,14 @@ def identify(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
 
     ``docs`` has doc_id and text, ``train`` (``docs`` if None) doc_id, text and lang.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Parser(labelled_sample(docs if train is None else train)))
-
-    @F.pandas_udf("lang_pred string, score double")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        parser = shared.value
-        parser.prepare()
-        for texts in batches:
-            rows = [x for block in blocks(texts.tolist(), 500) for x in parser.judge([t or "" for t in block])]
-            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+    learned = shared(docs.sparkSession, Parser(labelled_sample(docs if train is None else train)).data)
+
+    @F.arrow_udf("lang_pred string, score double")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        parser = built(learned, lambda data: Parser(data=data).prepare())
+        for column in batches:
+            rows = [x for texts in slices(column, 500) for x in parser.judge(texts)]
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.float64())], names=["lang_pred", "score"])
 
     got = docs.withColumn("_judged", judge(F.coalesce(F.col("text"), F.lit(""))))
     return got.withColumns({"held_out": held_out(F.col("doc_id")), "lang_pred": F.col("_judged.lang_pred"), "score": F.col("_judged.score")}).drop("_judged")
