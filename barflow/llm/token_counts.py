@@ -1,8 +1,10 @@
 """Token counts by rank-synchronous merging of ragged numpy arrays.
 
 The distinct words of a batch are held as one flat array of symbols.  In each step
-every word that can still merge merges its lowest-ranked pair (the leftmost of equal
-ones); words that cannot are counted and leave.  A text's count is the sum over its words.
+every word that can still merge merges its lowest-ranked pair at all its places at once
+(of overlapping places the leftmost first); words that cannot are counted and leave.
+Where such a merge would make a pair of lower rank, which has to go before the other
+places, the word merges its leftmost place only.  A text's count is the sum over its words.
 
 Defined cases: null text counts as empty: 0 bytes, 0 tokens.  Rows keep their other columns.
 """
@@ -13,11 +15,11 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import built, shared, ship, slices
 from .spm import Vocabulary, Words, code_points
 
 OVER = 4096
@@ -26,6 +28,13 @@ CACHE_WORDS, BLOCK = 1_000_000, 1000
 NEVER = np.iinfo(np.int32).max
 
 
+def apart(hits: np.ndarray) -> np.ndarray:
+    """Of rising places, those that merge when overlapping pairs go leftmost first: every other one of a run of neighbours."""
+    first = np.r_[True, hits[1:] != hits[:-1] + 1]
+    place = np.arange(len(hits))
+    return hits[(place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0]
+
+
 class Counter:
     """Counts tokens; keeps the counts of words seen."""
 
@@ -51,6 +60,16 @@ class Counter:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.merged[at], NEVER)
 
+    def early(self, symbols: np.ndarray, owner: np.ndarray, at: np.ndarray, made: np.ndarray) -> np.ndarray:
+        """Whether a merge would make a pair, with a neighbour as it is or merged alike, that goes before the places still to come."""
+        again = len(at) > 1 and (owner[at[1:]] == owner[at[:-1]]).any()
+        if not again:
+            return np.zeros(len(at), bool)
+        before, after = np.maximum(at - 1, 0), np.minimum(at + 2, len(symbols) - 1)
+        left = np.where((at > 0) & (owner[before] == owner[at]), self.rank(symbols[before], made), NEVER)
+        right = np.where((after == at + 2) & (owner[after] == owner[at]), self.rank(made, symbols[after]), NEVER)
+        return np.minimum(np.minimum(left, right), self.rank(made, made)) < made
+
     def count(self, words: list[str]) -> np.ndarray:
         """Tokens of each (non-empty) word."""
         total = np.zeros(len(words), np.int64)
@@ -71,7 +90,10 @@ class Counter:
                 if not len(symbols):
                     break
             hits = np.flatnonzero(ranks == np.repeat(least, sizes))
-            at = hits[np.r_[True, owner[hits[1:]] != owner[hits[:-1]]]]
+            at = apart(hits)
+            risky = self.early(symbols, owner, at, ranks[at])
+            if risky.any():  # these words go one place at a time
+                at = at[np.r_[True, owner[at[1:]] != owner[at[:-1]]] | ~np.isin(owner[at], owner[at[risky]])]
             symbols[at] = ranks[at]
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
@@ -94,32 +116,15 @@ class Counter:
         return [sum(map(self.seen.__getitem__, ws)) for ws in split]
 
 
-def blocks(texts: list, most: int = BLOCK, chars: int = 2_000_000) -> Iterator[list]:
-    """Runs of texts of bounded count and (but for a single long text) length."""
-    block, size = [], 0
-    for t in texts:
-        if block and (len(block) >= most or size + len(t or "") > chars):
-            yield block
-            block, size = [], 0
-        block.append(t)
-        size += len(t or "")
-    if block:
-        yield block
-
-
 def token_counts(docs: DataFrame, model: bytes, text: str = "text", over: int = OVER) -> DataFrame:
     """``docs`` with n_bytes, n_tokens and over_limit (replacing columns of these names)."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))  # bounded by the vocabulary
-
-    @F.pandas_udf("bigint")
-    def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocabulary = shared.value
-        if not hasattr(vocabulary, "worker"):
-            vocabulary.worker = {}
-        counter = vocabulary.worker.setdefault("counter", None) or Counter(vocabulary)
-        vocabulary.worker["counter"] = counter
-        for texts in batches:
-            yield pd.Series([n for block in blocks(texts.tolist()) for n in counter.texts(block)], dtype="int64")
+    source = shared(docs.sparkSession, model)
+
+    @F.arrow_udf("bigint")
+    def n_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        counter = built(source, lambda data: Counter(Vocabulary(data)))
+        for column in batches:
+            yield pa.array([n for texts in slices(column, BLOCK, 2_000_000) for n in counter.texts(texts)], pa.int64())
 
     n = n_tokens(F.coalesce(F.col(text), F.lit("")))
     return docs.withColumns({"n_bytes": F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint"), "n_tokens": n}).withColumn("over_limit", F.col("n_tokens") > over)
