@@ -8,17 +8,21 @@ dart of a coordinate is the signature there.  A text needs about k ln k + 2k dar
 all, however many shingles it has; more ranks are looked at until every coordinate has one.
 Equality at a coordinate has the probability of the weighted Jaccard likeness.
 
-Texts that agree in a band of ROWS coordinates are candidates; a candidate pair is a link
-if its exact likeness is SIMILARITY or more; classes are the connected components of
-links and of equal texts.  Candidates never form all pairs of a bucket: each bucket's
-most central member is compared with the others; only buckets that still hold several
-classes go on to further members, more each round, until none is left undecided, and
-only for pairs of different classes whose sizes, own shingles and bit maps leave room
-for a link (exact bounds).  So no candidate link between two classes is lost.
-
-Defined cases: texts without a word are alike only if equal; null texts are alone, as are
-rows without doc_id unless equal to others (their class is the least known doc_id, else null);
-rows that share a doc_id are in one class; repeated rows each get a row.
+Texts with the same shingles are one node.  Nodes that agree in a band of ROWS
+coordinates share a bucket; two nodes of a bucket are a link if their exact likeness is
+SIMILARITY or more; classes are the connected components of links.  Buckets never form
+all their pairs: the most central member of each is compared with the others first, and
+components of these links become roots.  Members of buckets that still hold several
+roots meet once more by a prefix filter: two sets that are alike enough share one of
+their first shingles in any common order, and shingles that a single root holds stand
+first in this order and cannot be shared between roots.  Only members of different
+roots form pairs, in blocks of bounded size.  Both steps are exact: no link between two
+classes that a bucket holds is lost.
+
+Defined cases: texts without a word are alike only if equal; a null text is alone; rows
+count by their text, so rows that share a doc_id but not the text may be in different
+classes and repeated rows are in one; a class is named by its least doc_id (null if no
+row of it has one); ``kept`` keeps the row of the least doc_id, nulls last, of each class.
 """
 
 from __future__ import annotations
@@ -28,15 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, ship
+from .common import forget, saved, ship
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 BASE = 2.0**-6  # width of the first interval of ranks
 CHUNK_BYTES, CHUNK_TEXTS = 1_000_000, 1000  # texts handled at once
-MAP_WORDS = 32  # 64-bit words of a text's bit map
+PAIR_BLOCK, SIZE_STEP = 1000, 1.05  # members of a block of pairs; ratio of two classes of sizes
 U = np.uint64
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -166,41 +170,38 @@ def chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i = j
 
 
-def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, h1, h2, bands): bands is null for texts without a word."""
+def _signed(texts: Iterator[pa.Array], bands: int, rows: int, size: int) -> Iterator[pa.Array]:
+    """s1, s2 (two hashes of all shingles) and bands of each text; null for texts without a word."""
     shingler, darts = Shingler(size), Darts(bands * rows)
-    for batch in batches:
+    for column in texts:
         out = []
-        for data, offsets in chunks(batch.column("text")):
+        for data, offsets in chunks(column):
             n = len(offsets) - 1
             doc, unit = shingler.units(data, offsets)
             got = darts.bands(darts.throw(doc, unit, n), rows)
             has = np.bincount(doc, minlength=n) > 0
-            values = pa.array(got[has].ravel(), pa.int64())
-            ends = np.r_[0, np.cumsum(np.where(has, bands, 0))].astype(np.int32)
-            out.append(pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array(~has)))
-        lists = pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h1"), batch.column("h2"), lists], names=["doc_id", "h1", "h2", "bands"])
+            sums = []
+            for turn in (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)):
+                total = np.zeros(n, U)
+                np.add.at(total, doc, mix(unit ^ turn))
+                sums.append(pa.array(total.view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * int(has.sum()) + 1, bands, dtype=np.int32)), pa.array(got[has].ravel(), pa.int64()))
+            where = pa.array(np.where(has, np.cumsum(has) - 1, 0), pa.int64(), mask=~has)
+            out.append(pa.StructArray.from_arrays([*sums, lists.take(where)], names=["s1", "s2", "bands"], mask=pa.array(~has)))
+        yield pa.concat_arrays(out) if out else pa.array([], pa.struct([("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))]))
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(rep, units, bits, set_bits): the units of a text, and a map of the bits that their hashes set."""
+    """(rep, units): the units of each text."""
     shingler = Shingler(size)
     for batch in batches:
-        out, maps, counts = [], [], []
+        out = []
         for data, offsets in chunks(batch.column("text")):
             n = len(offsets) - 1
             doc, unit = shingler.units(data, offsets)
             ends = np.r_[0, np.cumsum(np.bincount(doc, minlength=n))].astype(np.int32)
             out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(unit.view(np.int64))))
-            bits = np.zeros((n, 64 * MAP_WORDS), np.uint8)
-            bits[doc, (unit % U(64 * MAP_WORDS)).astype(np.int64)] = 1
-            counts.append(pa.array(bits.sum(1, dtype=np.int64)))
-            words = np.packbits(bits, axis=1).view(np.int64)
-            maps.append(pa.ListArray.from_arrays(pa.array(np.arange(0, n * MAP_WORDS + 1, MAP_WORDS, dtype=np.int32)), pa.array(words.ravel())))
-        longs = pa.list_(pa.int64())
-        columns = [pa.concat_arrays(x) if x else pa.array([], t) for x, t in ((out, longs), (maps, longs), (counts, pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), *columns], names=["rep", "units", "bits", "set_bits"])
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))], names=["rep", "units"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,7 +218,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = saved(small, "edges")
+        old, edges = edges, saved(small, "edges")
+        forget(old)
         after = mark(edges)
         if after == before:
             break
@@ -226,81 +228,143 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id and class_id (the least doc_id of the class) of each row of ``docs`` (doc_id, text)."""
-    # Equal texts by two 64-bit hashes.
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("h1"), F.when(F.col("text").isNotNull(), F.xxhash64(F.lit(1), F.col("text"))).alias("h2"))
-    signed = saved(keyed.mapInArrow(lambda b: _signed(b, bands, rows, shingle), "doc_id bigint, h1 bigint, h2 bigint, bands array<bigint>"), "signed")
-    equal = saved(signed.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "equal")
-    member = signed.select("doc_id", "h1", "h2").join(equal, ["h1", "h2"], "left").select("doc_id", "h1", "h2", F.coalesce("rep", "doc_id").alias("rep"))
-
-    # Buckets of two texts or more.
-    reps = signed.filter("bands is not null and doc_id is not null").join(equal.filter("rep is not null"), (signed.h1 == equal.h1) & (signed.h2 == equal.h2) & (signed.doc_id == equal.rep), "left_semi")
-    entries = reps.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("key"))
+def _links(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, ...) whose exact likeness is high enough."""
+    left, right = units.select(F.col("rep").alias("a"), F.col("units").alias("x")), units.select(F.col("rep").alias("b"), F.col("units").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(right, "b").join(left, "a").filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).drop("x", "y")
+
+
+def _central(buckets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of each bucket's most central member and the others, where sizes and own shingles leave room for a link."""
+    members = buckets.select("key", F.struct("own", "rep", "n").alias("m"))  # the least: fewest shingles that no other text has
+    first = members.groupBy("key").agg(F.min("m").alias("f"))
+    room = F.least(F.col("m.n") - F.col("m.own"), F.col("f.n") - F.col("f.own"))
+    near = (F.col("m.rep") != F.col("f.rep")) & (room >= _need(F.col("m.n"), F.col("f.n"), similarity))
+    return members.join(first, "key").filter(near).select(F.col("f.rep").alias("a"), F.col("m.rep").alias("b")).distinct()
+
+
+def _need(n: Column, m: Column, similarity: float) -> Column:
+    """Shingles that sets of n and m must share to be alike enough."""
+    return F.ceil(F.lit(similarity / (1 + similarity)) * (n + m) - F.lit(1e-6))
+
+
+def _prefixes(torn: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """(rep, n, root, unit, p): the first shingles of each member that members of other roots hold too, with their places.
+
+    The order is: shingles that a single root holds, then by rising number of members.
+    """
+    spread = torn.join(units, "rep").select("rep", "n", "root", F.explode("units").alias("unit"))
+    held = spread.groupBy("unit").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+    met = spread.join(held.filter("low <> high").select("unit", "c"), "unit")
+    lists = met.groupBy("rep", "n", "root").agg(F.sort_array(F.collect_list(F.struct("c", "unit"))).alias("us"))  # no longer than the text
+    reach = F.col("n") - _need(F.col("n"), F.lit(similarity) * F.col("n"), similarity)  # the last place that any partner may ask for
+    first = lists.withColumns({"before": F.col("n") - F.size("us"), "reach": reach}).filter("before <= reach")
+    return first.select("rep", "n", "root", "before", F.posexplode(F.slice("us", F.lit(1), (F.col("reach") - F.col("before") + 1).cast("int"))).alias("i", "u")).select(
+        "rep", "n", "root", "u.unit", (F.col("before") + F.col("i")).alias("p"))
+
+
+def _crossing(first: DataFrame, similarity: float, block: int = PAIR_BLOCK) -> DataFrame:
+    """Pairs (a, b, root_a, root_b) of members of different roots that share one of their first shingles.
+
+    The shorter (or equal) set of a pair meets the longer one under a shingle and the
+    class of the shorter one's size, which keeps first parts as short as they can be.  Under
+    each of these keys the commonest root's shorter sets only meet longer sets of other
+    roots, and both sides are cut into blocks of about ``block`` members.
+    """
+    step = math.log(SIZE_STEP)
+    size_class = lambda n: F.floor(F.log(n) / F.lit(step)).cast("int")
+    short = first.filter(F.col("p") <= F.col("n") - _need(F.col("n"), F.col("n"), similarity)).withColumn("size", size_class(F.col("n")))
+    least = F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-6))
+    long = first.withColumn("size", F.explode(F.sequence(size_class(F.greatest(least, F.lit(1))), size_class(F.col("n")))))
+    shortest = F.greatest(least, F.floor(F.exp(F.col("size") * F.lit(step)) - F.lit(1e-6)))
+    long = long.filter(F.col("p") <= F.col("n") - _need(F.col("n"), shortest, similarity))
+    keys = ["unit", "size"]
+    both = short.select(*keys, "root", F.lit(1).alias("s"), F.lit(0).alias("l")).unionByName(long.select(*keys, "root", F.lit(0).alias("s"), F.lit(1).alias("l")))
+    by_root = both.groupBy(*keys, "root").agg(F.sum("s").alias("s"), F.sum("l").alias("l"))
+    counts = by_root.groupBy(*keys).agg(F.max_by(F.struct("root", "s", "l"), F.struct("l", "root")).alias("top"), F.sum("s").alias("s"), F.sum("l").alias("l"))
+    counts = counts.select(*keys, F.col("top.root").alias("top"), (F.col("s") - F.col("top.s")).alias("s0"), F.col("l").alias("l0"), F.col("top.s").alias("s1"), (F.col("l") - F.col("top.l")).alias("l1")).filter("s0 * l0 + s1 * l1 > 0")
+    cuts = lambda c: F.ceil(c / F.lit(block)).cast("int")
+    blocks = lambda c: F.sequence(F.lit(0), F.greatest(cuts(c), F.lit(1)) - F.lit(1))
+    place = lambda c: F.pmod(F.xxhash64("rep"), F.greatest(cuts(c), F.lit(1))).cast("int")
+    rest = F.col("root") != F.col("top")
+    own = lambda rest_of, top_of: F.when(rest, F.col(rest_of)).otherwise(F.col(top_of))
+    shorter = short.join(counts, keys).filter(own("l0", "l1") > 0).select(
+        *keys, rest.alias("others"), place(own("s0", "s1")).alias("i"), F.explode(blocks(own("l0", "l1"))).alias("j"), F.struct("rep", "n", "root", "p").alias("x"))
+    part = lambda others, s, l: F.struct(F.lit(others).alias("others"), place(F.col(l)).alias("j"), blocks(F.col(s)).alias("i"))
+    parts = F.filter(F.array(F.when(F.col("s0") > 0, part(True, "s0", "l0")), F.when((F.col("s1") > 0) & rest, part(False, "s1", "l1"))), lambda x: x.isNotNull())
+    longer = long.join(counts, keys).select(*keys, F.struct("rep", "n", "root", "p").alias("y"), F.explode(parts).alias("at")).select(*keys, "at.others", "at.j", F.explode("at.i").alias("i"), "y")
+    need = _need(F.col("x.n"), F.col("y.n"), similarity)
+    meet = (
+        (F.col("x.root") != F.col("y.root")) & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep"))))
+        & (F.col("x.p") <= F.col("x.n") - need) & (F.col("y.p") <= F.col("y.n") - need)
+    )
+    found = shorter.join(longer, [*keys, "others", "i", "j"]).filter(meet)
+    return found.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b")).distinct()
+
+
+def _roots(signed: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(rep, root) of the nodes that are linked to others."""
+    reps = nodes.filter("kind = 0").select(F.col("first.rid").alias("rid"))
+    entries = signed.select("rid", "bands").join(reps, "rid", "left_semi").select(F.col("rid").alias("rep"), F.posexplode("bands").alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("key"))
     several = entries.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("key")
     found = saved(entries.join(several, "key").distinct(), "found")
-
-    texts = docs.filter("text is not null").select(F.col("doc_id").alias("rep"), "text")
     involved = found.select("rep").distinct()
-    units = saved(texts.join(involved, "rep", "left_semi").mapInArrow(lambda b: _shingled(b, shingle), "rep bigint, units array<bigint>, bits array<bigint>, set_bits bigint"), "units")
+    texts = signed.select(F.col("rid").alias("rep"), "text").join(involved, "rep", "left_semi")
+    units = saved(texts.mapInArrow(lambda b: _shingled(b, shingle), "rep bigint, units array<bigint>"), "units")
     # Shingles that a text has to itself cannot be in any overlap: an exact bound on its likeness to every other text.
     alone = units.select("rep", F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
-    sizes = units.groupBy("rep").agg(F.max(F.size("units")).cast("bigint").alias("n")).join(alone, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
-    buckets = saved(found.join(sizes.filter(F.col("n") - F.col("own") >= F.lit(similarity) * F.col("n")), "rep"), "buckets")
-    member_of = F.struct("own", "rep", "n").alias("m")  # the least: fewest shingles of its own, so the most central text
-
-    def may_link(a: str, b: str) -> Column:
-        """Whether two texts' sizes and own shingles leave room for a link."""
-        room = F.least(F.col(f"{a}.n") - F.col(f"{a}.own"), F.col(f"{b}.n") - F.col(f"{b}.own"))
-        return room >= F.lit(similarity / (1 + similarity) - 1e-12) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
-
-    def maps_allow() -> Column:
-        """Whether the bit maps of m and f leave room for a link: shared units set shared bits, but for those that share a bit with others of their own text."""
-        shared = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseAND(F.get("f_bits", F.lit(i)))) for i in range(MAP_WORDS)), F.lit(0))
-        room = shared + F.least(F.col("m.n") - F.col("set_bits"), F.col("f.n") - F.col("f_set"))
-        return room >= F.lit(similarity / (1 + similarity) - 1e-12) * (F.col("m.n") + F.col("f.n"))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose exact likeness is high enough."""
-        left, right = units.select(F.col("rep").alias("a"), F.col("units").alias("x")), units.select(F.col("rep").alias("b"), F.col("units").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return pairs.join(right, "b").join(left, "a").filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b")
-
-    # The first member of each bucket against the others.
-    members = buckets.select("key", member_of)
-    first = members.groupBy("key").agg(F.min("m").alias("f"))
-    pairs = members.join(first, (members.key == first.key) & (F.col("m.rep") != F.col("f.rep")) & may_link("m", "f")).select(F.col("f.rep").alias("a"), F.col("m.rep").alias("b")).distinct()
-    edges = saved(links(pairs), "links")
-    roots = saved(components(edges), "roots")
-
-    # Buckets that still hold several classes: further members against those after them, more each round.
-    done, most = 1, 32
-    while True:
-        now = buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", member_of, F.coalesce("root", "rep").alias("root"))
-        torn = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter((F.col("low") != F.col("high")) & (F.col("size") > done + 1)).select("key", "size")
-        left = saved(now.join(torn, "key").withColumn("rep", F.col("m.rep")).join(units.select("rep", "bits", "set_bits"), "rep").drop("rep"), "torn")
-        leads = left.select(F.col("key").alias("k"), F.col("m").alias("f"), F.col("root").alias("lead_root"), F.col("bits").alias("f_bits"), F.col("set_bits").alias("f_set"))
-        leads = leads.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("f"))).filter(F.col("place") <= most).filter(F.col("place") > done)
-        near = (F.col("key") == F.col("k")) & (F.col("m") > F.col("f")) & (F.col("root") != F.col("lead_root")) & may_link("m", "f") & maps_allow()
-        pairs = saved(left.join(leads, near).select(F.col("f.rep").alias("a"), F.col("m.rep").alias("b")).distinct(), "pairs")
-        if pairs.take(1):
-            more = saved(links(pairs), "links")
-            if more.take(1):
-                edges = edges.unionByName(more)
-                roots = saved(components(edges), "roots")
-        if not left.filter(F.col("size") > most + 1).take(1):
-            break
-        done, most = most, most * 32
+    sizes = units.select("rep", F.size("units").cast("bigint").alias("n")).join(alone, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    buckets = saved(found.join(sizes.filter(F.col("n") - F.col("own") >= F.lit(similarity) * F.col("n") - F.lit(1e-6)), "rep"), "buckets")
+
+    # The most central member of each bucket against the others.
+    roots = saved(components(_links(_central(buckets, similarity), units, similarity).select("a", "b")).withColumnRenamed("node", "rep"), "roots")
+
+    # Buckets that still hold several roots.
+    now = buckets.join(roots, "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    open_keys = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    torn = saved(now.join(open_keys, "key", "left_semi").select("rep", "n", "root").distinct(), "torn")
+    first = saved(_prefixes(torn, units, similarity), "prefixes")
+    across = saved(_links(_crossing(first, similarity), units, similarity).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "across")
+    if not across.take(1):
+        return roots
+    joined = saved(components(across), "joined")  # of roots, not of texts
+    lone = torn.filter("rep = root").select("rep", "root").join(roots.select("rep"), "rep", "left_anti")  # members without a link so far
+    return roots.unionByName(lone).join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("rep", F.coalesce("top", "root").alias("root"))
+
+
+def _classed(docs: DataFrame, similarity: float, shingle: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``docs`` saved with a number (rid) of each row, (kind, h1, h2, root, first) of each node, and (root, best) of each class."""
+
+    @F.arrow_udf("s1 bigint, s2 bigint, bands array<bigint>")
+    def sign(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _signed(texts, bands, rows, shingle)
+
+    text = F.col("text")
+    numbered = docs.withColumn("rid", F.monotonically_increasing_id()).withColumn("signed", sign(F.coalesce(text, F.lit(""))))
+    # Kinds: texts with words by their shingles, texts without by themselves, null texts alone.
+    keys = F.when(text.isNull(), F.struct(F.lit(2).alias("kind"), F.col("rid").alias("h1"), F.lit(0).cast("bigint").alias("h2"))) \
+        .when(F.col("signed").isNull(), F.struct(F.lit(1).alias("kind"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))) \
+        .otherwise(F.struct(F.lit(0).alias("kind"), F.col("signed.s1").alias("h1"), F.col("signed.s2").alias("h2")))
+    signed = saved(numbered.withColumn("k", keys).select(*docs.columns, "rid", "k.kind", "k.h1", "k.h2", "signed.bands"), "signed")
+    nodes = saved(signed.groupBy("kind", "h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")), "nodes")
+    roots = _roots(signed, nodes, similarity, shingle)
+    placed = nodes.withColumn("rep", F.col("first.rid")).join(roots, "rep", "left").select("kind", "h1", "h2", "first", F.coalesce("root", "rep").alias("root"))
+    return signed, placed, placed.groupBy("root").agg(F.min("first").alias("best"))
+
 
-    return member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
+def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id and class_id (the least doc_id of the class) of each row of ``docs`` (doc_id, text)."""
+    signed, placed, best = _classed(docs.select("doc_id", "text"), similarity, shingle, bands, rows)
+    named = placed.join(best, "root").select("kind", "h1", "h2", F.col("best.doc_id").alias("class_id"))
+    return signed.select("doc_id", "kind", "h1", "h2").join(named, ["kind", "h1", "h2"]).select("doc_id", "class_id")
 
 
-def kept(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class: the one that names it.  Rows without text or doc_id stay; repeated doc_ids become one row."""
-    named = classes(docs.select("doc_id", "text"), **options).filter("doc_id = class_id").select("doc_id").distinct()
-    held = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return held.unionByName(docs.filter("doc_id is null"))
+def kept(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row of each class, with all its columns: that of the least doc_id."""
+    names = {c: f"kept_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # other columns may have the names that are made here
+    signed, _, best = _classed(docs.withColumnsRenamed(names), similarity, shingle, bands, rows)
+    return signed.join(best.select(F.col("best.rid").alias("rid")), "rid", "left_semi").select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 ship(__name__)
