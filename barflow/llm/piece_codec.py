@@ -22,12 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import built, shared, ship, slices
 from .spm import MARK, Vocabulary, Words
-from .token_counts import blocks
 
 #: Bounds of what a worker keeps, and rows of one output batch.
-CACHE_WORDS, CACHE_PAIRS, BATCH = 300_000, 300_000, 100
+CACHE_WORDS, CACHE_PAIRS, BATCH = 100_000, 100_000, 100
 
 
 class Codec:
@@ -36,7 +35,8 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.words = vocabulary, Words(vocabulary)
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.seen: dict[str, tuple[int, str, str]] = {}
+        self.seen: dict[str, str] = {}  # ids, joined by commas
+        self.odd: dict[str, str] = {}  # decoded texts of words that are not just themselves with spaces for marks
         # The two parts that each symbol is made of, when its text is merged alone.
         self.parts: list[tuple[int, int] | None] = [None] * len(vocabulary.text)
         self.matches = ahocorasick.Automaton()
@@ -154,45 +154,42 @@ class Codec:
             out.append(run.decode("utf-8", "replace"))
         return "".join(out)
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """Number of ids, the ids joined by commas and the text they decode to."""
+    def word(self, word: str) -> tuple[str, str]:
+        """The ids joined by commas and the text they decode to."""
         if self.plain.issuperset(word):
             got = [self.of_symbol[s] for s in self.symbols(word)]
-            return len(got), ",".join([x[0] for x in got]), "".join([x[1] for x in got])
+            return ",".join([x[0] for x in got]), "".join([x[1] for x in got])
         ids = self.ids(word)
-        return len(ids), ",".join(map(str, ids)), self.decode(ids)
+        return ",".join(map(str, ids)), self.decode(ids)
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Number of ids, ids joined by commas and decoded text, of each text."""
+        seen, odd = self.seen, self.odd
         for t in texts:
             words = self.words.split(t)
-            if len(self.seen) > CACHE_WORDS:
-                self.seen.clear()
-            seen = self.seen
+            if len(seen) > CACHE_WORDS:
+                seen.clear()
+                odd.clear()
             for w in words:
                 if w not in seen:
-                    seen[w] = self.word(w)
-            got = [seen[w] for w in words]
-            text = "".join([x[2] for x in got])
-            yield sum([x[0] for x in got]), ",".join([x[1] for x in got]), text[1:] if text.startswith(" ") else text
-
-
-def _codec(shared) -> Codec:
-    vocabulary = shared.value
-    if not hasattr(vocabulary, "worker"):
-        vocabulary.worker = {}
-    if "codec" not in vocabulary.worker:
-        vocabulary.worker["codec"] = Codec(vocabulary)
-    return vocabulary.worker["codec"]
+                    seen[w], back = self.word(w)
+                    if back != w.replace(MARK, " "):
+                        odd[w] = back
+            ids = ",".join([seen[w] for w in words])
+            if odd and not odd.keys().isdisjoint(words):
+                text = "".join([odd[w] if w in odd else w.replace(MARK, " ") for w in words])
+            else:
+                text = "".join(words).replace(MARK, " ")
+            yield (ids.count(",") + 1 if ids else 0), ids, text[1:] if text.startswith(" ") else text
 
 
-def _rows(batches: Iterator[pa.RecordBatch], shared, text: str, digest: bool) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], source, text: str, digest: bool) -> Iterator[pa.RecordBatch]:
     """Batches with the made columns added, a bounded number of rows at a time."""
-    codec = _codec(shared)
+    codec = built(source, lambda data: Codec(Vocabulary(data)))
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
     for batch in batches:
         at = 0
-        for block in blocks(batch.column(text).to_pylist(), BATCH, 500_000):
+        for block in slices(batch.column(text), BATCH):
             counts, ids, ends, decoded = [], [], [0], []
             for n, joined, back in codec.texts(block):
                 counts.append(n)
@@ -216,12 +213,12 @@ def encode_decode(docs: DataFrame, model: bytes, text: str = "text", digest: boo
     ``digest``: instead of ids and text their SHA-256, ids_sha256 (of the decimal ids
     joined by commas) and decoded_sha256 (of UTF-8), so that only digests leave the workers.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))  # bounded by the vocabulary
+    source = shared(docs.sparkSession, model)
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", "decoded"]
     kinds = ["bigint", "string", "string"] if digest else ["bigint", "array<int>", "string"]
     docs = docs.drop(*[n for n in names if n != text])
     schema = T.StructType([*docs.schema.fields, *[f for n, k in zip(names, kinds, strict=True) for f in T.StructType.fromDDL(f"{n} {k}").fields]])
-    return docs.mapInArrow(lambda b: _rows(b, shared, text, digest), schema)
+    return docs.mapInArrow(lambda b: _rows(b, source, text, digest), schema)
 
 
 ship(__name__)

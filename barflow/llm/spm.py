@@ -17,7 +17,7 @@ MARK = "▁"
 
 
 class Vocabulary:
-    """Symbols, merges and output ids of a model; small (bounded by the vocabulary), pickled to workers."""
+    """Symbols, merges and output ids of a model; small (bounded by the vocabulary)."""
 
     def __init__(self, model: bytes):
         self.model = model
@@ -43,9 +43,6 @@ class Vocabulary:
     def processor(self) -> sentencepiece.SentencePieceProcessor:
         return sentencepiece.SentencePieceProcessor(model_proto=self.model)
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("worker",)}
-
 
 class Words:
     """Splits normalised texts into words that merge apart from each other."""
