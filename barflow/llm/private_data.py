@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import built, hash_sample, shared, ship, slices
+from .common import built, hash_sample, saved, shared, ship, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Types of the field; the order in which spans are listed.
 TYPES = (*KINDS, "secret")
-#: Bound of the training sample in places of texts, characters beside the digit or at sign of a place, epochs.
-TRAIN_PLACES, BESIDE, EPOCHS = 400, 60, 15
+#: Bounds of the training sample in texts and in places of them (at most twice as many), characters beside the digit or at sign of a place, epochs.
+TRAIN_TEXTS, TRAIN_PLACES, BESIDE, EPOCHS = 2000, 400, 60, 15
 #: Bounds of a span: tokens, digits of a number-like one, characters of a word-like one.
 MAX_TOKENS, MAX_DIGITS, MAX_CHARS = 16, 24, 256
 #: Starts of candidate spans looked at together.
@@ -411,9 +411,10 @@ def lessons(places: list[str], seed: int = 11) -> list[tuple[str, list[tuple[str
 
 
 def places(docs: DataFrame, text: str = "text") -> list[str]:
-    """A bounded sample, chosen by hash, of the places of all texts that hold digits or at signs, with what stands beside them."""
+    """A bounded sample of the places that hold digits or at signs, with what stands beside them: of texts chosen by hash, places chosen by hash."""
     found = F.regexp_extract_all(F.col(text), F.lit(f"([^\\n]{{0,{BESIDE}}}[0-9@][^\\n]{{0,{2 * BESIDE}}})"), F.lit(1))
-    rows = docs.filter(F.col(text).rlike("[0-9@]")).select(F.explode(found).alias("place"))
+    texts = hash_sample(docs.select(text).filter(F.length(F.translate(text, "0123456789@", "")) < F.length(text)), TRAIN_TEXTS, text)
+    rows = saved(texts.select(F.explode(found).alias("place")), "places")
     return sorted(r.place for r in hash_sample(rows, TRAIN_PLACES, "place").collect())
 
 
