@@ -206,7 +206,7 @@ def identify(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         parser = built(learned, lambda data: Parser(data=data).prepare())
         for column in batches:
-            rows = [x for texts in slices(column, 500) for x in parser.judge(texts)]
+            rows = [x for texts in slices(column, 2000, 4_000_000) for x in parser.judge(texts)]
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.float64())], names=["lang_pred", "score"])
 
     got = docs.withColumn("_judged", judge(F.coalesce(F.col("text"), F.lit(""))))
