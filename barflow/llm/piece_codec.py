@@ -26,7 +26,7 @@ from .common import built, shared, ship, slices
 from .spm import MARK, Vocabulary, Words
 
 #: Bounds of what a worker keeps, and rows of one output batch.
-CACHE_WORDS, CACHE_PAIRS, BATCH = 100_000, 100_000, 100
+CACHE_WORDS, CACHE_PAIRS, BATCH = 300_000, 200_000, 100
 
 
 class Codec:
@@ -47,6 +47,8 @@ class Codec:
         self.matches.make_automaton()
         self.reachable = {p: s for p, (s, _) in self.matches.items()}
         self.size = [len(p) for p in vocabulary.text]
+        # The longest shorter piece that each one starts with, -1 if there is none.
+        self.shorter = [next((self.reachable[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.reachable), -1) for p in vocabulary.text]
         # Decimal id and decoded text by symbol and by id; characters that are pieces themselves.
         self.of_symbol = [(str(x[0]), p.replace(MARK, " ")) for x, p in zip(vocabulary.out, vocabulary.text, strict=True)]
         self.of_id = {x[0]: y for x, y in zip(vocabulary.out, self.of_symbol, strict=True) if len(x) == 1}
@@ -100,7 +102,7 @@ class Codec:
             last = s
         else:
             return longest
-        n, size, reachable = len(word), self.size, self.reachable
+        n, size, shorter, fits = len(word), self.size, self.shorter, self.fits
         starts, at = {}, 0  # the longest match at each place looked at
         for s in longest:
             starts[at] = s
@@ -108,24 +110,23 @@ class Codec:
         out = longest[:good]
         at = sum([size[s] for s in out])
         open_ends, s = (1 << (n + 1)) - 1, longest[good]
+        last = out[-1] if out else None
         while True:
             end = at + size[s]
-            if open_ends >> end & 1 and (not out or self.fits(out[-1], s)):
+            if open_ends >> end & 1 and (last is None or (fits(last, s) if (fit := known.get((last, s))) is None else fit)):
                 out.append(s)
                 if end == n:
                     return out
-                at, s = end, starts.get(end)
+                at, last, s = end, s, starts.get(end)
                 if s is None:
                     s = starts[end] = next(self.matches.iter_long(word, end))[1][0]
                 continue
-            for k in range(end - 1, at, -1):  # the next shorter piece
-                s = reachable.get(word[at:k])
-                if s is not None:
-                    break
-            else:  # none fits here after the last piece
+            s = shorter[s]  # the next shorter piece
+            if s < 0:  # none fits here after the last piece
                 open_ends &= ~(1 << at)
                 s = out.pop()
                 at -= size[s]
+                last = out[-1] if out else None
 
     def ids(self, word: str) -> list[int]:
         """Ids of a word: those of its symbols, and bytes for characters outside the vocabulary."""
