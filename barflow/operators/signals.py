@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,68 +187,142 @@ def pivots(bars: DataFrame, lookback: int = 50) -> DataFrame:
     return touch.groupBy(*KEY, "kind", "level").agg(F.count("*").alias("touches"))
 
 
+#: Layered plans, fixed values: least strength, strategy, stop factor, and for each entry its distance (in adjusted ATR) and share.
+STRATEGIES = (
+    (85, "SCALP", 0.75, ((0.0, 70), (0.25, 30))),
+    (75, "SWING_SHORT", 1.0, ((0.0, 45), (0.4, 35), (0.8, 20))),
+    (65, "SWING_MEDIUM", 1.25, ((0.0, 45), (0.4, 35), (0.8, 20))),
+    (0, "POSITION", 1.4, ((0.0, 35), (0.3, 30), (0.6, 20), (1.0, 15))),
+)
+#: ATR factor and stop factor of a volatility; any other counts as NORMAL.
+VOLATILITIES = {"LOW": (1.8, 0.95), "NORMAL": (2.0, 1.0), "HIGH": (2.5, 1.1), "VERY_HIGH": (2.5, 1.1)}
+
+
+def _way() -> Column:
+    return F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0)
+
+
 def layered_plan(signals: DataFrame) -> DataFrame:
-    """Strategy by strength, entry levels (2, 3 or 4) with shares by volatility, and a stop below the last level."""
-    s, high = F.col("strength"), F.col("volatility").isin("HIGH", "VERY_HIGH")
-    made = signals.withColumn("strategy", F.when(s >= 85, "AGGRESSIVE").when(s >= 70, "BALANCED").otherwise("CAUTIOUS"))
-    n = F.when(F.col("strategy") == "AGGRESSIVE", 2).when(F.col("strategy") == "BALANCED", 3).otherwise(4)
-    step = F.when(high, 0.01).otherwise(0.005)
-    way = F.when(F.col("side") == "LONG", -1.0).otherwise(1.0)
-    made = made.withColumns({"n_levels": n, "level": F.explode(F.sequence(F.lit(1), n))})
-    made = made.withColumns({
-        "level_price": F.col("close") * (1 + way * step * (F.col("level") - 1)),
-        "share_pct": 100.0 * F.when(high, F.col("level")).otherwise(F.col("n_levels") + 1 - F.col("level")) / (F.col("n_levels") * (F.col("n_levels") + 1) / 2)})
-    return made.withColumn("stop_price", F.col("close") * (1 + way * step * (F.col("n_levels") + 1)))
-
-
-def candidate_targets(signals: DataFrame, bars: DataFrame, lookback: int = 50) -> DataFrame:
-    """Possible targets of each signal (side, close, atr): Fibonacci extensions of the last swing, VWAP, round numbers, ATR multiples."""
+    """Strategy by strength, entry levels with shares, and the stop; from side, close, atr, volatility, rsi and strength."""
+    s, rsi = F.col("strength"), F.coalesce("rsi", F.lit(50.0))
+    of = lambda x: F.struct(
+        F.lit(x[1]).alias("name"), F.lit(x[2]).alias("factor"), F.array(*[F.struct(F.lit(d).alias("distance"), F.lit(float(p)).alias("share_pct")) for d, p in x[3]]).alias("entries"))
+    strategy = reduce(lambda rest, x: F.when(s >= x[0], of(x)).otherwise(rest), reversed(STRATEGIES[:-1]), of(STRATEGIES[-1]))
+    pair = lambda x: F.struct(F.lit(x[0]).alias("reach"), F.lit(x[1]).alias("stop"))
+    volatility = reduce(lambda rest, x: F.when(F.col("volatility") == x[0], pair(x[1])).otherwise(rest), VOLATILITIES.items(), pair(VOLATILITIES["NORMAL"]))
+    stretched = ((F.col("side") == "LONG") & (rsi < 25)) | ((F.col("side") == "SHORT") & (rsi > 75))
+    made = signals.withColumns({"_s": strategy, "_v": volatility, "_room": F.when(stretched, 1.15).otherwise(1.0)})
+    made = made.withColumns({"strategy": F.col("_s.name"), "_entries": F.col("_s.entries"), "_reach": F.col("atr") * F.col("_v.reach")})
+    made = made.withColumn("stop_price", F.col("close") - _way() * F.col("_reach") * F.col("_s.factor") * F.col("_room") * F.col("_v.stop")).drop("_s", "_v", "_room")
+    made = made.withColumn("n_levels", F.size("_entries")).select("*", F.posexplode("_entries").alias("_at", "_entry"))
+    return made.withColumns({
+        "level": F.col("_at") + 1, "level_price": F.col("close") - _way() * F.col("_reach") * F.col("_entry.distance"), "share_pct": F.col("_entry.share_pct"),
+    }).drop("_entries", "_reach", "_at", "_entry")
+
+
+#: Candidate targets, fixed values: extensions of the swing, ATR multiples; by price above, the two steps of round numbers.
+EXTENSIONS, MULTIPLES, ROUND_STEPS = (1.236, 1.382, 1.618, 2.618), (2, 3, 4, 6), ((100, (5.0, 10.0)), (50, (2.5, 5.0)), (None, (1.0, 2.5)))
+#: Weight of each kind and strength of its levels; ATR levels get weaker with the multiple.
+KIND_SCORES = {"FIBONACCI": (90, 80), "VWAP": (85, 85), "BOLLINGER": (75, 75), "PSYCHOLOGICAL": (65, 60), "ATR_EXTENSION": (60, None)}
+
+
+def candidate_targets(signals: DataFrame, bars: DataFrame, lookback: int = 50, most: float = 0.15) -> DataFrame:
+    """Possible targets of each signal (side, close, atr, cum_vwap, bb_upper, bb_lower), on its side of the price.
+
+    Extensions of the swing of the last ``lookback`` bars, the band, round numbers up to ``most``
+    away, VWAP and ATR multiples (2 % of the price without ATR); ``seq`` numbers them in this order.
+    """
     w = series(lookback)
-    swing = bars.select(*KEY, F.max("high").over(w).alias("top"), F.min("low").over(w).alias("bottom"))
-    s = signals.join(swing, KEY)
-    way = F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0)
-    size = F.col("top") - F.col("bottom")
-    start = F.when(F.col("side") == "LONG", F.col("bottom")).otherwise(F.col("top"))
-    one = lambda kind, price: F.struct(F.lit(kind).alias("kind"), price.alias("target"))
-    fib = [one(f"FIB_{r}", start + way * size * r) for r in (1.272, 1.618, 2.0)]
-    atr = [one(f"ATR_{k}", F.col("close") + way * F.col("atr") * k) for k in (2, 3, 4)]
-    unit = F.when(F.col("close") >= 100, 10.0).otherwise(1.0)
-    near = F.when(F.col("side") == "LONG", F.ceil(F.col("close") / unit) * unit).otherwise(F.floor(F.col("close") / unit) * unit)
-    rounds = [one(f"ROUND_{k}", near + way * unit * k) for k in (0, 1)]
-    made = s.withColumn("t", F.explode(F.array(*fib, *atr, *rounds, one("VWAP", F.col("vwap")))))
-    return made.select(*KEY, "side", "close", "atr", "strength", "t.kind", "t.target").filter("target is not null")
-
-
-def rank_targets(candidates: DataFrame, stop_atr: float = 2.0, nearest: int = 6, best: int = 4) -> DataFrame:
-    """Targets on the right side, at most 20 % away, reward to risk 1.2 to 6: of the nearest six the best four, with exit shares."""
-    way = F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0)
-    gain = way * (F.col("target") - F.col("close"))
-    made = candidates.withColumns({"gain": gain, "rr": ratio(gain, stop_atr * F.col("atr"))}).filter((F.col("gain") > 0) & (F.col("gain") <= 0.2 * F.col("close")) & F.col("rr").between(1.2, 6))
-    near = Window.partitionBy(*KEY, "side").orderBy("gain", "kind")
+    swing = bars.select(*KEY, F.max("high").over(w).alias("_top"), F.min("low").over(w).alias("_bottom"))
+    s = signals.join(swing, KEY).withColumn("_way", _way())
+    long, close = F.col("side") == "LONG", F.col("close")
+    size, start = F.col("_top") - F.col("_bottom"), F.when(long, F.col("_bottom")).otherwise(F.col("_top"))
+    one = lambda seq, kind, price, strength: F.struct((F.lit(seq) if isinstance(seq, int) else seq).cast("int").alias("seq"), F.lit(kind).alias("kind"), price.alias("target"), F.lit(strength).cast("int").alias("level_strength"))
+    fixed = [one(i, "FIBONACCI", start + F.col("_way") * size * r, 80) for i, r in enumerate(EXTENSIONS)]
+    fixed.append(one(10, "BOLLINGER", F.when(long, F.col("bb_upper")).otherwise(F.col("bb_lower")), 75))
+    fixed.append(one(5000, "VWAP", F.col("cum_vwap"), 85))
+    atr = F.coalesce("atr", close * 0.02)
+    fixed += [one(6000 + m, "ATR_EXTENSION", close + F.col("_way") * atr * m, max(90 - 10 * m, 50)) for m in MULTIPLES]
+
+    def rounds(i: int) -> Column:
+        step = reduce(lambda rest, x: F.when(close > x[0], x[1][i]).otherwise(rest), reversed(ROUND_STEPS[:-1]), F.lit(ROUND_STEPS[-1][1][i]))
+        base = F.floor(close / step)
+        n = F.when(long, F.floor(close * (1 + most) / step) - base).otherwise(base - F.ceil(close * (1 - most) / step) + 1).cast("int")
+        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda k: one(F.lit(1000 * (i + 1)) + k, "PSYCHOLOGICAL", F.when(long, base + k).otherwise(base - k + 1) * step, 60))
+
+    made = s.withColumn("_t", F.explode(F.concat(F.array(*fixed), rounds(0), rounds(1)))).select(*[c for c in signals.columns if c not in ("seq", "kind", "target", "level_strength")], "_way", "_t.*")
+    return made.filter(F.col("_way") * (F.col("target") - F.col("close")) > 0).drop("_way")
+
+
+def momentum_factor() -> Column:
+    """Mean of the ROC and RSI factors of a signal's side."""
+    long, roc, rsi = F.col("side") == "LONG", _way() * F.coalesce("roc", F.lit(0.0)), F.coalesce("rsi", F.lit(50.0))
+    by_roc = F.when(roc > 3, 1.3).when(roc > 1.5, 1.1).when(roc > 0, 1.0).otherwise(0.8)
+    by_rsi = F.when(F.when(long, rsi < 30).otherwise(rsi > 70), 1.2).when(F.when(long, rsi < 50).otherwise(rsi > 50), 1.1).otherwise(0.9)
+    return (by_roc + by_rsi) / 2
+
+
+#: Shares of the best targets in order, fixed values: least strength, then by number of targets.
+EXIT_SHARES = (
+    (85, {1: (100,), 2: (70, 30), 3: (70, 30, 0), 4: (70, 30, 0, 0)}),
+    (75, {1: (100,), 2: (60, 40), 3: (50, 35, 15), 4: (50, 35, 15, 0)}),
+    (0, {1: (100,), 2: (65, 35), 3: (45, 35, 20), 4: (40, 30, 20, 10)}),
+)
+
+
+def rank_targets(candidates: DataFrame, nearest: int = 6, best: int = 4) -> DataFrame:
+    """Targets at most 20 % away with reward to risk (to stop_price) of 1.2 to 6: of the nearest six the best four by score, with exit shares."""
+    gain = F.abs(F.col("target") - F.col("close"))
+    risk = F.abs(F.col("close") - F.col("stop_price"))
+    away = gain / F.col("close") * 100
+    made = candidates.withColumns({"gain": gain, "rr": ratio(gain, risk), "away": away}).filter(F.col("rr").between(1.2, 6) & (F.col("away") <= 20))
+    near = Window.partitionBy(*KEY, "side").orderBy("gain", "seq")
     made = made.withColumn("_n", F.row_number().over(near)).filter(F.col("_n") <= nearest)
-    weight = F.when(F.col("kind").startswith("FIB"), 30).when(F.col("kind") == "VWAP", 25).when(F.col("kind").startswith("ROUND"), 20).otherwise(15)
-    made = made.withColumn("score", weight + F.least(F.col("rr") * 10, F.lit(40.0)))
-    made = made.withColumn("place", F.row_number().over(Window.partitionBy(*KEY, "side").orderBy(F.desc("score"), "gain", "kind"))).filter(F.col("place") <= best)
-    strong = F.col("strength") >= 80
-    share = F.when(F.col("place") == 1, F.when(strong, 25).otherwise(40)).when(F.col("place") == 2, 30).when(F.col("place") == 3, F.when(strong, 25).otherwise(20)).otherwise(F.when(strong, 20).otherwise(10))
-    return made.withColumn("exit_pct", share).drop("_n", "gain")
-
-
-def exit_scores(positions: DataFrame, latest: DataFrame) -> DataFrame:
-    """How far the indicators (rsi, macd_hist, vwap_dev, roc, bb_pct) have turned against open positions (symbol, side), with reasons."""
-    way = F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0)
-    j = positions.join(latest.select("symbol", "rsi", "macd_hist", "vwap_dev", "roc", "bb_pct"), "symbol")
-    signed = lambda c: way * F.coalesce(F.col(c), F.lit(0.0))
-    stretched = F.when(F.col("side") == "LONG", F.col("rsi") > 70).otherwise(F.col("rsi") < 30)
-    edge = F.when(F.col("side") == "LONG", F.col("bb_pct") > 0.9).otherwise(F.col("bb_pct") < 0.1)
-    rules = [("MACD_AGAINST", signed("macd_hist") < 0, 25), ("MOMENTUM_LOST", signed("roc") < -1.5, 25), ("BELOW_VWAP", signed("vwap_dev") < -1.0, 20), ("RSI_STRETCHED", F.coalesce(stretched, F.lit(False)), 15), ("BAND_EDGE", F.coalesce(edge, F.lit(False)), 15)]
-    total = sum((F.when(c, p).otherwise(0) for _, c, p in rules), F.lit(0))
-    return j.withColumns({"exit_score": total, "reasons": F.array_join(F.array_compact(F.array(*[F.when(c, n) for n, c, _ in rules])), ",")})
+    weight = reduce(lambda rest, x: F.when(F.col("kind") == x[0], x[1][0]).otherwise(rest), KIND_SCORES.items(), F.lit(50))
+    score = weight * F.col("level_strength") / 100 * momentum_factor() * F.greatest(F.lit(0.5), 1 - F.col("away") / 100) * F.col("strength") / 100
+    made = made.withColumn("score", score)
+    group = Window.partitionBy(*KEY, "side")
+    made = made.withColumns({"place": F.row_number().over(group.orderBy(F.desc("score"), "gain", "seq")), "_of": F.least(F.count("*").over(group), F.lit(best))}).filter(F.col("place") <= best)
+    share = lambda table: F.element_at(F.element_at(F.create_map(*[x for n, v in table.items() for x in (F.lit(n), F.array(*[F.lit(i) for i in v]))]), F.col("_of").cast("int")), F.col("place"))
+    pct = reduce(lambda rest, x: F.when(F.col("strength") >= x[0], share(x[1])).otherwise(rest), reversed(EXIT_SHARES[:-1]), share(EXIT_SHARES[-1][1]))
+    return made.withColumn("exit_pct", pct).drop("_n", "_of", "gain", "away")
+
+
+def exit_scores(positions: DataFrame, indicators: DataFrame) -> DataFrame:
+    """How far the indicators (macd_hist, macd_cross, rsi, vwap_dev, roc, bb_pct, vol_osc) have turned against open positions (symbol, side, entry_price), with reasons.
+
+    ``indicators`` has one row a symbol, or one for each time to judge at.
+    """
+    j = positions.join(indicators, "symbol")
+    long = F.col("side") == "LONG"
+    value = lambda c, d: F.coalesce(F.col(c), F.lit(d))
+    # Seen from a LONG: a SHORT has the mirrored momentum, RSI and band.
+    hist, roc = _way() * value("macd_hist", 0.0), _way() * value("roc", 0.0)
+    rsi = F.when(long, value("rsi", 50.0)).otherwise(100 - value("rsi", 50.0))
+    band = F.when(long, value("bb_pct", 0.5)).otherwise(1 - value("bb_pct", 0.5))
+    crossed = F.coalesce(F.col("macd_cross") == F.when(long, "BEARISH").otherwise("BULLISH"), F.lit(False))
+    dev, moved = value("vwap_dev", 0.0), _way() * ratio(F.col("close") - F.col("entry_price"), F.col("entry_price")) * 100
+    rules = [
+        [("MACD_CROSS", crossed, 25), ("MACD_AGAINST", hist < -0.01, 15)],
+        [("RSI_EXTREME", rsi > 80, 25), ("RSI_SEVERE", rsi > 75, 15)],
+        [("VWAP_VERY_FAR", long & (dev > 3), 20), ("VWAP_FAR", long & (dev > 2), 10), ("VWAP_RETURN", ~long & (dev > -1) & (dev < 1), 20), ("VWAP_BELOW", ~long & (dev < -2), 15)],
+        [("MOMENTUM_STRONG", roc < -2.5, 25), ("MOMENTUM", roc < -1, 15)],
+        [("BAND_EDGE", band > 0.9, 20), ("BAND_ZONE", band > 0.8, 10)],
+        [("VOLUME", (value("vol_osc", 0.0) > 50) & F.coalesce(moved < -1, F.lit(False)), 15)],
+    ]
+    first = lambda rule, k, rest: reduce(lambda r, x: F.when(x[1], x[k]).otherwise(r), reversed(rule), rest)
+    return j.withColumns({
+        "exit_score": sum((first(r, 2, F.lit(0)) for r in rules), F.lit(0)),
+        "reasons": F.array_join(F.array_compact(F.array(*[first(r, 0, F.lit(None).cast("string")) for r in rules])), ","),
+        "trend_reversal": (crossed | (hist < -0.01)) & ((rsi > 70) | (roc < -1)),
+        "volume_divergence": (value("vol_osc", 0.0) > 50) & F.coalesce(moved < -2, F.lit(False)),
+    })
 
 
 def exit_urgency(scores: DataFrame) -> DataFrame:
-    """Urgency, share to exit and whether the trend has turned."""
+    """Urgency and share to exit by the score; below 60 nothing is to be done."""
     s = F.col("exit_score")
     return scores.withColumns({
-        "urgency": F.when(s >= 70, "IMMEDIATE").when(s >= 50, "HIGH").when(s >= 30, "MEDIUM").otherwise("LOW"), "exit_pct": F.when(s >= 70, 100).when(s >= 50, 75).when(s >= 30, 50).otherwise(0),
-        "trend_reversal": F.contains("reasons", F.lit("MACD_AGAINST")) & F.contains("reasons", F.lit("MOMENTUM_LOST"))})
+        "urgency": F.when(s >= 80, "EXIT_URGENT").when(s >= 70, "EXIT_RECOMMENDED").when(s >= 60, "EXIT_WATCH").otherwise("HOLD"),
+        "exit_pct": F.when(s >= 90, 100).when(s >= 80, 75).when(s >= 70, 50).otherwise(0)})

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import indicators as I
-from ..functions.columns import KEY, SERIES, rounded
-from ..operators import clean as C
+from ..functions.columns import KEY, rounded
 from ..operators import quality as Q
 from ..operators import signals as S
 from ..operators import trades as T
@@ -28,49 +27,76 @@ def _query(name: str, make, sql: str) -> None:
 
 
 def planned(s, d) -> DataFrame:
-    """Entries with a strength (from the hour) for plans and targets."""
-    return S.vwap_bounce(hourly(s, d), PARAMS).withColumn("strength", (60 + F.hour("ts") * 2 % 40).cast("double"))
-
-
-PL = f"with {ind_sql()}, pl as (select *, (60 + hour(ts) * 2 % 40)::double as strength, atr / nullif(close, 0) * 100 as ap from sig where side is not null)"
-_query("p15_layered_plan", lambda s, d: S.layered_plan(planned(s, d)).select(*KEY, "strategy", "n_levels", "level", "level_price", "share_pct", "stop_price"),
-       f"""{PL}, v as (select *, coalesce(ap >= 2, false) as high, case when strength >= 85 then 'AGGRESSIVE' when strength >= 70 then 'BALANCED' else 'CAUTIOUS' end as strategy, case when strength >= 85 then 2 when strength >= 70 then 3 else 4 end as n_levels, case when side = 'LONG' then -1.0 else 1.0 end as way from pl),
-l as (select *, unnest(range(1, n_levels + 1))::integer as level, case when high then 0.01 else 0.005 end as step from v)
-select symbol, timeframe, ts, strategy, n_levels, level, {r6('(close * (1 + way * step * (level - 1)))::double as level_price', '(100.0 * case when high then level else n_levels + 1 - level end / (n_levels * (n_levels + 1) / 2))::double as share_pct', '(close * (1 + way * step * (n_levels + 1)))::double as stop_price')} from l""")
-CAND = f"""{PL}, sw as (select *, max(b2.high) over w as top, min(b2.low) over w as bottom from b b2 window w as (partition by symbol, timeframe order by ts rows between 49 preceding and current row)),
-c0 as (select pl.*, top, bottom, case when side = 'LONG' then 1.0 else -1.0 end as way, case when side = 'LONG' then bottom else top end as st, case when pl.close >= 100 then 10.0 else 1.0 end as un from pl join sw using (symbol, timeframe, ts)),
-c1 as (select *, case when side = 'LONG' then ceil(close / un) * un else floor(close / un) * un end as nr from c0),
-cand as (select symbol, timeframe, ts, side, close, atr, strength, t.kind as kind, t.target as target from (select *, unnest([{{'kind': 'FIB_1.272', 'target': st + way * (top - bottom) * 1.272}}, {{'kind': 'FIB_1.618', 'target': st + way * (top - bottom) * 1.618}}, {{'kind': 'FIB_2.0', 'target': st + way * (top - bottom) * 2.0}},
- {{'kind': 'ATR_2', 'target': close + way * atr * 2}}, {{'kind': 'ATR_3', 'target': close + way * atr * 3}}, {{'kind': 'ATR_4', 'target': close + way * atr * 4}}, {{'kind': 'ROUND_0', 'target': nr}}, {{'kind': 'ROUND_1', 'target': nr + way * un}}, {{'kind': 'VWAP', 'target': vwap}}]) as t from c1) where t.target is not null)"""
+    """Bars whose better score is 50 or more, as signals of that side and strength."""
+    made = scored(s, d).withColumn("strength", F.greatest("long_score", "short_score").cast("double"))
+    return made.filter("strength >= 50").withColumn("side", F.when(F.col("long_score") >= F.col("short_score"), "LONG").otherwise("SHORT"))
+
+
+def stopped(s, d) -> DataFrame:
+    """Signals with a stop at a twentieth of their layered plan's, as the given events are random and their ranges as wide as their prices."""
+    plan = S.layered_plan(planned(s, d)).filter("level = 1").drop("level", "level_price", "share_pct", "n_levels", "strategy")
+    return plan.withColumn("stop_price", F.col("close") - 0.05 * (F.col("close") - F.col("stop_price")))
+
+
+PL = f"""{score_sql()}, p0 as (select *, greatest(long_score, short_score)::double as strength, case when long_score >= short_score then 'LONG' else 'SHORT' end as side, case when long_score >= short_score then 1.0 else -1.0 end as way, coalesce(rsi, 50.0) as rs from sc where greatest(long_score, short_score) >= 50),
+p1 as (select *, case when strength >= 85 then 'SCALP' when strength >= 75 then 'SWING_SHORT' when strength >= 65 then 'SWING_MEDIUM' else 'POSITION' end as strategy, case when strength >= 85 then 0.75 when strength >= 75 then 1.0 when strength >= 65 then 1.25 else 1.4 end as sf,
+  case volatility when 'LOW' then 1.8 when 'HIGH' then 2.5 when 'VERY_HIGH' then 2.5 else 2.0 end as va, case volatility when 'LOW' then 0.95 when 'HIGH' then 1.1 when 'VERY_HIGH' then 1.1 else 1.0 end as vs from p0),
+pl as (select *, close - way * atr * va * sf * case when (side = 'LONG' and rs < 25) or (side = 'SHORT' and rs > 75) then 1.15 else 1.0 end * vs as stop_price from p1)"""
+_query("p15_layered_plan", lambda s, d: S.layered_plan(planned(s, d)).select(*KEY, "side", "strategy", "n_levels", "level", "level_price", "share_pct", "stop_price"),
+       f"""{PL}, e(strategy, n_levels, level, distance, share_pct) as (values ('SCALP', 2, 1, 0.0, 70.0), ('SCALP', 2, 2, 0.25, 30.0), ('SWING_SHORT', 3, 1, 0.0, 45.0), ('SWING_SHORT', 3, 2, 0.4, 35.0), ('SWING_SHORT', 3, 3, 0.8, 20.0), ('SWING_MEDIUM', 3, 1, 0.0, 45.0), ('SWING_MEDIUM', 3, 2, 0.4, 35.0), ('SWING_MEDIUM', 3, 3, 0.8, 20.0),
+  ('POSITION', 4, 1, 0.0, 35.0), ('POSITION', 4, 2, 0.3, 30.0), ('POSITION', 4, 3, 0.6, 20.0), ('POSITION', 4, 4, 1.0, 15.0))
+select symbol, timeframe, ts, side, strategy, n_levels, level, {r6('(close - way * atr * va * distance)::double as level_price', 'share_pct::double as share_pct', 'stop_price::double as stop_price')} from pl join e using (strategy)""")
+CAND = f"""{PL}, sw as (select symbol, timeframe, ts, max(high) over w as top, min(low) over w as bottom from b window w as (partition by symbol, timeframe order by ts rows between 49 preceding and current row)),
+c0 as (select pl.*, top, bottom, case when side = 'LONG' then bottom else top end as st from pl join sw using (symbol, timeframe, ts)),
+fixed(seq, kind, x, level_strength) as (values (0, 'FIBONACCI', 1.236, 80), (1, 'FIBONACCI', 1.382, 80), (2, 'FIBONACCI', 1.618, 80), (3, 'FIBONACCI', 2.618, 80), (10, 'BOLLINGER', 0, 75), (5000, 'VWAP', 0, 85), (6002, 'ATR_EXTENSION', 2, 70), (6003, 'ATR_EXTENSION', 3, 60), (6004, 'ATR_EXTENSION', 4, 50), (6006, 'ATR_EXTENSION', 6, 50)),
+steps as (select *, unnest(case when close > 100 then [5.0, 10.0] when close > 50 then [2.5, 5.0] else [1.0, 2.5] end) as step, unnest([1, 2]) as i from c0),
+levels as (select *, unnest(range(1, 1 + greatest(0, case when side = 'LONG' then floor(close * 1.15 / step) - floor(close / step) else floor(close / step) - ceil(close * 0.85 / step) + 1 end)::bigint)) as k from steps),
+c1 as (select symbol, timeframe, ts, side, way, close, atr, strength, stop_price, roc, rs, seq, kind, case kind when 'FIBONACCI' then st + way * (top - bottom) * x when 'BOLLINGER' then case when side = 'LONG' then bb_upper else bb_lower end when 'VWAP' then cum_vwap else close + way * coalesce(atr, close * 0.02) * x end as target, level_strength from c0 cross join fixed
+  union all select symbol, timeframe, ts, side, way, close, atr, strength, stop_price, roc, rs, 1000 * i + k, 'PSYCHOLOGICAL', case when side = 'LONG' then floor(close / step) + k else floor(close / step) - k + 1 end * step, 60 from levels),
+cand as (select * from c1 where way * (target - close) > 0)"""
 
 
 def candidates(s, d) -> DataFrame:
-    return S.candidate_targets(planned(s, d), bars(s, d))
+    return S.candidate_targets(stopped(s, d), bars(s, d))
 
 
-_query("p17_candidate_targets", lambda s, d: candidates(s, d).select(*KEY, "side", "kind", "target"), f"{CAND} select symbol, timeframe, ts, side, kind, {r6('target::double as target')} from cand")
-_query("p18_rank_targets", lambda s, d: S.rank_targets(candidates(s, d), stop_atr=0.05).select(*KEY, "side", "kind", "rr", "score", "place", "exit_pct"),
-       f"""{CAND}, g as (select *, case when side = 'LONG' then 1.0 else -1.0 end * (target - close) as gain from cand), h as (select *, gain / nullif(0.05 * atr, 0) as rr from g),
-k as (select * from h where gain > 0 and gain <= 0.2 * close and rr between 1.2 and 6 qualify row_number() over (partition by symbol, timeframe, ts, side order by gain, kind) <= 6),
-m as (select *, case when kind like 'FIB%' then 30 when kind = 'VWAP' then 25 when kind like 'ROUND%' then 20 else 15 end + least(rr * 10, 40.0) as score from k), n as (select *, (row_number() over (partition by symbol, timeframe, ts, side order by score desc, gain, kind))::integer as place from m)
-select symbol, timeframe, ts, side, kind, {r6('rr', 'score')}, place, case place when 1 then case when strength >= 80 then 25 else 40 end when 2 then 30 when 3 then case when strength >= 80 then 25 else 20 end else case when strength >= 80 then 20 else 10 end end as exit_pct from n where place <= 4""")
+_query("p17_candidate_targets", lambda s, d: candidates(s, d).select(*KEY, "side", F.col("seq").cast("bigint").alias("seq"), "kind", "target", "level_strength"), f"{CAND} select symbol, timeframe, ts, side, seq::bigint as seq, kind, {r6('target::double as target')}, level_strength from cand")
+_query("p18_rank_targets", lambda s, d: S.rank_targets(candidates(s, d)).select(*KEY, "side", "kind", "target", "rr", "score", "place", "exit_pct"),
+       f"""{CAND}, g as (select *, abs(target - close) as gain, abs(target - close) / nullif(0.05 * abs(close - stop_price), 0) as rr, abs(target - close) / close * 100 as away from cand),
+k as (select * from g where away <= 20 and rr between 1.2 and 6 qualify row_number() over (partition by symbol, timeframe, ts, side order by gain, seq) <= 6),
+m as (select *, case kind when 'FIBONACCI' then 90 when 'VWAP' then 85 when 'BOLLINGER' then 75 when 'PSYCHOLOGICAL' then 65 else 60 end * level_strength / 100
+  * ((case when way * coalesce(roc, 0.0) > 3 then 1.3 when way * coalesce(roc, 0.0) > 1.5 then 1.1 when way * coalesce(roc, 0.0) > 0 then 1.0 else 0.8 end + case when (side = 'LONG' and rs < 30) or (side = 'SHORT' and rs > 70) then 1.2 when (side = 'LONG' and rs < 50) or (side = 'SHORT' and rs > 50) then 1.1 else 0.9 end) / 2)
+  * greatest(0.5, 1 - away / 100) * strength / 100 as score from k),
+n as (select *, (row_number() over (partition by symbol, timeframe, ts, side order by score desc, gain, seq))::integer as place, least(4, count(*) over (partition by symbol, timeframe, ts, side)) as nt from m)
+select symbol, timeframe, ts, side, kind, {r6('target::double as target', 'rr::double as rr', 'score::double as score')}, place,
+  case when nt = 1 then 100 when strength >= 85 then [70, 30, 0, 0][place] when strength >= 75 then case when nt = 2 then [60, 40][place] else [50, 35, 15, 0][place] end when nt = 2 then [65, 35][place] when nt = 3 then [45, 35, 20][place] else [40, 30, 20, 10][place] end as exit_pct from n where place <= 4""")
 
 
 def open_positions(s, d) -> DataFrame:
-    """One open position a symbol and side, for the exit rules."""
-    sides = s.createDataFrame([("LONG",), ("SHORT",)], "side string")
-    return bars(s, d).select("symbol").distinct().crossJoin(F.broadcast(sides))  # two rows
+    """A LONG and a SHORT position of each symbol, entered at its first close, for the exit rules."""
+    sides = F.explode(F.array(F.lit("LONG"), F.lit("SHORT"))).alias("side")
+    return bars(s, d).groupBy("symbol").agg(F.min_by("close", "ts").alias("entry_price")).select("symbol", "entry_price", sides)
 
 
 def exits(s, d) -> DataFrame:
-    return S.exit_urgency(S.exit_scores(open_positions(s, d), C.latest(scored(s, d), SERIES)))
-
-
-EXIT = f"""{score_sql()}, la as (select * from sc qualify row_number() over (partition by symbol, timeframe order by ts desc) = 1), po as (select la.*, side, case when side = 'LONG' then 1.0 else -1.0 end as way from la, (values ('LONG'), ('SHORT')) v(side)),
-ru as (select *, way * coalesce(macd_hist, 0) < 0 as a, way * coalesce(roc, 0) < -1.5 as b_, way * coalesce(vwap_dev, 0) < -1.0 as c, coalesce(case when side = 'LONG' then rsi > 70 else rsi < 30 end, false) as e, coalesce(case when side = 'LONG' then bb_pct > 0.9 else bb_pct < 0.1 end, false) as f from po),
-ex as (select symbol, side, (25 * a::int + 25 * b_::int + 20 * c::int + 15 * e::int + 15 * f::int)::integer as exit_score, array_to_string(list_filter([case when a then 'MACD_AGAINST' end, case when b_ then 'MOMENTUM_LOST' end, case when c then 'BELOW_VWAP' end, case when e then 'RSI_STRETCHED' end, case when f then 'BAND_EDGE' end], lambda x: x is not null), ',') as reasons, a and b_ as trend_reversal from ru)"""
-_query("p19_exit_scores", lambda s, d: exits(s, d).select("symbol", "side", "exit_score", "reasons"), f"{EXIT} select symbol, side, exit_score, reasons from ex")
-_query("p20_exit_urgency", lambda s, d: exits(s, d).select("symbol", "side", "urgency", "exit_pct", "trend_reversal"), f"{EXIT} select symbol, side, case when exit_score >= 70 then 'IMMEDIATE' when exit_score >= 50 then 'HIGH' when exit_score >= 30 then 'MEDIUM' else 'LOW' end as urgency, case when exit_score >= 70 then 100 when exit_score >= 50 then 75 when exit_score >= 30 then 50 else 0 end as exit_pct, trend_reversal from ex")
+    """The exit rules at every bar."""
+    return S.exit_urgency(S.exit_scores(open_positions(s, d), scored(s, d)))
+
+
+EXIT = f"""{score_sql()}, en as (select symbol, arg_min(close, ts) as entry_price from b group by 1), po as (select sc.*, side, entry_price, case when side = 'LONG' then 1.0 else -1.0 end as way from sc join en using (symbol), (values ('LONG'), ('SHORT')) v(side)),
+va as (select *, coalesce(macd_hist, 0) as h, coalesce(rsi, 50) as r, coalesce(vwap_dev, 0) as dv, coalesce(roc, 0) as o, coalesce(bb_pct, 0.5) as bp, coalesce(vol_osc, 0) as vo, (close - entry_price) / nullif(entry_price, 0) * 100 as ch, coalesce(macd_cross, '') as cr from po),
+ru as (select *, case when side = 'LONG' then case when cr = 'BEARISH' then 25 when h < -0.01 then 15 else 0 end else case when cr = 'BULLISH' then 25 when h > 0.01 then 15 else 0 end end as e1,
+  case when side = 'LONG' then case when r > 80 then 25 when r > 75 then 15 else 0 end else case when r < 20 then 25 when r < 25 then 15 else 0 end end as e2,
+  case when side = 'LONG' then case when dv > 3 then 20 when dv > 2 then 10 else 0 end else case when dv > -1 and dv < 1 then 20 when dv < -2 then 15 else 0 end end as e3,
+  case when side = 'LONG' then case when o < -2.5 then 25 when o < -1 then 15 else 0 end else case when o > 2.5 then 25 when o > 1 then 15 else 0 end end as e4,
+  case when side = 'LONG' then case when bp > 0.9 then 20 when bp > 0.8 then 10 else 0 end else case when bp < 0.1 then 20 when bp < 0.2 then 10 else 0 end end as e5,
+  case when vo > 50 and way * ch < -1 then 15 else 0 end as e6 from va),
+ex as (select symbol, timeframe, ts, side, (e1 + e2 + e3 + e4 + e5 + e6)::integer as exit_score,
+  array_to_string(list_filter([case e1 when 25 then 'MACD_CROSS' when 15 then 'MACD_AGAINST' end, case e2 when 25 then 'RSI_EXTREME' when 15 then 'RSI_SEVERE' end, case when side = 'LONG' then case e3 when 20 then 'VWAP_VERY_FAR' when 10 then 'VWAP_FAR' end else case e3 when 20 then 'VWAP_RETURN' when 15 then 'VWAP_BELOW' end end,
+    case e4 when 25 then 'MOMENTUM_STRONG' when 15 then 'MOMENTUM' end, case e5 when 20 then 'BAND_EDGE' when 10 then 'BAND_ZONE' end, case e6 when 15 then 'VOLUME' end], lambda x: x is not null), ',') as reasons,
+  e1 > 0 and case when side = 'LONG' then r > 70 or o < -1 else r < 30 or o > 1 end as trend_reversal, vo > 50 and coalesce(way * ch < -2, false) as volume_divergence from ru)"""
+_query("p19_exit_scores", lambda s, d: exits(s, d).select(*KEY, "side", "exit_score", "reasons"), f"{EXIT} select symbol, timeframe, ts, side, exit_score, reasons from ex")
+_query("p20_exit_urgency", lambda s, d: exits(s, d).select(*KEY, "side", "urgency", "exit_pct", "trend_reversal", "volume_divergence"), f"{EXIT} select symbol, timeframe, ts, side, case when exit_score >= 80 then 'EXIT_URGENT' when exit_score >= 70 then 'EXIT_RECOMMENDED' when exit_score >= 60 then 'EXIT_WATCH' else 'HOLD' end as urgency, case when exit_score >= 90 then 100 when exit_score >= 80 then 75 when exit_score >= 70 then 50 else 0 end as exit_pct, trend_reversal, volume_divergence from ex")
 QS = f"""{BAD}, {COMPLETE}, {GAPS}, {PRICE}, {MEDIAN}, ga as (select symbol, timeframe, count(*) as gaps, max(minutes) / 60 as longest from g0 where minutes > 90 group by all),
 vo as (select symbol, timeframe, count(*) filter (volume < 0) + count(*) filter (m > 0 and volume > 10 * m) + count(*) filter (m = 0 and volume = 0) as v from md group by all),
 q as (select symbol, timeframe, n, completeness_pct, coalesce(gaps, 0) as g, coalesce(longest, 0) as lo, order_violations, order_violations + jumps as p, v from cp left join ga using (symbol, timeframe) join pr using (symbol, timeframe) join vo using (symbol, timeframe))"""

@@ -118,7 +118,7 @@ def _body(name: str) -> str:
 
 
 def score_sql() -> str:
-    parts = {"i03_rsi": ["rsi"], "i08_cumulative_vwap": ["vwap_dev"], "i14_roc": ["roc"], "i04_bollinger": ["bb_pct"], "i16_volume_oscillator": ["vol_osc"], "i12_macd": ["macd_hist", "macd_cross"], "i05_atr": ["atr_pct"]}
+    parts = {"i03_rsi": ["rsi"], "i08_cumulative_vwap": ["cum_vwap", "vwap_dev"], "i14_roc": ["roc"], "i04_bollinger": ["bb_upper", "bb_lower", "bb_pct"], "i16_volume_oscillator": ["vol_osc"], "i12_macd": ["macd_hist", "macd_cross"], "i05_atr": ["atr", "atr_pct", "volatility"]}
     joined = " ".join(f"join ({_body(n).replace(', 6) + 0.0', ', 15) + 0.0')}) {n} using (symbol, timeframe, ts)" for n in parts)
     cols = ", ".join(c for cs in parts.values() for c in cs)
     points, labels = [], []
