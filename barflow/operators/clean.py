@@ -69,8 +69,10 @@ def patch_merge(sources: list[DataFrame]) -> DataFrame:
     return ranked.withColumn("_n", F.row_number().over(order)).filter("_n = 1").withColumnRenamed("_rank", "source_rank").drop("_n")
 
 
-def append_missing(primary: DataFrame, secondary: DataFrame, keys: list[str]) -> DataFrame:
-    return primary.unionByName(secondary.join(primary.select(*keys).distinct(), keys, "left_anti"))
+def append_missing(primary: DataFrame, secondary: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """``primary`` and the rows of ``secondary`` with other keys: for each of them the first by ``order``, ties by a hash of the row."""
+    once = dedupe(secondary.withColumn("_tie", F.xxhash64(*secondary.columns)), keys, [*(order or []), "_tie"], keep="first").drop("_tie")
+    return primary.unionByName(once.join(primary.select(*keys).distinct(), keys, "left_anti"))
 
 
 def first_available(sources: list[DataFrame]) -> DataFrame:
@@ -142,10 +144,10 @@ def file_gap_types(bars: DataFrame, interval_minutes: float) -> DataFrame:
 
 
 def complete_grid(bars: DataFrame, hours: int = 1) -> DataFrame:
-    """A row for each step between a series' first and last bar; bars off the grid are lost, repeated ones count once."""
+    """A row for each step between a series' first and last bar, and the bars off the grid; repeated bars stay."""
     span = bars.groupBy(*SERIES).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     grid = span.select(*SERIES, F.explode(F.sequence("a", "b", F.make_dt_interval(hours=F.lit(hours)))).alias("ts"))
-    return grid.join(bars, KEY, "left")
+    return grid.join(bars, KEY, "full")
 
 
 def _both_sides(grid: DataFrame) -> DataFrame:

@@ -247,7 +247,7 @@ def candidate_targets(signals: DataFrame, bars: DataFrame, lookback: int = 50, m
     def rounds(i: int) -> Column:
         step = reduce(lambda rest, x: F.when(close > x[0], x[1][i]).otherwise(rest), reversed(ROUND_STEPS[:-1]), F.lit(ROUND_STEPS[-1][1][i]))
         base = F.floor(close / step)
-        n = F.when(long, F.floor(close * (1 + most) / step) - base).otherwise(base - F.ceil(close * (1 - most) / step) + 1).cast("int")
+        n = F.when(long, F.floor((close + close * most) / step) - base).otherwise(base - F.ceil((close - close * most) / step) + 1).cast("int")
         places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda k: one(F.lit(1000 * (i + 1)) + k, "PSYCHOLOGICAL", F.when(long, base + k).otherwise(base - k + 1) * step, 60))
 

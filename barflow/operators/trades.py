@@ -193,13 +193,14 @@ def match_fifo(fills: DataFrame) -> DataFrame:
 
     The k-th unit bought meets the k-th unit sold: both sides' cumulative quantities cut
     the quantity axis into segments, and each segment takes the next row of either side.
-    Two window passes, no join of rows with rows.
+    Two window passes, no join of rows with rows.  Quantities add up as decimals of nine
+    digits, so that equal sums meet.
     """
     upto = Window.partitionBy("symbol", "side").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     row = F.struct("ts", "seq", "price", (F.col("commission") / F.col("qty")).alias("fee"))
-    cuts = fills.withColumn("x", F.sum("qty").over(upto)).groupBy("symbol", "x").agg(F.max(F.when(F.col("side") == "BUY", row)).alias("b"), F.max(F.when(F.col("side") == "SELL", row)).alias("s"))
+    cuts = fills.withColumn("x", F.sum(F.col("qty").cast("decimal(28,9)")).over(upto)).groupBy("symbol", "x").agg(F.max(F.when(F.col("side") == "BUY", row)).alias("b"), F.max(F.when(F.col("side") == "SELL", row)).alias("s"))
     ahead = Window.partitionBy("symbol").orderBy(F.col("x").desc()).rowsBetween(Window.unboundedPreceding, 0)  # from the far end: each row sees those after it
-    made = cuts.select("symbol", "x", F.last("b", ignorenulls=True).over(ahead).alias("b"), F.last("s", ignorenulls=True).over(ahead).alias("s"), (F.col("x") - F.coalesce(F.lead("x").over(Window.partitionBy("symbol").orderBy(F.col("x").desc())), F.lit(0.0))).alias("qty"))
+    made = cuts.select("symbol", "x", F.last("b", ignorenulls=True).over(ahead).alias("b"), F.last("s", ignorenulls=True).over(ahead).alias("s"), (F.col("x") - F.coalesce(F.lead("x").over(Window.partitionBy("symbol").orderBy(F.col("x").desc())), F.lit(0))).cast("double").alias("qty"))
     lots = made.filter("b is not null and s is not null")
     long = F.struct("b.ts", "b.seq") < F.struct("s.ts", "s.seq")
     pick = lambda f: (F.when(long, F.col(f"b.{f}")).otherwise(F.col(f"s.{f}")), F.when(long, F.col(f"s.{f}")).otherwise(F.col(f"b.{f}")))

@@ -50,7 +50,7 @@ CAND = f"""{PL}, sw as (select symbol, timeframe, ts, max(high) over w as top, m
 c0 as (select pl.*, top, bottom, case when side = 'LONG' then bottom else top end as st from pl join sw using (symbol, timeframe, ts)),
 fixed(seq, kind, x, level_strength) as (values (0, 'FIBONACCI', 1.236, 80), (1, 'FIBONACCI', 1.382, 80), (2, 'FIBONACCI', 1.618, 80), (3, 'FIBONACCI', 2.618, 80), (10, 'BOLLINGER', 0, 75), (5000, 'VWAP', 0, 85), (6002, 'ATR_EXTENSION', 2, 70), (6003, 'ATR_EXTENSION', 3, 60), (6004, 'ATR_EXTENSION', 4, 50), (6006, 'ATR_EXTENSION', 6, 50)),
 steps as (select *, unnest(case when close > 100 then [5.0, 10.0] when close > 50 then [2.5, 5.0] else [1.0, 2.5] end) as step, unnest([1, 2]) as i from c0),
-levels as (select *, unnest(range(1, 1 + greatest(0, case when side = 'LONG' then floor(close * 1.15 / step) - floor(close / step) else floor(close / step) - ceil(close * 0.85 / step) + 1 end)::bigint)) as k from steps),
+levels as (select *, unnest(range(1, 1 + greatest(0, case when side = 'LONG' then floor((close + close * 0.15::double) / step) - floor(close / step) else floor(close / step) - ceil((close - close * 0.15::double) / step) + 1 end)::bigint)) as k from steps),
 c1 as (select symbol, timeframe, ts, side, way, close, atr, strength, stop_price, roc, rs, seq, kind, case kind when 'FIBONACCI' then st + way * (top - bottom) * x when 'BOLLINGER' then case when side = 'LONG' then bb_upper else bb_lower end when 'VWAP' then cum_vwap else close + way * coalesce(atr, close * 0.02) * x end as target, level_strength from c0 cross join fixed
   union all select symbol, timeframe, ts, side, way, close, atr, strength, stop_price, roc, rs, 1000 * i + k, 'PSYCHOLOGICAL', case when side = 'LONG' then floor(close / step) + k else floor(close / step) - k + 1 end * step, 60 from levels),
 cand as (select * from c1 where way * (target - close) > 0)"""

@@ -23,8 +23,12 @@ SQL: dict[str, str] = {}
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the cluster's checkpoints (a temporary one where none is set)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="barflow-")
+    """A new folder beside the cluster's checkpoints; in local mode a temporary one where none is set."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base or base.startswith("<"):  # an optional setting without a value reads as <undefined>
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="barflow-")
     return f"{base.rstrip('/')}/barflow/{name}-{uuid.uuid4().hex}"
 
 
@@ -121,8 +125,9 @@ r as (select *, sum(st::int) over (partition by user_id order by ts rows between
 select user_id, min(ts) as start, max(ts) + interval 30 minute as "end", count(*) as n from r group by user_id, run having max(ts) + interval 30 minute <= {DONE}""")
 _add("r04_gap_stream", gaps, f"with {bars_sql('b', 1, True)}, g as (select symbol, lag(ts) over (partition by symbol order by ts) as gap_start, ts as gap_end from b) select symbol, gap_start, gap_end, date_diff('second', gap_start, gap_end) / 60.0 as minutes from g where date_diff('second', gap_start, gap_end) / 60.0 > 90")
 _add("r05_signal_stream", live_signals, f"with {ind_sql()} select symbol, ts, side, round(close, 6) + 0.0 as close from sig where side is not null")
-_add("r06_alert_stream", alerts, f"""with {ind_sql()}, {PLAN_SQL}, h as (select p.symbol, p.ts as alert_ts, b.ts, case when (side = 'LONG' and low <= sl) or (side = 'SHORT' and high >= sl) then 'SL' when (side = 'LONG' and high >= tp) or (side = 'SHORT' and low <= tp) then 'TP' when b.ts >= p.ts + interval 8 hour then 'TIME_STOP' end as reason
-  from plan p join b on b.symbol = p.symbol and b.ts > p.ts and b.ts <= p.ts + interval 8 hour) select * from h where reason is not null qualify row_number() over (partition by symbol, alert_ts order by ts) = 1""")
+_add("r06_alert_stream", alerts, f"""with {ind_sql()}, {PLAN_SQL}, en as (select p.symbol, p.ts, b.ts as last_ts from plan p asof join b on b.symbol = p.symbol and b.ts >= p.ts + interval 8 hour),
+h as (select p.symbol, p.ts as alert_ts, b.ts, case when (side = 'LONG' and low <= sl) or (side = 'SHORT' and high >= sl) then 'SL' when (side = 'LONG' and high >= tp) or (side = 'SHORT' and low <= tp) then 'TP' when b.ts >= p.ts + interval 8 hour then 'TIME_STOP' end as reason
+  from plan p left join en using (symbol, ts) join b on b.symbol = p.symbol and b.ts > p.ts and (last_ts is null or b.ts <= last_ts)) select * from h where reason is not null qualify row_number() over (partition by symbol, alert_ts order by ts) = 1""")
 _add("r07_throttle_stream", throttled, f"""with recursive {X.SIGNALS_SQL}, o as (select symbol, ts, strength, signal_type as direction, row_number() over (partition by symbol order by ts, strength) as n from signals),
 st as (select symbol, n, ts, strength, direction, true as sent, ts as at_, strength as s_, direction as d_ from o where n = 1
   union all select symbol, n, ts, strength, direction, go, case when go then ts else at_ end, case when go then strength else s_ end, case when go then direction else d_ end
@@ -140,17 +145,53 @@ def _query(name: str, make, sql: str) -> None:
 CUT = dt.datetime(2024, 1, 15)
 C = "symbol, timeframe, ts, close, volume"
 _query("s03_load_bars", lambda s, d: S.load_bars(bars(s, d), ["click", "view"], "1h", dt.datetime(2024, 1, 5), CUT).select(*KEY, "close", "volume"), f"with {bars_sql('b')} select {C} from b where symbol in ('click', 'view') and ts between '2024-01-05' and '{CUT}'")
-_query("s04_upsert_bars", lambda s, d: S.upsert_bars(*two(s, d)).select(*KEY, "close", "volume"), f"with {TWO_SQL} select {C} from s union all select {C} from p where not exists (select 1 from s where p.symbol = s.symbol and p.ts = s.ts)")
-_query("s05_append_new", lambda s, d: S.append_new(*two(s, d)).select(*KEY, "close", "volume"), f"with {TWO_SQL} select {C} from p union all select {C} from s where not exists (select 1 from p where p.symbol = s.symbol and p.ts = s.ts)")
+def repeated(x: DataFrame) -> DataFrame:
+    """Each row twice, the second time with one more volume: ``n`` is the order of arrival."""
+    return x.select(*KEY, "close", "volume", F.explode(F.array(F.lit(0), F.lit(1))).alias("n")).withColumn("volume", F.col("volume") + F.col("n"))
+
+
+_query("s04_upsert_bars", lambda s, d: S.upsert_bars(repeated(two(s, d)[0]), repeated(two(s, d)[1]), order=["n"]).select(*KEY, "close", "volume"),
+       f"with {TWO_SQL} select symbol, timeframe, ts, close, volume + 1 as volume from s union all select symbol, timeframe, ts, close, volume + 1 as volume from p where not exists (select 1 from s where p.symbol = s.symbol and p.ts = s.ts)")
+_query("s05_append_new", lambda s, d: S.append_new(two(s, d)[0].select(*KEY, "close", "volume").withColumn("n", F.lit(0)), repeated(two(s, d)[1]), order=["n"]).select(*KEY, "close", "volume"), f"with {TWO_SQL} select {C} from p union all select {C} from s where not exists (select 1 from p where p.symbol = s.symbol and p.ts = s.ts)")
+
+
+def candle_files(s, d) -> DataFrame:
+    """Bars written as CSV in two formats of header into one folder, and read back."""
+    path, b = _folder(s, "candles"), bars(s, d).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    one = b.filter("symbol < 'm'").select(F.col("ts").alias("Datetime"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), F.col("volume").alias("Volume"), F.col("symbol").alias("Symbol"), F.col("timeframe").alias("Timeframe"))
+    other = b.filter("symbol >= 'm'").select("timeframe", "close", "high", "low", "open", F.col("ts").alias("time"), F.col("symbol").alias("ticker"))
+    for x in (one, other):
+        x.write.mode("append").csv(path, header=True)
+    return S.read_candle_csv(s, path)
+
+
+_query("s01_candle_csv", candle_files, f"with {bars_sql('b')} select symbol, timeframe, ts, open, high, low, close, case when symbol < 'm' then volume end as volume from b where close > 0 and high >= low")
+
+
+def audits(s, d) -> DataFrame:
+    """Bars and a trade a day as nested audit documents of a day each, written and read back; bars and trades in one table."""
+    path, b = _folder(s, "audits"), bars(s, d)
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    day = b.groupBy("symbol", "timeframe", F.to_date("ts").alias("day")).agg(
+        F.collect_list(F.struct(text.alias("timestamp"), "open", "high", "low", "close", F.create_map(F.lit("vol"), F.col("volume")).alias("indicators"), F.lit("NONE").alias("signal"))).alias("bars"),
+        F.array(F.min(F.struct(text.alias("timestamp"), F.lit("BUY").alias("side"), F.col("open").alias("price"), F.lit(2.0).alias("quantity"), F.lit(0.5).alias("commission"), F.lit("ENTRY").alias("tag")))).alias("trades"))
+    day.select(F.struct(F.lit("s").alias("strategy"), "symbol", "timeframe").alias("metadata"), "bars", "trades").write.json(path)
+    found, trades = S.read_audit(s, path, multi_line=False)
+    return found.select(*KEY, F.lit("BAR").alias("kind"), F.col("close").alias("price"), F.col("indicators")["vol"].alias("qty")).unionByName(trades.select(*KEY, F.col("side").alias("kind"), "price", "qty"))
+
+
+_query("s02_audit_json", audits, f"with {bars_sql('b')} select symbol, timeframe, ts, 'BAR' as kind, close as price, volume as qty from b union all select symbol, timeframe, min(ts), 'BUY', arg_min(open, ts), 2.0 from b group by symbol, timeframe, date_trunc('day', ts)")
 
 
 def stored_indicators(s, d) -> DataFrame:
-    path = _folder(s, "indicators")
-    S.write_indicators(hourly(s, d), path, ["vwap", "atr"], 48)
+    """The last 48 rows of each series, then the last 24 of one with other values."""
+    path, b = _folder(s, "indicators"), hourly(s, d)
+    S.write_indicators(b, path, ["vwap", "atr"], 48)
+    S.write_indicators(b.filter("symbol = 'click'").withColumn("atr", F.col("atr") * 2), path, ["vwap", "atr"], 24)
     return s.read.parquet(path).select("symbol", F.col("timeframe").cast("string").alias("timeframe"), "ts", "vwap", "atr")
 
 
-_query("s06_write_indicators", stored_indicators, f"with {ind_sql()} select symbol, timeframe, ts, round(vwap, 6) + 0.0 as vwap, round(atr, 6) + 0.0 as atr from ind qualify row_number() over (partition by symbol, timeframe order by ts desc) <= 48")
+_query("s06_write_indicators", stored_indicators, f"with {ind_sql()}, n as (select *, row_number() over (partition by symbol, timeframe order by ts desc) as n from ind) select symbol, timeframe, ts, round(vwap, 6) + 0.0 as vwap, round(atr * case when symbol = 'click' and n <= 24 then 2 else 1 end, 6) + 0.0 as atr from n where n <= 48")
 
 
 def exported(s, d) -> DataFrame:
@@ -168,8 +209,9 @@ def ledger(s, d) -> DataFrame:
     from ..operators.clean import detect_gaps
 
     g = [detect_gaps(x, 120.0).select("symbol", "gap_start", "gap_end", F.lit("flat").alias("method"), (F.col("minutes") / 60 - 1).cast("int").alias("bars_added")) for x in two(s, d)]
-    return S.merge_gap_ledger(g[0].withColumn("fill_count", F.lit(1)), g[1].withColumn("method", F.lit("linear")))
+    twice = g[1].withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("method", F.when(F.col("n") == 2, "linear").otherwise("spline"))
+    return S.merge_gap_ledger(g[0].withColumn("fill_count", F.lit(1)), twice, ["n"])
 
 
 _g = lambda x, m: f"(select symbol, lag(ts) over (partition by symbol order by ts) as gap_start, ts as gap_end, '{m}' as method from {x} qualify date_diff('second', lag(ts) over (partition by symbol order by ts), ts) > 7200)"
-_query("s09_merge_gap_ledger", ledger, f"with {TWO_SQL}, a as {_g('p', 'flat')}, b as {_g('s', 'linear')} select coalesce(a.symbol, b.symbol) as symbol, coalesce(a.gap_start, b.gap_start) as gap_start, coalesce(a.gap_end, b.gap_end) as gap_end, coalesce(b.method, a.method) as method, (date_diff('second', coalesce(a.gap_start, b.gap_start), coalesce(a.gap_end, b.gap_end)) / 3600 - 1)::integer as bars_added, (a.symbol is not null)::integer + (b.symbol is not null)::integer as fill_count from a full join b on a.symbol = b.symbol and a.gap_start = b.gap_start and a.gap_end = b.gap_end")
+_query("s09_merge_gap_ledger", ledger, f"with {TWO_SQL}, a as {_g('p', 'flat')}, b as {_g('s', 'linear')} select coalesce(a.symbol, b.symbol) as symbol, coalesce(a.gap_start, b.gap_start) as gap_start, coalesce(a.gap_end, b.gap_end) as gap_end, coalesce(b.method, a.method) as method, (date_diff('second', coalesce(a.gap_start, b.gap_start), coalesce(a.gap_end, b.gap_end)) / 3600 - 1)::integer as bars_added, (a.symbol is not null)::integer + 2 * (b.symbol is not null)::integer as fill_count from a full join b on a.symbol = b.symbol and a.gap_start = b.gap_start and a.gap_end = b.gap_end")

@@ -49,8 +49,9 @@ PLAN_SQL = """plan0 as (select *, case when side = 'LONG' then 1.0 else -1.0 end
 plan as (select symbol, timeframe, ts, side, close as entry, close - way * stop as sl, close + way * reach as tp, least(floor(200 / nullif(stop, 0)), floor(10000 / nullif(close, 0)))::bigint as qty, stop,
   least(floor(200 / nullif(stop, 0)), floor(10000 / nullif(close, 0))) * stop as risk_amount from plan0
   where least(floor(200 / nullif(stop, 0)), floor(10000 / nullif(close, 0))) >= 1)"""
-OUT_SQL = """aft as (select p.*, b.ts as bar_ts, b.low as lo, b.high as hi, b.close as cl, b.vwap as vw, date_diff('second', p.ts, b.ts) / 3600.0 as gone, (b.ts at time zone 'UTC' at time zone 'America/New_York') as ny
-  from plan p join ind b on b.symbol = p.symbol and b.timeframe = p.timeframe and b.ts > p.ts and b.ts <= p.ts + interval 8 hour),
+OUT_SQL = """ends as (select p.symbol, p.timeframe, p.ts, b.ts as last_ts from plan p asof join ind b on b.symbol = p.symbol and b.timeframe = p.timeframe and b.ts >= p.ts + interval 8 hour),
+aft as (select p.*, b.ts as bar_ts, b.low as lo, b.high as hi, b.close as cl, b.vwap as vw, date_diff('second', p.ts, b.ts) / 3600.0 as gone, (b.ts at time zone 'UTC' at time zone 'America/New_York') as ny
+  from plan p left join ends e using (symbol, timeframe, ts) join ind b on b.symbol = p.symbol and b.timeframe = p.timeframe and b.ts > p.ts and (e.last_ts is null or b.ts <= e.last_ts)),
 rs as (select *, case when (side = 'LONG' and lo <= sl) or (side = 'SHORT' and hi >= sl) then 'SL' when (side = 'LONG' and hi >= tp) or (side = 'SHORT' and lo <= tp) then 'TP'
   when (side = 'LONG' and cl < vw) or (side = 'SHORT' and cl > vw) then 'EARLY_EXIT' when gone >= 8 then 'TIME_STOP'
   when isodow(ny) < 6 and hour(ny) * 60 + minute(ny) >= 950 and hour(ny) < 16 then 'SESSION_CLOSE' end as reason from aft),
@@ -182,7 +183,7 @@ def orders(s, d) -> DataFrame:
 
 _query("t02_order_fills", lambda s, d: T.order_fills(orders(s, d), bars(s, d)),
        f"""with {ind_sql()}, o as (select symbol, timeframe, ts, symbol || '|' || strftime(ts, '%Y%m%d%H') as order_id, case when side = 'LONG' then 'BUY' else 'SELL' end as side, case when hour(ts) % 2 = 0 then 'LIMIT' else 'STOP' end as kind, close * case when (side = 'LONG') = (hour(ts) % 2 = 0) then 0.9 else 1.1 end as level from sig where side is not null),
-h as (select o.*, b.ts as fill_ts, (o.side = 'BUY') = (o.kind = 'LIMIT') as below, b.open as bo, b.low as bl, b.high as bh from o join b on b.symbol = o.symbol and b.ts > o.ts and b.ts <= o.ts + interval 24 hour)
+h as (select o.*, b.ts as fill_ts, (o.side = 'BUY') = (o.kind = 'LIMIT') as below, b.open as bo, b.low as bl, b.high as bh from o join b on b.symbol = o.symbol and b.ts > o.ts)
 select order_id, symbol, side, kind, {r6('level')}, fill_ts, {r6('case when below then least(bo, level) else greatest(bo, level) end as fill_price')} from h where case when below then bl <= level else bh >= level end qualify row_number() over (partition by order_id order by fill_ts) = 1""")
 _query("t03_bracket_outcomes", outcomes, f"with {ind_sql()}, {PLAN_SQL}, {OUT_SQL} select {OUTS} from outcomes")
 _query("t04_excursions", lambda s, d: T.excursions(outcomes(s, d), bars(s, d)).select(*KEY, "side", "mfe_pct", "mae_pct"),
@@ -200,9 +201,12 @@ def greedy_sql(source: str, out: str, keys: str) -> str:
 
 _query("t05_one_position", lambda s, d: T.one_position(outcomes(s, d), ["symbol", "timeframe"]).select(*KEY, "exit_ts", "reason"), f"with recursive {ind_sql()}, {PLAN_SQL}, {OUT_SQL}, {greedy_sql('outcomes', 'kept', 'symbol, timeframe')} select symbol, timeframe, ts, exit_ts, reason from kept")
 _query("t06_match_fifo", lambda s, d: T.match_fifo(X.fills(s, d)),
-       f"""with {X.FILLS_SQL}, c as (select *, sum(qty) over (partition by symbol, side order by ts, seq rows between unbounded preceding and current row) as x, commission / qty as fee from fills),
-l as (select b.symbol, (b.ts, b.seq) < (s.ts, s.seq) as lg, b.ts as bts, s.ts as sts, b.price as bp, s.price as sp, b.fee + s.fee as fee, least(b.x, s.x) - greatest(b.x - b.qty, s.x - s.qty) as qty
-  from c b join c s on b.symbol = s.symbol and b.side = 'BUY' and s.side = 'SELL' and b.x - b.qty < s.x and s.x - s.qty < b.x)
+       f"""with {X.FILLS_SQL}, c as (select *, sum(qty::decimal(28,9)) over (partition by symbol, side order by ts, seq rows between unbounded preceding and current row) as x, commission / qty as fee from fills),
+cb as (select symbol, x, ts, seq, price, fee from c where side = 'BUY'), cs as (select symbol, x, ts, seq, price, fee from c where side = 'SELL'),
+cut as (select symbol, x, x - coalesce(lag(x) over (partition by symbol order by x), 0) as qty from (select symbol, x from cb union select symbol, x from cs)),
+l as (select k.symbol, qty::double as qty, b.ts as bts, b.price as bp, s.ts as sts, s.price as sp, b.fee + s.fee as fee, (b.ts, b.seq) < (s.ts, s.seq) as lg
+  from (select cut.symbol, cut.x, cut.qty, min(cb.x) as bx, min(cs.x) as sx from cut asof join cb on cb.symbol = cut.symbol and cut.x <= cb.x asof join cs on cs.symbol = cut.symbol and cut.x <= cs.x group by all) k
+  join cb b on b.symbol = k.symbol and b.x = k.bx join cs s on s.symbol = k.symbol and s.x = k.sx)
 select symbol, case when lg then 'LONG' else 'SHORT' end as side, case when lg then bts else sts end as entry_ts, case when lg then sts else bts end as exit_ts, {r6('case when lg then bp else sp end as entry_price', 'case when lg then sp else bp end as exit_price', 'qty', '(sp - bp) * qty - fee * qty as pnl')} from l""", 7)
 SQL["t06_match_fifo"] = SQL["t06_match_fifo"].replace(", 6) + 0.0", ", 7) + 0.0")
 POS_SQL = "pos as (select *, sum(case when side = 'BUY' then qty else -qty end) over w as position, sum(case when side = 'BUY' then -qty * price else qty * price end - commission) over w as cash from fills window w as (partition by symbol order by ts, seq rows between unbounded preceding and current row))"

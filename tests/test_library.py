@@ -177,7 +177,62 @@ def test_csv_intake_and_stores(spark, tmp_path):
     assert bars.first().indicators == {"rsi": 50.0} and trades.first().qty == 2
 
 
-TWINS = ["i03_rsi", "i07_session_vwap", "d09_patch_merge", "g03_classify_gaps", "g10_flat_fill", "q08_check_ohlc", "q24_source_overview", "p05_vwap_bounce", "j06_compare_sources", "t03_bracket_outcomes", "t11_metric_summary", "a09_collector_performance", "m07_evaluate", "s04_upsert_bars", "r04_gap_stream"]
+def test_candle_files_of_two_headers(spark, tmp_path):
+    (tmp_path / "SPY_1h_1_1.csv").write_text("Datetime,Open,High,Low,Close,Volume\n2024-01-01 10:00:00,1,2,0.5,1.5,10\n")
+    (tmp_path / "QQQ_1d_1_1.csv").write_text("close,high,low,open,time\n1.5,2,0.5,1,2024-01-01 10:00:00\n")
+    got = {(r.symbol, r.timeframe, r.open, r.close, r.volume) for r in files.read_candle_csv(spark, str(tmp_path)).collect()}
+    assert got == {("SPY", "1h", 1.0, 1.5, 10.0), ("QQQ", "1d", 1.0, 1.5, None)}
+
+
+def test_stores_keep_what_they_hold(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [(s, "1h", T0 + dt.timedelta(hours=k), float(k)) for s in "AB" for k in range(100)]
+    df = spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp_ntz, x double")
+    files.write_indicators(df, path, ["x"])
+    files.write_indicators(df.filter("symbol = 'A' and x >= 52").withColumn("x", F.lit(-1.0)), path, ["x"])
+    got = spark.read.parquet(path).groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("x") == -1).alias("new")).collect()
+    assert {(r.symbol, r.n, r.new) for r in got} == {("A", 100, 48), ("B", 100, 0)}
+    old = spark.createDataFrame([("A", 1, 0)], "symbol string, k int, n int")
+    new = spark.createDataFrame([("A", 1, 1), ("A", 2, 1), ("A", 2, 2)], "symbol string, k int, n int")
+    assert sorted(tuple(r) for r in files.append_new(old, new, ["symbol", "k"], ["n"]).collect()) == [("A", 1, 0), ("A", 2, 1)]
+    assert sorted(tuple(r) for r in files.upsert_bars(old, new, ["symbol", "k"], ["n"]).collect()) == [("A", 1, 1), ("A", 2, 2)]
+
+
+def test_fifo_quantities_meet_as_decimals(spark):
+    rows = [("A", T0 + dt.timedelta(hours=k), k, side, q, 10.0, 0.0) for k, (side, q) in enumerate([("BUY", 0.1), ("BUY", 0.2), ("BUY", 0.1), ("SELL", 0.3), ("SELL", 0.1)])]
+    got = T.match_fifo(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, seq int, side string, qty double, price double, commission double")).collect()
+    assert sorted(r.qty for r in got) == [0.1, 0.1, 0.2]
+
+
+def test_exit_rules_of_both_sides(spark):
+    from barflow.operators import signals as S
+
+    positions = spark.createDataFrame([("A", "LONG", 100.0), ("A", "SHORT", 100.0)], "symbol string, side string, entry_price double")
+    now = spark.createDataFrame([("A", 97.0, 82.0, -0.02, "BEARISH", 3.5, -3.0, 0.95, 60.0)], "symbol string, close double, rsi double, macd_hist double, macd_cross string, vwap_dev double, roc double, bb_pct double, vol_osc double")
+    got = {r.side: r for r in S.exit_urgency(S.exit_scores(positions, now)).collect()}
+    assert (got["LONG"].exit_score, got["LONG"].urgency, got["LONG"].exit_pct, got["LONG"].trend_reversal, got["LONG"].volume_divergence) == (130, "EXIT_URGENT", 100, True, True)
+    assert (got["SHORT"].exit_score, got["SHORT"].urgency, got["SHORT"].trend_reversal) == (0, "HOLD", False)
+    calm = now.select("symbol", "close", F.lit(50.0).alias("rsi"), F.lit(0.0).alias("macd_hist"), F.lit("NONE").alias("macd_cross"), F.lit(0.5).alias("vwap_dev"), F.lit(0.0).alias("roc"), F.lit(0.5).alias("bb_pct"), F.lit(0.0).alias("vol_osc"))
+    got = {r.side: (r.exit_score, r.reasons) for r in S.exit_scores(positions, calm).collect()}
+    assert got == {"LONG": (0, ""), "SHORT": (20, "VWAP_RETURN")}
+
+
+def test_layered_plan_and_targets(spark):
+    from barflow.operators import signals as S
+
+    one = spark.createDataFrame([("A", "1h", T0, "LONG", 100.0, 2.0, "HIGH", 20.0, 90.0, 0.0, 104.0, 103.0, 97.0)], "symbol string, timeframe string, ts timestamp_ntz, side string, close double, atr double, volatility string, rsi double, strength double, roc double, cum_vwap double, bb_upper double, bb_lower double")
+    plan = S.layered_plan(one).orderBy("level").collect()
+    assert [(r.strategy, r.level, round(r.level_price, 6), r.share_pct) for r in plan] == [("SCALP", 1, 100.0, 70.0), ("SCALP", 2, 98.75, 30.0)]
+    assert abs(plan[0].stop_price - (100 - 2 * 2.5 * 0.75 * 1.15 * 1.1)) < 1e-9
+    bars = one.select("symbol", "timeframe", "ts", F.lit(110.0).alias("high"), F.lit(90.0).alias("low"))
+    found = S.candidate_targets(S.layered_plan(one).filter("level = 1"), bars)
+    kinds = {k: sorted(round(r.target, 4) for r in found.collect() if r.kind == k) for k in ("FIBONACCI", "BOLLINGER", "VWAP", "PSYCHOLOGICAL", "ATR_EXTENSION")}
+    assert kinds == {"FIBONACCI": [114.72, 117.64, 122.36, 142.36], "BOLLINGER": [103.0], "VWAP": [104.0], "PSYCHOLOGICAL": [102.5, 105.0, 105.0, 107.5, 110.0, 110.0, 112.5, 115.0, 115.0], "ATR_EXTENSION": [104.0, 106.0, 108.0, 112.0]}
+    best = S.rank_targets(found).orderBy("place").collect()
+    assert len(best) == 4 and [r.exit_pct for r in best] == [70, 30, 0, 0] and best[0].score == max(r.score for r in best)
+
+
+TWINS = ["i03_rsi", "i07_session_vwap", "d09_patch_merge", "g03_classify_gaps", "g10_flat_fill", "q08_check_ohlc", "q24_source_overview", "p05_vwap_bounce", "j06_compare_sources", "t03_bracket_outcomes", "t11_metric_summary", "a09_collector_performance", "m07_evaluate", "s01_candle_csv", "s04_upsert_bars", "s06_write_indicators", "t06_match_fifo", "p18_rank_targets", "p20_exit_urgency", "r04_gap_stream"]
 
 
 @pytest.mark.parametrize("name", TWINS)
