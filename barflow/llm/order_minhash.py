@@ -2,29 +2,31 @@
 
 A text is the sequence of its words (a word longer than ``piece`` code points
 counts as several pieces).  Its k-mers of ``k`` consecutive words are numbered by
-occurrence, so the elements of one text are distinct.  Each of ``sketches``
-signatures takes ``size`` minimal elements, one under each of ``size`` hash orders,
-puts them back into text order and hashes the tuple.  Two texts agree in a
-signature only if they share the chosen elements *and* their order, so the share of
-equal signatures falls with the edit distance, not just with the overlap of sets.
+occurrence, so the elements of one text are distinct.  Each of ``sketches`` hash
+functions orders the elements; its two least are put back into text order and
+hashed as a pair.  Two texts agree in a signature only if they share the chosen
+elements *and* their order, so the share of equal signatures falls with the edit
+distance, not just with the overlap of sets.
 
 Defined cases: null text is the empty text; the empty text has the fingerprint of
 no element (all texts without a word are alike); texts of fewer than ``k`` words have
-one k-mer of all their words; equal texts have equal fingerprints.
+one k-mer of all their words, and pairs of it alone; equal texts have equal
+fingerprints; repeated rows each get a row; other columns do not matter.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import let
 
-K, SKETCHES, SIZE, PIECE = 5, 32, 2, 24
-POS_BITS = 24
+K, SKETCHES, PIECE = 5, 32, 24
+#: Bits of a hash that a place takes in sorted arrays, and bits of any place of a text.
+POS_BITS, PLACE_BITS = 30, 30
 POS = (1 << POS_BITS) - 1
+#: Elements that a hash function is expected to leave below its bound; fewer than two do once in 10^15 times.
+LEFT = 40
 #: Rows of one ordered bucket, and most buckets (their bounds are 8 bytes each in the plan).
 BUCKET_ROWS, MAX_BUCKETS = 1000, 65536
 
@@ -63,29 +65,34 @@ def elements(text: Column, k: int = K, piece: int = PIECE) -> Column:
     return let(pieces(text, piece), lambda ws: F.when(F.size(ws) > 0, let(_kmers(ws, k), number)))
 
 
-def signatures(rows: DataFrame, keys: list[str], text: str, k: int = K, sketches: int = SKETCHES, size: int = SIZE, carry: list[str] = ()) -> DataFrame:
-    """``keys``, ``carry`` and ``signature``, an array of ``sketches`` longs, for each distinct ``keys``.
+def signatures(rows: DataFrame, keys: list[str], text: str, k: int = K, sketches: int = SKETCHES) -> DataFrame:
+    """``keys`` and ``signature``, an array of ``sketches`` longs, for each distinct ``keys``.
 
-    The k-mers of a row are exploded and reduced to minima in the same task, before any
-    exchange: a text leaves its task as ``sketches`` longs.  ``carry``: columns of fixed
-    width that depend on the keys.
+    The elements of a row are exploded, hashed by each function and reduced in the same
+    task, before any exchange: a text leaves its task as ``sketches`` longs.  A hash above a
+    bound that about LEFT elements of the text stay below cannot be one of the two least
+    (all of a text with fewer elements stay), which leaves few rows to aggregate.
 
-    Each order of the elements is that of their (uniform) hashes exclusive-or a constant;
-    the low bits give way to the place.  Tuple i takes the minima of orders i to
-    i + size - 1 (around the end), so each order serves ``size`` tuples: the estimate is
-    unbiased and costs one minimum a tuple.
+    Both least hashes and their order come from plain minima: for each bit of the place, the
+    least hash of the elements with and without it.  Two elements differ in a bit of their
+    places, so the second least hash is the least that stands in the other half of some bit,
+    and the highest such bit tells which of the two comes first.
     """
-    orders = [int.from_bytes(hashlib.blake2b(str(j).encode(), digest_size=8).digest(), "big", signed=True) for j in range(sketches)]
-    # The array has a column of its own, so that the explode itself is compiled.
-    exploded = rows.withColumn("kmers", elements(F.col(text), k)).select(*keys, *carry, F.posexplode_outer("kmers").alias("p", "h"))
-    at = F.col("p").cast("bigint").bitwiseAND(F.lit(POS))
-    least = exploded.withColumn("p", at).groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in carry],
-        *[F.min(F.col("h").bitwiseXOR(F.lit(c)).bitwiseAND(F.lit(~POS)).bitwiseOR(F.col("p"))).alias(f"m{j}") for j, c in enumerate(orders)])
-    least_of = lambda j: F.struct(F.col(f"m{j}").bitwiseAND(F.lit(POS)).alias("p"), F.lit(j).alias("j"), F.col(f"m{j}").alias("m"))
-    chosen = [F.array_sort(F.array(*[least_of((i + j) % sketches) for j in range(size)])) for i in range(sketches)]
-    tuples = [F.xxhash64(F.transform(c, lambda e: F.struct(e["j"], F.shiftright(e["m"], POS_BITS)))) for c in chosen]
-    return least.select(*keys, *carry, F.array(*tuples).alias("signature"))
+    made = rows.withColumn("kmers", F.coalesce(elements(F.col(text), k), F.array(F.lit(None).cast("bigint"))))
+    share = F.lit(float(LEFT)) / F.size("kmers")
+    bound = F.when(share < 1, (F.lit(-(2.0**63)) + share * F.lit(2.0**64)).cast("bigint"))
+    exploded = made.withColumn("bound", bound).select(*keys, "bound", F.posexplode("kmers").alias("p", "h"))
+    hashed = F.array(*[F.when(F.col("h").isNotNull(), F.xxhash64("h", F.lit(j))) for j in range(sketches)])
+    below = exploded.select(*keys, "bound", "p", F.posexplode(hashed).alias("j", "x")).filter("bound is null or x <= bound")
+    bit = lambda t: F.col("p").bitwiseAND(F.lit(1 << t)) == 0
+    least = below.groupBy(*keys, "j").agg(
+        *[F.min(F.when(bit(t), F.col("x"))).alias(f"a{t}") for t in range(PLACE_BITS)], *[F.min(F.when(~bit(t), F.col("x"))).alias(f"b{t}") for t in range(PLACE_BITS)])
+    other = lambda t: F.when(F.col(f"a{t}").isNotNull() & F.col(f"b{t}").isNotNull(), F.greatest(f"a{t}", f"b{t}"))
+    two = least.withColumns({"one": F.least("a0", "b0"), "two": F.least(*[other(t) for t in range(PLACE_BITS)])})
+    ahead = F.coalesce(*[F.when(F.greatest(f"a{t}", f"b{t}") == F.col("two"), F.col(f"a{t}") == F.col("one")) for t in reversed(range(PLACE_BITS))])
+    pair = two.select(*keys, "j", F.when(F.coalesce(ahead, F.lit(True)), F.xxhash64("j", "one", "two")).otherwise(F.xxhash64("j", "two", "one")).alias("s"))
+    each = pair.groupBy(*keys).agg(*[F.max(F.when(F.col("j") == j, F.col("s"))).alias(f"s{j}") for j in range(sketches)])
+    return each.select(*keys, F.array(*[f"s{j}" for j in range(sketches)]).alias("signature"))
 
 
 def fingerprint(signature: Column) -> Column:
@@ -119,7 +126,7 @@ def _bucket(doc_id: Column, bounds: list[int]) -> Column:
     return F.when(doc_id.isNull(), F.lit(-1)).otherwise(place)
 
 
-def edited_fingerprints(docs: DataFrame, k: int = K, sketches: int = SKETCHES, size: int = SIZE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, k: int = K, sketches: int = SKETCHES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
     ``docs`` has doc_id and text.  The next document is the one after it in descending
@@ -157,7 +164,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, sketches: int = SKETCHES, s
         F.struct(F.lit(0).alias("which"), F.lit(None).cast("string").alias("sha"), F.col("text").alias("t")),
         F.struct(F.lit(1).alias("which"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.col("edited").alias("t")))).alias("x"))
     texts = texts.select("bucket", "guest", "rid", "doc_id", "n_chars", "x.which", "x.sha", "x.t").filter("which = 0 or not guest")
-    signed = signatures(texts, ["bucket", "rid", "which", "sha"], "t", k, sketches, size, ["guest", "doc_id", "n_chars"])
+    signed = signatures(texts, ["bucket", "rid", "which", "sha", "guest", "doc_id", "n_chars"], "t", k, sketches)
     pick = lambda c, w: F.max(F.when(F.col("which") == w, F.col(c)))
     each = signed.withColumn("fp", fingerprint(F.col("signature"))).groupBy("bucket", "rid").agg(
         F.first("guest").alias("guest"), F.first("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"),

@@ -85,6 +85,43 @@ def test_order_minhash_elements(spark):
             seen[k] += 1
 
 
+def test_order_minhash_signatures_match_brute_force(spark):
+    """The two least of each hash, in text order, by sorting in Python what the same hash functions give."""
+    from pyspark.sql import functions as F
+
+    from barflow.llm import order_minhash as m
+
+    rnd = random.Random(11)
+    texts = ["", "one", "one two three four five six", *(" ".join(rnd.choice("abcdefghij") + str(rnd.randint(0, n)) for _ in range(n)) for n in (3, 8, 60, 300, 900) for _ in range(4))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: list(r.signature) for r in m.signatures(docs, ["id"], "t", 3, 8).collect()}
+    every = docs.select("id", F.posexplode(m.elements(F.col("t"), 3)).alias("p", "h")).select("id", "p", F.posexplode(F.array(*[F.xxhash64("h", F.lit(j)) for j in range(8)])).alias("j", "x")).collect()
+    by = collections.defaultdict(list)
+    for r in every:
+        by[r.id, r.j].append((r.x, r.p))
+    rows = [(i, j, *[x for _, x in sorted((p, x) for x, p in sorted(by[i, j])[:2])]) for i in range(len(texts)) for j in range(8)]
+    rows = [(*r, *[None] * (4 - len(r))) for r in rows]
+    want = {(r.i, r.j): r.s for r in spark.createDataFrame(rows, "i int, j int, a bigint, b bigint").select("i", "j", F.xxhash64("j", "a", "b").alias("s")).collect()}
+    assert {(i, j): got[i][j] for i in got for j in range(8)} == want and len(got) == len(texts)
+
+
+def test_order_minhash_feels_order(spark):
+    """A text with its halves swapped keeps its words but loses likeness; a few edits cost little."""
+    from pyspark.sql import functions as F
+
+    from barflow.llm import order_minhash as m
+
+    rnd = random.Random(12)
+    w = [f"w{rnd.randint(0, 10**6)}" for _ in range(400)]
+    few = [*w]
+    few[100] = "x"
+    texts = {"plain": w, "few": few, "swapped": w[200:] + w[:200], "other": [f"v{i}" for i in range(400)]}
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "id string, t string")
+    fp = {r.id: r.f for r in m.signatures(docs, ["id"], "t", 5, 256).select("id", m.fingerprint(F.col("signature")).alias("f")).collect()}
+    near = lambda a, b: sum(fp[a][i : i + 8] == fp[b][i : i + 8] for i in range(0, len(fp[a]), 8)) / 256
+    assert near("plain", "few") > 0.9 and 0.3 < near("plain", "swapped") < 0.65 and near("plain", "other") < 0.02
+
+
 def test_language(docs, empty):
     from barflow.llm import language as m
 
