@@ -2,11 +2,14 @@
 
 DataFrame functions and ``pyspark.ml`` only.  URLs that a rule decides are the labelled
 ones; a bounded sample of them (chosen by hash) trains the trees, which judge the rest.
-Statistics of suffixes cover all pages.
+Statistics of suffixes cover all pages: the share of pages and the number of hosts under
+a suffix, in powers of two.  They hold no label and cannot name a suffix, so the trees do
+not just repeat the rules; ``held_out`` measures what they learn.
 
 Defined cases: a null URL and one without ``://`` has an empty host and path, fits no rule
-and has zero features; repeated rows each get a row; if the sample is empty or of one kind,
-the method's verdict is allow (or that kind's).
+and has zero features; repeated rows each get a row; a URL of any length is read whole;
+other columns of the pages do not matter; if the sample is empty or of one kind, the
+method's verdict is allow (or that kind's).
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ RULES = (
 TRAIN_ROWS, TREES, DEPTH, SEED = 20_000, 10, 4, 7
 #: Statistics are broadcast up to so many suffixes; beyond that the join is salted.
 BROADCAST_SUFFIXES, SALTS = 50_000, 64
-FEATURES = ["url_len", "host_len", "path_len", "depth", "labels", "digit_ratio", "hyphens", "entropy", "params", "fragment", "suffix_rate", "suffix_share"]
+FEATURES = ["url_len", "host_len", "path_len", "depth", "labels", "digit_ratio", "hyphens", "entropy", "params", "fragment", "suffix_share", "suffix_hosts"]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -77,39 +80,56 @@ def lexical(pages: DataFrame) -> DataFrame:
     })
 
 
-def suffix_stats(made: DataFrame) -> tuple[DataFrame, float]:
-    """suffix_rate, the smoothed share of blocked URLs among those that a rule decides, and suffix_share, the share of all pages; the prior."""
-    ruled_by = lambda v: F.count_if(F.col("by_rule") == v) if v else F.count("by_rule")
-    counts = saved(made.groupBy("suffix").agg(F.count("*").alias("n"), ruled_by(None).alias("known"), ruled_by("block").alias("bad")), "suffixes")
-    all_ = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "known", "bad")]).first()
-    prior = (all_.bad + 1) / (all_.known + 2)
-    return counts.select("suffix", ((F.col("bad") + 20 * prior) / (F.col("known") + 20)).alias("suffix_rate"), (F.col("n") / F.lit(max(all_.n, 1))).alias("suffix_share")), prior
+def suffix_stats(made: DataFrame) -> DataFrame:
+    """suffix, suffix_share (of all pages) and suffix_hosts (about how many), both as rounded binary logarithms."""
+    # Hosts are counted by host first, so that no task holds all pages of a suffix.
+    hosts = made.groupBy("suffix", "host").agg(F.count("*").alias("n"))
+    counts = saved(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.count("*").alias("hosts")), "suffixes")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
+    return counts.select("suffix", F.round(F.log2(F.col("n") / F.lit(total))).alias("suffix_share"), F.round(F.log2(F.col("hosts"))).alias("suffix_hosts"))
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict and block_score (null where a rule decides)."""
-    spark = pages.sparkSession
+def _with_stats(df: DataFrame, by_suffix: DataFrame, small: bool) -> DataFrame:
+    if small:
+        return df.join(F.broadcast(by_suffix), "suffix")
+    salted = by_suffix.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a suffix may hold a third of all pages
+    return df.withColumn("_salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int")).join(salted, ["suffix", "_salt"]).drop("_salt")
+
+
+def _fit(sample: DataFrame):
+    """Trees trained on rows of features and label, or the constant score if there is one kind of label only."""
+    has = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("bad")).first()
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    if not 0 < has.bad < has.n:
+        constant = F.lit(1.0 if has.n and has.bad == has.n else 0.0)
+        return lambda df: df.withColumn("block_score", constant)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label").fit(vectors.transform(sample).select("features", "label"))
+    return lambda df: model.transform(vectors.transform(df)).withColumn("block_score", vector_to_array("probability")[1])
+
+
+def _prepared(pages: DataFrame, rules) -> tuple[DataFrame, DataFrame]:
+    """Pages with features, rule and by_rule; the saved sample of those that a rule decides, with label."""
     made = lexical(pages.select("page_id", "url"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     made = made.withColumns({"rule": rule, "by_rule": verdict})
-    chosen = hash_sample(made.filter("by_rule is not null"), TRAIN_ROWS, "page_id")
-    sample = saved(chosen.withColumn("label", (F.col("by_rule") == "block").cast("double")).repartition(4, "page_id"), "urls")
-    has = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("bad")).first()
-    by_suffix, prior = suffix_stats(made)
+    by_suffix = suffix_stats(made)
     small = by_suffix.limit(BROADCAST_SUFFIXES + 1).count() <= BROADCAST_SUFFIXES
+    chosen = hash_sample(made.filter("by_rule is not null"), TRAIN_ROWS, "page_id")
+    labelled = _with_stats(chosen.withColumn("label", (F.col("by_rule") == "block").cast("double")), by_suffix, small)
+    return _with_stats(made, by_suffix, small), saved(labelled.repartition(4, "page_id"), "urls")
 
-    def full(df: DataFrame) -> DataFrame:
-        if small:
-            return df.join(F.broadcast(by_suffix), "suffix", "left").fillna({"suffix_rate": prior, "suffix_share": 0.0})
-        salted = by_suffix.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a suffix may hold a third of all pages
-        return df.withColumn("_salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int")).join(salted, ["suffix", "_salt"], "left").drop("_salt").fillna({"suffix_rate": prior, "suffix_share": 0.0})
-
-    rest = full(made)
-    if 0 < has.bad < has.n:
-        vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label").fit(vectors.transform(full(sample)).select("features", "label"))
-        scored = model.transform(vectors.transform(rest)).withColumn("block_score", vector_to_array("probability")[1])
-    else:
-        scored = rest.withColumn("block_score", F.lit(1.0 if has.n and has.bad == has.n else 0.0))
+
+def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict and block_score (null where a rule decides)."""
+    made, sample = _prepared(pages, rules)
+    scored = _fit(sample)(made)
     method = F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), F.when(F.col("by_rule").isNull(), F.col("block_score")).alias("block_score"))
+
+
+def held_out(pages: DataFrame, rules=RULES) -> DataFrame:
+    """One row: labelled rows aside (hosts of a quarter by hash), accuracy of the trees there, and of always saying the commoner kind."""
+    sample = _prepared(pages, rules)[1].withColumn("aside", F.pmod(F.xxhash64("host"), F.lit(4)) == 0)
+    scored = _fit(sample.filter("not aside"))(sample.filter("aside"))
+    right = ((F.col("block_score") >= 0.5) == (F.col("label") == 1)).cast("double")
+    return scored.agg(F.count("*").alias("n"), F.avg(right).alias("accuracy"), F.greatest(F.avg("label"), 1 - F.avg("label")).alias("commoner"))
