@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -437,22 +438,48 @@ def test_url_filter(spark):
 
 
 def test_suffix_statistics_cover_all_pages(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
     from barflow.llm import url_filter as m
 
-    hosts = ["a.com"] * 20 + ["b.net"] * 20 + ["c.org"] * 40 + [f"x.s{k}" for k in range(600)]
+    hosts = ["a.com"] * 20 + ["b.net"] * 20 + ["c.org"] * 40 + [f"x.s{k}" for k in range(600)] + [f"h{k}.org" for k in range(15)]
     pages = spark.createDataFrame([(i, f"http://{h}/es/") for i, h in enumerate(hosts)], "page_id bigint, url string")
-    made = m.lexical(pages)
-    made = made.withColumn("by_rule", m.ruled(F.col("host"), F.col("path"))[1])
-    stats, prior = m.suffix_stats(made)
-    got = {r.suffix: (round(r.suffix_share, 9), round(r.suffix_rate, 9)) for r in stats.collect()}
-    rate = lambda bad, known: round((bad + 20 * prior) / (known + 20), 9)
-    assert prior == 21 / 42 and len(got) == 603
-    assert [got[k] for k in ("com", "net", "org", "s599")] == [(round(20 / 680, 9), rate(0, 20)), (round(20 / 680, 9), rate(20, 20)), (round(40 / 680, 9), rate(0, 0)), (round(1 / 680, 9), rate(0, 0))]
+    got = {r.suffix: (r.suffix_share, r.suffix_hosts) for r in m.suffix_stats(m.lexical(pages)).collect()}
+    log = lambda x: round(math.log2(x))
+    n = len(hosts)
+    assert len(got) == 603 and [got[k] for k in ("com", "org", "s599")] == [(log(20 / n), 0), (log(55 / n), 4), (log(1 / n), 0)]
     plain = sorted(tuple(r) for r in m.judge(pages).collect())
     monkeypatch.setattr(m, "BROADCAST_SUFFIXES", 5)
-    assert sorted(tuple(r) for r in m.judge(pages).collect()) == plain and len(plain) == 680
+    assert sorted(tuple(r) for r in m.judge(pages).collect()) == plain and len(plain) == n
+
+
+def test_lexical_features_match_brute_force(spark):
+    from barflow.llm import url_filter as m
+
+    long = "http://a.b-c.com/" + "x1/" * 20000 + "?a=1&b=2#z"
+    urls = [None, "", "no scheme", "http://a.b-c.com/x/y1/?q=1&r#f", long, "https://m.x.example.net/fr/5644/", "https://m.x.example.net/fr/5644/"]
+    docs = spark.createDataFrame([(i, u, "clash", 1.5) for i, u in enumerate(urls)], "page_id bigint, url string, host string, label double")
+    for r in m.lexical(docs.select("page_id", "url")).collect():
+        u = r.url or ""
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        query = re.search(r"\?([^#]*)", u)
+        shares = [u.count(c) / len(u) for c in set(u)]
+        want = (len(u), len(host), len(path), len([x for x in path.split("/") if x]), host.count(".") + 1, sum(c.isdigit() for c in u) / max(len(u), 1), host.count("-"), query[1].count("&") + 1 if query and query[1] else 0)
+        assert (r.url_len, r.host_len, r.path_len, r.depth, r.labels, r.digit_ratio, r.hyphens, r.params) == want
+        assert abs(r.entropy + sum(p * math.log2(p) for p in shares)) < 1e-9
+    got = m.judge(docs).collect()
+    assert len(got) == len(urls) and got[5].verdict == got[6].verdict == "block"
+
+
+def test_trees_learn_from_held_out_hosts(spark):
+    """Blocked and allowed URLs that differ in their form: the trees tell them apart on hosts that they have not seen."""
+    from barflow.llm import url_filter as m
+
+    rnd = random.Random(13)
+    urls = [f"http://h{rnd.randint(0, 60)}.com/{rnd.randint(1, 99)}" for _ in range(400)]
+    urls += [f"http://h{rnd.randint(0, 60)}.net/es/{rnd.getrandbits(90)}?a={rnd.randint(1, 9)}&b=2&c=3" for _ in range(300)]
+    row = m.held_out(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).first()
+    assert row.n > 80 and row.accuracy > 0.95 > row.commoner
 
 
 def test_mixing(spark, docs, empty):
@@ -467,6 +494,33 @@ def test_mixing(spark, docs, empty):
     assert {r.source for r in m.mix(many, targets).select("source").distinct().collect()} == {"x"}
 
 
+def test_mixing_splits_large_rates(spark):
+    """A tiny source in a large corpus: its few documents are repeated in parts, to the mean that its rate says; clashing names stay."""
+    from barflow.llm import mixing as m
+
+    docs = spark.range(2000).selectExpr("id as doc_id", "if(id < 5, 'a', repeat('a', 100)) as text", "if(id < 5, 'x', 'y') as source", "7 as rate", "8 as _n", "9 as cdf")
+    got = m.mix(docs)
+    assert got.columns == ["doc_id", "text", "source", "rate", "_n", "cdf", "copy_no", "shuffle_key"]
+    rate = (5 + 1995 * 100) / 2 / 5
+    n = got.filter("source = 'x'").count()
+    assert abs(n - 5 * rate) < 5 * math.sqrt(5 * rate) and got.select("doc_id", "copy_no").distinct().count() == got.count()
+    assert {(r.rate, r._n, r.cdf) for r in got.select("rate", "_n", "cdf").distinct().collect()} == {(7, 8, 9)}
+
+
+def test_poisson_table(spark):
+    from pyspark.sql import functions as F
+
+    from barflow.llm import mixing as m
+
+    for rate in (0.3, 1.0, 64.0):
+        cdf = spark.range(1).select(m.poisson_cdf(F.lit(rate)).alias("c")).first().c
+        total = 0.0
+        for k, c in enumerate(cdf):
+            total += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
+            assert abs(c - total) < 1e-12
+        assert abs(cdf[-1] - 1) < 1e-12
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
