@@ -65,7 +65,7 @@ def elements(text: Column, k: int = K, piece: int = PIECE) -> Column:
     return let(pieces(text, piece), lambda ws: F.when(F.size(ws) > 0, let(_kmers(ws, k), number)))
 
 
-def signatures(rows: DataFrame, keys: list[str], text: str, k: int = K, sketches: int = SKETCHES) -> DataFrame:
+def signatures(rows: DataFrame, keys: list[str], text: str, k: int = K, sketches: int = SKETCHES, place_bits: int = PLACE_BITS) -> DataFrame:
     """``keys`` and ``signature``, an array of ``sketches`` longs, for each distinct ``keys``.
 
     The elements of a row are exploded, hashed by each function and reduced in the same
@@ -76,7 +76,8 @@ def signatures(rows: DataFrame, keys: list[str], text: str, k: int = K, sketches
     Both least hashes and their order come from plain minima: for each bit of the place, the
     least hash of the elements with and without it.  Two elements differ in a bit of their
     places, so the second least hash is the least that stands in the other half of some bit,
-    and the highest such bit tells which of the two comes first.
+    and the highest such bit tells which of the two comes first.  ``place_bits``: as many as
+    any text's places need; more change nothing but the work.
     """
     made = rows.withColumn("kmers", F.coalesce(elements(F.col(text), k), F.array(F.lit(None).cast("bigint"))))
     share = F.lit(float(LEFT)) / F.size("kmers")
@@ -86,10 +87,10 @@ def signatures(rows: DataFrame, keys: list[str], text: str, k: int = K, sketches
     below = exploded.select(*keys, "bound", "p", F.posexplode(hashed).alias("j", "x")).filter("bound is null or x <= bound")
     bit = lambda t: F.col("p").bitwiseAND(F.lit(1 << t)) == 0
     least = below.groupBy(*keys, "j").agg(
-        *[F.min(F.when(bit(t), F.col("x"))).alias(f"a{t}") for t in range(PLACE_BITS)], *[F.min(F.when(~bit(t), F.col("x"))).alias(f"b{t}") for t in range(PLACE_BITS)])
+        *[F.min(F.when(bit(t), F.col("x"))).alias(f"a{t}") for t in range(place_bits)], *[F.min(F.when(~bit(t), F.col("x"))).alias(f"b{t}") for t in range(place_bits)])
     other = lambda t: F.when(F.col(f"a{t}").isNotNull() & F.col(f"b{t}").isNotNull(), F.greatest(f"a{t}", f"b{t}"))
-    two = least.withColumns({"one": F.least("a0", "b0"), "two": F.least(*[other(t) for t in range(PLACE_BITS)])})
-    ahead = F.coalesce(*[F.when(F.greatest(f"a{t}", f"b{t}") == F.col("two"), F.col(f"a{t}") == F.col("one")) for t in reversed(range(PLACE_BITS))])
+    two = least.withColumns({"one": F.least("a0", "b0"), "two": F.least(*[other(t) for t in range(place_bits)], F.lit(None).cast("bigint"))})
+    ahead = F.coalesce(*[F.when(F.greatest(f"a{t}", f"b{t}") == F.col("two"), F.col(f"a{t}") == F.col("one")) for t in reversed(range(place_bits))])
     pair = two.select(*keys, "j", F.when(F.coalesce(ahead, F.lit(True)), F.xxhash64("j", "one", "two")).otherwise(F.xxhash64("j", "two", "one")).alias("s"))
     each = pair.groupBy(*keys).agg(*[F.max(F.when(F.col("j") == j, F.col("s"))).alias(f"s{j}") for j in range(sketches)])
     return each.select(*keys, F.array(*[f"s{j}" for j in range(sketches)]).alias("signature"))
@@ -139,6 +140,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, sketches: int = SKETCHES, b
     the rows that follow it, the head of the next range, so that no task needs the whole order.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    longest = base.agg(F.max(F.length("text"))).first()[0] or 0  # an edited text is no longer than its text, and has fewer elements than characters
     bounds = _bounds(docs.select("doc_id"), bucket_rows)
     has_null = docs.filter(F.col("doc_id").isNull()).limit(1).count() > 0
     order = [*range(len(bounds) - 1, -1, -1), *([-1] if has_null else [])]  # buckets as they follow each other
@@ -164,7 +166,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, sketches: int = SKETCHES, b
         F.struct(F.lit(0).alias("which"), F.lit(None).cast("string").alias("sha"), F.col("text").alias("t")),
         F.struct(F.lit(1).alias("which"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.col("edited").alias("t")))).alias("x"))
     texts = texts.select("bucket", "guest", "rid", "doc_id", "n_chars", "x.which", "x.sha", "x.t").filter("which = 0 or not guest")
-    signed = signatures(texts, ["bucket", "rid", "which", "sha", "guest", "doc_id", "n_chars"], "t", k, sketches)
+    signed = signatures(texts, ["bucket", "rid", "which", "sha", "guest", "doc_id", "n_chars"], "t", k, sketches, max(1, longest.bit_length()))
     pick = lambda c, w: F.max(F.when(F.col("which") == w, F.col(c)))
     each = signed.withColumn("fp", fingerprint(F.col("signature"))).groupBy("bucket", "rid").agg(
         F.first("guest").alias("guest"), F.first("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"),
