@@ -25,8 +25,8 @@ K, SKETCHES, PIECE = 5, 32, 24
 #: Bits of a hash that a place takes in sorted arrays, and bits of any place of a text.
 POS_BITS, PLACE_BITS = 30, 30
 POS = (1 << POS_BITS) - 1
-#: Elements that a hash function is expected to leave below its bound; fewer than two do once in 10^15 times.
-LEFT = 40
+#: Elements that a hash function is expected to leave below its bound; fewer than two do three times in 10^12, and then count alone.
+LEFT = 30
 #: Rows of one ordered bucket, and most buckets (their bounds are 8 bytes each in the plan).
 BUCKET_ROWS, MAX_BUCKETS = 1000, 65536
 
@@ -65,8 +65,8 @@ def elements(text: Column, k: int = K, piece: int = PIECE) -> Column:
     return let(pieces(text, piece), lambda ws: F.when(F.size(ws) > 0, let(_kmers(ws, k), number)))
 
 
-def signatures(rows: DataFrame, keys: list[str], text: str, k: int = K, sketches: int = SKETCHES, place_bits: int = PLACE_BITS) -> DataFrame:
-    """``keys`` and ``signature``, an array of ``sketches`` longs, for each distinct ``keys``.
+def signatures(rows: DataFrame, keys: list[str], text: str, k: int = K, sketches: int = SKETCHES, place_bits: int = PLACE_BITS, carry: list[str] = ()) -> DataFrame:
+    """``keys``, ``carry`` (columns of fixed width that follow from the keys) and ``signature``, an array of ``sketches`` longs, for each distinct ``keys``.
 
     The elements of a row are exploded, hashed by each function and reduced in the same
     task, before any exchange: a text leaves its task as ``sketches`` longs.  A hash above a
@@ -82,18 +82,19 @@ def signatures(rows: DataFrame, keys: list[str], text: str, k: int = K, sketches
     made = rows.withColumn("kmers", F.coalesce(elements(F.col(text), k), F.array(F.lit(None).cast("bigint"))))
     share = F.lit(float(LEFT)) / F.size("kmers")
     bound = F.when(share < 1, (F.lit(-(2.0**63)) + share * F.lit(2.0**64)).cast("bigint"))
-    exploded = made.withColumn("bound", bound).select(*keys, "bound", F.posexplode("kmers").alias("p", "h"))
-    hashed = F.array(*[F.when(F.col("h").isNotNull(), F.xxhash64("h", F.lit(j))) for j in range(sketches)])
-    below = exploded.select(*keys, "bound", "p", F.posexplode(hashed).alias("j", "x")).filter("bound is null or x <= bound")
+    exploded = made.withColumn("bound", bound).select(*keys, *carry, "bound", F.posexplode("kmers").alias("p", "h"))
+    # A constant list of functions keeps the compiled loop short.
+    hashed = exploded.withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(sketches)])))
+    below = hashed.withColumn("x", F.when(F.col("h").isNotNull(), F.xxhash64("h", "j"))).drop("h").filter("bound is null or x <= bound")
     bit = lambda t: F.col("p").bitwiseAND(F.lit(1 << t)) == 0
     least = below.groupBy(*keys, "j").agg(
-        *[F.min(F.when(bit(t), F.col("x"))).alias(f"a{t}") for t in range(place_bits)], *[F.min(F.when(~bit(t), F.col("x"))).alias(f"b{t}") for t in range(place_bits)])
+        *[F.first(c).alias(c) for c in carry], *[F.min(F.when(bit(t), F.col("x"))).alias(f"a{t}") for t in range(place_bits)], *[F.min(F.when(~bit(t), F.col("x"))).alias(f"b{t}") for t in range(place_bits)])
     other = lambda t: F.when(F.col(f"a{t}").isNotNull() & F.col(f"b{t}").isNotNull(), F.greatest(f"a{t}", f"b{t}"))
     two = least.withColumns({"one": F.least("a0", "b0"), "two": F.least(*[other(t) for t in range(place_bits)], F.lit(None).cast("bigint"))})
     ahead = F.coalesce(*[F.when(F.greatest(f"a{t}", f"b{t}") == F.col("two"), F.col(f"a{t}") == F.col("one")) for t in reversed(range(place_bits))])
-    pair = two.select(*keys, "j", F.when(F.coalesce(ahead, F.lit(True)), F.xxhash64("j", "one", "two")).otherwise(F.xxhash64("j", "two", "one")).alias("s"))
-    each = pair.groupBy(*keys).agg(*[F.max(F.when(F.col("j") == j, F.col("s"))).alias(f"s{j}") for j in range(sketches)])
-    return each.select(*keys, F.array(*[f"s{j}" for j in range(sketches)]).alias("signature"))
+    pair = two.select(*keys, *carry, "j", F.when(F.coalesce(ahead, F.lit(True)), F.xxhash64("j", "one", "two")).otherwise(F.xxhash64("j", "two", "one")).alias("s"))
+    each = pair.groupBy(*keys).agg(*[F.first(c).alias(c) for c in carry], *[F.max(F.when(F.col("j") == j, F.col("s"))).alias(f"s{j}") for j in range(sketches)])
+    return each.select(*keys, *carry, F.array(*[f"s{j}" for j in range(sketches)]).alias("signature"))
 
 
 def fingerprint(signature: Column) -> Column:
@@ -166,7 +167,11 @@ def edited_fingerprints(docs: DataFrame, k: int = K, sketches: int = SKETCHES, b
         F.struct(F.lit(0).alias("which"), F.lit(None).cast("string").alias("sha"), F.col("text").alias("t")),
         F.struct(F.lit(1).alias("which"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.col("edited").alias("t")))).alias("x"))
     texts = texts.select("bucket", "guest", "rid", "doc_id", "n_chars", "x.which", "x.sha", "x.t").filter("which = 0 or not guest")
-    signed = signatures(texts, ["bucket", "rid", "which", "sha", "guest", "doc_id", "n_chars"], "t", k, sketches, max(1, longest.bit_length()))
+    # The digest goes along as four longs.
+    quarter = lambda i: F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("bigint")
+    texts = texts.withColumns({f"sha{i}": quarter(i) for i in range(4)}).drop("sha")
+    signed = signatures(texts, ["bucket", "rid", "which"], "t", k, sketches, max(1, longest.bit_length()), ["guest", "doc_id", "n_chars", *(f"sha{i}" for i in range(4))])
+    signed = signed.withColumn("sha", F.concat(*[F.lpad(F.lower(F.hex(f"sha{i}")), 16, "0") for i in range(4)]))
     pick = lambda c, w: F.max(F.when(F.col("which") == w, F.col(c)))
     each = signed.withColumn("fp", fingerprint(F.col("signature"))).groupBy("bucket", "rid").agg(
         F.first("guest").alias("guest"), F.first("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"),
