@@ -521,6 +521,54 @@ def test_poisson_table(spark):
         assert abs(cdf[-1] - 1) < 1e-12
 
 
+def test_pipeline_stages_on_odd_tables(spark, docs, empty, tmp_path):
+    """Each stage on nulls, empty and long texts, repeated rows, clashing extra columns, and on an empty table."""
+    import corpus_pipeline as c
+
+    letters = lambda t: any(x.isalpha() for x in t or "")
+    rows = docs.collect()
+    stages = dict(c.STAGES)
+    told = stages["language_id"](spark, docs, "").collect()
+    assert sorted(r.text for r in told) == sorted(r.text for r in rows if letters(r.text)) and {r.lang for r in told} <= {"en", "de"}
+    left = stages["near_dedup"](spark, docs, "")
+    ids = [r.doc_id for r in left.collect()]
+    assert sorted(i for i in ids if i is not None) == [*range(12), 22, 23, 25, 26, 27, 28, 29, 30] and ids.count(None) == 1
+    clean = stages["personal_data"](spark, docs, "").collect()
+    assert len(clean) == len(rows) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in clean)
+    mixed = stages["source_mixing"](spark, docs, "")
+    assert mixed.columns == c.COLUMNS and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in rows}
+    done = stages["sentencepiece"](spark, docs, "").collect()
+    assert len(done) == len(rows) and all(len(r.ids) == r.n_tokens for r in done)
+    for name, stage in c.STAGES:
+        got = stage(spark, empty, "")
+        assert got.count() == 0 and (name == "sentencepiece" or got.columns == c.COLUMNS)
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    """Queries run from another folder, where workers cannot import the package."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parents[2]
+    code = f"""
+import sys; sys.path.insert(0, {str(repo)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+from barflow.llm import language, near_duplicates, piece_codec, private_data, queries, token_counts
+docs = spark.createDataFrame([(k, f"some text of number {{k}} and more words", "en") for k in range(8)], "doc_id bigint, text string, lang string")
+model = queries.piece_model()
+assert language.identify(docs).count() == token_counts.token_counts(docs, model).filter("n_tokens > 0").count() == 8
+assert private_data.find(docs).filter("spans is not null").count() == piece_codec.encode_decode(docs, model).filter("decoded is not null").count() == 8
+assert near_duplicates.kept(docs).filter("text is not null").count() > 0
+"""
+    env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
+    tokenizers = str(Path(__import__("public_tokenizers").__file__).resolve().parents[1])
+    env["PYTHONPATH"] = tokenizers if tokenizers != str(repo) else ""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-1500:]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
