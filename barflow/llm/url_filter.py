@@ -3,7 +3,7 @@
 DataFrame functions and ``pyspark.ml`` only.  URLs that a rule decides are the labelled
 ones; a bounded sample of them (chosen by hash) trains the trees, which judge the rest.
 Statistics of suffixes cover all pages: the share of pages and the number of hosts under
-a suffix, in powers of two.  They hold no label and cannot name a suffix, so the trees do
+a suffix, as orders of magnitude (powers of ten).  They hold no label and cannot name a suffix, so the trees do
 not just repeat the rules; ``held_out`` measures what they learn.
 
 Defined cases: a null URL and one without ``://`` has an empty host and path, fits no rule
@@ -81,12 +81,12 @@ def lexical(pages: DataFrame) -> DataFrame:
 
 
 def suffix_stats(made: DataFrame) -> DataFrame:
-    """suffix, suffix_share (of all pages) and suffix_hosts (about how many), both as rounded binary logarithms."""
+    """suffix, suffix_share (of all pages) and suffix_hosts (about how many), both as whole decimal logarithms, rounded down."""
     # Hosts are counted by host first, so that no task holds all pages of a suffix.
     hosts = made.groupBy("suffix", "host").agg(F.count("*").alias("n"))
     counts = saved(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.count("*").alias("hosts")), "suffixes")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
-    return counts.select("suffix", F.round(F.log2(F.col("n") / F.lit(total))).alias("suffix_share"), F.round(F.log2(F.col("hosts"))).alias("suffix_hosts"))
+    return counts.select("suffix", F.floor(F.log10(F.col("n") / F.lit(total))).cast("double").alias("suffix_share"), F.floor(F.log10(F.col("hosts"))).cast("double").alias("suffix_hosts"))
 
 
 def _with_stats(df: DataFrame, by_suffix: DataFrame, small: bool) -> DataFrame:
