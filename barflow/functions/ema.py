@@ -20,13 +20,8 @@ CHUNK = 50_000
 
 
 def _solve(x: np.ndarray, alpha: float, carry: float) -> np.ndarray:
-    """The recursion over x from ``carry``; nulls repeat the value before them."""
-    out, y = np.empty(len(x)), carry
-    for i, v in enumerate(x):
-        if v == v:
-            y = v if y != y else y + alpha * (v - y)
-        out[i] = y
-    return out
+    """The recursion over x from ``carry`` in compiled code; nulls repeat the value before them."""
+    return pd.Series(np.r_[carry, x]).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()[1:]
 
 
 def ema(df: DataFrame, columns: dict[str, tuple[str, int]], chunk: int = CHUNK) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEY, SERIES, new_york, ratio, series
@@ -66,13 +66,28 @@ def split(samples: DataFrame, keys: list[str], test: float = 0.2, seed: int = 42
 def train(samples: DataFrame, cols: list[str], kind: str = "rf", min_samples: int = 50, seed: int = 42):
     """A fitted random forest (``rf``) or boosted trees (``gbt``) with classes weighed evenly; None below ``min_samples`` or with one class."""
     samples = samples.persist()  # every tree reads them again
-    n = samples.agg(F.count("*").alias("n"), F.avg("label").alias("p")).first()
-    if n.n < min_samples or not 0 < n.p < 1:
-        return None
-    weighed = samples.withColumn("w", F.when(F.col("label") == 1, F.lit(0.5 / n.p)).otherwise(F.lit(0.5 / (1 - n.p))))
-    x = VectorAssembler(inputCols=cols, outputCol="features").transform(weighed)
-    maker = RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed, weightCol="w") if kind == "rf" else GBTClassifier(maxIter=10, maxDepth=3, seed=seed, weightCol="w")
-    return maker.fit(x)
+    try:
+        n = samples.agg(F.count("*").alias("n"), F.avg("label").alias("p")).first()
+        if n.n < min_samples or not 0 < n.p < 1:
+            return None
+        weighed = samples.withColumn("w", F.when(F.col("label") == 1, F.lit(0.5 / n.p)).otherwise(F.lit(0.5 / (1 - n.p))))
+        x = VectorAssembler(inputCols=cols, outputCol="features").transform(weighed)
+        maker = RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed, weightCol="w") if kind == "rf" else GBTClassifier(maxIter=10, maxDepth=3, seed=seed, weightCol="w")
+        return maker.fit(x)
+    finally:
+        samples.unpersist()
+
+
+def train_by_symbol(samples: DataFrame, cols: list[str], kind: str = "rf", min_samples: int = 50, most: int = 1000) -> dict:
+    """A model for each symbol with ``min_samples`` samples of both labels; more than ``most`` such symbols are an error.
+
+    Each fit is a job over the samples of one symbol; only symbol names reach the driver.
+    """
+    fit = samples.groupBy("symbol").agg(F.count("*").alias("n"), F.countDistinct("label").alias("k")).filter(f"symbol is not null and n >= {int(min_samples)} and k > 1")
+    names = sorted(r.symbol for r in fit.select("symbol").limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"more than {most} symbols to train; raise most, or train one model over all")
+    return {s: train(samples.filter(F.col("symbol") == s), cols, kind, min_samples) for s in names}
 
 
 def score(model, samples: DataFrame, cols: list[str]) -> DataFrame:
@@ -80,29 +95,77 @@ def score(model, samples: DataFrame, cols: list[str]) -> DataFrame:
     return model.transform(x).withColumn("prob", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def score_by_symbol(models: dict, samples: DataFrame, cols: list[str]) -> DataFrame:
+    """Probabilities by each symbol's own model; symbols without one pass with 1.0."""
+    rest = samples.filter(~F.coalesce(F.col("symbol").isin(*models), F.lit(False))).withColumn("prob", F.lit(1.0))
+    for symbol, model in models.items():
+        rest = rest.unionByName(score(model, samples.filter(F.col("symbol") == symbol), cols))
+    return rest
+
+
+def _counted_before(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``before``: the sum of ``n`` over rows of smaller prob, by ``keys``, for one row a prob.
+
+    Sums of 4096 ranges of prob come first, so that no task orders more than a range.
+    """
+    ranged = counts.withColumn("_r", F.floor(F.col("prob") * 4096))
+    w = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # at most 4097 rows of keys
+    sums = ranged.groupBy(*keys, "_r").agg(F.sum(n).alias("_n")).select(*keys, "_r", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy(*keys, "_r").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(sums, [*keys, "_r"]).withColumn("before", F.col("_before") + F.coalesce(F.sum(n).over(inner), F.lit(0))).drop("_r", "_before")
+
+
 def evaluate(scored: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """Accuracy, precision, recall, F1 and ROC-AUC (by average ranks) of prob against label, by ``keys``.
+    """Accuracy, precision, recall, F1 and ROC-AUC (by average ranks) of prob against label, by ``keys``; rows without a prob are left out.
 
     Ranks come from counts of each distinct probability, so ties and sizes do not matter.
     """
     y, hit = F.col("label") == 1, F.col("prob") >= 0.5
     c = lambda x: F.sum(F.when(x, F.col("n")).otherwise(0))
-    by = scored.groupBy(*keys, "label", "prob").agg(F.count("*").alias("n"))
+    by = scored.filter("prob is not null").groupBy(*keys, "label", "prob").agg(F.count("*").alias("n"))
     base = by.groupBy(*keys).agg(c(y & hit).alias("tp"), c(~y & hit).alias("fp"), c(y & ~hit).alias("fn"), c(~y & ~hit).alias("tn"))
     pos = by.groupBy(*keys, "prob").agg(F.sum(F.when(y, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(~y, F.col("n")).otherwise(0)).alias("q"))
-    w = Window.partitionBy(*keys).orderBy("prob")
-    pos = pos.withColumn("below", F.sum("q").over(w) - F.col("q"))
-    auc = pos.groupBy(*keys).agg(ratio(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auc"))
+    pos = _counted_before(pos, list(keys), "q")
+    auc = pos.groupBy(*keys).agg(ratio(F.sum(F.col("p") * (F.col("before") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auc"))
     made = base.join(auc, list(keys)) if keys else base.crossJoin(auc)  # without keys both are one row
-    made = made.withColumns({"accuracy": ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")), "precision": F.coalesce(ratio(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)), "recall": F.coalesce(ratio(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))})
-    return made.withColumn("f1", F.coalesce(ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))).select(*keys, "accuracy", "precision", "recall", "f1", "auc")
+    made = made.withColumns({
+        "accuracy": ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")),
+        "precision": F.coalesce(ratio(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)),
+        "recall": F.coalesce(ratio(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))})
+    f1 = F.coalesce(ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
+    return made.withColumn("f1", f1).select(*keys, "accuracy", "precision", "recall", "f1", "auc")
+
+
+def rank_models(scored: DataFrame, model: str = "model") -> DataFrame:
+    """The measures of each model and its place by F1; equal ones by the model's name."""
+    made = evaluate(scored, [model])  # one row a model
+    return made.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("f1"), model)))
+
+
+PERCENTILES = {"median_prob": 0.5, "p75_prob": 0.75, "p90_prob": 0.9, "p95_prob": 0.95}
 
 
 def probability_profile(scored: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Least, largest and mean probability, and the share that passes each threshold."""
+    """Least, largest and mean probability, its percentiles (between neighbours in proportion), and the share that passes each threshold.
+
+    Percentiles are found by the counts of distinct probabilities, without ordering all in one task.
+    """
     p = F.col("prob")
-    one = scored.agg(F.min(p).alias("min_prob"), F.max(p).alias("max_prob"), F.avg(p).alias("mean_prob"), F.percentile(p, F.lit(0.5)).alias("median_prob"), F.array(*[F.struct(F.lit(float(t)).alias("threshold"), (100 * F.count_if(p >= t) / F.count("*")).alias("pass_rate")) for t in thresholds]).alias("a"))
-    return one.select("min_prob", "max_prob", "mean_prob", "median_prob", F.explode("a").alias("x")).select("min_prob", "max_prob", "mean_prob", "median_prob", "x.*")
+    one = scored.filter("prob is not null").agg(
+        F.count("*").alias("_n"), F.min(p).alias("min_prob"), F.max(p).alias("max_prob"), F.avg(p).alias("mean_prob"),
+        F.array(*[F.struct(F.lit(float(t)).alias("threshold"), (100 * ratio(F.count_if(p >= t), F.count("*"))).alias("pass_rate")) for t in thresholds]).alias("a"))
+    counts = _counted_before(scored.filter("prob is not null").groupBy("prob").agg(F.count("*").alias("c")), [], "c")
+    placed = counts.crossJoin(F.broadcast(one.select("_n")))  # one row
+    at = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("c")), p))
+
+    def percentile(q: float) -> Column:
+        place = (F.col("_n") - 1) * F.lit(q)
+        low, share = at(F.floor(place)), F.max(place - F.floor(place))
+        return low + (at(F.ceil(place)) - low) * share
+
+    found = placed.agg(*[percentile(q).alias(n) for n, q in PERCENTILES.items()])
+    held = ["min_prob", "max_prob", "mean_prob", *PERCENTILES]
+    return one.crossJoin(found).select(*held, F.explode("a").alias("x")).select(*held, "x.*")  # one row each
 
 
 def histogram(scored: DataFrame, bins: int = 10) -> DataFrame:

@@ -173,19 +173,32 @@ def excursions(trades: DataFrame, bars: DataFrame, hours: int = 8) -> DataFrame:
 
 
 def one_position(trades: DataFrame, keys: list[str]) -> DataFrame:
-    """Trades kept if they start after the exit of the last kept one, by ``keys`` (a greedy scan of sorted rows)."""
-    schema = T.StructType(trades.schema.fields)
+    """Trades kept if they start after the exit of the last kept one, by ``keys``; equal starts by exit.
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "exit_ts"])
-        kept, free = [], pd.Timestamp.min
-        for ts, end in zip(pdf["ts"], pdf["exit_ts"], strict=True):
-            ok = ts > free
-            kept.append(ok)
-            free = end if ok else free
-        return pdf[kept]
+    A trade without an exit lets none follow; one without a start is not kept.  Sorted rows
+    stream through the task (the sort can spill), which goes from one kept trade straight to
+    the next and holds a batch and one time only, however long a series is.
+    """
 
-    return trades.groupBy(*keys).applyInPandas(scan, schema)
+    def scan(batches):
+        held, free = None, None
+        for pdf in batches:
+            kept = []
+            for key, g in pdf.groupby(keys, dropna=False, sort=False):
+                key = tuple(None if pd.isna(k) else k for k in key)
+                if key != held:
+                    held, free = key, None
+                starts, ends = g["ts"].to_numpy(), g["exit_ts"].to_numpy()
+                n = len(starts) - int(pd.isna(starts).sum())  # missing starts come last
+                at = 0 if free is None else n if pd.isna(free) else int(starts[:n].searchsorted(free, "right"))
+                while at < n:
+                    kept.append(g.index[at])
+                    free = ends[at]
+                    at = n if pd.isna(free) else max(at + 1, int(starts[:n].searchsorted(free, "right")))
+            yield pdf.loc[kept]
+
+    order = [F.col("ts").asc_nulls_last(), F.col("exit_ts").asc_nulls_last()]
+    return trades.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(scan, trades.schema)
 
 
 def match_fifo(fills: DataFrame) -> DataFrame:
@@ -336,7 +349,18 @@ def position_summary(executions: DataFrame) -> DataFrame:
 def execution_stats(executions: DataFrame, since=None) -> DataFrame:
     e = executions if since is None else executions.filter(F.col("created_at") >= F.lit(since))
     is_ = lambda s: F.count_if(F.col("status") == s)
-    return e.agg(F.count("*").alias("total"), is_("FILLED").alias("filled"), is_("CANCELLED").alias("cancelled"), (100 * ratio(is_("FILLED"), F.count("*"))).alias("fill_rate"), (100 * ratio(is_("CANCELLED"), F.count("*"))).alias("cancel_rate"), F.countDistinct("symbol").alias("symbols"))
+    kind = lambda s: F.count_if(F.col("execution_type") == s)
+    return e.agg(
+        F.count("*").alias("total"), is_("FILLED").alias("filled"), is_("PENDING").alias("pending"), is_("CANCELLED").alias("cancelled"), kind("ENTRY").alias("entries"), kind("EXIT").alias("exits"),
+        (100 * ratio(is_("FILLED"), F.count("*"))).alias("fill_rate"), (100 * ratio(is_("CANCELLED"), F.count("*"))).alias("cancel_rate"), F.countDistinct("symbol").alias("symbols"))
+
+
+def execution_top(executions: DataFrame, since=None, k: int = 10) -> DataFrame:
+    """The ``k`` symbols with most executions: total, filled and mean price of filled ones; equal ones by name."""
+    e = executions if since is None else executions.filter(F.col("created_at") >= F.lit(since))
+    filled = F.col("status") == "FILLED"
+    by = e.groupBy("symbol").agg(F.count("*").alias("total"), F.count_if(filled).alias("filled"), F.avg(F.when(filled, F.col("executed_price"))).alias("avg_price"))
+    return top_k(by, "total", k, ["symbol"])
 
 
 def position_status(levels: DataFrame) -> DataFrame:

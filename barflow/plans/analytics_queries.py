@@ -12,6 +12,7 @@ from ..functions.columns import KEY, rounded
 from ..operators import analytics as A
 from ..operators import ml as M
 from ..sources import fixtures as X
+from ..sources.files import saved
 from ..sources.fixtures import bars, bars_sql
 from .indicator_queries import ROC_SQL, _rsi_sql, ema_sql
 from .trade_queries import OUT_SQL, PLAN_SQL, hourly, ind_sql, outcomes, r6
@@ -86,7 +87,7 @@ _query("m05_split", lambda s, d: M.split(scores(s, d), ["doc_id"]).select("doc_i
 
 def trained(s, d) -> DataFrame:
     """Out-of-sample probabilities of a random forest on the labelled samples."""
-    parts = M.split(samples(s, d), KEY)
+    parts = saved(M.split(samples(s, d), KEY), "samples")
     model = M.train(parts.filter("not is_test"), M.FEATURES, min_samples=20)
     test = parts.filter("is_test")
     scored = M.score(model, test, M.FEATURES) if model else test.withColumn("prob", F.lit(1.0))
@@ -94,10 +95,46 @@ def trained(s, d) -> DataFrame:
 
 
 _query("m06_train", trained)
+
+
+def by_symbol(s, d) -> DataFrame:
+    """Each symbol's samples on both sides of the split, whether it has a model of its own, and whether all its probabilities are such."""
+    parts = saved(M.split(samples(s, d), KEY), "samples", "symbol")
+    models = M.train_by_symbol(parts.filter("not is_test"), M.FEATURES)
+    scored = M.score_by_symbol(models, parts, M.FEATURES)
+    has = F.coalesce(F.col("symbol").isin(*models), F.lit(False))
+    return scored.groupBy("symbol").agg(
+        F.count_if(~F.col("is_test")).alias("n_train"), F.count_if(F.col("is_test")).alias("n_test"), F.max(has).alias("trained"),
+        F.min(F.when(has, F.col("prob").between(0, 1)).otherwise(F.col("prob") == 1)).alias("in_bounds"))
+
+
+_query("m06b_train_by_symbol", by_symbol, f"""{SAMPLES}, r as (select symbol, label, row_number() over (partition by label order by md5('42|' || symbol || '|' || timeframe || '|' || ts::varchar), symbol, timeframe, ts) <= floor(count(*) over (partition by label) * 0.2) as is_test from sml)
+select symbol, count(*) filter (not is_test) as n_train, count(*) filter (is_test) as n_test, count(*) filter (not is_test) >= 50 and count(distinct label) filter (not is_test) > 1 as trained, true as in_bounds from r group by symbol""")
+
+
+def compared(s, d) -> DataFrame:
+    """Random forest and boosted trees by their out-of-sample probabilities, ranked by F1."""
+    parts = saved(M.split(samples(s, d), KEY), "samples")
+    test = parts.filter("is_test")
+    made = None
+    for kind in ("rf", "gbt"):
+        model = M.train(parts.filter("not is_test"), M.FEATURES, kind, 20)
+        scored = (M.score(model, test, M.FEATURES) if model else test.withColumn("prob", F.lit(1.0))).select(F.lit(kind).alias("model"), "label", "prob")
+        made = scored if made is None else made.unionByName(scored)
+    return M.rank_models(made)
+
+
+_query("m07b_compare_models", compared)
 EVAL = """c as (select count(*) filter (label = 1 and prob >= 0.5) as tp, count(*) filter (label <> 1 and prob >= 0.5) as fp, count(*) filter (label = 1 and prob < 0.5) as fn, count(*) filter (label <> 1 and prob < 0.5) as tn from sc),
 a as (select sum(case when p.prob > q.prob then 1.0 when p.prob = q.prob then 0.5 else 0 end) / count(*) as auc from (select prob from sc where label = 1) p cross join (select prob from sc where label <> 1) q),
 e as (select (tp + tn) / (tp + tn + fp + fn) as accuracy, coalesce(tp / nullif(tp + fp, 0), 0) as precision, coalesce(tp / nullif(tp + fn, 0), 0) as recall, auc from c, a)"""
 _query("m07_evaluate", lambda s, d: M.evaluate(scores(s, d)), f"{SCORES_SQL}, {EVAL} select {r6('accuracy', 'precision', 'recall', 'coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) as f1', 'auc')} from e")
-_query("m08_probability_profile", lambda s, d: M.probability_profile(scores(s, d), [0.3, 0.5, 0.7]), f"{SCORES_SQL}, o as (select min(prob) as mn, max(prob) as mx, avg(prob) as av, quantile_cont(prob, 0.5) as md from sc), t(threshold) as (values (0.3::double), (0.5), (0.7)) select {r6('any_value(mn) as min_prob', 'any_value(mx) as max_prob', 'any_value(av) as mean_prob', 'any_value(md) as median_prob')}, threshold, {r6('100.0 * count(*) filter (prob >= threshold) / count(*) as pass_rate')} from sc, o, t group by threshold")
+MODEL_SQL = SCORES_SQL.replace("with sc as", "with one as") + ", sc as (select doc_id, symbol as model, label, prob from one)"
+_query("m07c_rank_models", lambda s, d: M.rank_models(scores(s, d).withColumnRenamed("symbol", "model")), f"""{MODEL_SQL}, c as (select model, count(*) filter (label = 1 and prob >= 0.5) as tp, count(*) filter (label <> 1 and prob >= 0.5) as fp, count(*) filter (label = 1 and prob < 0.5) as fn, count(*) filter (label <> 1 and prob < 0.5) as tn from sc group by 1),
+a as (select model, sum(case when p.prob > q.prob then 1.0 when p.prob = q.prob then 0.5 else 0 end) / count(*) as auc from (select model, prob from sc where label = 1) p join (select model, prob from sc where label <> 1) q using (model) group by 1),
+e as (select model, (tp + tn) / (tp + tn + fp + fn) as accuracy, coalesce(tp / nullif(tp + fp, 0), 0) as precision, coalesce(tp / nullif(tp + fn, 0), 0) as recall, auc from c left join a using (model)), f as (select *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) as f1 from e)
+select model, {r6('accuracy', 'precision', 'recall', 'f1', 'auc')}, row_number() over (order by f1 desc, model)::integer as place from f""")
+_query("m08_probability_profile", lambda s, d: M.probability_profile(scores(s, d), [0.3, 0.5, 0.7]), f"""{SCORES_SQL}, o as (select min(prob) as mn, max(prob) as mx, avg(prob) as av, {', '.join(f'quantile_cont(prob, {q}) as {n}_' for n, q in M.PERCENTILES.items())} from sc), t(threshold) as (values (0.3::double), (0.5), (0.7))
+select {r6('any_value(mn) as min_prob', 'any_value(mx) as max_prob', 'any_value(av) as mean_prob', *(f'any_value({n}_) as {n}' for n in M.PERCENTILES))}, threshold, {r6('100.0 * count(*) filter (prob >= threshold) / count(*) as pass_rate')} from sc, o, t group by threshold""")
 _query("m08b_histogram", lambda s, d: M.histogram(scores(s, d)), f"{SCORES_SQL} select least(floor(prob * 10)::integer + 1, 10) as bin, count(*) as n, {r6('avg(label) as positive')} from sc group by 1")
 _query("m09_filter_by_probability", lambda s, d: M.filter_by_probability(X.table(s, d, "documents").select("doc_id", "lang"), scores(s, d), ["doc_id"], 0.6), f"{SCORES_SQL} select d.doc_id, d.lang, {r6('coalesce(prob, 1.0) as prob')} from documents d left join sc using (doc_id) where coalesce(prob, 1.0) >= 0.6")

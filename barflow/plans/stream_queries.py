@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEY, rounded
 from ..operators import signals as P
 from ..sources import files as S
 from ..sources import fixtures as X
+from ..sources.files import shared_folder
 from ..sources.fixtures import bars, bars_sql
 from ..streaming import jobs as R
 from .clean_queries import TWO_SQL, two
@@ -22,19 +21,9 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the cluster's checkpoints; in local mode a temporary one where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base or base.startswith("<"):  # an optional setting without a value reads as <undefined>
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="barflow-")
-    return f"{base.rstrip('/')}/barflow/{name}-{uuid.uuid4().hex}"
-
-
 def streamed(df: DataFrame, files: int = 3, order: str = "ts") -> DataFrame:
     """The rows as a stream of ``files`` Parquet folders, one a trigger, in rising ``order``."""
-    spark, path = df.sparkSession, _folder(df.sparkSession, "stream")
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, "stream")
     cuts = df.agg(F.percentile_approx(F.unix_micros(F.col(order).cast("timestamp")), [i / files for i in range(1, files)], 10000).alias("q")).first().q or []
     part = F.lit(0)
     for q in cuts:
@@ -47,7 +36,7 @@ def streamed(df: DataFrame, files: int = 3, order: str = "ts") -> DataFrame:
 
 def drained(stream: DataFrame) -> DataFrame:
     """All that an append-mode query gives once its source is empty."""
-    spark, path = stream.sparkSession, _folder(stream.sparkSession, "sink")
+    spark, path = stream.sparkSession, shared_folder(stream.sparkSession, "sink")
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
@@ -93,8 +82,9 @@ def live_signals(spark, sf_dir) -> DataFrame:
 
 
 def alerts(spark, sf_dir) -> DataFrame:
-    plan = P.trade_plan(P.vwap_bounce(hourly(spark, sf_dir), PARAMS)).select("symbol", "ts", "side", "entry", "sl", "tp")
-    return plain(drained(R.alert_stream(streamed(bar_rows(spark, sf_dir, False)), plan)), "symbol", "alert_ts", "ts", "reason")
+    plan = P.trade_plan(P.vwap_bounce(hourly(spark, sf_dir), PARAMS)).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "side", "entry", "sl", "tp")
+    rows = bar_rows(spark, sf_dir, False).unionByName(plan, allowMissingColumns=True)
+    return plain(drained(R.alert_stream(streamed(rows))), "symbol", "alert_ts", "ts", "reason")
 
 
 def throttled(spark, sf_dir) -> DataFrame:
@@ -157,7 +147,7 @@ _query("s05_append_new", lambda s, d: S.append_new(two(s, d)[0].select(*KEY, "cl
 
 def candle_files(s, d) -> DataFrame:
     """Bars written as CSV in two formats of header into one folder, and read back."""
-    path, b = _folder(s, "candles"), bars(s, d).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    path, b = shared_folder(s, "candles"), bars(s, d).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     one = b.filter("symbol < 'm'").select(F.col("ts").alias("Datetime"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), F.col("volume").alias("Volume"), F.col("symbol").alias("Symbol"), F.col("timeframe").alias("Timeframe"))
     other = b.filter("symbol >= 'm'").select("timeframe", "close", "high", "low", "open", F.col("ts").alias("time"), F.col("symbol").alias("ticker"))
     for x in (one, other):
@@ -170,7 +160,7 @@ _query("s01_candle_csv", candle_files, f"with {bars_sql('b')} select symbol, tim
 
 def audits(s, d) -> DataFrame:
     """Bars and a trade a day as nested audit documents of a day each, written and read back; bars and trades in one table."""
-    path, b = _folder(s, "audits"), bars(s, d)
+    path, b = shared_folder(s, "audits"), bars(s, d)
     text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     day = b.groupBy("symbol", "timeframe", F.to_date("ts").alias("day")).agg(
         F.collect_list(F.struct(text.alias("timestamp"), "open", "high", "low", "close", F.create_map(F.lit("vol"), F.col("volume")).alias("indicators"), F.lit("NONE").alias("signal"))).alias("bars"),
@@ -185,7 +175,7 @@ _query("s02_audit_json", audits, f"with {bars_sql('b')} select symbol, timeframe
 
 def stored_indicators(s, d) -> DataFrame:
     """The last 48 rows of each series, then the last 24 of one with other values."""
-    path, b = _folder(s, "indicators"), hourly(s, d)
+    path, b = shared_folder(s, "indicators"), hourly(s, d)
     S.write_indicators(b, path, ["vwap", "atr"], 48)
     S.write_indicators(b.filter("symbol = 'click'").withColumn("atr", F.col("atr") * 2), path, ["vwap", "atr"], 24)
     return s.read.parquet(path).select("symbol", F.col("timeframe").cast("string").alias("timeframe"), "ts", "vwap", "atr")
@@ -195,7 +185,7 @@ _query("s06_write_indicators", stored_indicators, f"with {ind_sql()}, n as (sele
 
 
 def exported(s, d) -> DataFrame:
-    path = _folder(s, "export")
+    path = shared_folder(s, "export")
     b = bars(s, d).select(*KEY, "close", "volume")
     S.export_since(b, "ts", CUT, path)
     return s.read.schema(b.schema).json(path)

@@ -253,7 +253,9 @@ _query("t23_adaptive_slippage", lambda s, d: T.adaptive_slippage(hourly(s, d).wi
 EX = f"with {X.EXECUTIONS_SQL}"
 _query("t24_position_summary", lambda s, d: T.position_summary(X.executions(s, d)), f"""{EX} select symbol, position_id, count(*) filter (status = 'FILLED') as filled, count(*) filter (status = 'PENDING') as pending, count(*) filter (status = 'CANCELLED') as cancelled,
 {r6("coalesce(sum(quantity) filter (status = 'FILLED' and execution_type = 'ENTRY'), 0) as shares", "coalesce(sum(quantity * executed_price) filter (status = 'FILLED' and execution_type = 'ENTRY'), 0) as invested", "coalesce(sum(quantity * executed_price) filter (status = 'FILLED' and execution_type <> 'ENTRY'), 0) as proceeds")}, count(*) as levels, {r6("100.0 * count(*) filter (status = 'FILLED') / count(*) as progress_pct")} from executions group by all""")
-_query("t25_execution_stats", lambda s, d: T.execution_stats(X.executions(s, d), dt.datetime(1994, 1, 1)), f"{EX} select count(*) as total, count(*) filter (status = 'FILLED') as filled, count(*) filter (status = 'CANCELLED') as cancelled, {r6("100.0 * count(*) filter (status = 'FILLED') / count(*) as fill_rate", "100.0 * count(*) filter (status = 'CANCELLED') / count(*) as cancel_rate")}, count(distinct symbol) as symbols from executions where created_at >= '1994-01-01'")
+_query("t25_execution_stats", lambda s, d: T.execution_stats(X.executions(s, d), dt.datetime(1994, 1, 1)), f"""{EX} select count(*) as total, count(*) filter (status = 'FILLED') as filled, count(*) filter (status = 'PENDING') as pending, count(*) filter (status = 'CANCELLED') as cancelled,
+count(*) filter (execution_type = 'ENTRY') as entries, count(*) filter (execution_type = 'EXIT') as exits, {r6("100.0 * count(*) filter (status = 'FILLED') / count(*) as fill_rate", "100.0 * count(*) filter (status = 'CANCELLED') / count(*) as cancel_rate")}, count(distinct symbol) as symbols from executions where created_at >= '1994-01-01'""")
+_query("t25b_execution_top", lambda s, d: T.execution_top(X.executions(s, d), dt.datetime(1994, 1, 1)), f"{EX} select symbol, count(*) as total, count(*) filter (status = 'FILLED') as filled, {r6("avg(executed_price) filter (status = 'FILLED') as avg_price")} from executions where created_at >= '1994-01-01' group by symbol order by total desc, symbol limit 10")
 _query("t26_position_status", lambda s, d: T.position_status(X.executions(s, d)), f"""{EX}, g as (select symbol, position_id, count(*) filter (execution_type = 'ENTRY') as e, count(*) filter (execution_type = 'ENTRY' and status = 'FILLED') as ef, count(*) filter (execution_type = 'EXIT') as x, count(*) filter (execution_type = 'EXIT' and status = 'FILLED') as xf, count(*) filter (execution_type = 'STOP_LOSS' and status = 'FILLED') as sf,
 sum(quantity * executed_price) filter (status = 'FILLED' and execution_type = 'ENTRY') / sum(quantity) filter (status = 'FILLED' and execution_type = 'ENTRY') as avg_entry from executions group by all)
 select symbol, position_id, case when sf > 0 then 'STOPPED' when x > 0 and xf = x then 'CLOSED' when xf > 0 then 'EXITING' when ef = 0 then 'PENDING' when ef < e then 'PARTIAL' else 'OPEN' end as position_status, {r6('avg_entry')} from g""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -125,3 +126,20 @@ def merge_gap_ledger(ledger: DataFrame, fills: DataFrame, order: list[str] | Non
     new = fills.groupBy(*keys).agg(last.alias("_l"), F.count("*").cast("int").alias("_new")).select(*keys, "_l._m", "_l._b", "_new")
     both = ledger.join(new, keys, "full_outer")
     return both.select(*keys, F.coalesce("_m", "method").alias("method"), F.coalesce("_b", "bars_added").alias("bars_added"), (F.coalesce("fill_count", F.lit(0)) + F.coalesce("_new", F.lit(0))).alias("fill_count"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the cluster's checkpoints; in local mode a temporary one where none is set."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base or base.startswith("<"):  # an optional setting without a value reads as <undefined>
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="barflow-")
+    return f"{base.rstrip('/')}/barflow/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """``df`` as a new Parquet table in the shared folder, so that several jobs over it do not make it again; ``parts``: its folders."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.partitionBy(*parts).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

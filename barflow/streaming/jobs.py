@@ -1,13 +1,15 @@
 """Structured Streaming forms of collecting, signalling and monitoring.
 
 State is kept by symbol and bounded: watermarks drop what is too late, and the
-stateful jobs keep one value or a fixed number of bars a symbol.
+stateful jobs keep a few values, a fixed number of volumes or the open alerts of a symbol.
+A symbol's rows of one trigger meet in its task, so sources should bound the rows of a trigger.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,62 +92,70 @@ def throttle_stream(signals: DataFrame, minutes: float = 30.0, step: float = 10.
     return signals.groupBy("symbol").applyInPandasWithState(update, "symbol string, ts timestamp, strength double, direction string", "at bigint, strength double, direction string", "append", GroupStateTimeout.NoTimeout)
 
 
-def signal_stream(bars: DataFrame, wick_ratio: float = 1.0, vol_mult: float = 1.0, keep: int = 200) -> DataFrame:
-    """Entries on closed bars; the state of a symbol is its last ``keep`` bars, enough for the day's VWAP and the volume mean."""
+def signal_stream(bars: DataFrame, wick_ratio: float = 1.0, vol_mult: float = 1.0, mean_bars: int = 20) -> DataFrame:
+    """Entries on closed bars of any width; a symbol's state is its last time, the day's sums for the VWAP and its last volumes."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = ["ts", "open", "high", "low", "close", "volume"]
-        new = pd.concat(list(batches))[names].drop_duplicates("ts").sort_values("ts")
-        if state.exists:
-            old = pd.DataFrame(dict(zip(names, state.get, strict=True)))
-            old["ts"] = pd.to_datetime(old["ts"], unit="us")
-            new = new[new["ts"] > old["ts"].max()]
-            every = pd.concat([old, new], ignore_index=True)
-        else:
-            every = new.reset_index(drop=True)
-        ny = every["ts"].dt.tz_localize("UTC").dt.tz_convert("America/New_York").dt.date
-        value = (every["high"] + every["low"] + every["close"]) / 3 * every["volume"]
-        vwap = value.groupby(ny).cumsum() / every["volume"].groupby(ny).cumsum().replace(0, float("nan"))
-        mean = every["volume"].rolling(20).mean()
-        body = (every["close"] - every["open"]).abs()
-        lower, upper = every[["open", "close"]].min(axis=1) - every["low"], every["high"] - every[["open", "close"]].max(axis=1)
-        loud = (every["volume"] > mean * vol_mult) & (mean != 0)
-        side = pd.Series(None, index=every.index, dtype=object)
-        side[loud & (every["high"] >= vwap) & (every["close"] < vwap) & (upper > wick_ratio * body)] = "SHORT"
-        side[loud & (every["low"] <= vwap) & (every["close"] > vwap) & (lower > wick_ratio * body)] = "LONG"
-        out = every.assign(side=side, symbol=key[0])[every["ts"].isin(new["ts"]) & side.notna()]
-        tail = every.tail(keep)
-        state.update(([int(t.value // 1000) for t in tail["ts"]], *[tail[c].astype(float).tolist() for c in names[1:]]))
-        yield out[["symbol", "ts", "side", "close"]]
-
-    lists = "ts array<bigint>, open array<double>, high array<double>, low array<double>, close array<double>, volume array<double>"
-    return bars.groupBy("symbol").applyInPandasWithState(update, "symbol string, ts timestamp, side string, close double", lists, "append", GroupStateTimeout.NoTimeout)
-
-
-def alert_stream(bars: DataFrame, alerts: DataFrame, hours: int = 8) -> DataFrame:
-    """First exit of each open alert (a static table): later bars joined by symbol, one row an alert by state.
-
-    The time stop ends at the first bar at or after alert_ts + ``hours``, however late.
+        last, day, value_sum, volume_sum, volumes = state.get if state.exists else (None, None, 0.0, 0.0, [])
+        new = pd.concat(list(batches))[["ts", "open", "high", "low", "close", "volume"]].drop_duplicates("ts").sort_values("ts")
+        if last is not None:
+            new = new[new["ts"] > pd.Timestamp(last, unit="us")]
+        new = new.reset_index(drop=True)
+        if new.empty:
+            return
+        ny = new["ts"].dt.tz_localize("UTC").dt.tz_convert("America/New_York").dt.date.astype(str)
+        value, same = (new["high"] + new["low"] + new["close"]) / 3 * new["volume"], ny == day
+        values, sums = value.groupby(ny).cumsum() + same * value_sum, new["volume"].groupby(ny).cumsum() + same * volume_sum
+        vwap = values / sums.replace(0, float("nan"))
+        longer = pd.concat([pd.Series(volumes, dtype=float), new["volume"]], ignore_index=True)
+        mean = longer.rolling(mean_bars).mean().iloc[len(volumes):].reset_index(drop=True)
+        body = (new["close"] - new["open"]).abs()
+        lower, upper = new[["open", "close"]].min(axis=1) - new["low"], new["high"] - new[["open", "close"]].max(axis=1)
+        loud = (new["volume"] > mean * vol_mult) & (mean != 0)
+        side = pd.Series(None, index=new.index, dtype=object)
+        side[loud & (new["high"] >= vwap) & (new["close"] < vwap) & (upper > wick_ratio * body)] = "SHORT"
+        side[loud & (new["low"] <= vwap) & (new["close"] > vwap) & (lower > wick_ratio * body)] = "LONG"
+        state.update((int(new["ts"].iloc[-1].value // 1000), ny.iloc[-1], float(values.iloc[-1]), float(sums.iloc[-1]), longer.tail(mean_bars - 1).astype(float).tolist()))
+        yield new.assign(side=side, symbol=key[0])[side.notna()][["symbol", "ts", "side", "close"]]
+
+    held = "last bigint, day string, value_sum double, volume_sum double, volumes array<double>"
+    return bars.groupBy("symbol").applyInPandasWithState(update, "symbol string, ts timestamp, side string, close double", held, "append", GroupStateTimeout.NoTimeout)
+
+
+def alert_stream(rows: DataFrame, hours: int = 8) -> DataFrame:
+    """First exit of each alert.  One stream holds bars (symbol, ts, high, low) and alerts (symbol, ts, side, entry, sl, tp; bars have no entry).
+
+    An alert comes no later than the bars after it.  The state of a symbol is its open alerts:
+    one that ended leaves it, and each ends by the first bar at or after its time + ``hours``, however
+    late, so it does not grow with the past.  The stop wins a bar that reaches both.
     """
-    a = alerts.select("symbol", F.col("ts").cast("timestamp").alias("alert_ts"), "side", "entry", "sl", "tp")
-    j = bars.join(a, "symbol").filter(F.col("ts") > F.col("alert_ts"))
-    long = F.col("side") == "LONG"
-    sl, tp = F.when(long, F.col("low") <= F.col("sl")).otherwise(F.col("high") >= F.col("sl")), F.when(long, F.col("high") >= F.col("tp")).otherwise(F.col("low") <= F.col("tp"))
-    reason = F.when(sl, "SL").when(tp, "TP").when(F.col("ts") >= F.col("alert_ts") + F.make_dt_interval(hours=F.lit(hours)), "TIME_STOP")
-    hits = j.withColumn("reason", reason).filter("reason is not null")
+    span = np.timedelta64(hours, "h")
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first = None
-        for b in batches:
-            least = b.nsmallest(1, "ts")
-            first = least if first is None or least["ts"].iloc[0] < first["ts"].iloc[0] else first
+        new = pd.concat(list(batches)).sort_values("ts")
+        bars, opened = new[new["entry"].isna()], new[new["entry"].notna()][["ts", "side", "sl", "tp"]].drop_duplicates("ts")
         if state.exists:
-            first = first.iloc[:0]
-        else:
-            state.update((True,))
-        yield first[["symbol", "alert_ts", "ts", "reason"]]
-
-    return hits.groupBy("symbol", "alert_ts").applyInPandasWithState(update, "symbol string, alert_ts timestamp, ts timestamp, reason string", "done boolean", "append", GroupStateTimeout.NoTimeout)
+            old = pd.DataFrame(dict(zip(["ts", "side", "sl", "tp"], state.get, strict=True)))
+            opened = pd.concat([old.assign(ts=pd.to_datetime(old["ts"], unit="us").astype(new["ts"].dtype)), opened])
+        ts, low, high = bars["ts"].to_numpy(), bars["low"].to_numpy(float), bars["high"].to_numpy(float)
+        ended, left = [], []
+        for at, side, sl, tp in zip(opened["ts"].to_numpy(), opened["side"], opened["sl"], opened["tp"], strict=True):
+            a, b = ts.searchsorted(at, "right"), ts.searchsorted(at + span, "left") + 1  # up to the first bar at or after the time stop
+            stop, target = (low[a:b] <= sl, high[a:b] >= tp) if side == "LONG" else (high[a:b] >= sl, low[a:b] <= tp)
+            hit = stop | target | (ts[a:b] >= at + span)
+            if hit.any():
+                i = int(hit.argmax())
+                ended.append((key[0], pd.Timestamp(at), pd.Timestamp(ts[a + i]), "SL" if stop[i] else "TP" if target[i] else "TIME_STOP"))
+            else:
+                left.append((pd.Timestamp(at).value // 1000, side, float(sl), float(tp)))
+        if left:
+            state.update(tuple(list(c) for c in zip(*left, strict=True)))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(ended, columns=["symbol", "alert_ts", "ts", "reason"])
+
+    held = "ts array<bigint>, side array<string>, sl array<double>, tp array<double>"
+    return rows.groupBy("symbol").applyInPandasWithState(update, "symbol string, alert_ts timestamp, ts timestamp, reason string", held, "append", GroupStateTimeout.NoTimeout)
 
 
 def confirm_stream(forming: DataFrame, closed: DataFrame, late: str = LATE) -> DataFrame:

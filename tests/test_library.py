@@ -6,12 +6,15 @@ import random
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from barflow import registry
 from barflow.functions import indicators as I
+from barflow.functions.ema import ema
 from barflow.operators import clean as C
+from barflow.operators import ml as M
 from barflow.operators import quality as Q
 from barflow.operators import signals as S
 from barflow.operators import trades as T
@@ -232,7 +235,7 @@ def test_layered_plan_and_targets(spark):
     assert len(best) == 4 and [r.exit_pct for r in best] == [70, 30, 0, 0] and best[0].score == max(r.score for r in best)
 
 
-TWINS = ["i03_rsi", "i07_session_vwap", "d09_patch_merge", "g03_classify_gaps", "g10_flat_fill", "q08_check_ohlc", "q24_source_overview", "p05_vwap_bounce", "j06_compare_sources", "t03_bracket_outcomes", "t11_metric_summary", "a09_collector_performance", "m07_evaluate", "s01_candle_csv", "s04_upsert_bars", "s06_write_indicators", "t06_match_fifo", "p18_rank_targets", "p20_exit_urgency", "r04_gap_stream"]
+TWINS = ["i03_rsi", "i07_session_vwap", "d09_patch_merge", "g03_classify_gaps", "g10_flat_fill", "q08_check_ohlc", "q24_source_overview", "p05_vwap_bounce", "j06_compare_sources", "t03_bracket_outcomes", "t11_metric_summary", "a09_collector_performance", "m07_evaluate", "s01_candle_csv", "s04_upsert_bars", "s06_write_indicators", "t06_match_fifo", "p18_rank_targets", "p20_exit_urgency", "r04_gap_stream", "r05_signal_stream", "r06_alert_stream", "m07c_rank_models", "m08_probability_profile"]
 
 
 @pytest.mark.parametrize("name", TWINS)
@@ -310,8 +313,8 @@ def test_alert_stream_time_stop_after_a_gap(spark):
     from barflow.streaming import jobs
 
     b = make(spark, [(0, 100, 100, 100, 100, 1), (2, 100, 100, 100, 100, 1), (60, 101, 101, 101, 101, 1), (61, 1, 300, 1, 1, 1)])
-    stream = streamed(b.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "open", "high", "low", "close", "volume"))
-    got = drained(jobs.alert_stream(stream, signal(spark))).select(F.col("ts").cast("timestamp_ntz"), "reason").collect()
+    rows = b.unionByName(signal(spark), allowMissingColumns=True).withColumn("ts", F.col("ts").cast("timestamp"))
+    got = drained(jobs.alert_stream(streamed(rows.select("symbol", "ts", "high", "low", "side", "entry", "sl", "tp")))).select(F.col("ts").cast("timestamp_ntz"), "reason").collect()
     assert [(r.ts, r.reason) for r in got] == [(T0 + dt.timedelta(hours=60), "TIME_STOP")]
 
 
@@ -344,3 +347,66 @@ def test_excursions_cover_the_whole_trade(spark):
     b = make(spark, [(0, 100, 100, 100, 100, 1), (5, 100, 101, 99, 100, 1), (30, 100, 120, 90, 100, 1), (50, 100, 100, 70, 100, 1), (51, 100, 999, 1, 100, 1)])
     t = signal(spark).withColumn("exit_ts", F.lit(T0 + dt.timedelta(hours=50)).cast("timestamp_ntz"))
     assert [(round(r.mfe_pct, 6), round(r.mae_pct, 6)) for r in T.excursions(t, b).collect()] == [(20.0, -30.0)]
+
+
+def test_ema_over_chunks_and_nulls(spark):
+    rnd = random.Random(5)
+    closes = [None if rnd.random() < 0.2 else 100 + rnd.uniform(-5, 5) for _ in range(60)]
+    rows = [("X", "1h", T0 + dt.timedelta(hours=i), c) for i, c in enumerate([None, *closes])]
+    got = [r.e for r in ema(spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp_ntz, close double"), {"e": ("close", 9)}, chunk=7).orderBy("ts").collect()]
+    y, want = None, []
+    for r in rows:
+        if r[3] is not None:
+            y = r[3] if y is None else y + 0.2 * (r[3] - y)
+        want.append(y)
+    assert got[0] is None or math.isnan(got[0])
+    assert got[1:] == pytest.approx([w if w is not None else math.nan for w in want[1:]], nan_ok=True)
+
+
+def test_one_position_over_batches(spark):
+    rnd = random.Random(6)
+    rows = []
+    for k in ("a", "b", None):
+        for _ in range(80):
+            at = T0 + dt.timedelta(minutes=rnd.randint(0, 3000))
+            rows.append((k, at, at + dt.timedelta(minutes=rnd.randint(-5, 90))))
+    rows += [("c", T0, None), ("c", T0 + dt.timedelta(hours=1), T0 + dt.timedelta(hours=2)), ("c", None, T0)]
+    want = []
+    for k in ("a", "b", None):
+        free = dt.datetime.min
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:]):
+            if r[1] > free:
+                want.append(r)
+                free = r[2]
+    want.append(("c", T0, None))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = T.one_position(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, exit_ts timestamp_ntz"), ["symbol"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_profile_and_ranking_of_models(spark):
+    rnd = random.Random(7)
+    probs = [round(rnd.random(), 3) for _ in range(501)]
+    rows = [("good", float(p > 0.5), p) for p in probs] + [("bad", float(p <= 0.5), p) for p in probs] + [("bad", 1.0, None)]
+    df = spark.createDataFrame(rows, "model string, label double, prob double")
+    one = M.probability_profile(df.filter("model = 'good'"), [0.5]).first()
+    assert [one.median_prob, one.p75_prob, one.p90_prob, one.p95_prob] == pytest.approx(list(np.percentile(probs, [50, 75, 90, 95])))
+    got = [(r.model, r.place, round(r.auc, 6)) for r in M.rank_models(df).orderBy("place").collect()]
+    assert got == [("good", 1, 1.0), ("bad", 2, 0.0)]
+    assert M.probability_profile(df.filter("false"), [0.5]).first().median_prob is None
+
+
+def test_models_by_symbol(spark):
+    rows = [("big", float(i % 2), float(i % 2) + i / 1000) for i in range(60)] + [("small", float(i % 2), 1.0) for i in range(10)] + [("one", 1.0, 1.0)] * 60 + [(None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "symbol string, label double, x double")
+    models = M.train_by_symbol(df, ["x"])
+    assert sorted(models) == ["big"]
+    scored = M.score_by_symbol(models, df, ["x"]).collect()
+    assert len(scored) == len(rows) and all(r.prob == 1.0 for r in scored if r.symbol != "big")
+    assert all((r.prob > 0.5) == (r.label == 1) for r in scored if r.symbol == "big")
+    with pytest.raises(ValueError):
+        M.train_by_symbol(df, ["x"], min_samples=5, most=1)
