@@ -6,7 +6,9 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, rule string, bucket int, rep int"
 LONG = "word and more words in a long line. " * 4000
@@ -574,3 +576,45 @@ def test_pipeline(spark):
 
     assert [k for k, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "personal_data", "source_mixing", "sentencepiece"]
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_co_training_exchange_and_calibration():
+    """Each view is taught by the other on the pool, and calibrated scores follow the share of good rows."""
+    from barflow.llm import co_training as m
+
+    rng = np.random.default_rng(3)
+    truth = rng.integers(0, 2, 3000).astype(float)
+    xs = [np.c_[truth + rng.normal(0, s, 3000), rng.normal(0, 1, 3000)] for s in (0.3, 0.5)]
+    y = np.where(np.arange(3000) < 200, truth, np.nan)
+    views, target = m.co_train(xs, y)
+    for i in (0, 1):
+        taught = ~np.isnan(target[i]) & np.isnan(y)
+        assert 0 < taught.sum() <= m.ROUNDS * 2 * m.HANDED
+        assert (target[i][taught] == truth[taught]).mean() > 0.95
+        assert np.isnan(target[i][(np.arange(3000) % 4 == 0) & ~np.isnan(y)]).all()  # rows kept aside are not trained on
+    p = 1 / (1 + np.exp(-sum(v.a * v.odds(x) + v.b for v, x in zip(views, xs, strict=True)) / 2))
+    free = np.isnan(y)
+    assert ((p >= 0.5) == (truth == 1))[free].mean() > 0.95
+    for lo, hi in ((0.0, 0.2), (0.8, 1.0)):
+        inside = free & (p >= lo) & (p <= hi)
+        assert abs(truth[inside].mean() - p[inside].mean()) < 0.15
+
+
+def test_quality_of_words_on_held_out_documents(spark):
+    """Good and bad texts that differ by their words only; the order of rows does not matter."""
+    from barflow.llm import co_training as m
+
+    rnd = random.Random(4)
+    good, bad, any_ = (["river", "study", "letter", "window"], ["casino", "cheaper", "jackpot", "winners"], ["common", "things", "people", "places"])
+    rows = []
+    for i in range(400):
+        ws = [rnd.choice((good if i % 2 else bad) if rnd.random() < 0.4 else any_) for _ in range(40)]
+        rows.append((i, " ".join(ws), "web" if rnd.random() < (0.7 if i % 2 else 0.3) else "book", "en"))
+    rows += [rows[0], (1, "another text of the same id", None, None), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").withColumn("quality", F.lit("clash")).withColumn("kinds", F.lit(1))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, quality int")
+    got = m.classify(docs, labels).collect()
+    assert len(got) == len(rows)
+    held = [r for r in got if r.doc_id is not None and r.doc_id >= 200]
+    assert np.mean([r.quality_pred == r.doc_id % 2 for r in held]) > 0.95
+    assert sorted(map(str, m.classify(docs.repartition(3), labels).collect())) == sorted(map(str, got))
