@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .common import hash_sample, ship
 
@@ -50,10 +51,13 @@ def features(docs: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("binary")
-def shares(kinds: pd.Series) -> pd.Series:
+def shares(kinds: Column) -> Column:
     """WORDS shares of the kinds of a text, as 32-bit floats."""
-    return kinds.map(lambda k: (np.bincount(k, minlength=WORDS) / max(len(k), 1)).astype("<f4").tobytes())
+
+    def pack(kinds: pd.Series) -> pd.Series:
+        return kinds.map(lambda k: (np.bincount(k, minlength=WORDS) / max(len(k), 1)).astype("<f4").tobytes())
+
+    return F.pandas_udf(pack, BinaryType())(kinds)
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float | np.ndarray = 1.0, steps: int = 25) -> np.ndarray:
