@@ -1,10 +1,10 @@
-"""The ten operators' queries over the given tables, and their SQL."""
+"""The operators' queries over the given tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import co_training, language, mixing, near_duplicates, order_minhash, piece_codec, private_data, quality_rules, token_counts, url_filter
+from . import co_training, decontamination, language, mixing, near_duplicates, order_minhash, piece_codec, private_data, quality_rules, token_counts, url_filter
 from .common import read
 
 
@@ -63,6 +63,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.digest(decontamination.windows(docs, read(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict:
     return {
         "op1_document_fingerprints": op1_document_fingerprints,
@@ -75,6 +80,7 @@ def queries() -> dict:
         "op8_url_filters": op8_url_filters,
         "op9_sentencepiece_codec": op9_sentencepiece_codec,
         "op10_source_mixing": op10_source_mixing,
+        "op13_benchmark_decontamination": op13_benchmark_decontamination,
     }
 
 
@@ -82,4 +88,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_quality_rules": quality_rules.SQL,
         "op10_source_mixing": mixing.SQL,
+        "op13_benchmark_decontamination": decontamination.SQL,
     }
