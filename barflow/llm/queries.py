@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import co_training, decontamination, language, mixing, near_duplicates, order_minhash, piece_codec, private_data, quality_rules, token_counts, url_filter
+from . import co_training, decontamination, language, mixing, near_duplicates, order_minhash, piece_codec, prefix_trie, private_data, quality_rules, token_counts, url_filter
 from .common import read
 
 
@@ -63,6 +63,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefix_trie.rebuilt(prefix_trie.ordered_turns(read(spark, sf_dir, "conversations")))
+    return prefix_trie.digest(*prefix_trie.trie(turns, convs))
+
+
 def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.digest(decontamination.windows(docs, read(spark, sf_dir, "benchmark")))
@@ -80,6 +85,7 @@ def queries() -> dict:
         "op8_url_filters": op8_url_filters,
         "op9_sentencepiece_codec": op9_sentencepiece_codec,
         "op10_source_mixing": op10_source_mixing,
+        "op12_conversation_trie": op12_conversation_trie,
         "op13_benchmark_decontamination": op13_benchmark_decontamination,
     }
 
@@ -88,5 +94,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_quality_rules": quality_rules.SQL,
         "op10_source_mixing": mixing.SQL,
+        "op12_conversation_trie": prefix_trie.SQL,
         "op13_benchmark_decontamination": decontamination.SQL,
     }
