@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import co_training, decontamination, language, mixing, near_duplicates, order_minhash, piece_codec, prefix_trie, private_data, quality_rules, token_counts, url_filter
+from . import co_training, decontamination, language, mixing, near_duplicates, order_minhash, piece_codec, prefix_trie, private_data, quality_rules, token_counts, turn_repair, url_filter
 from .common import read
 
 
@@ -63,6 +63,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.digest(read(spark, sf_dir, "conversations"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, convs = prefix_trie.rebuilt(prefix_trie.ordered_turns(read(spark, sf_dir, "conversations")))
     return prefix_trie.digest(*prefix_trie.trie(turns, convs))
@@ -85,6 +89,7 @@ def queries() -> dict:
         "op8_url_filters": op8_url_filters,
         "op9_sentencepiece_codec": op9_sentencepiece_codec,
         "op10_source_mixing": op10_source_mixing,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_conversation_trie": op12_conversation_trie,
         "op13_benchmark_decontamination": op13_benchmark_decontamination,
     }
