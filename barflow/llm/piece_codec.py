@@ -47,6 +47,7 @@ class Codec:
         self.matches.make_automaton()
         self.reachable = {p: s for p, (s, _) in self.matches.items()}
         self.size = [len(p) for p in vocabulary.text]
+        self.most = max(self.size)
         # The longest shorter piece that each one starts with, -1 if there is none.
         self.shorter = [next((self.reachable[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.reachable), -1) for p in vocabulary.text]
         # Decimal id and decoded text by symbol and by id; characters that are pieces themselves.
@@ -109,21 +110,21 @@ class Codec:
             at += size[s]
         out = longest[:good]
         at = sum([size[s] for s in out])
-        open_ends, s = (1 << (n + 1)) - 1, longest[good]
+        failed, s = bytearray(n // 8 + 1), longest[good]  # a bit for each place from which nothing fits
         last = out[-1] if out else None
         while True:
             end = at + size[s]
-            if open_ends >> end & 1 and (last is None or (fits(last, s) if (fit := known.get((last, s))) is None else fit)):
+            if not failed[end >> 3] >> (end & 7) & 1 and (last is None or (fits(last, s) if (fit := known.get((last, s))) is None else fit)):
                 out.append(s)
                 if end == n:
                     return out
                 at, last, s = end, s, starts.get(end)
                 if s is None:
-                    s = starts[end] = next(self.matches.iter_long(word, end))[1][0]
+                    s = starts[end] = next(self.matches.iter_long(word[end : end + self.most]))[1][0]
                 continue
             s = shorter[s]  # the next shorter piece
             if s < 0:  # none fits here after the last piece
-                open_ends &= ~(1 << at)
+                failed[at >> 3] |= 1 << (at & 7)
                 s = out.pop()
                 at -= size[s]
                 last = out[-1] if out else None
