@@ -30,8 +30,6 @@ BOILERPLATE = (
     "licensed under", "enable javascript", "lorem ipsum", "powered by",
 )
 NAVIGATION = ("sign in", "sign up", "log in", "subscribe now", "read more", "click here", "share this", "back to top", "skip to content")
-POS_BITS = 26
-POS = (1 << POS_BITS) - 1
 
 
 def repeated_words(ws: Column, window: int = WINDOW) -> Column:
@@ -42,11 +40,10 @@ def repeated_words(ws: Column, window: int = WINDOW) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(h) - F.lit(window)), lambda i: F.xxhash64(*[F.get(h, i + F.lit(j) if j else i) for j in range(window)]))
 
     def covered(k: Column) -> Column:
-        """Starts of repeated windows by sorting hash bits and places; then the length they cover together."""
-        packed = F.sort_array(F.transform(k, lambda h, i: h.bitwiseAND(F.lit(~POS)).bitwiseOR(i.cast("bigint"))))
-        full = lambda s, i: F.get(k, F.get(s, i).bitwiseAND(F.lit(POS)).cast("int"))
-        starts = let(packed, lambda s: F.filter(
-            F.transform(s, lambda x, i: F.when((full(s, i) == full(s, i - F.lit(1))) | (full(s, i) == full(s, i + F.lit(1))), x.bitwiseAND(F.lit(POS)))), lambda p: p.isNotNull()))
+        """Starts of repeated windows by sorting hashes with their places; then the length they cover together."""
+        sorted_keys = F.sort_array(F.transform(k, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        starts = let(sorted_keys, lambda s: F.filter(
+            F.transform(s, lambda x, i: F.when((x["h"] == F.get(s, i - F.lit(1))["h"]) | (x["h"] == F.get(s, i + F.lit(1))["h"]), x["i"].cast("bigint"))), lambda p: p.isNotNull()))
         return let(F.sort_array(starts), lambda p: F.aggregate(
             F.transform(p, lambda x, i: F.least(F.lit(window).cast("bigint"), F.coalesce(F.get(p, i + F.lit(1)) - x, F.lit(window).cast("bigint")))), F.lit(0).cast("bigint"), lambda n, x: n + x))
 

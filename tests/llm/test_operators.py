@@ -618,3 +618,35 @@ def test_quality_of_words_on_held_out_documents(spark):
     held = [r for r in got if r.doc_id is not None and r.doc_id >= 200]
     assert np.mean([r.quality_pred == r.doc_id % 2 for r in held]) > 0.95
     assert sorted(map(str, m.classify(docs.repartition(3), labels).collect())) == sorted(map(str, got))
+
+
+def test_codec_of_a_very_long_word(model):
+    """Backtracking over a word of half a million letters: as the library, in time that grows with the word."""
+    import time
+
+    import public_tokenizers
+    import sentencepiece
+
+    from barflow.llm import piece_codec as m
+
+    rnd = random.Random(1)
+    word = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(500_000))
+    codec = m.Codec(m.Vocabulary(model))
+    began = time.time()
+    (n, ids, text), = codec.texts([word])
+    assert time.time() - began < 20
+    want = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")).encode(word)
+    assert n == len(want) and ids == ",".join(map(str, want)) and text == word
+
+
+def test_repeated_words_against_brute_force(spark):
+    """Every window compared with every other, on texts with many repeats and overlaps."""
+    from barflow.llm import quality_rules as m
+
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice("ab") for _ in range(rnd.choice([5, 9, 20, 300]))) for _ in range(30)] + [" ".join(map(str, range(5000))) * 2, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in m.clean(docs).collect():
+        ws = (texts[r.doc_id] or "").split()
+        seen = collections.Counter(tuple(ws[i : i + 8]) for i in range(len(ws) - 7))
+        assert r.n_repeat_words == len({j for i in range(len(ws) - 7) if seen[tuple(ws[i : i + 8])] > 1 for j in range(i, i + 8)})
