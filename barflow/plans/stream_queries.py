@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import KEY, rounded
 from ..operators import signals as P
 from ..sources import files as S
+from ..sources import store as V
 from ..sources import fixtures as X
 from ..sources.files import shared_folder
 from ..sources.fixtures import bars, bars_sql
@@ -105,6 +106,21 @@ def _add(name: str, make, sql: str | None = None) -> None:
 
 
 _add("r01_ingest_stream", ingest, "select event_id, ts, round(value, 6) + 0.0 as value from events")
+
+
+def corrected(spark, sf_dir) -> DataFrame:
+    """Bars streamed into a store, then corrections of every fifth bar; both streams run a second time without their checkpoints, as after a crash."""
+    path, b = shared_folder(spark, "corrected"), bars(spark, sf_dir).select(*KEY, "close", "volume")
+    late = b.filter(F.hour("ts") % 5 == 0).withColumn("close", F.col("close") + 1)
+    for rows, name in ((b, "bars"), (late, "corrections")):
+        source = streamed(rows)
+        for run in range(2):
+            R.upsert_batches(source, path, KEY, f"{path}-{name}-{run}", name).awaitTermination()
+    V.compact(spark, path)
+    return rounded(V.read_store(spark, path))
+
+
+_add("r01b_corrected_store", corrected, f"with {bars_sql('b')} select symbol, timeframe, ts, round(close + case when hour(ts) % 5 = 0 then 1 else 0 end, 6) + 0.0 as close, round(volume, 6) + 0.0 as volume from b")
 # Append mode gives the windows that ended a day (the watermark) before the last event.
 DONE = "(select max(ts) - interval 24 hour from events)"
 _add("r02_bars_stream", closed_bars, f"with {bars_sql('b')} select symbol, ts, round(open, 6) + 0.0 as open, round(high, 6) + 0.0 as high, round(low, 6) + 0.0 as low, round(close, 6) + 0.0 as close, round(volume, 6) + 0.0 as volume from b where ts + interval 1 hour <= {DONE}")
@@ -184,6 +200,20 @@ def stored_indicators(s, d) -> DataFrame:
 _query("s06_write_indicators", stored_indicators, f"with {ind_sql()}, n as (select *, row_number() over (partition by symbol, timeframe order by ts desc) as n from ind) select symbol, timeframe, ts, round(vwap, 6) + 0.0 as vwap, round(atr * case when symbol = 'click' and n <= 24 then 2 else 1 end, 6) + 0.0 as atr from n where n <= 48")
 
 
+def store_versions(s, d) -> DataFrame:
+    """A store read at its first and at its last version, of one symbol and half the range."""
+    path, b = shared_folder(s, "versions"), bars(s, d).select(*KEY, "close", "volume")
+    first = V.commit(b, path)
+    V.commit(b.filter("symbol = 'click'").withColumn("close", F.col("close") * 2), path)
+    V.compact(s, path)
+    read = lambda v: V.read_store(s, path, v, symbols=["click", "view"], timeframe="1h", start=dt.datetime(2024, 1, 5), end=CUT)
+    return read(first).withColumn("version", F.lit("first")).unionByName(read(None).withColumn("version", F.lit("last")))
+
+
+_query("s06b_store_versions", store_versions, f"""with {bars_sql('b')}, x as (select {C} from b where symbol in ('click', 'view') and ts between '2024-01-05' and '{CUT}')
+select *, 'first' as version from x union all select symbol, timeframe, ts, close * case when symbol = 'click' then 2 else 1 end, volume, 'last' from x""")
+
+
 def exported(s, d) -> DataFrame:
     path = shared_folder(s, "export")
     b = bars(s, d).select(*KEY, "close", "volume")

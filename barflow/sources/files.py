@@ -53,13 +53,19 @@ def read_audit(spark: SparkSession, path: str, multi_line: bool = True) -> tuple
 
 
 def load_bars(df: DataFrame, symbols: list[str] | None = None, timeframe: str | None = None, start=None, end=None, order: str | None = None) -> DataFrame:
-    """Bars of some symbols, a timeframe and a range; of repeated keys the last by ``order`` stays."""
+    """Bars of some symbols, a timeframe and a range; of repeated keys the last by ``order`` stays.
+
+    Where bars lie in folders by ``month`` (yyyy-MM, see ``write_indicators``), the range picks the folders, too.
+    """
     if symbols is not None:
         df = df.filter(F.col("symbol").isin(symbols))
     if timeframe is not None:
         df = df.filter(F.col("timeframe") == timeframe)
     if start is not None and end is not None:
         df = date_range(df, start, end)
+        if "month" in df.columns:
+            of = lambda t: F.date_format(F.lit(t).cast("timestamp_ntz"), "yyyy-MM")
+            df = df.filter(F.col("month").between(of(start), of(end)))
     return dedupe(df, KEY, [order]) if order else df
 
 

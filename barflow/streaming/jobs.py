@@ -13,8 +13,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import store
+
 LATE = "24 hours"
 
 
@@ -28,11 +31,15 @@ def ingest_stream(events: DataFrame, keys: list[str], late: str = LATE) -> DataF
     return timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_batches(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """A query whose corrections replace stored rows of the same key: each batch is one new version, merged when read."""
+def upsert_batches(stream: DataFrame, path: str, keys: list[str], checkpoint: str, name: str = "upserts", order: list[str] | None = None) -> StreamingQuery:
+    """A query whose rows replace stored rows of the same key: each batch is one version of the store at ``path``.
+
+    The store notes the batch with the version, so a batch that comes again after a failure
+    changes nothing.  ``read_store`` gives the newest row of a key, ``compact`` merges versions.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        store.commit(batch, path, keys, order, stream=name, batch=number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
