@@ -129,15 +129,24 @@ select symbol, until, count(*) as n, round(avg(value), 9) + 0.0 as avg_value fro
 _add("r03b_session_stream", sessions, f"""with o as (select user_id, ts, coalesce(ts >= lag(ts) over w + interval 30 minute, true) as st from events window w as (partition by user_id order by ts, event_id)),
 r as (select *, sum(st::int) over (partition by user_id order by ts rows between unbounded preceding and current row) as run from o)
 select user_id, min(ts) as start, max(ts) + interval 30 minute as "end", count(*) as n from r group by user_id, run having max(ts) + interval 30 minute <= {DONE}""")
-_add("r04_gap_stream", gaps, f"with {bars_sql('b', 1, True)}, g as (select symbol, lag(ts) over (partition by symbol order by ts) as gap_start, ts as gap_end from b) select symbol, gap_start, gap_end, date_diff('second', gap_start, gap_end) / 60.0 as minutes from g where date_diff('second', gap_start, gap_end) / 60.0 > 90")
+_add("r04_gap_stream", gaps, f"with {bars_sql('b', 1, True)}, g as (select symbol, lag(ts) over (partition by symbol order by ts) as gap_start, ts as gap_end from b) select symbol, gap_start, gap_end, date_diff('second', gap_start, gap_end) / 60.0 as minutes from g where date_diff('second', gap_start, gap_end) / 60.0 > 90 and gap_end < gap_start + interval 90 day")
 _add("r05_signal_stream", live_signals, f"with {ind_sql()} select symbol, ts, side, round(close, 6) + 0.0 as close from sig where side is not null")
-_add("r06_alert_stream", alerts, f"""with {ind_sql()}, {PLAN_SQL}, en as (select p.symbol, p.ts, b.ts as last_ts from plan p asof join b on b.symbol = p.symbol and b.ts >= p.ts + interval 8 hour),
-h as (select p.symbol, p.ts as alert_ts, b.ts, case when (side = 'LONG' and low <= sl) or (side = 'SHORT' and high >= sl) then 'SL' when (side = 'LONG' and high >= tp) or (side = 'SHORT' and low <= tp) then 'TP' when b.ts >= p.ts + interval 8 hour then 'TIME_STOP' end as reason
-  from plan p left join en using (symbol, ts) join b on b.symbol = p.symbol and b.ts > p.ts and (last_ts is null or b.ts <= last_ts)) select * from h where reason is not null qualify row_number() over (partition by symbol, alert_ts order by ts) = 1""")
+_add("r06_alert_stream", alerts, f"""with {ind_sql()}, {PLAN_SQL},
+en as (select p.symbol, p.ts, b.ts as last_ts from plan p asof join b on b.symbol = p.symbol and b.ts >= p.ts + interval 8 hour),
+h as (select p.symbol, p.ts as alert_ts, b.ts,
+        case when (side = 'LONG' and low <= sl) or (side = 'SHORT' and high >= sl) then 'SL' when (side = 'LONG' and high >= tp) or (side = 'SHORT' and low <= tp) then 'TP'
+             when b.ts >= p.ts + interval 8 hour then 'TIME_STOP' end as reason
+      from plan p left join en using (symbol, ts) join b on b.symbol = p.symbol and b.ts > p.ts and (last_ts is null or b.ts <= last_ts) and b.ts <= p.ts + interval 728 hour),
+exits as (select * from h where reason is not null qualify row_number() over (partition by symbol, alert_ts order by ts) = 1)
+select * from exits
+union all
+select p.symbol, p.ts, p.ts + interval 8 hour, 'TIME_STOP' from plan p left join en using (symbol, ts)
+where not exists (select 1 from exits e where e.symbol = p.symbol and e.alert_ts = p.ts)
+  and (last_ts > p.ts + interval 728 hour or (select max(ts) from b) - interval 24 hour >= p.ts + interval 728 hour)""")
 _add("r07_throttle_stream", throttled, f"""with recursive {X.SIGNALS_SQL}, o as (select symbol, ts, strength, signal_type as direction, row_number() over (partition by symbol order by ts, strength) as n from signals),
 st as (select symbol, n, ts, strength, direction, true as sent, ts as at_, strength as s_, direction as d_ from o where n = 1
   union all select symbol, n, ts, strength, direction, go, case when go then ts else at_ end, case when go then strength else s_ end, case when go then direction else d_ end
-  from (select o.*, at_, s_, d_, o.direction <> d_ or (o.ts >= at_ + interval 30 minute and o.strength >= s_ + 10) as go from st join o on o.symbol = st.symbol and o.n = st.n + 1))
+  from (select o.*, at_, s_, d_, o.direction <> d_ or (o.ts >= at_ + interval 30 minute and o.strength >= s_ + 10) or o.ts >= at_ + interval 90 day as go from st join o on o.symbol = st.symbol and o.n = st.n + 1))
 select symbol, ts, round(strength, 6) + 0.0 as strength, direction from st where sent""")
 _add("r08_confirm_stream", confirmed, f"""with {ind_sql()}, lo as (select symbol, ts, case when low <= vwap and close > vwap and least(open, close) - low > 0.5 * abs(close - open) then 'LONG' when high >= vwap and close < vwap and high - greatest(open, close) > 0.5 * abs(close - open) then 'SHORT' end as side from ind where coalesce(vwap, 0) <> 0 and coalesce(volume_sma_20, 0) <> 0 and volume > volume_sma_20)
 select symbol, ts, lo.side as forming_side, sig.side as closed_side, lo.side = sig.side as confirmed from lo join sig using (symbol, ts) where lo.side is not null and sig.side is not null""")

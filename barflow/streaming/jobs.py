@@ -1,8 +1,8 @@
 """Structured Streaming forms of collecting, signalling and monitoring.
 
-State is kept by symbol and bounded: watermarks drop what is too late, and the
-stateful jobs keep a few values, a fixed number of volumes or the open alerts of a symbol.
-A symbol's rows of one trigger meet in its task, so sources should bound the rows of a trigger.
+State is kept by symbol in RocksDB and does not grow with the past: watermarks drop what is too
+late, and timers in event time close alerts and free symbols that have gone silent.  A symbol's
+rows of one trigger meet in its task, so sources should bound the rows of a trigger.
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..functions.shipping import ship
 from ..sources import store
 
-LATE = "24 hours"
+LATE, STALE_DAYS, DAY_US = "24 hours", 90.0, 24 * 3600 * 1_000_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def timed(events: DataFrame) -> DataFrame:
@@ -64,105 +66,231 @@ def session_stream(events: DataFrame, gap: str = "30 minutes", late: str = LATE)
     return g.agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def gap_stream(bars: DataFrame, minutes: float = 90.0) -> DataFrame:
-    """Gap rows as bars arrive; the state of a symbol is its last time."""
+def with_state(df: DataFrame, processor: StatefulProcessor, out: str, late: str = LATE) -> DataFrame:
+    """``processor`` over the rows of each symbol, in event time; times pass as microseconds (``at``), so the session's zone does not matter.
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        ts = pd.concat(list(batches))["ts"].drop_duplicates().sort_values()
-        rows = []
-        for t in ts:
-            if last is not None and t > last and (t - last).total_seconds() / 60 > minutes:
-                rows.append((key[0], last, t, (t - last).total_seconds() / 60))
-            last = t if last is None else max(last, t)
-        state.update((last.value // 1000,))
-        yield pd.DataFrame(rows, columns=["symbol", "gap_start", "gap_end", "minutes"])
+    Columns of ``out`` whose names end in ``_us`` become times without that ending.
+    """
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # state on local disk, its changes in the checkpoint
+    rows = timed(df).withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
+    made = rows.groupBy("symbol").transformWithStateInPandas(processor, out, "append", "eventTime")
+    return made.select(*[F.timestamp_micros(c).alias(c.removesuffix("_us")) if c.endswith("_us") else F.col(c) for c in made.columns])
+
+
+class Keeper(StatefulProcessor):
+    """One value a symbol, freed by a timer ``stale_us`` after the symbol's last row in event time.
+
+    A value that old counts as none also where its timer has not fired yet, so results do not
+    depend on how rows are cut into triggers.
+    """
+
+    schema: T.StructType
+
+    def __init__(self, stale_us: int):
+        self.stale_us = stale_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("value", self.schema)
+        self.seen = handle.getValueState("seen", T.StructType([T.StructField("at", T.LongType())]))
+
+    def held(self, first: int) -> tuple | None:
+        """The value for rows from time ``first`` on."""
+        return self.value.get() if self.value.exists() and first - self.seen.get()[0] < self.stale_us else None
+
+    def keep(self, value: tuple, at: int) -> None:
+        if self.seen.exists():
+            at = max(at, self.seen.get()[0])
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        self.value.update(value)
+        self.seen.update((at,))
+        self.handle.registerTimer(-(-(at + self.stale_us) // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.value.clear()
+        self.seen.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def gathered(rows: Iterator[pd.DataFrame], *columns: str) -> list[np.ndarray]:
+    """Columns of a symbol's rows of one trigger; only what the processor needs is held."""
+    parts = [[pdf[c].to_numpy() for c in columns] for pdf in rows]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+class GapProcessor(Keeper):
+    """State: the last time of a symbol."""
+
+    schema = T.StructType([T.StructField("last", T.LongType())])
 
-    return bars.groupBy("symbol").applyInPandasWithState(update, "symbol string, gap_start timestamp, gap_end timestamp, minutes double", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, minutes: float, stale_us: int):
+        super().__init__(stale_us)
+        self.minutes = minutes
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at = np.unique(gathered(rows, "at")[0])
+        held = self.held(int(at[-1])) and self.value.get()
+        line = np.r_[held[0], at[at > held[0]]] if held else at
+        if len(line):
+            self.keep((int(line[-1]),), int(line[-1]))
+        wide = np.diff(line) / 60e6
+        gap = (wide > self.minutes) & (np.diff(line) < self.stale_us)
+        yield pd.DataFrame({"symbol": key[0], "gap_start_us": line[:-1][gap], "gap_end_us": line[1:][gap], "minutes": wide[gap]})
 
-def throttle_stream(signals: DataFrame, minutes: float = 30.0, step: float = 10.0) -> DataFrame:
-    """Signals (symbol, ts, strength, direction) worth sending: the first, a change of direction, or later and stronger by ``step``."""
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sent = state.get if state.exists else None
-        rows = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "strength"]).itertuples():
-            at = r.ts.value // 1000
-            if sent is None or r.direction != sent[2] or (at - sent[0] >= minutes * 60e6 and r.strength >= sent[1] + step):
-                sent = (at, float(r.strength), r.direction)
-                rows.append((key[0], r.ts, r.strength, r.direction))
-        if sent is not None:
-            state.update(sent)
-        yield pd.DataFrame(rows, columns=["symbol", "ts", "strength", "direction"])
+def gap_stream(bars: DataFrame, minutes: float = 90.0, stale_days: float = STALE_DAYS) -> DataFrame:
+    """Gap rows as bars arrive; a symbol without bars for ``stale_days`` counts as new when it comes back."""
+    return with_state(bars, GapProcessor(minutes, int(stale_days * DAY_US)), "symbol string, gap_start_us bigint, gap_end_us bigint, minutes double")
 
-    return signals.groupBy("symbol").applyInPandasWithState(update, "symbol string, ts timestamp, strength double, direction string", "at bigint, strength double, direction string", "append", GroupStateTimeout.NoTimeout)
 
+class ThrottleProcessor(Keeper):
+    """State: time, strength and direction of the last signal sent."""
 
-def signal_stream(bars: DataFrame, wick_ratio: float = 1.0, vol_mult: float = 1.0, mean_bars: int = 20) -> DataFrame:
-    """Entries on closed bars of any width; a symbol's state is its last time, the day's sums for the VWAP and its last volumes."""
+    schema = T.StructType([T.StructField("at", T.LongType()), T.StructField("strength", T.DoubleType()), T.StructField("direction", T.StringType())])
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, day, value_sum, volume_sum, volumes = state.get if state.exists else (None, None, 0.0, 0.0, [])
-        new = pd.concat(list(batches))[["ts", "open", "high", "low", "close", "volume"]].drop_duplicates("ts").sort_values("ts")
+    def __init__(self, minutes: float, step: float, stale_us: int):
+        super().__init__(stale_us)
+        self.pause_us, self.step = int(minutes * 60e6), step
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at, strength, direction = gathered(rows, "at", "strength", "direction")
+        order = np.lexsort((strength, at))
+        at, strength, direction = at[order], strength[order].astype(float), direction[order]
+        sent = self.value.get() if self.value.exists() else None
+        kept, i = [], 0
+        while i < len(at):  # from one signal that is sent straight to the next
+            if sent is not None:
+                go = (direction[i:] != sent[2]) | ((at[i:] - sent[0] >= self.pause_us) & (strength[i:] >= sent[1] + self.step)) | (at[i:] - sent[0] >= self.stale_us)
+                if not go.any():
+                    break
+                i += int(go.argmax())
+            kept.append(i)
+            sent = (int(at[i]), float(strength[i]), direction[i])
+            i += 1
+        self.keep(sent, sent[0])
+        yield pd.DataFrame({"symbol": key[0], "ts_us": at[kept], "strength": strength[kept], "direction": direction[kept]})
+
+
+def throttle_stream(signals: DataFrame, minutes: float = 30.0, step: float = 10.0, stale_days: float = STALE_DAYS) -> DataFrame:
+    """Signals (symbol, ts, strength, direction) worth sending: the first, a change of direction, later and stronger by ``step``, or ``stale_days`` after the last sent."""
+    return with_state(signals, ThrottleProcessor(minutes, step, int(stale_days * DAY_US)), "symbol string, ts_us bigint, strength double, direction string")
+
+
+class SignalProcessor(Keeper):
+    """State: last time, the day's sums for the VWAP and the last volumes of a symbol."""
+
+    schema = T.StructType([
+        T.StructField("last", T.LongType()), T.StructField("day", T.StringType()), T.StructField("value_sum", T.DoubleType()), T.StructField("volume_sum", T.DoubleType()),
+        T.StructField("volumes", T.ArrayType(T.DoubleType())),
+    ])
+
+    def __init__(self, wick_ratio: float, vol_mult: float, mean_bars: int, stale_us: int):
+        super().__init__(stale_us)
+        self.wick_ratio, self.vol_mult, self.mean_bars = wick_ratio, vol_mult, mean_bars
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = ["at", "open", "high", "low", "close", "volume"]
+        new = pd.DataFrame(dict(zip(names, gathered(rows, *names), strict=True))).drop_duplicates("at").sort_values("at")
+        held = self.held(int(new["at"].iloc[0]))
+        last, day, value_sum, volume_sum, volumes = held or (None, None, 0.0, 0.0, [])
         if last is not None:
-            new = new[new["ts"] > pd.Timestamp(last, unit="us")]
+            new = new[new["at"] > last]
         new = new.reset_index(drop=True)
         if new.empty:
             return
-        ny = new["ts"].dt.tz_localize("UTC").dt.tz_convert("America/New_York").dt.date.astype(str)
+        ny = pd.to_datetime(new["at"], unit="us", utc=True).dt.tz_convert("America/New_York").dt.date.astype(str)
         value, same = (new["high"] + new["low"] + new["close"]) / 3 * new["volume"], ny == day
         values, sums = value.groupby(ny).cumsum() + same * value_sum, new["volume"].groupby(ny).cumsum() + same * volume_sum
         vwap = values / sums.replace(0, float("nan"))
-        longer = pd.concat([pd.Series(volumes, dtype=float), new["volume"]], ignore_index=True)
-        mean = longer.rolling(mean_bars).mean().iloc[len(volumes):].reset_index(drop=True)
+        longer = pd.concat([pd.Series(list(volumes), dtype=float), new["volume"]], ignore_index=True)
+        mean = longer.rolling(self.mean_bars).mean().iloc[len(volumes):].reset_index(drop=True)
         body = (new["close"] - new["open"]).abs()
         lower, upper = new[["open", "close"]].min(axis=1) - new["low"], new["high"] - new[["open", "close"]].max(axis=1)
-        loud = (new["volume"] > mean * vol_mult) & (mean != 0)
+        loud = (new["volume"] > mean * self.vol_mult) & (mean != 0)
         side = pd.Series(None, index=new.index, dtype=object)
-        side[loud & (new["high"] >= vwap) & (new["close"] < vwap) & (upper > wick_ratio * body)] = "SHORT"
-        side[loud & (new["low"] <= vwap) & (new["close"] > vwap) & (lower > wick_ratio * body)] = "LONG"
-        state.update((int(new["ts"].iloc[-1].value // 1000), ny.iloc[-1], float(values.iloc[-1]), float(sums.iloc[-1]), longer.tail(mean_bars - 1).astype(float).tolist()))
-        yield new.assign(side=side, symbol=key[0])[side.notna()][["symbol", "ts", "side", "close"]]
-
-    held = "last bigint, day string, value_sum double, volume_sum double, volumes array<double>"
-    return bars.groupBy("symbol").applyInPandasWithState(update, "symbol string, ts timestamp, side string, close double", held, "append", GroupStateTimeout.NoTimeout)
-
-
-def alert_stream(rows: DataFrame, hours: int = 8) -> DataFrame:
-    """First exit of each alert.  One stream holds bars (symbol, ts, high, low) and alerts (symbol, ts, side, entry, sl, tp; bars have no entry).
-
-    An alert comes no later than the bars after it.  The state of a symbol is its open alerts:
-    one that ended leaves it, and each ends by the first bar at or after its time + ``hours``, however
-    late, so it does not grow with the past.  The stop wins a bar that reaches both.
-    """
-    span = np.timedelta64(hours, "h")
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(batches)).sort_values("ts")
-        bars, opened = new[new["entry"].isna()], new[new["entry"].notna()][["ts", "side", "sl", "tp"]].drop_duplicates("ts")
-        if state.exists:
-            old = pd.DataFrame(dict(zip(["ts", "side", "sl", "tp"], state.get, strict=True)))
-            opened = pd.concat([old.assign(ts=pd.to_datetime(old["ts"], unit="us").astype(new["ts"].dtype)), opened])
-        ts, low, high = bars["ts"].to_numpy(), bars["low"].to_numpy(float), bars["high"].to_numpy(float)
-        ended, left = [], []
-        for at, side, sl, tp in zip(opened["ts"].to_numpy(), opened["side"], opened["sl"], opened["tp"], strict=True):
-            a, b = ts.searchsorted(at, "right"), ts.searchsorted(at + span, "left") + 1  # up to the first bar at or after the time stop
-            stop, target = (low[a:b] <= sl, high[a:b] >= tp) if side == "LONG" else (high[a:b] >= sl, low[a:b] <= tp)
-            hit = stop | target | (ts[a:b] >= at + span)
+        side[loud & (new["high"] >= vwap) & (new["close"] < vwap) & (upper > self.wick_ratio * body)] = "SHORT"
+        side[loud & (new["low"] <= vwap) & (new["close"] > vwap) & (lower > self.wick_ratio * body)] = "LONG"
+        at = int(new["at"].iloc[-1])
+        self.keep((at, ny.iloc[-1], float(values.iloc[-1]), float(sums.iloc[-1]), longer.tail(self.mean_bars - 1).astype(float).tolist()), at)
+        yield new.assign(side=side, symbol=key[0], ts_us=new["at"])[side.notna()][["symbol", "ts_us", "side", "close"]]
+
+
+def signal_stream(bars: DataFrame, wick_ratio: float = 1.0, vol_mult: float = 1.0, mean_bars: int = 20, stale_days: float = STALE_DAYS) -> DataFrame:
+    """Entries on closed bars of any width; a symbol without bars for ``stale_days`` starts anew."""
+    return with_state(bars, SignalProcessor(wick_ratio, vol_mult, mean_bars, int(stale_days * DAY_US)), "symbol string, ts_us bigint, side string, close double")
+
+
+class AlertProcessor(StatefulProcessor):
+    """State: the open alerts of a symbol as a map by their time, each with a timer for its time stop."""
+
+    def __init__(self, span_us: int, grace_us: int):
+        self.span_us, self.grace_us = span_us, grace_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        held = [T.StructField("side", T.StringType()), T.StructField("sl", T.DoubleType()), T.StructField("tp", T.DoubleType())]
+        self.open = handle.getMapState("open", T.StructType([T.StructField("at", T.LongType())]), T.StructType(held))
+
+    def timer(self, at: int) -> int:
+        return -(-(at + self.span_us + self.grace_us) // 1000)
+
+    def frame(self, key, ended: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *e) for e in ended], columns=["symbol", "alert_ts_us", "ts_us", "reason"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at, low, high, entry, side, sl, tp = gathered(rows, "at", "low", "high", "entry", "side", "sl", "tp")
+        bar = pd.isna(entry)
+        order = np.argsort(at[bar], kind="stable")
+        ts, lows, highs = at[bar][order], low[bar][order].astype(float), high[bar][order].astype(float)
+        opened = {int(k[0]): tuple(v) for k, v in self.open.iterator()} if self.open.exists() else {}
+        new = {int(a): (s, float(x), float(y)) for a, s, x, y in zip(at[~bar], side[~bar], sl[~bar], tp[~bar], strict=True)}
+        ended = []
+        for start, (way, stop_at, target_at) in {**new, **opened}.items():
+            due = start + self.span_us
+            a, b = ts.searchsorted(start, "right"), ts.searchsorted(due, "left") + 1  # up to the first bar at or after the time stop
+            stop, target = (lows[a:b] <= stop_at, highs[a:b] >= target_at) if way == "LONG" else (highs[a:b] >= stop_at, lows[a:b] <= target_at)
+            timely = ts[a:b] <= due + self.grace_us
+            hit = (stop | target | (ts[a:b] >= due)) & timely
             if hit.any():
                 i = int(hit.argmax())
-                ended.append((key[0], pd.Timestamp(at), pd.Timestamp(ts[a + i]), "SL" if stop[i] else "TP" if target[i] else "TIME_STOP"))
-            else:
-                left.append((pd.Timestamp(at).value // 1000, side, float(sl), float(tp)))
-        if left:
-            state.update(tuple(list(c) for c in zip(*left, strict=True)))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(ended, columns=["symbol", "alert_ts", "ts", "reason"])
+                ended.append((start, int(ts[a + i]), "SL" if stop[i] else "TP" if target[i] else "TIME_STOP"))
+            elif not timely.all():  # the first bar since comes too late to matter
+                ended.append((start, due, "TIME_STOP"))
+            elif start not in opened:
+                self.open.updateValue((start,), (way, stop_at, target_at))
+                self.handle.registerTimer(self.timer(start))
+        for start, _, _ in ended:
+            if start in opened:
+                self.open.removeKey((start,))
+        for timer in {self.timer(start) for start, _, _ in ended if start in opened} - {self.timer(s) for s in {**new, **opened}.keys() - {e[0] for e in ended}}:
+            self.handle.deleteTimer(timer)
+        yield self.frame(key, ended)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        done = [int(k[0]) for k, _ in self.open.iterator() if self.timer(int(k[0])) <= now] if self.open.exists() else []
+        for start in done:
+            self.open.removeKey((start,))
+        yield self.frame(key, [(start, start + self.span_us, "TIME_STOP") for start in done])
+
+    def close(self) -> None:
+        pass
+
+
+def alert_stream(rows: DataFrame, hours: float = 8, grace_hours: float = 720) -> DataFrame:
+    """First exit of each alert.  One stream holds bars (symbol, ts, high, low) and alerts (symbol, ts, side, entry, sl, tp; bars have no entry).
 
-    held = "ts array<bigint>, side array<string>, sl array<double>, tp array<double>"
-    return rows.groupBy("symbol").applyInPandasWithState(update, "symbol string, alert_ts timestamp, ts timestamp, reason string", held, "append", GroupStateTimeout.NoTimeout)
+    An alert comes no later than the bars after it.  It ends by its stop or target (the stop
+    wins a bar that reaches both), else by the first bar from its time stop on, if that comes
+    within ``grace_hours``, else at its time stop: by a timer, without any later bar of the symbol.
+    State is the open alerts.
+    """
+    hour = 3600 * 1_000_000
+    return with_state(rows, AlertProcessor(int(hours * hour), int(grace_hours * hour)), "symbol string, alert_ts_us bigint, ts_us bigint, reason string")
 
 
 def confirm_stream(forming: DataFrame, closed: DataFrame, late: str = LATE) -> DataFrame:
@@ -171,3 +299,6 @@ def confirm_stream(forming: DataFrame, closed: DataFrame, late: str = LATE) -> D
     c = closed.select(F.col("symbol").alias("c_symbol"), F.col("ts").alias("c_ts"), F.col("side").alias("closed_side")).withWatermark("c_ts", late)
     j = f.join(c, (F.col("symbol") == F.col("c_symbol")) & (F.col("f_ts") == F.col("c_ts")), "inner")
     return j.select("symbol", F.col("f_ts").alias("ts"), "forming_side", "closed_side", (F.col("forming_side") == F.col("closed_side")).alias("confirmed"))
+
+
+ship(__name__)
