@@ -1,22 +1,39 @@
 """Exponential means: the one recursion without a window form.
 
-y[0] = x[0], y[t] = y[t-1] + a (x[t] - y[t-1]).  Within a chunk of rows the result is
-an affine map of the value carried in, so a series is cut into chunks of bounded size,
-each chunk is solved from zero with its decay, and only one row a chunk takes part
-in the ordered pass that carries values on.  Python never holds more than a chunk of a series.
+y[0] = x[0], y[t] = y[t-1] + a (x[t] - y[t-1]).  Over any run of rows the result is an affine
+map of the value carried in.  A series is cut by time into chunks of a known number of steps;
+each chunk is summed up as such a map, only these maps meet by series, and each chunk is
+then solved from the value carried into it.  No pass sees a whole series.  A chunk's rows stay
+in the JVM as one array; Python sees the source columns alone.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import SERIES
+from .shipping import ship
 
 CHUNK = 50_000
+STEPS = {"s": 1, "m": 60, "h": 3600, "d": 86_400, "w": 7 * 86_400}
+
+
+def step_seconds(timeframe: Column) -> Column:
+    """Seconds of a bar of ``timeframe`` (1h, 15m, ...); a minute where that cannot be told."""
+    n = F.nullif(F.regexp_extract(timeframe, r"^(\d+)\s*[A-Za-z]", 1), F.lit("")).cast("bigint")
+    unit = F.lower(F.regexp_extract(timeframe, r"^\d+\s*([A-Za-z])", 1))
+    size = F.element_at(F.create_map(*[x for k, v in STEPS.items() for x in (F.lit(k), F.lit(v))]), unit)
+    return F.greatest(F.coalesce(n * size, F.lit(60)), F.lit(1))
+
+
+def chunk_of(ts: Column, timeframe: Column, chunk: int = CHUNK) -> Column:
+    """The number of the range of ``chunk`` steps that a time lies in."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+    return F.floor(micros / (step_seconds(timeframe) * F.lit(chunk * 1_000_000)))
 
 
 def _solve(x: np.ndarray, alpha: float, carry: float) -> np.ndarray:
@@ -27,55 +44,55 @@ def _solve(x: np.ndarray, alpha: float, carry: float) -> np.ndarray:
 def ema(df: DataFrame, columns: dict[str, tuple[str, int]], chunk: int = CHUNK) -> DataFrame:
     """``df`` with one column for each ``name: (source column, span)``; several means in one pass.
 
-    A null source repeats the last value; before the first value the result is null.
+    A null source repeats the last value; before the first value the result is null.  Rows of one
+    time are taken in the order of their other columns, which must be orderable.
     """
     names = list(columns)
-    place = Window.partitionBy(*SERIES).orderBy("ts")
-    cut = df.withColumn("_chunk", F.floor((F.row_number().over(place) - 1) / chunk).cast("long"))
-    ends = T.StructType([*[f for f in cut.schema if f.name in (*SERIES, "_chunk")], *[T.StructField(f"_{k}{i}", T.DoubleType()) for i in range(len(names)) for k in ("first", "last", "decay")]])
     sources = sorted({c for c, _ in columns.values()})
-
-    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        """What a chunk does to a value carried in: out = last + decay (in - first), or last if nothing is carried in."""
-        pdf = pdf.sort_values("ts")
-        row = [*pdf.iloc[0][[*SERIES, "_chunk"]]]
-        for c, span in columns.values():
-            x = pdf[c].to_numpy(float)
-            seen = x[~np.isnan(x)]
-            alpha = 2 / (span + 1)
-            last = _solve(x, alpha, np.nan)[-1]
-            row += [seen[0] if len(seen) else None, last if len(seen) else None, (1 - alpha) ** len(seen)]
-        return pd.DataFrame([row], columns=[f.name for f in ends])
-
-    def carried(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The value carried into each chunk, from the summaries of one series in order."""
-        pdf = pdf.sort_values("_chunk").reset_index(drop=True)
-        out = pdf[[*SERIES, "_chunk"]].copy()
-        for i, (_, span) in enumerate(columns.values()):
-            alpha, y, got = 2 / (span + 1), np.nan, []
-            for first, last, decay in zip(pdf[f"_first{i}"], pdf[f"_last{i}"], pdf[f"_decay{i}"], strict=True):
-                got.append(y)
-                if first is not None and first == first:
-                    y = last if y != y else last + decay * (y - first)
-            out[f"_carry{i}"] = got
-            del alpha
-        return out
-
+    means = [(sources.index(c), 2 / (span + 1)) for c, span in columns.values()]
     keys = [*SERIES, "_chunk"]
-    carry_schema = T.StructType([*[f for f in cut.schema if f.name in keys], *[T.StructField(f"_carry{i}", T.DoubleType()) for i in range(len(names))]])
-    short = cut.select(*keys, "ts", *sources)
-    carry = short.groupBy(*keys).applyInPandas(summary, ends).groupBy(*SERIES).applyInPandas(carried, carry_schema)
-    joined = cut.join(carry, keys)
-    result = T.StructType([*[f for f in df.schema], *[T.StructField(n, T.DoubleType()) for n in names]])
-    held = [f.name for f in df.schema]
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        out = pdf[held].copy()
-        for i, (name, (c, span)) in enumerate(columns.items()):
-            out[name] = _solve(pdf[c].to_numpy(float), 2 / (span + 1), float(pdf[f"_carry{i}"].iloc[0]) if pdf[f"_carry{i}"].notna().iloc[0] else np.nan)
-        return out
-
-    return joined.groupBy(*keys).applyInPandas(finish, result)
-
-
+    row = F.struct("ts", *[c for c in df.columns if c != "ts"])
+    packed = df.withColumn("_chunk", chunk_of(F.col("ts"), F.col("timeframe"), chunk)).groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    lists = T.ArrayType(T.DoubleType())
+    values = [F.col("_rows").getField(c).cast(lists) for c in sources]
+
+    def summary(*xs: pd.Series) -> pd.DataFrame:
+        """What chunks do to values carried in: out = last + decay (in - first), or last if nothing is carried in; nan for a chunk without values."""
+        made = {"first": [], "last": [], "decay": []}
+        for chunk_xs in zip(*xs, strict=True):
+            clean = [x[~np.isnan(x)] for x in map(np.asarray, chunk_xs)]
+            made["first"].append([float(clean[i][0]) if len(clean[i]) else np.nan for i, _ in means])
+            made["last"].append([float(_solve(clean[i], a, np.nan)[-1]) if len(clean[i]) else np.nan for i, a in means])
+            made["decay"].append([(1 - a) ** len(clean[i]) for i, a in means])
+        return pd.DataFrame(made)
+
+    ends = packed.select(*keys, F.pandas_udf(summary, T.StructType([T.StructField(f, lists) for f in ("first", "last", "decay")]))(*values).alias("_m")).select(*keys, "_m.*")
+
+    def carried(maps: pd.DataFrame) -> pd.DataFrame:
+        """The values carried into each chunk, from the maps of one series in order: one row a chunk."""
+        maps = maps.sort_values("_chunk", na_position="first").reset_index(drop=True)
+        first, last, decay = (np.array(maps[c].tolist(), float).reshape(len(maps), len(means)) for c in ("first", "last", "decay"))
+        y, got = np.full(len(means), np.nan), []
+        for f, x, d in zip(first, last, decay, strict=True):
+            got.append(y)
+            y = np.where(np.isnan(f), y, np.where(np.isnan(y), x, x + d * (y - f)))
+        return maps[keys].assign(_carry=[g.tolist() for g in got])
+
+    kinds = [f for f in packed.schema if f.name in keys]
+    carry = ends.groupBy(*SERIES).applyInPandas(carried, T.StructType([*kinds, T.StructField("_carry", lists)]))
+
+    def finish(carry: pd.Series, *xs: pd.Series) -> pd.DataFrame:
+        out = [[_solve(np.asarray(x[i], float), a, c) for (i, a), c in zip(means, cs, strict=True)] for cs, x in zip(carry, zip(*xs, strict=True), strict=True)]
+        return pd.DataFrame({f"y{k}": [o[k] for o in out] for k in range(len(means))})
+
+    same = F.lit(True)
+    for k in keys:
+        same = same & packed[k].eqNullSafe(F.col(f"c.{k}"))
+    solved = packed.join(carry.alias("c"), same).select("_rows", F.pandas_udf(finish, T.StructType([T.StructField(f"y{k}", lists) for k in range(len(means))]))("_carry", *values).alias("_y"))
+    each = solved.select(F.explode(F.arrays_zip("_rows", *[F.col(f"_y.y{k}").alias(f"y{k}") for k in range(len(means))])).alias("_r"))
+    held = [F.col("_r._rows").getField(c).alias(c) for c in df.columns if c not in names]
+    made = each.select(*held, *[F.nanvl(F.col(f"_r.y{k}"), F.lit(None).cast("double")).alias(n) for k, n in enumerate(names)])
+    return made.select(*[c for c in df.columns if c not in names], *names)
+
+
+ship(__name__)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import KEY, SERIES, hours_between, new_york, ratio, running, series
+from ..functions.groups import groups
+from ..functions.shipping import ship
 
 
 def asof_daily(bars: DataFrame, daily: DataFrame, cols: list[str], lag_rows: int = 1) -> DataFrame:
@@ -172,33 +177,84 @@ def excursions(trades: DataFrame, bars: DataFrame, hours: int = 8) -> DataFrame:
     return g.select(*ids, F.when(long, F.col("u")).otherwise(-F.col("d")).alias("mfe_pct"), F.when(long, F.col("d")).otherwise(-F.col("u")).alias("mae_pct"))
 
 
-def one_position(trades: DataFrame, keys: list[str]) -> DataFrame:
-    """Trades kept if they start after the exit of the last kept one, by ``keys``; equal starts by exit.
+BLOCK_DAYS = 90.0
+
+
+def _micros(df: DataFrame, name: str) -> Column:
+    """A time as a number, of either kind of timestamp."""
+    if dict(df.dtypes)[name] == "timestamp":
+        return F.unix_micros(name)
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(name))
+
+
+def _next_starts(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each trade of a sorted run, the first that starts after its exit; the length of the run if none does."""
+    return np.maximum(starts.searchsorted(ends, "right"), np.arange(1, len(starts) + 1))
+
 
-    A trade without an exit lets none follow; one without a start is not kept.  Sorted rows
-    stream through the task (the sort can spill), which goes from one kept trade straight to
-    the next and holds a batch and one time only, however long a series is.
+def _block_map(starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
+    """What a sorted run of trades does to the time from which one may start: (last start, time it is free from) by runs of starts.
+
+    A time lets the first run enter whose last start is later.  Every trade points to the one
+    that would follow it; doubling these pointers gives the last one of each chain.
     """
+    n = len(starts)
+    to, last = np.r_[_next_starts(starts, ends), n], np.arange(n + 1)
+    while (to < n).any():
+        last, to = np.where(to < n, last[to], last), to[to]
+    first = np.flatnonzero(np.r_[True, starts[1:] != starts[:-1]])  # of equal starts the first enters
+    free = ends[last[first]]
+    run_ends = np.flatnonzero(np.r_[free[1:] != free[:-1], True])
+    return starts[first][run_ends].tolist(), free[run_ends].tolist()
+
 
-    def scan(batches):
-        held, free = None, None
-        for pdf in batches:
-            kept = []
-            for key, g in pdf.groupby(keys, dropna=False, sort=False):
-                key = tuple(None if pd.isna(k) else k for k in key)
-                if key != held:
-                    held, free = key, None
-                starts, ends = g["ts"].to_numpy(), g["exit_ts"].to_numpy()
-                n = len(starts) - int(pd.isna(starts).sum())  # missing starts come last
-                at = 0 if free is None else n if pd.isna(free) else int(starts[:n].searchsorted(free, "right"))
-                while at < n:
-                    kept.append(g.index[at])
-                    free = ends[at]
-                    at = n if pd.isna(free) else max(at + 1, int(starts[:n].searchsorted(free, "right")))
-            yield pdf.loc[kept]
-
-    order = [F.col("ts").asc_nulls_last(), F.col("exit_ts").asc_nulls_last()]
-    return trades.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(scan, trades.schema)
+def one_position(trades: DataFrame, keys: list[str], block_days: float = BLOCK_DAYS) -> DataFrame:
+    """Trades kept if they start after the exit of the last kept one, by ``keys``; equal starts by exit.
+
+    A trade without an exit lets none follow; one without a start is not kept.  A series is cut
+    into blocks of ``block_days``.  What a block does to the time from which a trade may start is
+    a short map; only the maps meet by series, and then each block finds its kept trades from
+    the time that is carried into it.
+    """
+    big, columns = 1 << 62, trades.columns
+    block = F.floor(F.col("_start") / F.lit(int(block_days * 86_400_000_000)))
+    rows = trades.withColumn("_start", _micros(trades, "ts")).filter("_start is not null").withColumns({"_end": F.coalesce(_micros(trades, "exit_ts"), F.lit(big)), "_block": block})
+    places = [*keys, "_block"]
+    kinds = [f for k in places for f in rows.schema if f.name == k]
+    lists = T.ArrayType(T.LongType())
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a block: its keys and what it does to the time that one may start from."""
+        for g in groups(batches, places):
+            until, free = _block_map(g["_start"].to_numpy(), g["_end"].to_numpy())
+            yield pa.RecordBatch.from_arrays([*[g[k].slice(0, 1).combine_chunks() for k in places], pa.array([until], pa.list_(pa.int64())), pa.array([free], pa.list_(pa.int64()))], names=[*places, "until", "free"])
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The time from which a trade may start in each block; a series has a row a block here."""
+        for g in groups(batches, keys):
+            free, got = -big, []
+            for until, after in zip(g["until"].to_pylist(), g["free"].to_pylist(), strict=True):
+                got.append(free)
+                i = int(np.array(until).searchsorted(free, "right"))
+                free = after[i] if i < len(after) else free
+            yield pa.RecordBatch.from_arrays([*[g[k].combine_chunks() for k in places], pa.array(got, pa.int64())], names=[*places, "_from"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, places):  # the first row is the block's carried time
+            starts, ends = g["_start"].to_numpy()[1:], g["_end"].to_numpy()[1:]
+            after = _next_starts(starts, ends)
+            kept, at = [], int(starts.searchsorted(g["_from"][0].as_py(), "right"))
+            while at < len(starts):
+                kept.append(at + 1)
+                at = int(after[at])
+            yield from g.take(pa.array(kept, pa.int64())).select(columns).combine_chunks().to_batches()
+
+    order = ["_start", "_end"]
+    short = rows.select(*places, *order).repartition(*places).sortWithinPartitions(*places, *order)
+    heads = short.mapInArrow(maps, T.StructType([*kinds, T.StructField("until", lists), T.StructField("free", lists)]))
+    heads = heads.repartition(*keys).sortWithinPartitions(*places).mapInArrow(carried, T.StructType([*kinds, T.StructField("_from", T.LongType())]))
+    led = rows.unionByName(heads.withColumns({"_start": F.lit(0).cast("bigint"), "_end": F.lit(0).cast("bigint")}), allowMissingColumns=True)
+    return led.repartition(*places).sortWithinPartitions(*places, F.col("_from").asc_nulls_last(), *order).mapInArrow(scan, trades.schema)
 
 
 def match_fifo(fills: DataFrame) -> DataFrame:
@@ -388,3 +444,6 @@ def alerts_with_performance(alerts: DataFrame, performance: DataFrame) -> DataFr
     """Alerts (alert_id, ..., price) with their outcome if any; a closed alert takes its entry price from the alert."""
     p = performance.select("alert_id", "outcome", "pnl_r", F.col("entry_price").alias("_entry"))
     return alerts.join(p, "alert_id", "left").withColumn("entry_price", F.when(F.col("outcome").isNotNull(), F.col("price")).otherwise(F.col("_entry"))).drop("_entry")
+
+
+ship(__name__)
