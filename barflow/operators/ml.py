@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEY, SERIES, new_york, ratio, series
+from ..sources.files import saved
 
 FEATURES = ["rsi", "natr", "dist_vwap", "vol_ratio", "dist_ema200", "wick_pct", "hour"]
 
@@ -78,8 +81,91 @@ def train(samples: DataFrame, cols: list[str], kind: str = "rf", min_samples: in
         samples.unpersist()
 
 
+#: Trees a symbol, splits from the root to a leaf, ranges of a feature, and features looked at in a node (of all; None: their root).
+TREES, DEPTH, BINS = 20, 5, 32
+#: Chances of a Poisson count with mean 1 being at most 0, 1, 2, ...: how often a tree draws a sample.
+DRAWS = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]
+
+
+def forests_by_symbol(samples: DataFrame, cols: list[str], keys: list[str], min_samples: int = 50, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, seed: int = 42) -> DataFrame:
+    """A random forest for each symbol with ``min_samples`` samples of both labels, all grown together: a row a symbol.
+
+    Trees grow level by level: counts of both labels by (symbol, tree, node, feature, range) choose
+    each node's split, then every sample goes on to its next nodes.  The number of jobs depends
+    on ``depth`` alone, samples of one symbol may be in any number of tasks, and a symbol's
+    forest does not depend on other symbols.  ``keys`` (with the symbol) name a sample: their hash says
+    how often each tree draws it.  A null feature counts as 0; labels weigh evenly within a symbol.
+    """
+    known = samples.filter("symbol is not null and label is not null")
+    value = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols}
+    cuts = [i / bins for i in range(1, bins)]
+    of_symbol = known.groupBy("symbol").agg(
+        F.count("*").alias("_n"), F.sum((F.col("label") == 1).cast("bigint")).alias("_ones"),
+        F.array(*[F.array_distinct(F.percentile_approx(v, cuts, 10_000)) for v in value.values()]).alias("_cuts"))
+    of_symbol = saved(of_symbol.filter((F.col("_n") >= min_samples) & (F.col("_ones") > 0) & (F.col("_ones") < F.col("_n"))), "forest-symbols")
+    start = F.array_repeat(F.lit(1), trees)
+    binned = known.join(of_symbol, "symbol").select("symbol", (F.col("label") == 1).cast("int").alias("y"), F.xxhash64(*keys, F.lit(seed)).alias("h"), _ranges(value, "_cuts").alias("bins"), start.alias("nodes"))
+    rows = saved(binned, "forest-samples")
+    looked = max(1, round(len(cols) ** 0.5))
+    levels = []
+    for level in range(depth + 1):
+        draws = F.pmod(F.xxhash64("h", "tree"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        times = sum([F.when(draws >= p, 1).otherwise(0) for p in DRAWS], F.lit(0))
+        drawn = rows.select("symbol", "y", "h", "bins", F.posexplode("nodes").alias("tree", "node")).filter("node > 0").withColumn("k", times).filter("k > 0")
+        counts = drawn.select("symbol", "tree", "node", "y", "k", F.posexplode("bins").alias("feature", "bin")).groupBy("symbol", "tree", "node", "feature", "bin").agg(
+            F.sum("k").alias("k"), F.sum(F.col("k") * F.col("y")).alias("k1"))
+        levels.append(saved(_splits(counts, of_symbol, looked, level < depth, seed), "forest-level"))
+        if level < depth:
+            chosen = levels[-1].filter("feature is not null").groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct(F.col("tree") * F.lit(1 << depth + 1) + F.col("node"), F.struct("feature", "bin")))).alias("map"))
+            chosen = chosen.select("symbol", F.transform(F.sequence(F.lit(0), F.lit((trees << depth + 1) - 1)), lambda i: F.element_at("map", i)).alias("splits"))
+            split = lambda node, tree: F.get("splits", tree * F.lit(1 << depth + 1) + node)
+            right = lambda s: (F.get("bins", s["feature"]) > s["bin"]).cast("int")
+            onward = F.transform("nodes", lambda node, tree: F.when((node > 0) & split(node, tree).isNotNull(), 2 * node + right(split(node, tree))).otherwise(F.lit(-1)))
+            rows = saved(rows.join(chosen, "symbol").select("symbol", "y", "h", "bins", onward.alias("nodes")), "forest-samples")
+    every = reduce(DataFrame.unionByName, levels)
+    place = F.col("tree") * F.lit(1 << depth + 1) + F.col("node")
+    packed = every.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct(place, F.struct("feature", "bin", "prob")))).alias("map"))  # trees * 2 ** (depth + 1) entries at most
+    forest = F.transform(F.sequence(F.lit(0), F.lit((trees << depth + 1) - 1)), lambda i: F.element_at("map", i))
+    return saved(packed.select("symbol", forest.alias("forest")).join(of_symbol.select("symbol", F.col("_cuts").alias("cuts"), F.col("_n").alias("n")), "symbol").withColumns({"trees": F.lit(trees), "depth": F.lit(depth)}), "forests")
+
+
+def _ranges(value: dict[str, Column], cuts: str) -> Column:
+    """The range of each feature: how many of its cuts lie below the value."""
+    return F.array(*[_below(F.get(cuts, F.lit(i)), v) for i, v in enumerate(value.values())])
+
+
+def _below(cuts: Column, v: Column) -> Column:
+    return F.size(F.filter(cuts, lambda x: x < v))
+
+
+def _splits(counts: DataFrame, of_symbol: DataFrame, looked: int, grow: bool, seed: int) -> DataFrame:
+    """symbol, tree, node, prob of label 1, and the split that lowers the Gini impurity most (null: a leaf).
+
+    ``looked`` features of a node are looked at, by a hash.
+    """
+    node = ["symbol", "tree", "node"]
+    # Labels weigh evenly: a 1 counts as many as there are 0s for it.
+    weighed = counts.join(of_symbol.select("symbol", ((F.col("_n") - F.col("_ones")) / F.col("_ones")).alias("up")), "symbol")
+    one, zero = F.col("k1") * F.col("up"), (F.col("k") - F.col("k1")).cast("double")
+    w = Window.partitionBy(*node, "feature")  # a row a range
+    upto = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    sums = weighed.withColumns({"one": one, "zero": zero}).withColumns({"l1": F.sum("one").over(upto), "l0": F.sum("zero").over(upto), "t1": F.sum("one").over(w), "t0": F.sum("zero").over(w)})
+    impure = lambda a, b: F.when(a + b > 0, a * b / (a + b)).otherwise(0.0)
+    r1, r0 = F.col("t1") - F.col("l1"), F.col("t0") - F.col("l0")
+    gain = impure(F.col("t1"), F.col("t0")) - impure(F.col("l1"), F.col("l0")) - impure(r1, r0)
+    prob = (F.col("t1") / (F.col("t1") + F.col("t0"))).alias("prob")
+    if not grow:
+        return sums.filter("feature = 0").groupBy(*node).agg(F.first(prob).alias("prob")).select(*node, "prob", F.lit(None).cast("int").alias("feature"), F.lit(None).cast("int").alias("bin"))
+    ranked = F.row_number().over(Window.partitionBy(*node).orderBy("lot", "feature"))
+    features = sums.select(*node, "feature").distinct().withColumn("lot", F.xxhash64("tree", "node", "feature", F.lit(seed))).withColumn("place", ranked).filter(F.col("place") <= looked).select(*node, "feature", F.lit(True).alias("seen"))
+    rated = sums.withColumn("gain", F.round(gain, 9)).join(features, [*node, "feature"], "left")
+    ok = F.col("seen") & (F.col("gain") > 1e-7) & ((r1 + r0) > 0)
+    best = F.max(F.when(ok, F.struct("gain", (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b")))).alias("best")
+    return rated.groupBy(*node).agg(F.max(F.when(F.col("feature") == 0, prob)).alias("prob"), best).select(*node, "prob", (-F.col("best.f")).cast("int").alias("feature"), (-F.col("best.b")).cast("int").alias("bin"))
+
+
 def train_by_symbol(samples: DataFrame, cols: list[str], kind: str = "rf", min_samples: int = 50, most: int = 1000) -> dict:
-    """A model for each symbol with ``min_samples`` samples of both labels; more than ``most`` such symbols are an error.
+    """For a few symbols (``forests_by_symbol`` is for many): a model for each symbol with ``min_samples`` samples of both labels; more than ``most`` such symbols are an error.
 
     Each fit is a job over the samples of one symbol; only symbol names reach the driver.
     """
@@ -103,6 +189,25 @@ def score_by_symbol(models: dict, samples: DataFrame, cols: list[str]) -> DataFr
     return rest
 
 
+def score_forests(models: DataFrame, samples: DataFrame, cols: list[str]) -> DataFrame:
+    """Probabilities by each symbol's own forest (``forests_by_symbol``), in one join; symbols without one pass with 1.0."""
+    value = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols}
+    made = samples.join(models.select(F.col("symbol").alias("_symbol"), *[F.col(c).alias(f"_{c}") for c in ("forest", "cuts", "trees", "depth")]), F.col("symbol") == F.col("_symbol"), "left").withColumn("_bins", _ranges(value, "_cuts"))
+    size = F.pow(F.lit(2.0), F.col("_depth") + 1).cast("int")
+    at = lambda tree, node: F.get("_forest", tree * size + node)
+
+    def walk(tree: Column) -> Column:
+        def onward(node: Column, _: Column) -> Column:
+            split = at(tree, node)
+            return F.when(split["feature"].isNull(), node).otherwise(2 * node + (F.get("_bins", split["feature"]) > split["bin"]).cast("int"))
+
+        return at(tree, F.aggregate(F.sequence(F.lit(1), F.col("_depth")), F.lit(1), onward))["prob"]
+
+    total = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("_trees") - 1), walk), F.lit(0.0), lambda a, p: a + p)
+    prob = F.when(F.col("_symbol").isNull(), F.lit(1.0)).otherwise(total / F.col("_trees"))
+    return made.withColumn("prob", prob).drop("_symbol", "_forest", "_cuts", "_trees", "_depth", "_bins")
+
+
 def _counted_before(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
     """``before``: the sum of ``n`` over rows of smaller prob, by ``keys``, for one row a prob.
 

@@ -100,9 +100,9 @@ _query("m06_train", trained)
 def by_symbol(s, d) -> DataFrame:
     """Each symbol's samples on both sides of the split, whether it has a model of its own, and whether all its probabilities are such."""
     parts = saved(M.split(samples(s, d), KEY), "samples", "symbol")
-    models = M.train_by_symbol(parts.filter("not is_test"), M.FEATURES)
-    scored = M.score_by_symbol(models, parts, M.FEATURES)
-    has = F.coalesce(F.col("symbol").isin(*models), F.lit(False))
+    models = M.forests_by_symbol(parts.filter("not is_test"), M.FEATURES, KEY)
+    scored = M.score_forests(models, parts, M.FEATURES).join(models.select("symbol", F.lit(True).alias("_has")), "symbol", "left")
+    has = F.coalesce("_has", F.lit(False))
     return scored.groupBy("symbol").agg(
         F.count_if(~F.col("is_test")).alias("n_train"), F.count_if(F.col("is_test")).alias("n_test"), F.max(has).alias("trained"),
         F.min(F.when(has, F.col("prob").between(0, 1)).otherwise(F.col("prob") == 1)).alias("in_bounds"))
