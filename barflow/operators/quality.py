@@ -11,7 +11,7 @@ from ..functions.columns import SERIES, hours_between, new_york, ratio, series
 from .clean import classify_gaps, detect_gaps, session_of
 
 #: Least or most allowed values of the checks, in %.
-THRESHOLDS = {"ohlc": 95.0, "price": 5.0, "volume": 10.0, "overall": 75.0}
+THRESHOLDS = {"ohlc": 95.0, "price": 5.0, "volume": 10.0, "overall": 75.0, "extended": 80.0}
 #: Weights of the checks in the overall score, by level; their sum counts as 1 at least.
 WEIGHTS = {"completeness": 0.25, "gaps": 0.20, "ohlc": 0.20, "price": 0.15, "volume": 0.10, "continuity": 0.10, "sessions": 0.05, "weekdays": 0.05}
 LEVELS = {"BASIC": ["completeness", "ohlc"], "STANDARD": ["completeness", "gaps", "ohlc", "price", "volume", "continuity"], "EXTENDED": list(WEIGHTS)}
@@ -120,22 +120,48 @@ def session_coverage(bars: DataFrame) -> DataFrame:
     return s.groupBy("symbol").agg(*[(100 * F.count_if(F.col("session") == x) / F.count("*")).alias(x.lower() + "_pct") for x in ("REGULAR", "PRE_MARKET", "POST_MARKET", "OVERNIGHT")])
 
 
+def _listed(*parts: Column) -> Column:
+    """The parts that hold, joined by commas."""
+    return F.array_join(F.array_compact(F.array(*parts)), ",")
+
+
+def extended_hours(bars: DataFrame) -> DataFrame:
+    """Session shares with that of all extended hours, its score and status against THRESHOLDS, and what is too thin."""
+    g = session_coverage(bars)
+    p, least = F.col("extended_pct"), THRESHOLDS["extended"]
+    ok, near = p >= least, p >= 0.8 * least
+    return g.withColumn("extended_pct", F.col("pre_market_pct") + F.col("post_market_pct") + F.col("overnight_pct")).withColumns({
+        "score": F.when(ok, F.least(F.lit(100.0), p)).when(near, p * 0.9).otherwise(p * 0.5), "status": F.when(ok, "PASSED").when(near, "WARNING").otherwise("FAILED"),
+        "issues": _listed(F.when(~ok & near, "EXTENDED_LIMITED"), F.when(~near, "EXTENDED_INSUFFICIENT"), F.when(F.col("pre_market_pct") < 5, "PRE_MARKET_THIN"), F.when(F.col("post_market_pct") < 5, "POST_MARKET_THIN"), F.when(F.col("overnight_pct") < 2, "OVERNIGHT_THIN")),
+        "advice": _listed(F.when(p < 70, "COLLECT_EXTENDED_HOURS"), F.when(F.col("overnight_pct") == 0, "COLLECT_OVERNIGHT"))})
+
+
 def check_session_coverage(bars: DataFrame) -> DataFrame:
-    p = F.col("regular_pct")
-    return _checked(session_coverage(bars), "sessions", F.least(F.lit(100.0), p * 2), F.when(p >= 25, "PASSED").when(p >= 10, "WARNING").otherwise("FAILED"))
+    return _checked(extended_hours(bars), "sessions", F.col("score"), F.col("status"))
 
 
 def weekday_coverage(bars: DataFrame) -> DataFrame:
-    """Counts by weekday (Monday 0), weekend share, and weekdays without bars."""
+    """Counts by New York weekday (Monday 0), weekend share, and weekdays without bars."""
     names = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
-    g = bars.groupBy("symbol").agg(*[F.count_if(F.weekday("ts") == i).alias(n) for i, n in enumerate(names)], F.count("*").alias("n"))
+    day = F.weekday(new_york(F.col("ts")))
+    g = bars.groupBy("symbol").agg(*[F.count_if(day == i).alias(n) for i, n in enumerate(names)], F.count("*").alias("n"))
     missing = F.array_compact(F.array(*[F.when(F.col(n) == 0, n) for n in names[:5]]))
     return g.withColumn("weekend_pct", 100 * (F.col("sat") + F.col("sun")) / F.col("n")).withColumn("missing_days", F.array_join(missing, ","))
 
 
+def weekday_balance(bars: DataFrame) -> DataFrame:
+    """Weekday counts with score, status and issues: by the share of weekend bars, less where weekdays miss, 0 without any weekday."""
+    g = weekday_coverage(bars).withColumn("weekdays", F.col("mon") + F.col("tue") + F.col("wed") + F.col("thu") + F.col("fri"))
+    p, none, missing = F.col("weekend_pct"), F.col("weekdays") == 0, F.col("missing_days") != ""
+    base = F.when(p < 10, 90.0).when(p < 30, 75.0).otherwise(60.0)
+    return g.withColumns({
+        "score": F.when(none, 0.0).when(missing, F.greatest(base * 0.8, F.lit(40.0))).otherwise(base), "status": F.when(none, "FAILED").when(p < 10, "PASSED").otherwise("WARNING"),
+        "issues": _listed(F.when(none, "NO_WEEKDAYS"), F.when(~none & (p >= 10) & (p < 30), "WEEKEND_HIGH"), F.when(~none & (p >= 30), "WEEKEND_VERY_HIGH"), F.when(missing, "WEEKDAYS_MISSING")),
+        "advice": _listed(F.when(missing, "COVER_ALL_WEEKDAYS"), F.when(p > 20, "CHECK_DAY_FILTERS"))})
+
+
 def check_weekdays(bars: DataFrame) -> DataFrame:
-    ok = F.col("missing_days") == ""
-    return _checked(weekday_coverage(bars), "weekdays", F.when(ok, 100.0).otherwise(60.0), F.when(ok, "PASSED").otherwise("WARNING"))
+    return _checked(weekday_balance(bars), "weekdays", F.col("score"), F.col("status"))
 
 
 def check_gaps(bars: DataFrame, minutes: float = 60.0) -> DataFrame:
@@ -230,12 +256,40 @@ def quality_score(bars: DataFrame, minutes: float = 60.0) -> DataFrame:
     return made.select(*SERIES, "score", ((F.col("completeness_pct") >= 90) & (F.col("longest") <= 72) & (price < 0.05 * n)).alias("suitable"))
 
 
+#: Weights of the parts of readiness.
+READINESS = {"gaps_score": 0.25, "ohlc_score": 0.30, "indicators_score": 0.25, "volume_score": 0.10, "consistency_score": 0.10}
+
+
 def backtest_readiness(bars: DataFrame, indicators: DataFrame, cols: list[str], minutes: float = 60.0) -> DataFrame:
-    """Weighted score of gaps .25, order .30, indicators .25, volume .10 and consistency .10."""
-    gaps = detect_gaps(bars, 1.5 * minutes).groupBy(*SERIES).agg(F.count("*").alias("gaps"))
-    present = indicators.groupBy(*SERIES).agg((sum((F.count(c) for c in cols), F.lit(0)) / (len(cols) * F.count("*"))).alias("present"))
-    made = completeness(bars, minutes / 60).join(gaps, SERIES, "left").join(price_anomalies(bars), SERIES).join(volume_outliers(bars), SERIES).join(present, SERIES, "left").fillna({"gaps": 0, "present": 0.0})
-    n = F.col("n")
-    share = lambda x: 100 * F.greatest(F.lit(0.0), 1 - x / n)
-    score = 0.25 * share(F.col("gaps")) + 0.30 * share(F.col("order_violations")) + 0.25 * 100 * F.col("present") + 0.10 * share(F.col("outliers") + F.col("zero_volume")) + 0.10 * F.col("completeness_pct")
-    return made.select(*SERIES, score.alias("score"), (score >= 70).alias("ready"))
+    """Five scores of each series, their weighted sum, whether it is ready for backtests, and why not.
+
+    Columns of ``cols`` that ``indicators`` lacks count as missing, and no series is ready then.
+    """
+    n, prices = F.col("n"), ["open", "high", "low", "close"]
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    wrong = [F.col("high") < F.col("low"), F.col("high") < F.col("open"), F.col("high") < F.col("close"), F.col("low") > F.col("open"), F.col("low") > F.col("close")]
+    below = reduce(lambda a, b: a | b, [F.coalesce(F.col(c) <= 0, F.lit(False)) for c in prices])
+    absent = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(c) for c in prices])
+    g = bars.withColumn("_gap", hours_between(_before("ts"), F.col("ts"))).groupBy(*SERIES).agg(
+        F.count("*").alias("n"), F.min("ts").alias("_a"), F.max("ts").alias("_z"), F.count_if(F.col("_gap") * 60 > 1.5 * minutes).alias("gaps"), F.max(F.when(F.col("_gap") * 60 > 1.5 * minutes, F.col("_gap"))).alias("longest"),
+        sum((count(w) for w in wrong), F.lit(0)).alias("_order"), count(below).alias("not_positive"), count(absent).alias("_absent"),
+        count(F.col("volume") == 0).alias("_zero"), count(F.col("volume") < 0).alias("_negative"), count(F.col("_gap") == 0).alias("_twice"))
+    held = [c for c in cols if c in indicators.columns]
+    nulls = indicators.groupBy(*SERIES).agg(sum(((F.count_if(F.col(c).isNull() | F.isnan(c)) > 0.1 * F.count("*")).cast("int") for c in held), F.lit(len(cols) - len(held))).alias("missing"))
+    made = g.join(nulls, SERIES, "left").fillna({"missing": len(cols), "longest": 0.0})
+    gaps, rate = F.col("gaps"), (F.col("_order") + F.col("not_positive") + F.col("_absent")) / n
+    gap_score = F.when(gaps == 0, 100.0).when(gaps <= 0.05 * n, 100 - gaps / (0.05 * n) * 20).otherwise(F.greatest(F.lit(0.0), 80 - 100 * gaps / n))
+    odd = F.when(F.col("_zero") > 0.05 * n, F.col("_zero")).otherwise(0) + F.col("_negative")
+    days = F.floor(hours_between(F.col("_a"), F.col("_z")) / 24)
+    made = made.withColumns({
+        "gaps_score": gap_score * F.when(F.col("longest") > 24, 0.7).when(F.col("longest") > 8, 0.9).otherwise(1.0),
+        "ohlc_score": F.when(rate > 0.1, 0.0).when(rate > 0.05, 50.0).otherwise(F.greatest(F.lit(0.0), 100 - 1000 * rate)),
+        "indicators_score": F.greatest(F.lit(0.0), 100 - 100 * F.col("missing") / max(len(cols), 1)), "volume_score": F.greatest(F.lit(0.0), 100 - 200 * odd / n),
+        "consistency_score": F.when(F.col("_twice") > 0, 70.0).otherwise(100.0),
+        "completeness_pct": 100 * n / F.greatest(F.lit(1.0), F.floor(days * (5 / 7) * (5.5 * 60 / minutes)))})
+    made = made.withColumn("score", F.round(sum((F.col(c) * w for c, w in READINESS.items()), F.lit(0.0)), 2))
+    critical = (F.col("longest") > 72) | (F.col("not_positive") > 0) | F.lit(len(held) < len(cols))
+    reasons = _listed(
+        F.when(F.col("score") < 70, "SCORE"), F.when(critical, "CRITICAL"), F.when(F.col("completeness_pct") < 85, "COMPLETENESS"), F.when(F.col("longest") > 72, "LONG_GAP"),
+        F.when(F.col("missing") > 2, "INDICATORS"), F.when(F.col("ohlc_score") < 90, "OHLC"), F.when(n < 100, "FEW_ROWS"))
+    return made.withColumn("reasons", reasons).select(*SERIES, *READINESS, "completeness_pct", "score", (F.col("reasons") == "").alias("ready"), "reasons")

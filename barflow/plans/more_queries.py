@@ -14,7 +14,7 @@ from ..sources.fixtures import bars
 from .clean_queries import GAPS
 from .indicator_queries import _full_sql
 from .quality_queries import B as BAD
-from .quality_queries import COMPLETE, MEDIAN, PRICE, clean
+from .quality_queries import COMPLETE, MEDIAN, PRICE, W, clean
 from .trade_queries import PARAMS, hourly, ind_sql, outcomes, OUT_SQL, PLAN_SQL, r6, score_sql, scored
 
 QUERIES: dict = {}
@@ -101,11 +101,29 @@ QS = f"""{BAD}, {COMPLETE}, {GAPS}, {PRICE}, {MEDIAN}, ga as (select symbol, tim
 vo as (select symbol, timeframe, count(*) filter (volume < 0) + count(*) filter (m > 0 and volume > 10 * m) + count(*) filter (m = 0 and volume = 0) as v from md group by all),
 q as (select symbol, timeframe, n, completeness_pct, coalesce(gaps, 0) as g, coalesce(longest, 0) as lo, order_violations, order_violations + jumps as p, v from cp left join ga using (symbol, timeframe) join pr using (symbol, timeframe) join vo using (symbol, timeframe))"""
 _query("q04_quality_score", lambda s, d: Q.quality_score(clean(s, d)), f"""{QS} select symbol, timeframe, {r6("(0.4 * completeness_pct + case when g = 0 then 25.0 when g <= 5 then 20.0 when g <= 15 then 15.0 when g <= 30 then 10.0 else 5.0 end * case when lo > 72 then 0.5 when lo > 24 then 0.8 else 1.0 end + case when p = 0 then 20.0 when p < 0.01 * n then 16.0 when p < 0.05 * n then 10.0 else 0.0 end + case when v = 0 then 15.0 when v < 0.01 * n then 12.0 when v < 0.05 * n then 7.5 else 0.0 end)::double as score")}, completeness_pct >= 90 and lo <= 72 and p < 0.05 * n as suitable from q""")
-_query("q19_backtest_readiness", lambda s, d: Q.backtest_readiness(clean(s, d), I.sma(I.sma(clean(s, d), 20), 50), ["sma_20", "sma_50"]),
-       f"""{QS}, st as (select symbol, timeframe, avg(volume) as am, stddev_samp(volume) as sd from b group by all), o as (select symbol, timeframe, count(*) filter (volume > am + 10 * sd) as ou, count(*) filter (volume = 0) as z, count(*) as k from b join st using (symbol, timeframe) group by all),
-i0 as (select symbol, timeframe, {_full_sql('avg(close)', 'close', 20)} as x, {_full_sql('avg(close)', 'close', 50)} as y from b), i as (select symbol, timeframe, (count(x) + count(y)) / (2.0 * count(*)) as present from i0 group by all),
-r as (select *, 0.25 * 100 * greatest(0.0, 1 - g / n) + 0.30 * 100 * greatest(0.0, 1 - order_violations / n) + 0.25 * 100 * present + 0.10 * 100 * greatest(0.0, 1 - (ou + case when z > 0.05 * k then z else 0 end) / n) + 0.10 * completeness_pct as score from q join o using (symbol, timeframe) join i using (symbol, timeframe))
-select symbol, timeframe, {r6('score::double as score')}, score >= 70 as ready from r""")
+READY = f"""{BAD},
+gp as (select *, date_diff('second', lag(ts) over ({W}), ts) / 3600.0 as gap from b),
+pa as (select symbol, timeframe, count(*) as n, min(ts) as a, max(ts) as z, count(*) filter (gap > 1.5) as gaps, coalesce(max(gap) filter (gap > 1.5), 0) as longest,
+         count(*) filter (high < low) + count(*) filter (high < open) + count(*) filter (high < close) + count(*) filter (low > open) + count(*) filter (low > close) as wrong,
+         count(*) filter (open <= 0 or high <= 0 or low <= 0 or close <= 0) as bad, count(*) filter (open is null or high is null or low is null or close is null) as absent,
+         count(*) filter (volume = 0) as zero, count(*) filter (volume < 0) as negative, count(*) filter (gap = 0) as twice from gp group by all),
+i0 as (select symbol, timeframe, {_full_sql('avg(close)', 'close', 20)} as x, {_full_sql('avg(close)', 'close', 50)} as y from b),
+nu as (select symbol, timeframe, (count(*) - count(x) > 0.1 * count(*))::int + (count(*) - count(y) > 0.1 * count(*))::int + 1 as missing from i0 group by all),
+sc as (select *, (wrong + bad + absent) / n as rate from pa join nu using (symbol, timeframe)),
+ss as (select *, (case when gaps = 0 then 100.0 when gaps <= 0.05 * n then 100 - gaps / (0.05 * n) * 20 else greatest(0.0, 80 - 100.0 * gaps / n) end * case when longest > 24 then 0.7 when longest > 8 then 0.9 else 1.0 end)::double as gaps_score,
+         (case when rate > 0.1 then 0.0 when rate > 0.05 then 50.0 else greatest(0.0, 100 - 1000 * rate) end)::double as ohlc_score, greatest(0.0, 100 - 100 * missing / 3)::double as indicators_score,
+         greatest(0.0, 100 - 200 * (case when zero > 0.05 * n then zero else 0 end + negative) / n)::double as volume_score, case when twice > 0 then 70.0 else 100.0 end::double as consistency_score,
+         100.0 * n / greatest(1.0, floor(floor(date_diff('second', a, z) / 86400.0) * (5 / 7) * (5.5 * 60 / 60.0))) as completeness_pct from sc),
+so as (select *, round(gaps_score * 0.25 + ohlc_score * 0.30 + indicators_score * 0.25 + volume_score * 0.10 + consistency_score * 0.10, 2) as score from ss),
+re as (select *, concat_ws(',', case when score < 70 then 'SCORE' end, 'CRITICAL', case when completeness_pct < 85 then 'COMPLETENESS' end, case when longest > 72 then 'LONG_GAP' end,
+         case when missing > 2 then 'INDICATORS' end, case when ohlc_score < 90 then 'OHLC' end, case when n < 100 then 'FEW_ROWS' end) as reasons from so)"""
+#: One required indicator is not there, which is critical: no series is ready.
+_query("q19_backtest_readiness", lambda s, d: Q.backtest_readiness(clean(s, d), I.sma(I.sma(clean(s, d), 20), 50), ["sma_20", "sma_50", "macd"]),
+       f"{READY} select symbol, timeframe, {r6('gaps_score', 'ohlc_score', 'indicators_score', 'volume_score', 'consistency_score', 'completeness_pct', 'score')}, reasons = '' as ready, reasons from re")
+#: With all of them; a critical gap or price still counts.
+_query("q19b_readiness_all_indicators", lambda s, d: Q.backtest_readiness(clean(s, d), I.sma(I.sma(clean(s, d), 20), 50), ["sma_20", "sma_50"]).select("symbol", "timeframe", "indicators_score", "score", "ready", "reasons"),
+       f"""{READY.replace("+ 1 as missing", "as missing").replace("100 * missing / 3", "100 * missing / 2").replace("'CRITICAL',", "case when longest > 72 or bad > 0 then 'CRITICAL' end,")}
+select symbol, timeframe, {r6('indicators_score', 'score')}, reasons = '' as ready, reasons from re""")
 
 
 def alerts(s, d) -> DataFrame:

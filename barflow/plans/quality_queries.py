@@ -64,8 +64,8 @@ CHECK_SQL = {
     "price": f"{JUMP}, pc as (select symbol, 100.0 * (count(*) filter (j) + count(*) filter (high / nullif(low, 0) - 1 > 0.15)) / count(*) as p from jp group by 1), ck_price as (select symbol, 'price' as \"check\", case when p <= 5 then greatest(80.0, 100 - 5 * p) when p <= 10 then greatest(60.0, 80 - 3 * p) else greatest(0.0, 40 - 2 * p) end as score, case when p <= 5 then 'PASSED' when p <= 10 then 'WARNING' else 'FAILED' end as status from pc)",
     "volume": f"{MEDIAN}, vc as (select symbol, 100.0 * count(*) filter (volume <= 0 or (m > 0 and volume > 20 * m)) / count(*) as p from md group by 1), ck_volume as (select symbol, 'volume' as \"check\", case when p <= 10 then greatest(80.0, 100 - 2 * p) when p <= 20 then greatest(60.0, 80 - p) else greatest(0.0, 50 - p) end as score, case when p <= 10 then 'PASSED' when p <= 20 then 'WARNING' else 'FAILED' end as status from vc)",
     "continuity": f"dc as (select *, date_diff('second', lag(ts) over ({W}), ts) / 3600.0 as dd from b), cc as (select symbol, coalesce(100.0 * count(*) filter (dd between 0.8 and 1.2) / nullif(count(dd), 0), 0) as p, count(*) filter (dd = 0) = 0 as ok from dc group by 1), ck_continuity as (select symbol, 'continuity' as \"check\", case when p >= 90 and ok then least(100.0, p + 5) when p >= 80 then p else greatest(0.0, p - 20) end as score, case when p >= 90 and ok then 'PASSED' when p >= 80 then 'WARNING' else 'FAILED' end as status from cc)",
-    "sessions": f"sc as (select symbol, 100.0 * count(*) filter (hour({NY}) between 9 and 15) / count(*) as regular_pct, 100.0 * count(*) filter (hour({NY}) between 4 and 8) / count(*) as pre_market_pct, 100.0 * count(*) filter (hour({NY}) between 16 and 19) / count(*) as post_market_pct, 100.0 * count(*) filter (hour({NY}) not between 4 and 19) / count(*) as overnight_pct from b group by 1), ck_sessions as (select symbol, 'sessions' as \"check\", least(100.0, regular_pct * 2) as score, case when regular_pct >= 25 then 'PASSED' when regular_pct >= 10 then 'WARNING' else 'FAILED' end as status from sc)",
-    "weekdays": "wk as (select symbol, " + ", ".join(f"count(*) filter (isodow(ts) = {i + 1}) as {n}" for i, n in enumerate(("mon", "tue", "wed", "thu", "fri", "sat", "sun"))) + ", count(*) as n from b group by 1), wd as (select *, 100.0 * (sat + sun) / n as weekend_pct, array_to_string(list_filter([case when mon = 0 then 'mon' end, case when tue = 0 then 'tue' end, case when wed = 0 then 'wed' end, case when thu = 0 then 'thu' end, case when fri = 0 then 'fri' end], lambda x: x is not null), ',') as missing_days from wk), ck_weekdays as (select symbol, 'weekdays' as \"check\", case when missing_days = '' then 100.0 else 60.0 end as score, case when missing_days = '' then 'PASSED' else 'WARNING' end as status from wd)",
+    "sessions": f"sc as (select symbol, 100.0 * count(*) filter (hour({NY}) between 9 and 15) / count(*) as regular_pct, 100.0 * count(*) filter (hour({NY}) between 4 and 8) / count(*) as pre_market_pct, 100.0 * count(*) filter (hour({NY}) between 16 and 19) / count(*) as post_market_pct, 100.0 * count(*) filter (hour({NY}) not between 4 and 19) / count(*) as overnight_pct from b group by 1), xh as (select *, pre_market_pct + post_market_pct + overnight_pct as x from sc), ck_sessions as (select *, x as extended_pct, 'sessions' as \"check\", case when x >= 80 then least(100.0, x) when x >= 64 then x * 0.9 else x * 0.5 end as score, case when x >= 80 then 'PASSED' when x >= 64 then 'WARNING' else 'FAILED' end as status, concat_ws(',', case when x < 80 and x >= 64 then 'EXTENDED_LIMITED' end, case when x < 64 then 'EXTENDED_INSUFFICIENT' end, case when pre_market_pct < 5 then 'PRE_MARKET_THIN' end, case when post_market_pct < 5 then 'POST_MARKET_THIN' end, case when overnight_pct < 2 then 'OVERNIGHT_THIN' end) as issues, concat_ws(',', case when x < 70 then 'COLLECT_EXTENDED_HOURS' end, case when overnight_pct = 0 then 'COLLECT_OVERNIGHT' end) as advice from xh)",
+    "weekdays": "wk as (select symbol, " + ", ".join(f"count(*) filter (isodow({NY}) = {i + 1}) as {n}" for i, n in enumerate(("mon", "tue", "wed", "thu", "fri", "sat", "sun"))) + ", count(*) as n from b group by 1), wd as (select *, 100.0 * (sat + sun) / n as weekend_pct, array_to_string(list_filter([case when mon = 0 then 'mon' end, case when tue = 0 then 'tue' end, case when wed = 0 then 'wed' end, case when thu = 0 then 'thu' end, case when fri = 0 then 'fri' end], lambda x: x is not null), ',') as missing_days from wk), we as (select *, mon + tue + wed + thu + fri as weekdays, case when weekend_pct < 10 then 90.0 when weekend_pct < 30 then 75.0 else 60.0 end as base from wd), ck_weekdays as (select *, 'weekdays' as \"check\", case when weekdays = 0 then 0.0 when missing_days <> '' then greatest(base * 0.8, 40.0) else base end as score, case when weekdays = 0 then 'FAILED' when weekend_pct < 10 then 'PASSED' else 'WARNING' end as status, concat_ws(',', case when weekdays = 0 then 'NO_WEEKDAYS' end, case when weekdays > 0 and weekend_pct >= 10 and weekend_pct < 30 then 'WEEKEND_HIGH' end, case when weekdays > 0 and weekend_pct >= 30 then 'WEEKEND_VERY_HIGH' end, case when missing_days <> '' then 'WEEKDAYS_MISSING' end) as issues, concat_ws(',', case when missing_days <> '' then 'COVER_ALL_WEEKDAYS' end, case when weekend_pct > 20 then 'CHECK_DAY_FILTERS' end) as advice from we)",
 }
 for _name, _f in Q.CHECKS.items():
     _ids = {"completeness": "q01b", "gaps": "q14", "ohlc": "q08", "price": "q09", "volume": "q10", "continuity": "q11", "sessions": "q12b", "weekdays": "q13b"}
@@ -73,6 +73,9 @@ for _name, _f in Q.CHECKS.items():
 _query("q12_session_coverage", lambda s, d: Q.session_coverage(gappy(s, d)), f"{G}, {CHECK_SQL['sessions']} select symbol, {r6('regular_pct', 'pre_market_pct', 'post_market_pct', 'overnight_pct')} from sc")
 _query("q13_weekday_coverage", lambda s, d: Q.weekday_coverage(gappy(s, d)), f"{G}, {CHECK_SQL['weekdays']} select symbol, mon, tue, wed, thu, fri, sat, sun, n, {r6('weekend_pct')}, missing_days from wd")
 
+_query("q12c_extended_hours", lambda s, d: Q.extended_hours(gappy(s, d)).select("symbol", "extended_pct", "score", "status", "issues", "advice"), f"{G}, {CHECK_SQL['sessions']} select symbol, {r6('extended_pct', 'score')}, status, issues, advice from ck_sessions")
+_query("q13c_weekday_balance", lambda s, d: Q.weekday_balance(gappy(s, d).filter("hour(ts) % 7 < 4")).select("symbol", "weekend_pct", "score", "status", "issues", "advice"), f"{G.replace('with b as', 'with b0 as')}, b as (select * from b0 where hour(ts) % 7 < 4), {CHECK_SQL['weekdays']} select symbol, {r6('weekend_pct', 'score::double as score')}, status, issues, advice from ck_weekdays")
+
 
 def validate_sql(level: str) -> str:
     parts = [CHECK_SQL[c] for c in Q.LEVELS[level]]
