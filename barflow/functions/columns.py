@@ -57,3 +57,38 @@ def minutes_between(a: Column, b: Column) -> Column:
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Every double rounded, so that results compare across engines; negative zero becomes zero."""
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def closing_soon(ts: Column, minutes: int = 10) -> Column:
+    """Whether the market closes within ``minutes`` or has closed: on a New York weekday, that long before 16:00 or later; false for null."""
+    ny = new_york(ts)
+    return F.coalesce((F.weekday(ny) < 5) & (F.hour(ny) * 60 + F.minute(ny) >= 16 * 60 - minutes), F.lit(False))
+
+
+def feature_key(symbol: Column, timeframe: Column, ts: Column) -> Column:
+    """``symbol_timeframe_time`` with the time as ISO 8601; null if a part is."""
+    iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(symbol, F.lit("_"), timeframe, F.lit("_"), iso)
+
+
+def file_parts(name: Column) -> tuple[Column, Column]:
+    """Symbol (upper case) and timeframe (lower case) of ``SYMBOL_TF_...`` with or without folders; null where the name has no such part."""
+    base = F.element_at(F.split(F.trim(name), "/"), -1)
+    part = lambda pattern: F.nullif(F.regexp_extract(base, pattern, 1), F.lit(""))
+    return F.upper(part(r"^([^_.]+)_")), F.lower(part(r"^[^_.]+_([^_.]+)"))
+
+
+def is_exit_tag(tag: Column) -> Column:
+    """Whether a trade's tag is that of an exit (holds EXIT, SL or TP) or is missing."""
+    return F.coalesce(tag, F.lit("")).rlike("EXIT|SL|TP") | (F.coalesce(tag, F.lit("")) == "")
+
+
+def clamp(x: Column, low: float, high: float) -> Column:
+    """x within [low, high]; NaN counts as missing, null stays null."""
+    clean = F.nanvl(x, F.lit(None).cast("double"))
+    return F.when(clean.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), clean)))
+
+
+def pct_change(now: Column, before: Column) -> Column:
+    """Change from ``before`` to ``now`` in %; null where that is null or zero."""
+    return 100 * ratio(now - before, F.abs(before))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import analytics_queries, clean_queries, indicator_queries, more_queries, quality_queries, stream_queries, trade_queries
+from .plans import analytics_queries, clean_queries, hook_queries, indicator_queries, more_queries, quality_queries, stream_queries, trade_queries
 
-MODULES = [clean_queries, indicator_queries, quality_queries, trade_queries, analytics_queries, stream_queries, more_queries]
+MODULES = [clean_queries, indicator_queries, quality_queries, trade_queries, analytics_queries, stream_queries, more_queries, hook_queries]
 
 
 def queries() -> dict:
