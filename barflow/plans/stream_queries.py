@@ -209,6 +209,19 @@ def stored_indicators(s, d) -> DataFrame:
 _query("s06_write_indicators", stored_indicators, f"with {ind_sql()}, n as (select *, row_number() over (partition by symbol, timeframe order by ts desc) as n from ind) select symbol, timeframe, ts, round(vwap, 6) + 0.0 as vwap, round(atr * case when symbol = 'click' and n <= 24 then 2 else 1 end, 6) + 0.0 as atr from n where n <= 48")
 
 
+def indicator_versions(s, d) -> DataFrame:
+    """Indicators of the last 48 rows, then of the last 24 of one series with other values, as versions; the first and the last are read."""
+    path, b = shared_folder(s, "indicator-store"), hourly(s, d)
+    first = V.save_indicators(b, path, ["vwap", "atr"], 48)
+    V.save_indicators(b.filter("symbol = 'click'").withColumn("atr", F.col("atr") * 2), path, ["vwap", "atr"], 24)
+    V.compact(s, path)
+    return V.read_store(s, path, first).withColumn("version", F.lit("first")).unionByName(V.read_store(s, path).withColumn("version", F.lit("last")))
+
+
+_query("s06c_indicator_versions", indicator_versions, f"""with {ind_sql()}, n as (select *, row_number() over (partition by symbol, timeframe order by ts desc) as n from ind), v(version) as (values ('first'), ('last'))
+select symbol, timeframe, ts, round(vwap, 6) + 0.0 as vwap, round(atr * case when version = 'last' and symbol = 'click' and n <= 24 then 2 else 1 end, 6) + 0.0 as atr, version from n, v where n <= 48""")
+
+
 def store_versions(s, d) -> DataFrame:
     """A store read at its first and at its last version, of one symbol and half the range."""
     path, b = shared_folder(s, "versions"), bars(s, d).select(*KEY, "close", "volume")

@@ -88,7 +88,8 @@ def last_rows(df: DataFrame, n: int) -> DataFrame:
 def write_indicators(df: DataFrame, path: str, columns: list[str], n: int | None = None) -> None:
     """Upsert key and ``columns`` (NaN as null) of the last ``n`` rows of each series into the store, by timeframe and month.
 
-    Stored rows of other keys stay.  Only touched partitions are read and replaced; their new
+    A folder that any reader of Parquet can read, for one writer at a time; ``store.save_indicators`` is for
+    several writers and for readers meanwhile.  Stored rows of other keys stay.  Only touched partitions are read and replaced; their new
     content is written beside the store first, so that a failed run leaves it as it was.
     """
     spark = df.sparkSession
@@ -102,7 +103,7 @@ def write_indicators(df: DataFrame, path: str, columns: list[str], n: int | None
         merged = upsert_bars(made.limit(0), made)
     else:
         touched = made.select("timeframe", "month").distinct()  # a row for each month of a timeframe
-        merged = upsert_bars(stored.join(F.broadcast(touched), ["timeframe", "month"], "left_semi").select(*made.columns), made)
+        merged = upsert_bars(stored.join(touched, ["timeframe", "month"], "left_semi").select(*made.columns), made)
     beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
     merged.write.parquet(beside)
     replaced = spark.read.schema(made.schema).parquet(beside)

@@ -11,6 +11,7 @@ version counts.  ``compact`` merges months that hold more than one version's row
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
@@ -54,7 +55,7 @@ def manifest(spark: SparkSession, path: str, version: int | None = None) -> Data
 def _schema(spark: SparkSession, path: str) -> T.StructType | None:
     """Columns of the rows, as the newest version's note of them says."""
     row = manifest(spark, path).filter("kind = 'schema'").select("file").first()
-    return T.StructType.fromJson(__import__("json").loads(row.file)) if row else None
+    return T.StructType.fromJson(json.loads(row.file)) if row else None
 
 
 def _publish(spark: SparkSession, path: str, number: int, rows: DataFrame) -> bool:
@@ -130,6 +131,12 @@ def commit(rows: DataFrame, path: str, keys: list[str] = KEY, order: list[str] |
     raise RuntimeError(f"{TRIES} other writers were faster")
 
 
+def save_indicators(df: DataFrame, path: str, columns: list[str], n: int | None = None) -> int | None:
+    """Key and ``columns`` (NaN as null) of the last ``n`` rows of each series as a new version; rows of other keys stay."""
+    made = df if n is None else df.withColumn("_n", F.row_number().over(Window.partitionBy("symbol", "timeframe").orderBy(F.desc("ts")))).filter(F.col("_n") <= n)
+    return commit(made.select(*KEY, *[F.nanvl(c, F.lit(None)).alias(c) if t == "double" else F.col(c) for c, t in df.select(*columns).dtypes]), path)
+
+
 def chosen_files(spark: SparkSession, path: str, version: int | None = None, symbols: list[str] | None = None, timeframe: str | None = None, start=None, end=None) -> DataFrame:
     """The files of a version that can hold such rows, by their ranges."""
     files = manifest(spark, path, version).filter("kind = 'file'")
