@@ -1,7 +1,8 @@
 """Line-first cleaning with DataFrame functions only.
 
 Every line with a word is judged by itself: it must end as a sentence ends, not be
-littered with marks, not look like navigation and not hold boilerplate.  Failing lines
+littered with marks, not look like navigation (short items between separators) and not like
+boilerplate (rights, links, digits, capitals); fixed English phrases add to both.  Failing lines
 go; a document that loses more than MAX_LOSS of its characters in such lines goes too.
 Base measures of the whole text come first.
 
@@ -22,9 +23,14 @@ MIN_WORDS, WINDOW, MAX_REPEATED, MAX_LOSS = 20, 8, 30, 0.5
 TAIL = 40
 #: A line's last character (before spaces), and the share of its characters that may be marks.
 ENDS, MARKS, MAX_MARKS = "[.?!:;\"')\\]…”»。]\\s*$", "#*$%&|<>!?", 0.05
-#: Boilerplate and navigation lines are shorter than this; a longer one is text that mentions such words.
+#: Boilerplate and navigation lines are shorter than this; a longer one is text that mentions such things.
 BOILERPLATE_CHARS, NAVIGATION_CHARS = 160, 80
-#: Fixed phrases of boilerplate lines, and of navigation lines.
+#: Navigation: so many separators or more, with so few words between two on average.
+SEPARATORS, LEAST_SEPARATORS, ITEM_WORDS = "|»«›‹•·→>/\t", 2, 4
+#: Boilerplate by its shape: signs of rights, or more than a share of links, digits or (of so many letters) capitals.
+RIGHTS, LINK = "[©®™℗]|\\([cC]\\) ?[12][0-9]{3}", "(https?://|www\\.)[^\\x20]+"
+MAX_LINKS, MAX_DIGITS, MAX_CAPITALS, CAPITALS_OF = 0.3, 0.3, 0.6, 10
+#: Besides shape, fixed phrases of English boilerplate and navigation lines.
 BOILERPLATE = (
     "all rights reserved", "copyright", "privacy policy", "cookie policy", "use cookies", "terms of service", "terms of use",
     "licensed under", "enable javascript", "lorem ipsum", "powered by",
@@ -51,13 +57,29 @@ def repeated_words(ws: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(ws) >= window + 1, let(hashed, lambda h: let(keys(h), once))).otherwise(F.lit(0).cast("bigint"))
 
 
+def shaped_as_navigation(line: Column) -> Column:
+    """Short items between separators, in any language."""
+    marks = F.length(line) - F.length(F.translate(line, SEPARATORS, ""))
+    gaps = F.length(line) - F.length(F.translate(line, " ", ""))
+    return (marks >= LEAST_SEPARATORS) & (gaps + 1 <= ITEM_WORDS * (marks + 1))
+
+
+def shaped_as_boilerplate(line: Column) -> Column:
+    """Signs of rights, or mostly links, digits or capitals, in any language."""
+    size = F.length(line)
+    links = size - F.length(F.regexp_replace(line, LINK, ""))
+    digits = size - F.length(F.translate(line, "0123456789", ""))
+    letters, capitals = size - F.length(F.regexp_replace(line, "\\p{L}", "")), size - F.length(F.regexp_replace(line, "\\p{Lu}", ""))
+    return line.rlike(RIGHTS) | (links > F.lit(MAX_LINKS) * size) | (digits > F.lit(MAX_DIGITS) * size) | ((letters >= CAPITALS_OF) & (capitals > F.lit(MAX_CAPITALS) * letters))
+
+
 def good_line(line: Column) -> Column:
     """The three kinds of line rules."""
     low = F.lower(line)
     size = F.length(line)
     punctuation = F.right(line, F.lit(TAIL)).rlike(ENDS) & (size - F.length(F.translate(line, MARKS, "")) <= F.lit(MAX_MARKS) * size)
-    boilerplate = (size < BOILERPLATE_CHARS) & low.rlike("|".join(BOILERPLATE))
-    navigation = (size < NAVIGATION_CHARS) & low.rlike("|".join(NAVIGATION))
+    boilerplate = (size < BOILERPLATE_CHARS) & (low.rlike("|".join(BOILERPLATE)) | shaped_as_boilerplate(line))
+    navigation = (size < NAVIGATION_CHARS) & (low.rlike("|".join(NAVIGATION)) | shaped_as_navigation(line))
     return punctuation & ~boilerplate & ~navigation
 
 
@@ -104,8 +126,12 @@ cover as (select doc_id, count(distinct p) as n from (select doc_id, unnest(rang
 judged as (
   select *, list_filter(lines, lambda x: regexp_matches(right(x, 40), '[.?!:;"'')\]…”»。][\t\n\x0B\f\r ]*$')
       and len(x) - len(regexp_replace(x, '[#*$%&|<>!?]', '', 'g')) <= 0.05 * len(x)
-      and not (len(x) < 160 and regexp_matches(lower(x), 'all rights reserved|copyright|privacy policy|cookie policy|use cookies|terms of service|terms of use|licensed under|enable javascript|lorem ipsum|powered by'))
-      and not (len(x) < 80 and regexp_matches(lower(x), 'sign in|sign up|log in|subscribe now|read more|click here|share this|back to top|skip to content'))) as good
+      and not (len(x) < 160 and (regexp_matches(x, '[©®™℗]|\([cC]\) ?[12][0-9]{3}') or len(x) - len(regexp_replace(x, '(https?://|www\.)[^\x20]+', '', 'g')) > 0.3 * len(x)
+        or len(x) - len(translate(x, '0123456789', '')) > 0.3 * len(x)
+        or (len(x) - len(regexp_replace(x, '\p{L}', '', 'g')) >= 10 and len(x) - len(regexp_replace(x, '\p{Lu}', '', 'g')) > 0.6 * (len(x) - len(regexp_replace(x, '\p{L}', '', 'g'))))
+        or regexp_matches(lower(x), 'all rights reserved|copyright|privacy policy|cookie policy|use cookies|terms of service|terms of use|licensed under|enable javascript|lorem ipsum|powered by')))
+      and not (len(x) < 80 and ((len(x) - len(translate(x, '|»«›‹•·→>/' || chr(9), '')) >= 2 and len(x) - len(translate(x, ' ', '')) + 1 <= 4 * (len(x) - len(translate(x, '|»«›‹•·→>/' || chr(9), '')) + 1))
+        or regexp_matches(lower(x), 'sign in|sign up|log in|subscribe now|read more|click here|share this|back to top|skip to content')))) as good
   from parts),
 measured as (
   select j.doc_id, len(w)::bigint as n_words, len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,

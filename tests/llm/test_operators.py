@@ -650,3 +650,20 @@ def test_repeated_words_against_brute_force(spark):
         ws = (texts[r.doc_id] or "").split()
         seen = collections.Counter(tuple(ws[i : i + 8]) for i in range(len(ws) - 7))
         assert r.n_repeat_words == len({j for i in range(len(ws) - 7) if seen[tuple(ws[i : i + 8])] > 1 for j in range(i, i + 8)})
+
+
+def test_shapes_of_lines_in_any_language(spark):
+    """Navigation and boilerplate are told by shape; plain sentences stay."""
+    from barflow.llm import quality_rules as m
+
+    bad = [
+        "Accueil | Produits | Nous contacter.", "Start » Über uns » Kontakt.", "首页 > 新闻 > 体育。", "Inicio • Ayuda • Mapa del sitio.", "© 2021 Musterfirma GmbH, Musterstadt.", "(c) 1999 Jean Dupont et fils.",
+        "Voir https://exemple.fr/une/page ici.", "www.beispiel.de/seite.", "ALLE RECHTE BLEIBEN VORBEHALTEN.", "Tel. 0049 221 123456 789.", "All rights reserved.", "Sign in or sign up.",
+    ]
+    good = [
+        "Das Haus steht am Ufer des Flusses.", "Er kaufte 3 Äpfel und/oder 2 Birnen auf dem Markt in der Stadt, wie er sagte.", "La casa es grande y blanca.", "Ce fut en 1789 que tout commença, dit-on.", "NASA und ESA planten gemeinsam eine Mission.",
+        "See https://a.io for more about the house by the river and its old garden wall.", "他们住在河边的一座老房子里。", "A < b means that a is the smaller one of two numbers.",
+    ]
+    rows = spark.createDataFrame([(t, g) for g, ts in ((False, bad), (True, good)) for t in ts], "t string, g boolean")
+    wrong = [r.t for r in rows.withColumn("x", m.good_line(F.col("t"))).collect() if r.x != r.g]
+    assert wrong == []
