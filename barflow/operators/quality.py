@@ -194,6 +194,12 @@ def universe_summary(validation: DataFrame) -> DataFrame:
     return validation.agg(F.count("*").alias("symbols"), pick("PASSED").alias("ready"), pick("WARNING").alias("warning"), pick("FAILED").alias("failed_symbols"), (100 * ratio(F.count_if("backtest_ready"), F.count("*"))).alias("success_rate"))
 
 
+def universe_members(validation: DataFrame) -> DataFrame:
+    """A row a symbol with the group it counts to in ``universe_summary``: for universes too large for one row of names."""
+    group = F.when(F.col("status") == "PASSED", "ready").when(F.col("status") == "WARNING", "warning").otherwise("failed")
+    return validation.select("symbol", group.alias("universe_group"), "backtest_ready", "overall")
+
+
 def indicator_null_rate(df: DataFrame, cols: list[str]) -> DataFrame:
     one = df.agg(F.array(*[F.struct(F.lit(c).alias("indicator"), (100 * F.count_if(F.col(c).isNull()) / F.count("*")).alias("null_pct")) for c in cols]).alias("a"))
     return one.select(F.explode("a").alias("a")).select("a.*").withColumn("missing", F.col("null_pct") > 10)

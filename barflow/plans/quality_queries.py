@@ -87,6 +87,7 @@ vd as (select *, case when failed > 0 then 'FAILED' when overall >= 75 then 'PAS
 for _level in ("STANDARD", "EXTENDED"):
     _query(f"q15_validate_{_level.lower()}", lambda s, d, lv=_level: Q.validate(clean(s, d), lv), f"{validate_sql(_level)} select symbol, {r6('overall')}, failed, failed_checks, status, backtest_ready from ve")
 _query("q16_universe_summary", lambda s, d: Q.universe_summary(Q.validate(clean(s, d))), f"{validate_sql('STANDARD')} select count(*) as symbols, coalesce(string_agg(symbol, ',' order by symbol) filter (status = 'PASSED'), '') as ready, coalesce(string_agg(symbol, ',' order by symbol) filter (status = 'WARNING'), '') as warning, coalesce(string_agg(symbol, ',' order by symbol) filter (status = 'FAILED'), '') as failed_symbols, {r6('100.0 * count(*) filter (backtest_ready) / count(*) as success_rate')} from ve")
+_query("q16b_universe_members", lambda s, d: Q.universe_members(Q.validate(clean(s, d))), f"{validate_sql('STANDARD')} select symbol, case status when 'PASSED' then 'ready' when 'WARNING' then 'warning' else 'failed' end as universe_group, backtest_ready, {r6('overall')} from ve")
 _query("q17_indicator_null_rate", lambda s, d: Q.indicator_null_rate(I.sma(I.sma(gappy(s, d), 20), 200), ["sma_20", "sma_200"]), f"{G}, n as (select {_full_sql('avg(close)', 'close', 20)} as a, {_full_sql('avg(close)', 'close', 200)} as c from b), r as (select 'sma_20' as indicator, 100.0 * count(*) filter (a is null) / count(*) as p from n union all select 'sma_200', 100.0 * count(*) filter (c is null) / count(*) from n) select indicator, {r6('p as null_pct')}, p > 10 as missing from r")
 _query("q18_volume_outliers", lambda s, d: Q.volume_outliers(gappy(s, d), 3.0), f"{G}, m as (select symbol, timeframe, avg(volume) as m, stddev_samp(volume) as s from b group by all), g as (select symbol, timeframe, count(*) filter (volume > m + 3 * s) as outliers, count(*) filter (volume = 0) as z, count(*) as n from b join m using (symbol, timeframe) group by all) select symbol, timeframe, outliers, (case when z > 0.05 * n then z else 0 end)::bigint as zero_volume from g")
 _query("q20_integrity_report", lambda s, d: Q.integrity_report(C.flat_fill(gappy(s, d)).unionByName(gappy(s, d).select(*KEY, "open", "high", "low", "close", "volume", "is_filled"))),
