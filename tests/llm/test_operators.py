@@ -578,6 +578,60 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage's result from what the stage before it kept: letters and languages, all pairs, patterns, SQL, the tokenizer library."""
+    import corpus_pipeline
+    import duckdb
+    import public_tokenizers
+    import sentencepiece
+
+    from barflow.llm import mixing
+
+    sf = "/root/testdata/sf0.001"
+    docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path / name)
+        stage(spark, docs, sf).write.parquet(path)
+        docs = spark.read.parquet(path)
+        seen[name] = docs.collect()
+    given = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    # Language: what has a letter stays, whole, and is told as labelled.
+    told = {r.doc_id: r for r in seen["language_id"]}
+    assert sorted(told) == sorted(r.doc_id for r in given if r.text and any(c.isalpha() for c in r.text))
+    assert all(told[r.doc_id].text == r.text for r in given if r.doc_id in told)
+    labelled = [r for r in given if r.lang is not None and r.doc_id in told]
+    assert np.mean([told[r.doc_id].lang == r.lang for r in labelled]) > 0.97
+    # Near duplicates: the least id of each component of all pairs.
+    before = sorted(told.values(), key=lambda r: r.doc_id)
+    roots = brute_classes([r.text for r in before])
+    least = {}
+    for r, root in zip(before, roots, strict=True):
+        least.setdefault(root, r.doc_id)
+    assert sorted(r.doc_id for r in seen["near_dedup"]) == sorted(least.values())
+    # Personal data: all else stays, no address is left, and nothing is lost.
+    clean = {r.doc_id: r for r in seen["personal_data"]}
+    assert sorted(clean) == sorted(least.values())
+    address = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    for r in seen["near_dedup"]:
+        text = clean[r.doc_id].text
+        assert not address.search(text) and clean[r.doc_id].n_chars == len(text)
+        assert text == r.text or re.search(r"\[(EMAIL|IP|CARD|PHONE|SECRET)\]", text)
+        parts = re.split(r"\[(?:EMAIL|IP|CARD|PHONE|SECRET)\]", text)
+        assert all(p in r.text for p in parts)
+    assert any(address.search(r.text) for r in seen["near_dedup"])
+    # Mixing: as many copies of each document as the SQL says.
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from read_parquet('{tmp_path}/personal_data/*.parquet')")
+    want = collections.Counter(r[0] for r in db.execute(f"select doc_id from ({mixing.SQL})").fetchall())
+    assert collections.Counter(r.doc_id for r in seen["source_mixing"]) == want
+    # Encoding: ids and decoded text of the library.
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert len(seen["sentencepiece"]) == len(seen["source_mixing"]) == sum(want.values())
+    for r in seen["sentencepiece"]:
+        ids = library.encode(clean[r.doc_id].text)
+        assert (r.ids, r.n_tokens, r.decoded) == (ids, len(ids), library.decode(ids))
+
+
 def test_co_training_exchange_and_calibration():
     """Each view is taught by the other on the pool, and calibrated scores follow the share of good rows."""
     from barflow.llm import co_training as m
