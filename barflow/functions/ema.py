@@ -89,10 +89,12 @@ def ema(df: DataFrame, columns: dict[str, tuple[str, int]], chunk: int = CHUNK)
     for k in keys:
         same = same & packed[k].eqNullSafe(F.col(f"c.{k}"))
     solved = packed.join(carry.alias("c"), same).select("_rows", F.pandas_udf(finish, T.StructType([T.StructField(f"y{k}", lists) for k in range(len(means))]))("_carry", *values).alias("_y"))
-    each = solved.select(F.explode(F.arrays_zip("_rows", *[F.col(f"_y.y{k}").alias(f"y{k}") for k in range(len(means))])).alias("_r"))
-    held = [F.col("_r._rows").getField(c).alias(c) for c in df.columns if c not in names]
-    made = each.select(*held, *[F.nanvl(F.col(f"_r.y{k}"), F.lit(None).cast("double")).alias(n) for k, n in enumerate(names)])
-    return made.select(*[c for c in df.columns if c not in names], *names)
+    zipped = F.arrays_zip("_rows", *[F.col(f"_y.y{k}").alias(f"y{k}") for k in range(len(means))])
+    held = [c for c in df.columns if c not in names]
+    # One struct a row, so that the columns come out of the generator as they are and no plan above has to look into the arrays.
+    flat = F.transform(zipped, lambda z: F.struct(*[z["_rows"][c].alias(c) for c in held], *[F.nanvl(z[f"y{k}"], F.lit(None).cast("double")).alias(n) for k, n in enumerate(names)]))
+    return solved.select(F.inline(flat))
+
 
 
 ship(__name__)
