@@ -16,18 +16,20 @@ fingerprints; repeated rows each get a row; other columns do not matter.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, saved
 
 K, SKETCHES, PIECE = 5, 32, 24
 #: Bits of a hash that a place takes in sorted arrays, and bits of any place of a text.
 POS_BITS, PLACE_BITS = 30, 30
 POS = (1 << POS_BITS) - 1
-#: Elements that a hash function is expected to leave below its bound; fewer than two do three times in 10^12, and then count alone.
+#: Elements that a hash function is expected to leave below its bound; fewer than two do three times in 10^12, and such texts are done again without a bound.
 LEFT = 30
-#: Rows of one ordered bucket, and most buckets (their bounds are 8 bytes each in the plan).
+#: Rows of one ordered bucket, and most buckets (their bounds are 8 bytes each in the plan; beyond 65 million rows buckets grow, and their sort spills).
 BUCKET_ROWS, MAX_BUCKETS = 1000, 65536
 
 
@@ -65,13 +67,16 @@ def elements(text: Column, k: int = K, piece: int = PIECE) -> Column:
     return let(pieces(text, piece), lambda ws: F.when(F.size(ws) > 0, let(_kmers(ws, k), number)))
 
 
-def signatures(rows: DataFrame, keys: list[str], text: str, k: int = K, sketches: int = SKETCHES, place_bits: int = PLACE_BITS, carry: list[str] = ()) -> DataFrame:
+def signatures(
+    rows: DataFrame, keys: list[str], text: str, k: int = K, sketches: int = SKETCHES, place_bits: int = PLACE_BITS, carry: list[str] = (), left: int | None = LEFT,
+) -> DataFrame:
     """``keys``, ``carry`` (columns of fixed width that follow from the keys) and ``signature``, an array of ``sketches`` longs, for each distinct ``keys``.
 
     The elements of a row are exploded, hashed by each function and reduced in the same
     task, before any exchange: a text leaves its task as ``sketches`` longs.  A hash above a
-    bound that about LEFT elements of the text stay below cannot be one of the two least
-    (all of a text with fewer elements stay), which leaves few rows to aggregate.
+    bound that about ``left`` elements of the text stay below cannot be one of the two least
+    (all of a text with fewer elements stay), which leaves few rows to aggregate.  Where
+    fewer than two stay below, the entry is null: ask again with ``left`` None, no bound.
 
     Both least hashes and their order come from plain minima: for each bit of the place, the
     least hash of the elements with and without it.  Two elements differ in a bit of their
@@ -80,19 +85,22 @@ def signatures(rows: DataFrame, keys: list[str], text: str, k: int = K, sketches
     any text's places need; more change nothing but the work.
     """
     made = rows.withColumn("kmers", F.coalesce(elements(F.col(text), k), F.array(F.lit(None).cast("bigint"))))
-    share = F.lit(float(LEFT)) / F.size("kmers")
+    share = F.lit(float("inf") if left is None else float(left)) / F.size("kmers")
     bound = F.when(share < 1, (F.lit(-(2.0**63)) + share * F.lit(2.0**64)).cast("bigint"))
     exploded = made.withColumn("bound", bound).select(*keys, *carry, "bound", F.posexplode("kmers").alias("p", "h"))
     # A constant list of functions keeps the compiled loop short.
     hashed = exploded.withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(sketches)])))
-    below = hashed.withColumn("x", F.when(F.col("h").isNotNull(), F.xxhash64("h", "j"))).drop("h").filter("bound is null or x <= bound")
+    below = hashed.withColumn("x", F.when(F.col("h").isNotNull(), F.xxhash64("h", "j"))).drop("h")
+    below = below.filter("bound is null or x <= bound or (p = 0 and j = 0)")  # one element in any case, so that no text is lost
     bit = lambda t: F.col("p").bitwiseAND(F.lit(1 << t)) == 0
     least = below.groupBy(*keys, "j").agg(
-        *[F.first(c).alias(c) for c in carry], *[F.min(F.when(bit(t), F.col("x"))).alias(f"a{t}") for t in range(place_bits)], *[F.min(F.when(~bit(t), F.col("x"))).alias(f"b{t}") for t in range(place_bits)])
+        F.first("bound").alias("bound"), *[F.first(c).alias(c) for c in carry], *[F.min(F.when(bit(t), F.col("x"))).alias(f"a{t}") for t in range(place_bits)], *[F.min(F.when(~bit(t), F.col("x"))).alias(f"b{t}") for t in range(place_bits)])
     other = lambda t: F.when(F.col(f"a{t}").isNotNull() & F.col(f"b{t}").isNotNull(), F.greatest(f"a{t}", f"b{t}"))
     two = least.withColumns({"one": F.least("a0", "b0"), "two": F.least(*[other(t) for t in range(place_bits)], F.lit(None).cast("bigint"))})
     ahead = F.coalesce(*[F.when(F.greatest(f"a{t}", f"b{t}") == F.col("two"), F.col(f"a{t}") == F.col("one")) for t in reversed(range(place_bits))])
-    pair = two.select(*keys, *carry, "j", F.when(F.coalesce(ahead, F.lit(True)), F.xxhash64("j", "one", "two")).otherwise(F.xxhash64("j", "two", "one")).alias("s"))
+    sure = F.col("bound").isNull() | (F.col("two") <= F.col("bound"))
+    tuples = F.when(F.coalesce(ahead, F.lit(True)), F.xxhash64("j", "one", "two")).otherwise(F.xxhash64("j", "two", "one"))
+    pair = two.select(*keys, *carry, "j", F.when(sure, tuples).alias("s"))
     each = pair.groupBy(*keys).agg(*[F.first(c).alias(c) for c in carry], *[F.max(F.when(F.col("j") == j, F.col("s"))).alias(f"s{j}") for j in range(sketches)])
     return each.select(*keys, *carry, F.array(*[f"s{j}" for j in range(sketches)]).alias("signature"))
 
@@ -108,54 +116,107 @@ def likeness(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(cut(a), cut(b), lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) / F.greatest(F.length(a) / 8, F.lit(1.0))
 
 
-def _bounds(docs: DataFrame, bucket_rows: int) -> list[int]:
-    """Upper doc_ids of buckets of about ``bucket_rows`` rows; at most MAX_BUCKETS of them."""
-    n = docs.count()
-    buckets = max(1, min(MAX_BUCKETS, n // bucket_rows))
+def _heads(docs: DataFrame, bucket_rows: int) -> tuple[list[int], dict[int | None, list[int]]]:
+    """Upper doc_ids of buckets of about ``bucket_rows`` rows, ascending, and the upper ties of each doc_id (None: null) that fills several.
+
+    Every bound is that of a row, so no bucket is empty.  At most MAX_BUCKETS come from doc_ids and as many from nulls.
+    A doc_id that holds the rows of several buckets stands at several quantiles; its rows, like those
+    without a doc_id, are cut into ranges of the tie, a hash of the text.
+    """
+    size = docs.agg(F.count("doc_id").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    parts_of = lambda n: max(1, min(MAX_BUCKETS, n // bucket_rows))
+    buckets = parts_of(size.n)
     cuts = [i / buckets for i in range(1, buckets)] + [1.0]
     got = docs.agg(F.percentile_approx("doc_id", cuts, max(10000, 4 * buckets)).alias("q"), F.max("doc_id").alias("m")).first()
-    return sorted({*(got.q or []), got.m} - {None})
-
-
-def _bucket(doc_id: Column, bounds: list[int]) -> Column:
-    """Index of the first bound at or above doc_id, by two short searches; null: bucket -1, the last of all."""
-    wide = max(1, int(len(bounds) ** 0.5))
-    blocks = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
+    ids = Counter(x for x in [*(got.q or []), got.m] if x is not None)
+    hot: dict[int | None, int] = {d: c for d, c in ids.items() if c > (2 if d == got.m else 1)}
+    if size.nulls:
+        hot[None] = parts_of(size.nulls)
+    if not hot:
+        return sorted(ids), {}
+    parts = F.when(F.col("doc_id").isNull(), F.lit(hot.get(None, 1)))
+    chosen, known = F.col("doc_id").isNull(), [d for d in hot if d is not None]
+    if known:
+        chosen = chosen | F.col("doc_id").isin(known)
+        parts = F.coalesce(parts, F.element_at(F.create_map(*[F.lit(x).cast("bigint") for d in known for x in (d, hot[d])]), F.col("doc_id")))
+    part = F.least(F.floor((_tie().cast("double") / F.lit(2.0**64) + F.lit(0.5)) * parts), parts - 1)
+    ends = docs.filter(chosen).groupBy("doc_id", part.alias("part")).agg(F.max(_tie()).alias("tie")).collect()  # no more rows than buckets
+    ties: dict[int | None, list[int]] = {}
+    for r in sorted(ends, key=lambda r: r.tie):
+        ties.setdefault(r.doc_id, []).append(r.tie)
+    return sorted(ids), ties
+
+
+def _tie() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _bucket(bounds: list[int], ties: dict[int | None, list[int]]) -> Column:
+    """(bucket, head) of a row: number of its bucket in ascending (doc_id, tie), nulls first, and whether it has the bucket's upper bound."""
+    doc_id, tie = F.col("doc_id"), _tie()
     longs = lambda xs: F.array(*[F.lit(x).cast("bigint") for x in xs]) if xs else F.array().cast("array<bigint>")
-    below = lambda xs: F.size(F.filter(xs, lambda b: b < doc_id))
-    block = F.least(below(longs([b[-1] for b in blocks])), F.lit(len(blocks) - 1))
-    place = let(block, lambda i: i * F.lit(wide) + below(F.get(F.array(*[longs(b) for b in blocks]), i)))
-    return F.when(doc_id.isNull(), F.lit(-1)).otherwise(place)
-
-
-def edited_fingerprints(docs: DataFrame, k: int = K, sketches: int = SKETCHES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    below = lambda xs, x: F.size(F.filter(xs, lambda b: b < x))
+    at = lambda bucket, head: F.struct(bucket.cast("bigint").alias("bucket"), head.alias("head"))
+    within = lambda xs, first: let(below(xs, tie), lambda i: at(F.lit(first) + i, F.get(xs, i) == tie))
+    nulls = ties.get(None, [])
+    wide = max(1, int(len(bounds) ** 0.5))  # two short searches
+    blocks = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
+    block = F.least(below(longs([b[-1] for b in blocks]), doc_id), F.lit(max(0, len(blocks) - 1)))
+
+    def placed(i: Column, xs: Column) -> Column:
+        return at(F.lit(len(nulls)) + i * F.lit(wide) + below(xs, doc_id), F.array_contains(xs, doc_id))
+
+    plain = let(block, lambda i: let(F.get(F.array(*[longs(b) for b in blocks]), i), lambda xs: placed(i, xs))) if blocks else at(F.lit(0), F.lit(False))
+    hot = {d: t for d, t in ties.items() if d is not None}
+    if hot:  # buckets of such a doc_id follow each other; all after it move up
+        ids = sorted(hot)
+        more, starts = 0, []
+        for d in ids:
+            starts.append(len(nulls) + bounds.index(d) + more)
+            more += len(hot[d]) - 1
+        ups = [s - len(nulls) - bounds.index(d) for d, s in zip(ids, starts, strict=True)] + [more]
+        rank = below(longs(ids), doc_id)
+        of = lambda j: let(F.get(F.array(*[longs(hot[d]) for d in ids]), j), lambda xs: let(
+            below(xs, tie), lambda i: at(F.get(longs(starts), j) + i, F.get(xs, i) == tie)))
+        moved = lambda b: at(b["bucket"] + F.get(longs(ups), rank), b["head"])
+        plain = F.when(F.array_contains(longs(ids), doc_id), let(rank, of)).otherwise(let(plain, moved))
+    return F.when(doc_id.isNull(), within(longs(nulls), 0)).otherwise(plain)
+
+
+def edited_fingerprints(docs: DataFrame, k: int = K, sketches: int = SKETCHES, bucket_rows: int = BUCKET_ROWS, left: int = LEFT) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
     ``docs`` has doc_id and text.  The next document is the one after it in descending
-    (doc_id, text); after the last, the first.  The edited text has the last third of
-    the code points replaced by as many of the next document (or all it has).
-    Null doc_ids come last.  Rows that share a doc_id are ordered by text; equal rows
-    each get a row.
+    (doc_id, tie, text), the tie being a hash of the text; after the last, the first.  The
+    edited text has the last third of the code points replaced by as many of the next
+    document (or all it has).  Null doc_ids come last.  Rows that share a doc_id are ordered
+    by tie and text; equal rows each get a row.  ``left``: see ``signatures``; it changes the work, not the result.
 
-    The only exchange of texts is by ranges of doc_id.  Each range also holds a copy of
+    The only exchange of texts is by ranges of (doc_id, tie).  Each range also holds a copy of
     the rows that follow it, the head of the next range, so that no task needs the whole order.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     longest = base.agg(F.max(F.length("text"))).first()[0] or 0  # an edited text is no longer than its text, and has fewer elements than characters
-    bounds = _bounds(docs.select("doc_id"), bucket_rows)
-    has_null = docs.filter(F.col("doc_id").isNull()).limit(1).count() > 0
-    order = [*range(len(bounds) - 1, -1, -1), *([-1] if has_null else [])]  # buckets as they follow each other
-    if not order:
-        order = [-1]
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    placed = base.withColumn("bucket", _bucket(F.col("doc_id"), bounds) if bounds else F.lit(-1))
-    # The bucket before each one, as a lookup: buckets follow each other downwards and the top one follows the last.
-    top = order[0]
-    previous = F.when(F.col("bucket") == top, F.lit(before[top])).when(F.col("bucket") == -1, F.lit(before.get(-1, top))).otherwise(F.col("bucket") + 1)
-    head = F.col("doc_id").eqNullSafe(F.when(F.col("bucket") == -1, F.lit(None)).otherwise(F.get(F.array(*[F.lit(b).cast("bigint") for b in bounds] or [F.lit(None).cast("bigint")]), F.greatest("bucket", F.lit(0)))))
-    copies = F.when(head, F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")), F.struct(previous.alias("b"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest"))))
-    spread = placed.select("doc_id", "text", F.explode(copies).alias("at")).select(F.col("at.b").alias("bucket"), F.col("at.guest").alias("guest"), "doc_id", "text")
-    follow = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    bounds, ties = _heads(base, bucket_rows)
+    top = len(bounds) - 1 + sum(len(t) - (d is not None) for d, t in ties.items())
+    placed = base.withColumn("at", _bucket(bounds, ties))
+    # Buckets follow each other downwards, and the top one follows the last.
+    previous = F.when(F.col("at.bucket") == top, F.lit(0)).otherwise(F.col("at.bucket") + 1).cast("bigint")
+    own = F.struct(F.col("at.bucket").alias("b"), F.lit(False).alias("guest"))
+    copies = F.when(F.col("at.head"), F.array(own, F.struct(previous.alias("b"), F.lit(True).alias("guest")))).otherwise(F.array(own))
+    spread = placed.select("doc_id", "text", F.explode(copies).alias("to")).select(F.col("to.b").alias("bucket"), F.col("to.guest").alias("guest"), "doc_id", "text")
+    bits = max(1, longest.bit_length())
+    made = saved(_fingerprints(spread, k, sketches, bits, left), "fingerprints")
+    unsure = made.filter("unsure").select("bucket").distinct()
+    if unsure.take(1):  # these buckets again, without a bound
+        again = _fingerprints(spread.join(unsure, "bucket", "left_semi"), k, sketches, bits, None)
+        made = made.join(unsure, "bucket", "left_anti").unionByName(again)
+    return made.drop("bucket", "unsure")
+
+
+def _fingerprints(spread: DataFrame, k: int, sketches: int, place_bits: int, left: int | None) -> DataFrame:
+    """The result of ``edited_fingerprints`` by bucket of (bucket, guest, doc_id, text); ``unsure``: an entry of a row or the next one is missing."""
+    follow = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), _tie().desc(), F.col("text").desc())
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     rows = spread.select("bucket", "guest", "doc_id", "text", F.row_number().over(follow).alias("rid"), F.lead("text").over(follow).alias("next"))
@@ -170,16 +231,17 @@ def edited_fingerprints(docs: DataFrame, k: int = K, sketches: int = SKETCHES, b
     # The digest goes along as four longs.
     quarter = lambda i: F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("bigint")
     texts = texts.withColumns({f"sha{i}": quarter(i) for i in range(4)}).drop("sha")
-    signed = signatures(texts, ["bucket", "rid", "which"], "t", k, sketches, max(1, longest.bit_length()), ["guest", "doc_id", "n_chars", *(f"sha{i}" for i in range(4))])
+    signed = signatures(texts, ["bucket", "rid", "which"], "t", k, sketches, place_bits, ["guest", "doc_id", "n_chars", *(f"sha{i}" for i in range(4))], left)
     signed = signed.withColumn("sha", F.concat(*[F.lpad(F.lower(F.hex(f"sha{i}")), 16, "0") for i in range(4)]))
     pick = lambda c, w: F.max(F.when(F.col("which") == w, F.col(c)))
-    each = signed.withColumn("fp", fingerprint(F.col("signature"))).groupBy("bucket", "rid").agg(
+    signed = signed.withColumns({"fp": fingerprint(F.col("signature")), "missing": F.exists("signature", lambda s: s.isNull())})
+    each = signed.groupBy("bucket", "rid").agg(
         F.first("guest").alias("guest"), F.first("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"),
-        pick("sha", 1).alias("edited_sha256"), pick("fp", 0).alias("fingerprint"), pick("fp", 1).alias("edited_fingerprint"))
+        F.max("missing").alias("missing"), pick("sha", 1).alias("edited_sha256"), pick("fp", 0).alias("fingerprint"), pick("fp", 1).alias("edited_fingerprint"))
     by_place = Window.partitionBy("bucket").orderBy("rid")
-    each = each.withColumn("next", F.lead("fingerprint").over(by_place)).filter(~F.col("guest"))
+    each = each.withColumns({"next": F.lead("fingerprint").over(by_place), "unsure": F.col("missing") | F.coalesce(F.lead("missing").over(by_place), F.lit(False))}).filter(~F.col("guest"))
     return each.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        "bucket", "unsure", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next")).alias("near_next"),
     )

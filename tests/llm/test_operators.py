@@ -61,6 +61,30 @@ def test_order_minhash(docs, empty):
     assert m.edited_fingerprints(docs.limit(1)).collect()[0].near_next == 1
 
 
+def test_order_minhash_hot_ids_and_short_bounds(spark):
+    """A doc_id, or none, with most rows is cut into ranges; few elements below a bound change nothing."""
+    from barflow.llm import order_minhash as m
+
+    rnd = random.Random(3)
+    text = lambda: " ".join(rnd.choice("abcdefgh") + str(rnd.randint(0, 9)) for _ in range(rnd.randint(0, 60)))
+    for hot in ([7] * 60 + [None] * 50 + [9] * 30 + list(range(20)), [8, 8] + [9] * 30):
+        rows = [(d, text()) for d in hot]
+        rows += rows[:7]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        every = docs.withColumn("tie", F.xxhash64("text")).collect()
+        every.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie, r.text), reverse=True)
+        want = collections.Counter()
+        for i, r in enumerate(every):
+            n, third = every[(i + 1) % len(every)].text, len(r.text) // 3
+            want[r.doc_id, len(r.text), hashlib.sha256((r.text[: len(r.text) - third] + n[:third]).encode()).hexdigest()] += 1
+        got = [m.edited_fingerprints(docs, bucket_rows=4, sketches=4, left=left).collect() for left in ([30, 3] if len(hot) > 50 else [0])]
+        assert want == collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got[0])
+        assert all(collections.Counter(g) == collections.Counter(got[0]) for g in got)
+        bounds, ties = m._heads(docs, 4)
+        buckets = collections.Counter(r.b for r in docs.select(m._bucket(bounds, ties)["bucket"].alias("b")).collect())
+        assert set(buckets) == set(range(len(buckets))) and max(buckets.values()) < 24  # none is empty, and the 60 rows of one doc_id are cut
+
+
 def test_order_minhash_elements(spark):
     from pyspark.sql import functions as F
 
