@@ -16,8 +16,12 @@ components of these links become roots.  Members of buckets that still hold seve
 roots meet once more by a prefix filter: two sets that are alike enough share one of
 their first shingles in any common order, and shingles that a single root holds stand
 first in this order and cannot be shared between roots.  Only members of different
-roots form pairs, in blocks of bounded size.  Both steps are exact: no link between two
-classes that a bucket holds is lost.
+roots form pairs, in blocks of bounded size.  Where these could be many more than the
+members' shingles, only pairs with a lead (a share of the members, by hash) are formed
+at first, and linked roots become one before the next pass, with LEADS times as many
+leads: a member with many links to a large root is in it after a few pairs.  All members
+are leads in the last pass, so both steps are exact: no link between two classes that a
+bucket holds is lost.
 
 Defined cases: texts without a word are alike only if equal; a null text is alone; rows
 count by their text, so rows that share a doc_id but not the text may be in different
@@ -41,6 +45,7 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 BASE = 2.0**-6  # width of the first interval of ranks
 CHUNK_BYTES, CHUNK_TEXTS = 1_000_000, 1000  # texts handled at once
 PAIR_BLOCK, SIZE_STEP = 1000, 1.05  # members of a block of pairs; ratio of two classes of sizes
+POSSIBLE, LEADS = 0.25, 8  # possible pairs of a pass for each first shingle of a member; a pass's leads for each of the pass before
 U = np.uint64
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -264,13 +269,12 @@ def _prefixes(torn: DataFrame, units: DataFrame, similarity: float) -> DataFrame
         "rep", "n", "root", "u.unit", (F.col("before") + F.col("i")).alias("p"))
 
 
-def _crossing(first: DataFrame, similarity: float, block: int = PAIR_BLOCK) -> DataFrame:
-    """Pairs (a, b, root_a, root_b) of members of different roots that share one of their first shingles.
+def _sides(first: DataFrame, similarity: float, share: float) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """Shorter sets, longer sets, the counts of both by key, and the keys, for the pairs that hold a lead.
 
     The shorter (or equal) set of a pair meets the longer one under a shingle and the
-    class of the shorter one's size, which keeps first parts as short as they can be.  Under
-    each of these keys the commonest root's shorter sets only meet longer sets of other
-    roots, and both sides are cut into blocks of about ``block`` members.
+    class of the shorter one's size, which keeps first parts as short as they can be.  Shorter
+    sets that are leads meet all longer ones (way 0), the others only leads (way 1).
     """
     step = math.log(SIZE_STEP)
     size_class = lambda n: F.floor(F.log(n) / F.lit(step)).cast("int")
@@ -279,11 +283,30 @@ def _crossing(first: DataFrame, similarity: float, block: int = PAIR_BLOCK) -> D
     long = first.withColumn("size", F.explode(F.sequence(size_class(F.greatest(least, F.lit(1))), size_class(F.col("n")))))
     shortest = F.greatest(least, F.floor(F.exp(F.col("size") * F.lit(step)) - F.lit(1e-6)))
     long = long.filter(F.col("p") <= F.col("n") - _need(F.col("n"), shortest, similarity))
-    keys = ["unit", "size"]
+    lead = F.pmod(F.xxhash64(F.lit("lead"), "rep"), F.lit(2**40)) < F.lit(share * 2.0**40)
+    short = short.withColumn("way", F.when(lead, 0).otherwise(1))
+    long = long.withColumn("way", F.explode(F.when(lead, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))) if share < 1 else F.lit(0))
+    keys = ["unit", "size", "way"]
     both = short.select(*keys, "root", F.lit(1).alias("s"), F.lit(0).alias("l")).unionByName(long.select(*keys, "root", F.lit(0).alias("s"), F.lit(1).alias("l")))
     by_root = both.groupBy(*keys, "root").agg(F.sum("s").alias("s"), F.sum("l").alias("l"))
     counts = by_root.groupBy(*keys).agg(F.max_by(F.struct("root", "s", "l"), F.struct("l", "root")).alias("top"), F.sum("s").alias("s"), F.sum("l").alias("l"))
     counts = counts.select(*keys, F.col("top.root").alias("top"), (F.col("s") - F.col("top.s")).alias("s0"), F.col("l").alias("l0"), F.col("top.s").alias("s1"), (F.col("l") - F.col("top.l")).alias("l1")).filter("s0 * l0 + s1 * l1 > 0")
+    return short, long, counts, keys
+
+
+def _share(first: DataFrame, similarity: float, before: float) -> float:
+    """The share of leads for which possible pairs are about POSSIBLE times the rows of ``first``; at least LEADS times the share of the pass before."""
+    possible = _sides(first, similarity, 1.0)[2].agg(F.sum(F.expr("double(s0) * l0 + double(s1) * l1"))).first()[0]
+    return min(1.0, max(LEADS * before, POSSIBLE * first.count() / possible)) if possible else 1.0
+
+
+def _crossing(first: DataFrame, similarity: float, block: int = PAIR_BLOCK, share: float = 1.0) -> DataFrame:
+    """Pairs (a, b, root_a, root_b) of members of different roots that share one of their first shingles; one of them is a lead.
+
+    Under each key the commonest root's shorter sets only meet longer sets of other
+    roots, and both sides are cut into blocks of about ``block`` members.
+    """
+    short, long, counts, keys = _sides(first, similarity, share)
     cuts = lambda c: F.ceil(c / F.lit(block)).cast("int")
     blocks = lambda c: F.sequence(F.lit(0), F.greatest(cuts(c), F.lit(1)) - F.lit(1))
     place = lambda c: F.pmod(F.xxhash64("rep"), F.greatest(cuts(c), F.lit(1))).cast("int")
@@ -320,17 +343,21 @@ def _roots(signed: DataFrame, nodes: DataFrame, similarity: float, shingle: int)
     # The most central member of each bucket against the others.
     roots = saved(components(_links(_central(buckets, similarity), units, similarity).select("a", "b")).withColumnRenamed("node", "rep"), "roots")
 
-    # Buckets that still hold several roots.
-    now = buckets.join(roots, "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    open_keys = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    torn = saved(now.join(open_keys, "key", "left_semi").select("rep", "n", "root").distinct(), "torn")
-    first = saved(_prefixes(torn, units, similarity), "prefixes")
-    across = saved(_links(_crossing(first, similarity), units, similarity).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "across")
-    if not across.take(1):
-        return roots
-    joined = saved(components(across), "joined")  # of roots, not of texts
-    lone = torn.filter("rep = root").select("rep", "root").join(roots.select("rep"), "rep", "left_anti")  # members without a link so far
-    return roots.unionByName(lone).join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("rep", F.coalesce("top", "root").alias("root"))
+    # Buckets that still hold several roots, with more leads in each pass.
+    share = 0.0
+    while share < 1:
+        now = buckets.join(roots, "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+        open_keys = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+        still = saved(now.join(open_keys, "key", "left_semi"), "torn")
+        torn, buckets = still.select("rep", "n", "root").distinct(), still.drop("root")
+        first = saved(_prefixes(torn, units, similarity), "prefixes")
+        share = _share(first, similarity, share)
+        across = saved(_links(_crossing(first, similarity, share=share), units, similarity).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "across")
+        if across.take(1):
+            joined = saved(components(across), "joined")  # of roots, not of texts
+            lone = torn.filter("rep = root").select("rep", "root").join(roots.select("rep"), "rep", "left_anti")  # members without a link so far
+            roots = saved(roots.unionByName(lone).join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("rep", F.coalesce("top", "root").alias("root")), "roots")
+    return roots
 
 
 def _classed(docs: DataFrame, similarity: float, shingle: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:

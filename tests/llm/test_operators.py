@@ -364,6 +364,46 @@ def test_pair_blocks_lose_no_pair(spark):
         assert {tuple(sorted((r.a, r.b))) for r in m._links(pairs, units, 0.8).collect()} == want
 
 
+def test_large_roots_take_in_members_after_a_few_pairs(spark, monkeypatch):
+    """Buckets' central members are near the links' bound, so many members stay outside roots that they have many links to."""
+    from barflow.llm import near_duplicates as m
+
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randint(0, 10**6)}"
+    plain = [word() for _ in range(200)]
+
+    def edited(n):
+        words = [*plain]
+        for i in range(n):
+            words[rnd.randrange(i * 200 // n + 5, (i + 1) * 200 // n - 5)] = word()
+        return words
+
+    twins = [z for _ in range(20) for x in [edited(3)] for z in (x, x[:-1])]  # no shingle of their own
+    texts = [" ".join(x) for x in [*twins, *(edited(1) for _ in range(100)), *(edited(2) for _ in range(200))]]
+    pairs, crossing = [], m._crossing
+    monkeypatch.setattr(m, "_crossing", lambda *args, **more: pairs.append(crossing(*args, **more)) or pairs[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in m.classes(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+    assert sum(p.count() for p in pairs) < 4 * len(texts)  # 2,019 without leads
+
+
+def test_pairs_hold_a_lead(spark):
+    """With a share of leads, pairs are exactly those of all members that hold a lead."""
+    from barflow.llm import near_duplicates as m
+
+    rnd = random.Random(12)
+    core = [rnd.getrandbits(60) for _ in range(60)]
+    sets = [sorted({*rnd.sample(core, rnd.randint(48, 60)), *(rnd.getrandbits(60) for _ in range(rnd.randint(0, 5)))}) for _ in range(90)]
+    units = spark.createDataFrame(list(enumerate(sets)), "rep bigint, units array<bigint>")
+    torn = spark.createDataFrame([(i, len(x), rnd.choice([0, 0, i])) for i, x in enumerate(sets)], "rep bigint, n bigint, root bigint")
+    first = m._prefixes(torn, units, 0.8)
+    leads = {r.rep for r in torn.select("rep").filter(F.pmod(F.xxhash64(F.lit("lead"), "rep"), F.lit(2**40)) < 0.2 * 2.0**40).collect()}
+    found = lambda share: {(r.a, r.b) for r in m._crossing(first, 0.8, 7, share).collect()}
+    every = found(1.0)
+    assert 5 < len(leads) < 40 and found(0.2) == {p for p in every if leads & {*p}} and len(found(0.2)) < len(every)
+
+
 def test_texts_that_share_an_id_are_kept(spark):
     from barflow.llm import near_duplicates as m
 
