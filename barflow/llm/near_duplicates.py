@@ -21,7 +21,8 @@ members' shingles, only pairs with a lead (a share of the members, by hash) are
 at first, and linked roots become one before the next pass, with LEADS times as many
 leads: a member with many links to a large root is in it after a few pairs.  All members
 are leads in the last pass, so both steps are exact: no link between two classes that a
-bucket holds is lost.
+bucket holds is lost.  Members and the order of their shingles are those of the first
+pass; roots that are linked later only take pairs away.
 
 Defined cases: texts without a word are alike only if equal; a null text is alone; rows
 count by their text, so rows that share a doc_id but not the text may be in different
@@ -46,6 +47,7 @@ BASE = 2.0**-6  # width of the first interval of ranks
 CHUNK_BYTES, CHUNK_TEXTS = 1_000_000, 1000  # texts handled at once
 PAIR_BLOCK, SIZE_STEP = 1000, 1.05  # members of a block of pairs; ratio of two classes of sizes
 POSSIBLE, LEADS = 0.25, 8  # possible pairs of a pass for each first shingle of a member; a pass's leads for each of the pass before
+ALL = 0.5  # a share of leads that would hold three quarters of the pairs
 U = np.uint64
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -209,15 +211,19 @@ def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))], names=["rep", "units"])
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node of edges (a, b) is either a root or has one edge, to a root."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    return not ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("low")).filter("ups > low").agg(F.count("*")).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of the connected components of edges (a, b), a != b: root is the least node.
+    """(node, root) of the nodes of edges (a, b), a != b, that are not the least of their connected component: root is the least.
 
-    Large-star and small-star steps in turn, until a step changes nothing.
+    Large-star and small-star steps in turn, until the edges are stars.
     """
     edges = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = mark(edges)
-    while before[0]:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -225,12 +231,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         old, edges = edges, saved(small, "edges")
         forget(old)
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
-    stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _links(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
@@ -295,9 +296,13 @@ def _sides(first: DataFrame, similarity: float, share: float) -> tuple[DataFrame
 
 
 def _share(first: DataFrame, similarity: float, before: float) -> float:
-    """The share of leads for which possible pairs are about POSSIBLE times the rows of ``first``; at least LEADS times the share of the pass before."""
+    """The share of leads for which possible pairs are about POSSIBLE times the rows of ``first``; at least LEADS times the share of the pass before.
+
+    From ALL on it is 1: such a share leaves few pairs to a later pass.
+    """
     possible = _sides(first, similarity, 1.0)[2].agg(F.sum(F.expr("double(s0) * l0 + double(s1) * l1"))).first()[0]
-    return min(1.0, max(LEADS * before, POSSIBLE * first.count() / possible)) if possible else 1.0
+    share = max(LEADS * before, POSSIBLE * first.count() / possible) if possible else 1.0
+    return share if share < ALL else 1.0
 
 
 def _crossing(first: DataFrame, similarity: float, block: int = PAIR_BLOCK, share: float = 1.0) -> DataFrame:
@@ -327,9 +332,8 @@ def _crossing(first: DataFrame, similarity: float, block: int = PAIR_BLOCK, shar
 
 
 def _roots(signed: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(rep, root) of the nodes that are linked to others."""
-    reps = nodes.filter("kind = 0").select(F.col("first.rid").alias("rid"))
-    entries = signed.select("rid", "bands").join(reps, "rid", "left_semi").select(F.col("rid").alias("rep"), F.posexplode("bands").alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("key"))
+    """(rep, root) of the nodes that are linked to others, without the roots themselves."""
+    entries = nodes.filter("kind = 0").select(F.col("first.rid").alias("rep"), F.posexplode("bands").alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("key"))
     several = entries.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("key")
     found = saved(entries.join(several, "key").distinct(), "found")
     involved = found.select("rep").distinct()
@@ -341,23 +345,36 @@ def _roots(signed: DataFrame, nodes: DataFrame, similarity: float, shingle: int)
     buckets = saved(found.join(sizes.filter(F.col("n") - F.col("own") >= F.lit(similarity) * F.col("n") - F.lit(1e-6)), "rep"), "buckets")
 
     # The most central member of each bucket against the others.
-    roots = saved(components(_links(_central(buckets, similarity), units, similarity).select("a", "b")).withColumnRenamed("node", "rep"), "roots")
+    roots = components(_links(_central(buckets, similarity), units, similarity)).withColumnRenamed("node", "rep")
+
+    # Buckets that still hold several roots.
+    now = buckets.join(roots, "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    open_keys = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    torn = saved(now.join(open_keys, "key", "left_semi").select("rep", "n", "root").distinct(), "torn")
+    first = saved(_prefixes(torn, units, similarity), "prefixes")
 
-    # Buckets that still hold several roots, with more leads in each pass.
-    share = 0.0
+    # More leads in each pass; the order of shingles stays, and those that a single root holds by now form no pairs.
+    share, tops = 0.0, None
     while share < 1:
-        now = buckets.join(roots, "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-        open_keys = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-        still = saved(now.join(open_keys, "key", "left_semi"), "torn")
-        torn, buckets = still.select("rep", "n", "root").distinct(), still.drop("root")
-        first = saved(_prefixes(torn, units, similarity), "prefixes")
-        share = _share(first, similarity, share)
-        across = saved(_links(_crossing(first, similarity, share=share), units, similarity).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "across")
-        if across.take(1):
-            joined = saved(components(across), "joined")  # of roots, not of texts
-            lone = torn.filter("rep = root").select("rep", "root").join(roots.select("rep"), "rep", "left_anti")  # members without a link so far
-            roots = saved(roots.unionByName(lone).join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("rep", F.coalesce("top", "root").alias("root")), "roots")
-    return roots
+        now = _moved(first, tops)
+        share = _share(now, similarity, share)
+        links = _links(_crossing(now, similarity, share=share), units, similarity)
+        joined = components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))  # of roots, not of texts
+        if joined.take(1):
+            joined = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            if tops is not None:
+                joined = saved(tops.withColumnsRenamed({"root": "was", "top": "root"}).join(joined, "root", "left").select(F.col("was").alias("root"), F.coalesce("top", "root").alias("top")).unionByName(joined), "tops")
+            tops = joined
+    if tops is None:
+        return roots
+    return _moved(roots, tops).unionByName(tops.select(F.col("root").alias("rep"), F.col("top").alias("root")))
+
+
+def _moved(members: DataFrame, tops: DataFrame | None) -> DataFrame:
+    """``members`` with the tops of their roots."""
+    if tops is None:
+        return members
+    return members.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root")).select(members.columns)
 
 
 def _classed(docs: DataFrame, similarity: float, shingle: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -374,7 +391,7 @@ def _classed(docs: DataFrame, similarity: float, shingle: int, bands: int, rows:
         .when(F.col("signed").isNull(), F.struct(F.lit(1).alias("kind"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))) \
         .otherwise(F.struct(F.lit(0).alias("kind"), F.col("signed.s1").alias("h1"), F.col("signed.s2").alias("h2")))
     signed = saved(numbered.withColumn("k", keys).select(*docs.columns, "rid", "k.kind", "k.h1", "k.h2", "signed.bands"), "signed")
-    nodes = saved(signed.groupBy("kind", "h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")), "nodes")
+    nodes = saved(signed.groupBy("kind", "h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"), F.first("bands").alias("bands")), "nodes")  # rows of a node have the same bands
     roots = _roots(signed, nodes, similarity, shingle)
     placed = nodes.withColumn("rep", F.col("first.rid")).join(roots, "rep", "left").select("kind", "h1", "h2", "first", F.coalesce("root", "rep").alias("root"))
     return signed, placed, placed.groupBy("root").agg(F.min("first").alias("best"))

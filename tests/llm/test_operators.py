@@ -388,6 +388,53 @@ def test_large_roots_take_in_members_after_a_few_pairs(spark, monkeypatch):
     assert sum(p.count() for p in pairs) < 4 * len(texts)  # 2,019 without leads
 
 
+def test_passes_share_one_order_of_shingles(spark, monkeypatch):
+    """A second pass over a large group takes the shingles of the first and all members as leads."""
+    from barflow.llm import near_duplicates as m
+
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randint(0, 10**6)}"
+    plain = [word() for _ in range(200)]
+
+    def edited(n):
+        words = [*plain]
+        for i in range(n):
+            words[rnd.randrange(i * 200 // n + 5, (i + 1) * 200 // n - 5)] = word()
+        return words
+
+    twins = [z for _ in range(20) for x in [edited(3)] for z in (x, x[:-1])]  # no shingle of their own
+    texts = [" ".join(x) for x in [*twins, *(edited(1) for _ in range(100)), *(edited(2) for _ in range(200))]]
+    shares, names, crossing, saved = [], [], m._crossing, m.saved
+    monkeypatch.setattr(m, "_crossing", lambda *args, share: shares.append(share) or crossing(*args, share=share))
+    monkeypatch.setattr(m, "saved", lambda df, name: names.append(name) or saved(df, name))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in m.classes(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+    assert len(shares) > 1 and shares[-1] == 1 and all(x < m.ALL for x in shares[:-1])
+    assert names.count("prefixes") == 1 and names.count("torn") == 1
+
+
+def test_components_end_with_stars(spark, monkeypatch):
+    """The root is the least node; edges that are stars need no step."""
+    from barflow.llm import near_duplicates as m
+
+    names, saved = [], m.saved
+    monkeypatch.setattr(m, "saved", lambda df, name: names.append(name) or saved(df, name))
+    roots = lambda edges: {r.node: r.root for r in m.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert roots([(1, 5), (6, 1), (1, 6), (2, 7)]) == {5: 1, 6: 1, 7: 2} and names == ["edges"]
+    assert roots([]) == {} and len(names) == 2
+    chain = [(i, i + 1) for i in range(40)]
+    ring = [(100 + i, 100 + (i * 7 + 7) % 30) for i in range(30) if (i * 7 + 7) % 30 != i]
+    got = roots([*chain, *ring])
+    want = {i: 0 for i in range(1, 41)}
+    groups = {n: {n} for e in ring for n in e}
+    for a, b in ring:
+        both = groups[a] | groups[b]
+        for n in both:
+            groups[n] = both
+    assert got == want | {n: min(g) for n, g in groups.items() if n != min(g)}
+
+
 def test_pairs_hold_a_lead(spark):
     """With a share of leads, pairs are exactly those of all members that hold a lead."""
     from barflow.llm import near_duplicates as m
