@@ -46,7 +46,11 @@ def labelled_samples(fills: DataFrame, bars: DataFrame, cols: list[str], feature
 
 
 def label_balance(samples: DataFrame) -> DataFrame:
-    return samples.rollup(F.year("ts").alias("year"), "symbol").agg(F.count("*").alias("n"), F.avg("label").alias("positive"))
+    """Samples and share of label 1 by year and symbol, by year, and in all: that row is there without samples too (a rollup gives none)."""
+    rows = samples.select(F.year("ts").alias("year"), "symbol", "label", F.lit(1).alias("_one"))
+    none = samples.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    made = rows.unionByName(none).rollup("year", "symbol").agg(F.count("_one").alias("n"), F.avg("label").alias("positive"), F.grouping_id().alias("_level"))
+    return made.filter("n > 0 or _level = 3").drop("_level")
 
 
 def split(samples: DataFrame, keys: list[str], test: float = 0.2, seed: int = 42, stratify: bool = True) -> DataFrame:

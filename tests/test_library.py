@@ -410,3 +410,13 @@ def test_models_by_symbol(spark):
     assert all((r.prob > 0.5) == (r.label == 1) for r in scored if r.symbol == "big")
     with pytest.raises(ValueError):
         M.train_by_symbol(df, ["x"], min_samples=5, most=1)
+
+
+def test_label_balance_has_its_total_without_samples(spark):
+    """As ROLLUP in SQL: the empty grouping set is one row for no input; null keys stay groups of their own."""
+    rows = [("A", T0, 1.0), ("A", T0, 0.0), (None, T0, 1.0), ("A", None, 0.0)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, label double")
+    got = sorted((tuple(r) for r in M.label_balance(df).collect()), key=str)
+    want = [(2024, "A", 2, 0.5), (2024, None, 1, 1.0), (2024, None, 3, 2 / 3), (None, "A", 1, 0.0), (None, None, 1, 0.0), (None, None, 4, 0.5)]
+    assert got == sorted(want, key=str)
+    assert [tuple(r) for r in M.label_balance(df.limit(0)).collect()] == [(None, None, 0, None)]
