@@ -22,17 +22,29 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+FILES = 4  # of a trigger
+
+
 def streamed(df: DataFrame, files: int = 3, order: str = "ts") -> DataFrame:
-    """The rows as a stream of ``files`` Parquet folders, one a trigger, in rising ``order``."""
+    """The rows as a stream of ``files`` Parquet folders, one a trigger, in rising ``order``.
+
+    A trigger takes a number of files, so each folder gets just that many: with fewer, the next
+    folder's first files would join it, and the rest of that folder would come too late.
+    """
     spark, path = df.sparkSession, shared_folder(df.sparkSession, "stream")
     cuts = df.agg(F.percentile_approx(F.unix_micros(F.col(order).cast("timestamp")), [i / files for i in range(1, files)], 10000).alias("q")).first().q or []
     part = F.lit(0)
     for q in cuts:
         part = part + F.when(F.unix_micros(F.col(order).cast("timestamp")) > q, 1).otherwise(0)
     made = df.withColumn("_part", part)
+    none = spark.createDataFrame([], df.schema)
     for i in range(files):  # one after the other, so that file times rise
-        made.filter(F.col("_part") == i).drop("_part").coalesce(4).write.mode("append").parquet(f"{path}/n={i}")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/n=*")
+        to = f"{path}/n={i}"
+        made.filter(F.col("_part") == i).drop("_part").coalesce(FILES).write.option("maxRecordsPerFile", 0).mode("append").parquet(to)
+        if i < files - 1:
+            for _ in range(FILES - len(spark.read.schema(df.schema).parquet(to).inputFiles())):  # tasks without rows have written no file
+                none.write.mode("append").parquet(to)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/n=*")
 
 
 def drained(stream: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import itertools
 
 import pytest
 
+from barflow.plans.stream_queries import drained, streamed
 from barflow.streaming import jobs as R
 
 T0 = dt.datetime(2024, 3, 4, 10)
@@ -117,3 +118,25 @@ def test_entries_go_on_from_a_checkpoint(spark, tmp_path):
     want = whole.step(rows)[0]
     got = [r for k in range(0, 120, 40) for r in parts.step(rows[k : k + 40])[0]]
     assert len(want) > 2 and got == want
+
+
+def throttled(rows):
+    """What is sent of (symbol, ts, strength, direction) in order of time and strength."""
+    last, sent = {}, []
+    for s, t, strength, way in sorted(rows, key=lambda r: (r[1], r[2])):
+        if s not in last or way != last[s][2] or (t - last[s][0] >= dt.timedelta(minutes=30) and strength >= last[s][1] + 10) or t - last[s][0] >= dt.timedelta(days=90):
+            last[s] = (t, strength, way)
+            sent.append((s, t, strength, way))
+    return sorted(sent)
+
+
+@pytest.mark.parametrize("dealt", [lambda df: df.coalesce(1), lambda df: df.repartition(3), lambda df: df.repartitionByRange(3, "direction")], ids=["one", "three", "by direction"])
+def test_a_trigger_is_one_part_however_rows_are_dealt_out(spark, dealt):
+    """Where a part has few files, the next part's first files do not join its trigger: their watermark would drop the rest of that part."""
+    rows = [("AB"[t % 2], hour(t), float(37 * t % 90), "LONG" if t * t % 7 < 3 else "SHORT") for t in range(300)]
+    df = dealt(spark.createDataFrame(rows, "symbol string, ts timestamp, strength double, direction string"))
+    got = drained(R.throttle_stream(streamed(df))).select("symbol", "ts", "strength", "direction").collect()
+    assert sorted(tuple(r) for r in got) == throttled(rows)
+    query = streamed(df).writeStream.format("noop").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [p.numInputRows for p in query.recentProgress if p.numInputRows] == [100, 100, 100]
