@@ -161,16 +161,11 @@ class ThrottleProcessor(Keeper):
         order = np.lexsort((strength, at))
         at, strength, direction = at[order], strength[order].astype(float), direction[order]
         sent = self.value.get() if self.value.exists() else None
-        kept, i = [], 0
-        while i < len(at):  # from one signal that is sent straight to the next
-            if sent is not None:
-                go = (direction[i:] != sent[2]) | ((at[i:] - sent[0] >= self.pause_us) & (strength[i:] >= sent[1] + self.step)) | (at[i:] - sent[0] >= self.stale_us)
-                if not go.any():
-                    break
-                i += int(go.argmax())
-            kept.append(i)
-            sent = (int(at[i]), float(strength[i]), direction[i])
-            i += 1
+        kept = []
+        for i, (t, x, way) in enumerate(zip(at.tolist(), strength.tolist(), direction, strict=True)):  # each row once: what is sent depends on what was sent before
+            if sent is None or way != sent[2] or (t - sent[0] >= self.pause_us and x >= sent[1] + self.step) or t - sent[0] >= self.stale_us:
+                kept.append(i)
+                sent = (t, x, way)
         self.keep(sent, sent[0])
         yield pd.DataFrame({"symbol": key[0], "ts_us": at[kept], "strength": strength[kept], "direction": direction[kept]})
 

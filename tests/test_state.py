@@ -3,6 +3,8 @@
 import datetime as dt
 import itertools
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from barflow.plans.stream_queries import drained, streamed
@@ -140,3 +142,34 @@ def test_a_trigger_is_one_part_however_rows_are_dealt_out(spark, dealt):
     query = streamed(df).writeStream.format("noop").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [p.numInputRows for p in query.recentProgress if p.numInputRows] == [100, 100, 100]
+
+
+class Way(str):
+    """A direction that counts how often it is compared."""
+
+    compared = 0
+
+    def __eq__(self, other):
+        Way.compared += 1
+        return str(self) == str(other)
+
+    def __ne__(self, other):
+        Way.compared += 1
+        return str(self) != str(other)
+
+    __hash__ = str.__hash__
+
+
+@pytest.mark.parametrize("way", [lambda t: "SL"[t % 2], lambda t: "L", lambda t: "SL"[t // 40 % 2]])
+def test_throttling_looks_at_a_row_once(way):
+    """Many rows of a symbol in one trigger, nearly all sent or nearly none: the work is in proportion to the rows."""
+    rows = [("A", hour(0) + dt.timedelta(minutes=t // 2), float(t * 13 % 100), way(t)) for t in range(3000)]
+    processor = R.ThrottleProcessor(30, 10, int(90 * R.DAY_US))
+    processor.value, processor.keep = type("None_", (), {"exists": lambda self: False})(), lambda *_: None
+    at = np.array([r[1].replace(tzinfo=dt.timezone.utc).timestamp() * 1e6 for r in rows]).astype("int64")
+    pdf = pd.DataFrame({"at": at, "strength": [r[2] for r in rows], "direction": [Way(r[3]) for r in rows]}).sample(frac=1, random_state=1)
+    Way.compared = 0
+    out = pd.concat(processor.handleInputRows(("A",), iter([pdf[:1100], pdf[1100:]]), None))
+    assert Way.compared <= 2 * len(rows)
+    got = [("A", dt.datetime.fromtimestamp(t / 1e6, dt.timezone.utc).replace(tzinfo=None), x, str(w)) for t, x, w in zip(out["ts_us"], out["strength"], out["direction"], strict=True)]
+    assert sorted(got) == throttled(rows)
